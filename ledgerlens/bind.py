@@ -89,6 +89,17 @@ def opening(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.greatest(F.col("c_acctbal"), F.lit(0.0)).cast(MONEY).alias("opening"))
 
 
+def model_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark trials (A6/A7) bound to ``events``: model = event_type, profile =
+    the user's behaviour, response time = value / 10 s, valid = k >= 30, retries 0..3."""
+    prepare(spark)
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.select(F.col("event_type").alias("model"), _behavior_col("user_id").alias("profile"),
+                    F.col("event_id").alias("trial"), (F.col("value") / 10.0).alias("response_time"),
+                    (k >= 30).alias("valid"), F.floor(u("event_id", "retry") * 4).cast("int").alias("retries"))
+
+
 # ---- DuckDB twins ---------------------------------------------------------
 
 def _behavior_sql(user: str) -> str:
@@ -129,6 +140,11 @@ SQL_VIEWS = {
               ELSE initial_country END AS location
   FROM ({_ACTIVITY_SQL_INNER}) a,
        LATERAL (SELECT CAST(CASE WHEN a.behavior <> 'legitimate' THEN 1 ELSE 0 END AS INTEGER) AS is_fraud) f""",
+    "model_runs": f"""
+  SELECT event_type AS model, {_behavior_sql('user_id')} AS profile, event_id AS trial,
+         value / 10.0 AS response_time, CAST(json_extract_string(props, '$.k') AS INTEGER) >= 30 AS valid,
+         CAST(floor({u_sql('event_id', 'retry')} * 4) AS INTEGER) AS retries
+  FROM events""",
     "opening": """
   SELECT c_custkey AS account, CAST(greatest(c_acctbal, 0.0) AS DECIMAL(18,2)) AS opening
   FROM customer""",

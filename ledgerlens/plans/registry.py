@@ -10,6 +10,7 @@ ORACLES: dict[str, str] = {}
 
 _MODULES = [
     "ledger_queries",
+    "agg_queries",
 ]
 
 
