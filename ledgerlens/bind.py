@@ -59,12 +59,8 @@ def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.col("user_id")).alias("real_id"),
         F.col("user_id").alias("virtual_id"),
         F.col("ts"),
-        et.alias("activity_type"),
+        et.alias("event_type"),
         _behavior_col("user_id").alias("behavior"),
-        F.when(et == "signup", "positive").when(et == "purchase", "negative")
-         .otherwise("neutral").alias("impact"),
-        F.when(et == "signup", val).when(et == "purchase", -val)
-         .otherwise(F.lit(0).cast(MONEY)).cast(MONEY).alias("amount"),
         F.col("value"),
         weighted("event_id", "dev", C.DEVICES, C.DEVICE_WEIGHTS).alias("device"),
         weighted("event_id", "net", C.NETWORKS, C.NETWORK_WEIGHTS).alias("network"),
@@ -72,6 +68,17 @@ def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(traveler, "traveler").otherwise("static").alias("agent_type"),
         F.col("props"),
     )
+    acts = F.create_map(*[x for b, d in C.BEHAVIORS.items()
+                          for x in (F.lit(b), F.array(*[F.lit(a) for a, _ in d["activities"]]))])
+    imps = F.create_map(*[x for b, d in C.BEHAVIORS.items()
+                          for x in (F.lit(b), F.array(*[F.lit(i) for _, i in d["activities"]]))])
+    arr = F.element_at(acts, F.col("behavior"))
+    idx = F.floor(u("seq", "act") * F.size(arr)).cast("int") + 1
+    out = out.withColumns({"activity_type": F.element_at(arr, idx),
+                           "impact": F.element_at(F.element_at(imps, F.col("behavior")), idx)})
+    out = out.withColumn("amount", F.when(F.col("impact") == "positive", val)
+                         .when(F.col("impact") == "negative", -val)
+                         .otherwise(F.lit(0).cast(MONEY)).cast(MONEY))
     is_fraud = (F.col("behavior") != "legitimate").cast("int")
     loc = (F.when(is_fraud == 1,
                   F.when(u("seq", "loc1") < F.lit(0.7), pick("seq", "loc2", C.FRAUD_OFFSHORE))
@@ -114,13 +121,8 @@ _ACTIVITY_SQL_INNER = f"""
               ELSE user_id END AS real_id,
          user_id AS virtual_id,
          ts,
-         event_type AS activity_type,
+         event_type,
          {_behavior_sql('user_id')} AS behavior,
-         CASE WHEN event_type = 'signup' THEN 'positive' WHEN event_type = 'purchase' THEN 'negative'
-              ELSE 'neutral' END AS impact,
-         CASE WHEN event_type = 'signup' THEN CAST(value AS DECIMAL(18,2))
-              WHEN event_type = 'purchase' THEN -CAST(value AS DECIMAL(18,2))
-              ELSE CAST(0 AS DECIMAL(18,2)) END AS amount,
          value,
          {weighted_sql('event_id', 'dev', C.DEVICES, C.DEVICE_WEIGHTS)} AS device,
          {weighted_sql('event_id', 'net', C.NETWORKS, C.NETWORK_WEIGHTS)} AS network,
@@ -129,16 +131,33 @@ _ACTIVITY_SQL_INNER = f"""
          props
   FROM events"""
 
+def _list_sql(vals):
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in vals) + "]"
+
+
+_ACTS_SQL = "CASE behavior " + " ".join(
+    f"WHEN '{b}' THEN {_list_sql([a for a, _ in d['activities']])}" for b, d in C.BEHAVIORS.items()) + " END"
+_IMPS_SQL = "CASE behavior " + " ".join(
+    f"WHEN '{b}' THEN {_list_sql([i for _, i in d['activities']])}" for b, d in C.BEHAVIORS.items()) + " END"
+
+_ACTIVITY_SQL_MID = f"""
+  SELECT a0.*, ({_ACTS_SQL})[i.idx] AS activity_type, ({_IMPS_SQL})[i.idx] AS impact
+  FROM ({_ACTIVITY_SQL_INNER}) a0,
+       LATERAL (SELECT CAST(floor({u_sql('a0.seq', 'act')} * len({_ACTS_SQL.replace('behavior', 'a0.behavior')})) AS INTEGER) + 1 AS idx) i"""
+
 SQL_VIEWS = {
     "activity_log": f"""
-  SELECT a.*, f.is_fraud,
+  SELECT a.*, CASE WHEN impact = 'positive' THEN CAST(value AS DECIMAL(18,2))
+                   WHEN impact = 'negative' THEN -CAST(value AS DECIMAL(18,2))
+                   ELSE CAST(0 AS DECIMAL(18,2)) END AS amount,
+         f.is_fraud,
          CASE WHEN f.is_fraud = 1 THEN
                 CASE WHEN {u_sql('seq', 'loc1')} < 0.7 THEN {pick_sql('seq', 'loc2', C.FRAUD_OFFSHORE)}
                      ELSE {pick_sql('seq', 'loc3', C.FRAUD_ONSHORE)} END
               WHEN agent_type = 'traveler' AND {u_sql('seq', 'abroad')} < 0.5
                 THEN {pick_sql('seq', 'dest', C.TRAVEL_COUNTRIES)}
               ELSE initial_country END AS location
-  FROM ({_ACTIVITY_SQL_INNER}) a,
+  FROM ({_ACTIVITY_SQL_MID}) a,
        LATERAL (SELECT CAST(CASE WHEN a.behavior <> 'legitimate' THEN 1 ELSE 0 END AS INTEGER) AS is_fraud) f""",
     "model_runs": f"""
   SELECT event_type AS model, {_behavior_sql('user_id')} AS profile, event_id AS trial,

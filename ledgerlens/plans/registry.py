@@ -11,6 +11,7 @@ ORACLES: dict[str, str] = {}
 _MODULES = [
     "ledger_queries",
     "agg_queries",
+    "sequence_queries",
 ]
 
 
