@@ -12,6 +12,8 @@ _MODULES = [
     "ledger_queries",
     "agg_queries",
     "sequence_queries",
+    "bank_queries",
+    "contract_queries",
 ]
 
 
