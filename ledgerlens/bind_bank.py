@@ -69,13 +69,19 @@ _LIST_FIELDS = ["cities", "transaction_types_involved", "common_devices", "netwo
 _PROFILES = list(S.RAW)
 
 
+def _lit_sql(v) -> str:
+    if isinstance(v, list):
+        return "CAST(array(" + ", ".join("'" + x.replace("'", "\\'") + "'" for x in v) + ") AS ARRAY<STRING>)"
+    return repr(v)
+
+
+def _lookup_expr(f: str, key: str) -> str:
+    return ("(CASE `" + key + "` " + " ".join(f"WHEN '{p}' THEN {_lit_sql(_field(p, f))}" for p in _PROFILES)
+            + " END)")
+
+
 def _lookup(f: str, key) -> F.Column:
-    pairs = []
-    for p in _PROFILES:
-        v = _field(p, f)
-        val = F.array(*[F.lit(x) for x in v]).cast("array<string>") if isinstance(v, list) else F.lit(v)
-        pairs += [F.lit(p), val]
-    return F.element_at(F.create_map(*pairs), key)
+    return F.expr(_lookup_expr(f, "behavior_type"))
 
 
 def _upick(arr: F.Column, key: str, tag: str) -> F.Column:
@@ -86,6 +92,7 @@ def _num(c: F.Column) -> F.Column:
     return c.cast("long").cast("string")
 
 
+@bind.cached
 def bank_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     e = bind.table(spark, sf_dir, "events")
@@ -176,6 +183,7 @@ def _obj_parts(q, num, nullable_str, drop_merchant=False, extra=False, str_amoun
     return parts
 
 
+@bind.cached
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     bl = bank_log(spark, sf_dir).withColumn("amount_txt", F.col("amount").cast("string"))
 
@@ -210,6 +218,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bl.select(F.col("seq").alias("resp_id"), "user_id", "account_id", "ts", text.alias("raw_text"))
 
 
+@bind.cached
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     e = bind.table(spark, sf_dir, "events")

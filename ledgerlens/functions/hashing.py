@@ -15,33 +15,52 @@ from pyspark.sql import functions as F
 TWO_POW_32 = 4294967296.0
 
 
-def _key(key) -> Column:
-    return (F.col(key) if isinstance(key, str) else key).cast("string")
+def _key_sql(key) -> str:
+    if isinstance(key, str):
+        return f"CAST(`{key}` AS STRING)"
+    raise TypeError("key must be a column name")
+
+
+def u_expr(key, tag: str) -> str:
+    """Spark SQL text of ``u(key, tag)`` (one parsed expression, no per-node JVM calls)."""
+    return (f"(CAST(conv(substring(md5(concat({_key_sql(key)}, ':{tag}')), 1, 8), 16, 10) AS DOUBLE)"
+            f" / {TWO_POW_32!r})")
 
 
 def u(key, tag: str) -> Column:
-    h = F.substring(F.md5(F.concat(_key(key), F.lit(":" + tag))), 1, 8)
-    return F.conv(h, 16, 10).cast("double") / F.lit(TWO_POW_32)
+    return F.expr(u_expr(key, tag))
+
+
+def _lit(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def pick_expr(key, tag: str, values: list[str]) -> str:
+    arr = "array(" + ", ".join(_lit(v) for v in values) + ")"
+    return f"element_at({arr}, CAST(floor({u_expr(key, tag)} * {len(values)}) AS INT) + 1)"
 
 
 def pick(key, tag: str, values: list[str]) -> Column:
     """Uniform choice from a fixed list, driven by ``u(key, tag)``."""
-    idx = F.floor(u(key, tag) * len(values)).cast("int")
-    return F.element_at(F.array(*[F.lit(v) for v in values]), idx + 1)
+    return F.expr(pick_expr(key, tag, values))
 
 
-def weighted(key, tag: str, values: list[str], weights: list[float]) -> Column:
-    """Weighted choice as a generated CASE over cumulative weights (J9 for few categories)."""
-    x = u(key, tag)
+def weighted_expr(key, tag: str, values: list[str], weights: list[float]) -> str:
+    x = u_expr(key, tag)
     total = float(sum(weights))
     acc = 0.0
-    expr = None
+    parts = []
     for v, w in zip(values[:-1], weights[:-1]):
         acc += w / total
-        cond = x < F.lit(round(acc, 12))
-        expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
-    last = F.lit(values[-1])
-    return last if expr is None else expr.otherwise(last)
+        parts.append(f"WHEN {x} < CAST({round(acc, 12)!r} AS DOUBLE) THEN {_lit(v)}")
+    if not parts:
+        return _lit(values[-1])
+    return "(CASE " + " ".join(parts) + f" ELSE {_lit(values[-1])} END)"
+
+
+def weighted(key, tag: str, values: list[str], weights: list[float]) -> Column:
+    """Weighted choice as a generated CASE over cumulative weights (J9 for few categories)."""
+    return F.expr(weighted_expr(key, tag, values, weights))
 
 
 # ---- DuckDB twins -------------------------------------------------------

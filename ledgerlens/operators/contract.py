@@ -81,16 +81,19 @@ def has_comments(frag) -> F.Column:
     return f.contains("//") | f.rlike(P_BLOCK_COMMENT)
 
 
-def py_type(variant_col: F.Column) -> F.Column:
-    """Python type name a JSON value decodes to: str, int, float, bool, NoneType, dict, list (null if absent)."""
-    s = F.schema_of_variant(variant_col)
-    return (F.when(s.isNull(), F.lit(None))
-            .when(s == "STRING", "str").when(s == "BOOLEAN", "bool").when(s == "VOID", "NoneType")
-            .when(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "int")
-            .when(s.rlike(r"^DECIMAL\(\d+,0\)$"), "int")
-            .when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), "float")
-            .when(s.startswith("OBJECT"), "dict").when(s.startswith("ARRAY"), "list")
-            .otherwise("other"))
+def py_type_expr(variant_sql: str) -> str:
+    """Spark SQL text: Python type name a JSON value decodes to (str, int, float, bool,
+    NoneType, dict, list); null when the value is absent."""
+    s = f"schema_of_variant({variant_sql})"
+    return (f"(CASE WHEN {s} IS NULL THEN NULL WHEN {s} = 'STRING' THEN 'str' WHEN {s} = 'BOOLEAN' THEN 'bool' "
+            f"WHEN {s} = 'VOID' THEN 'NoneType' WHEN {s} IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT') THEN 'int' "
+            f"WHEN {s} RLIKE '^DECIMAL\\\\(\\\\d+,0\\\\)$' THEN 'int' "
+            f"WHEN {s} LIKE 'DECIMAL%' OR {s} IN ('DOUBLE', 'FLOAT') THEN 'float' "
+            f"WHEN {s} LIKE 'OBJECT%' THEN 'dict' WHEN {s} LIKE 'ARRAY%' THEN 'list' ELSE 'other' END)")
+
+
+def py_type(variant_col_name: str) -> F.Column:
+    return F.expr(py_type_expr(f"`{variant_col_name}`"))
 
 
 def _type_ok(kind: str, t: F.Column) -> F.Column:
@@ -120,7 +123,7 @@ def validate(responses: DataFrame, user: str = "user_id", order: list[str] | Non
     df = df.withColumns({"_v_ok": v.isNotNull(), "_root": root, "_txv": txv})
     tx_is_obj = F.schema_of_variant(F.col("_txv")).startswith("OBJECT")
     keys = F.when(tx_is_obj, F.json_object_keys(tx_txt))
-    types = {f: py_type(F.try_variant_get(F.col("_txv"), f"$.{f}", "variant")) for f, _ in EXPECTED}
+    types = {f: F.expr(py_type_expr(f"try_variant_get(_txv, '$.{f}', 'variant')")) for f, _ in EXPECTED}
     df = df.withColumns({"_keys": keys, **{f"_t_{f}": t for f, t in types.items()}})
     bank_ts_txt = F.try_variant_get(F.col("_txv"), "$.bank_timestamp", "string")
     ts_parsed = F.when(tx_is_obj & (F.col("_t_bank_timestamp") == "str"), parse_iso(bank_ts_txt))

@@ -22,8 +22,19 @@ from pyspark.sql import functions as F
 _BK = "_sw_bucket"
 
 
-def _bucket(order: list[str], bucket: Column | None) -> Column:
-    return bucket if bucket is not None else F.date_trunc("day", F.col(order[0]))
+NUMERIC_BUCKET = 1_000_000
+
+
+def _bucket(df: DataFrame, order: list[str], bucket: Column | None) -> Column:
+    """Default bucket: calendar day of a time-typed first order column, else
+    blocks of ``NUMERIC_BUCKET`` consecutive values of a numeric one."""
+    if bucket is not None:
+        return bucket
+    from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+    dt = df.schema[order[0]].dataType
+    if isinstance(dt, (TimestampType, TimestampNTZType, DateType)):
+        return F.date_trunc("day", F.col(order[0]))
+    return F.floor(F.col(order[0]) / F.lit(NUMERIC_BUCKET))
 
 
 def _keys(key) -> list[str]:
@@ -36,7 +47,7 @@ def neighbor(df: DataFrame, key, order: list[str], cols: list[str], direction: s
     row of the same key in ``order``; null on the first (last) row."""
     keys = _keys(key)
     prefix = prefix if prefix is not None else ("prev_" if direction == "prev" else "next_")
-    b = df.withColumn(_BK, _bucket(order, bucket))
+    b = df.withColumn(_BK, _bucket(df, order, bucket))
     asc = [F.col(c).asc() for c in order]
     desc = [F.col(c).desc() for c in order]
     w = Window.partitionBy(*keys, _BK).orderBy(*asc)
@@ -63,7 +74,7 @@ def running(df: DataFrame, key, order: list[str], exprs: dict[str, tuple[str, Co
     ``min``).  Inclusive of the current row.
     """
     keys = _keys(key)
-    b = df.withColumn(_BK, _bucket(order, bucket))
+    b = df.withColumn(_BK, _bucket(df, order, bucket))
     w = Window.partitionBy(*keys, _BK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     fns = {"sum": F.sum, "max": F.max, "min": F.min}
     tmp = {}

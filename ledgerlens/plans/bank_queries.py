@@ -18,3 +18,133 @@ WB = bind.with_views("bank_log")
 @register("ordered_bank_log", WB + f"SELECT {', '.join(ORDERED_COLUMNS)} FROM bank_log")
 def q_ordered(spark, sf_dir):
     return bind_bank.bank_log(spark, sf_dir).select(*ORDERED_COLUMNS)
+
+ORD_B = ["bank_ts", "seq"]
+
+
+def _opening_first_row(bl):
+    """Opening balance of each account = stored balance_before of its first row (J8-style)."""
+    return bl.groupBy("account_id").agg(F.min_by("balance_before", F.struct(*ORD_B)).alias("opening")) \
+        .withColumnRenamed("account_id", "account")
+
+
+def _replay(spark, sf_dir, variant):
+    bl = bind_bank.bank_log(spark, sf_dir)
+    log = bl.select("seq", "transaction_id", "account_id", "bank_ts", "type", "amount",
+                    F.col("balance_after").alias("stored_after"))
+    return ledger.replay(log, _opening_first_row(bl), account="account_id", order=ORD_B, variant=variant,
+                         type_col="type")
+
+
+def _rec_sql(variant: str) -> str:
+    if variant == "v2":
+        cr = "(" + " OR ".join(f"contains(lower(o.type), '{w}')" for w in ledger.CREDIT_WORDS) + ")"
+        db = "(" + " OR ".join(f"contains(lower(o.type), '{w}')" for w in ledger.DEBIT_WORDS) + ")"
+        delta = f"CASE WHEN {cr} THEN o.amount WHEN {db} THEN -o.amount ELSE 0 END"
+        can_decline = f"(NOT {cr} AND {db})"
+    else:
+        delta = "CASE WHEN o.amount > 0 AND o.type = 'Deposit' THEN o.amount WHEN o.amount > 0 THEN -o.amount ELSE 0 END"
+        can_decline = "(o.amount > 0 AND o.type <> 'Deposit')"
+    ok = f"(NOT {can_decline} OR r.balance + ({delta}) >= 0)"
+    return WB.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+o AS (SELECT seq, transaction_id, account_id, type, amount, balance_before, balance_after AS stored_after,
+             row_number() OVER (PARTITION BY account_id ORDER BY bank_ts, seq) AS rn FROM bank_log),
+op AS (SELECT account_id, balance_before AS opening FROM o WHERE rn = 1),
+r AS (
+  SELECT account_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS transaction_id,
+         CAST(NULL AS DECIMAL(18,2)) AS amount, CAST(NULL AS VARCHAR) AS type, CAST(NULL AS DECIMAL(18,2)) AS stored_after,
+         opening AS bal_before, opening AS balance, TRUE AS granted
+  FROM op
+  UNION ALL
+  SELECT r.account_id, o.rn, o.transaction_id, o.amount, o.type, o.stored_after, r.balance,
+         CAST(CASE WHEN {ok} THEN r.balance + ({delta}) ELSE r.balance END AS DECIMAL(18,2)), {ok}
+  FROM r JOIN o ON o.account_id = r.account_id AND o.rn = r.rn + 1)
+"""
+
+
+@register("ledger_v2", _rec_sql("v2") + """
+SELECT transaction_id, account_id, bal_before AS balance_before, granted, balance AS balance_after FROM r WHERE rn > 0""")
+def q_ledger_v2(spark, sf_dir):
+    return _replay(spark, sf_dir, "v2").select("transaction_id", "account_id", "balance_before", "granted",
+                                               "balance_after")
+
+
+@register("ledger_v3", _rec_sql("v3") + """
+SELECT transaction_id, account_id, bal_before AS balance_before, granted, balance AS balance_after,
+       CAST(CASE WHEN granted THEN amount ELSE 0 END AS DECIMAL(18,2)) AS amount_settled FROM r WHERE rn > 0""")
+def q_ledger_v3(spark, sf_dir):
+    return _replay(spark, sf_dir, "v3").select("transaction_id", "account_id", "balance_before", "granted",
+                                               "balance_after", "amount_settled")
+
+
+@register("replay_check", _rec_sql("v2") + """
+SELECT transaction_id, account_id, balance AS replayed_after, stored_after FROM r
+WHERE rn > 0 AND balance <> stored_after""")
+def q_replay_check(spark, sf_dir):
+    r = _replay(spark, sf_dir, "v2")
+    return r.filter(F.col("balance_after") != F.col("stored_after")).select(
+        "transaction_id", "account_id", F.col("balance_after").alias("replayed_after"), "stored_after")
+
+
+@register("chain_breaks", WB + """
+, l AS (SELECT *, lag(balance_after) OVER (PARTITION BY account_id ORDER BY seq) AS prev_balance_after FROM bank_log)
+SELECT transaction_id, account_id, balance_before, prev_balance_after FROM l
+WHERE prev_balance_after IS NOT NULL AND balance_before <> prev_balance_after""")
+def q_chain_breaks(spark, sf_dir):
+    bl = bind_bank.bank_log(spark, sf_dir)
+    return checks.chain_breaks(bl, "account_id", ["seq"]).select(
+        "transaction_id", "account_id", "balance_before", "prev_balance_after")
+
+
+@register("order_violations", WB + """
+, l AS (SELECT *, lag(bank_ts) OVER (PARTITION BY user_id ORDER BY seq) AS prev_bank_ts FROM bank_log)
+SELECT transaction_id, user_id, bank_ts, prev_bank_ts FROM l
+WHERE prev_bank_ts IS NOT NULL AND bank_ts <= prev_bank_ts""")
+def q_order_violations(spark, sf_dir):
+    bl = bind_bank.bank_log(spark, sf_dir)
+    return checks.order_violations(bl, "user_id", ["seq"], "bank_ts").select(
+        "transaction_id", "user_id", "bank_ts", "prev_bank_ts")
+
+
+def _kind_sql(c):
+    cr = "(" + " OR ".join(f"contains(lower({c}), '{w}')" for w in ledger.CREDIT_WORDS) + ")"
+    db = "(" + " OR ".join(f"contains(lower({c}), '{w}')" for w in ledger.DEBIT_WORDS) + ")"
+    return f"CASE WHEN {cr} THEN 'credit' WHEN {db} THEN 'debit' ELSE 'neutral' END"
+
+
+@register("balance_check", WB + f"""
+, e AS (SELECT *, CAST(CASE WHEN {_kind_sql('type')} = 'credit' THEN balance_before + amount
+                            WHEN {_kind_sql('type')} = 'debit' AND granted THEN balance_before - amount
+                            ELSE balance_before END AS DOUBLE) AS expected_after FROM bank_log)
+SELECT transaction_id, balance_after, expected_after FROM e
+WHERE NOT (abs(CAST(balance_after AS DOUBLE) - expected_after) <= 1e-6 + 1e-5 * abs(expected_after))""")
+def q_balance_check(spark, sf_dir):
+    bl = bind_bank.bank_log(spark, sf_dir)
+    kind = ledger.classify_type("type")
+    signed = F.when(kind == "credit", F.col("amount")).when(kind == "debit", -F.col("amount")).otherwise(F.lit(0))
+    return checks.balance_check(bl.withColumn("_signed", signed), amount="_signed").select(
+        "transaction_id", "balance_after", F.col("expected_after"))
+
+
+@register("enforce_order", WB + """
+, l AS (SELECT *, lag(location) OVER (PARTITION BY user_id ORDER BY seq) AS prev_location,
+               CAST(epoch(TRY_CAST(bank_timestamp AS TIMESTAMPTZ)) AS BIGINT) AS t,
+               CAST(epoch(TRY_CAST(local_timestamp AS TIMESTAMPTZ)) AS BIGINT) AS lt FROM bank_log),
+  g AS (SELECT *, CASE WHEN prev_location IS NULL THEN 0 WHEN location <> prev_location THEN 3600 ELSE 60 END AS gap
+        FROM l),
+  s AS (SELECT *, sum(gap) OVER w AS gg FROM g WINDOW w AS (PARTITION BY user_id ORDER BY seq
+                                                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  m AS (SELECT *, gg + max(t - gg) OVER w AS adj FROM s WINDOW w AS (PARTITION BY user_id ORDER BY seq
+                                                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT transaction_id, user_id, coalesce(t IS NOT NULL AND adj > t, false) AS shifted,
+       CASE WHEN t IS NOT NULL AND adj > t THEN strftime(make_timestamp(CAST(adj AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00'
+            ELSE bank_timestamp END AS adj_bank_timestamp,
+       CASE WHEN t IS NOT NULL AND adj > t AND lt IS NOT NULL
+            THEN strftime(make_timestamp(CAST(adj - (t - lt) AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00'
+            ELSE local_timestamp END AS adj_local_timestamp
+FROM m""")
+def q_enforce_order(spark, sf_dir):
+    from ..operators import timeline
+    bl = bind_bank.bank_log(spark, sf_dir)
+    return timeline.enforce_order(bl, "user_id", ["seq"]).select(
+        "transaction_id", "user_id", "shifted", "adj_bank_timestamp", "adj_local_timestamp")
