@@ -8,7 +8,7 @@
     (transfers out).  bank_ts = event time, 10 % of rows shifted up to 2 h earlier
     (late arrivals); local_timestamp is the bank time in the city's zone with its
     offset.  90 % of IPs use the city prefix.  amount scales ``value`` into the
-    strategy range (up to 5 % above its top).  Stored balance_before is synthetic
+    strategy range (the largest values land up to about 30 % above its top).  Stored balance_before is synthetic
     (50 + 3 x value), granted/balance_after follow the single-row keyword rule
     with 3 % of balance_after corrupted by +1.00.
 ``responses``
@@ -104,7 +104,7 @@ def bank_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     shift = F.when(u("seq", "late") < F.lit(LATE_SHARE), F.floor(u("seq", "jit") * MAX_LATE_S)).otherwise(F.lit(0))
     vc = F.round(F.col("value") * 100).cast("long")
     lo, hi = _lookup("lo", p).cast("long"), _lookup("hi", p).cast("long")
-    cents = lo + F.floor((vc * (hi - lo) * F.lit(105)) / F.lit(5600000)).cast("long")
+    cents = lo + F.floor((vc * (hi - lo) * F.lit(105)) / F.lit(4480000)).cast("long")
     b = b.select(
         "*",
         F.concat(F.lit("TXN-"), F.substring(F.md5(F.concat(F.col("seq").cast("string"), F.lit(":txn"))), 1, 10))
@@ -285,7 +285,7 @@ _B1 = f"""
          {_upick_sql(_lookup_sql('transaction_types_involved', 'behavior_type'), 'seq', 'type')} AS type,
          CAST({_lookup_sql('lo', 'behavior_type')} AS BIGINT)
            + CAST(floor((vc * (CAST({_lookup_sql('hi', 'behavior_type')} AS BIGINT)
-                               - CAST({_lookup_sql('lo', 'behavior_type')} AS BIGINT)) * 105) / 5600000) AS BIGINT)
+                               - CAST({_lookup_sql('lo', 'behavior_type')} AS BIGINT)) * 105) / 4480000) AS BIGINT)
            AS amount_c,
          5000 + vc * 3 AS before_c,
          {_upick_sql(_lookup_sql('common_merchant_names', 'behavior_type'), 'seq', 'mer')} AS merch,

@@ -14,6 +14,7 @@ _MODULES = [
     "sequence_queries",
     "bank_queries",
     "contract_queries",
+    "strategy_queries",
 ]
 
 
