@@ -43,19 +43,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _CACHE: dict = {}
 
 
-def cached(fn):
-    """Build a binding view once per (application, sf_dir): DataFrames are immutable
-    plans, so queries can share the analysed plan instead of re-analysing it."""
+def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write a derived view once as parquet under the session's shared checkpoint
+    folder and read it back.  Downstream plans then start from a parquet scan
+    (column pruning, filter pushdown, small plans) instead of re-deriving every
+    synthetic column inside each query."""
+    import hashlib
+    import uuid
+    from .session import checkpoint_dir
+    base = checkpoint_dir(spark).rstrip("/")
+    tag = hashlib.md5(name.encode()).hexdigest()[:8]
+    path = f"{base}/ledgerlens-views/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:8]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def cached(fn=None, *, store: bool = False):
+    """Build a binding view once per (application, sf_dir); with ``store`` the
+    view is also written once as parquet (see :func:`materialize`)."""
     import functools
 
-    @functools.wraps(fn)
-    def wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (fn.__module__, fn.__name__, spark.sparkContext.applicationId, sf_dir)
-        df = _CACHE.get(key)
-        if df is None:
-            df = _CACHE[key] = fn(spark, sf_dir)
-        return df
-    return wrap
+    def deco(f):
+        @functools.wraps(f)
+        def wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+            key = (f.__module__, f.__name__, spark.sparkContext.applicationId, sf_dir)
+            df = _CACHE.get(key)
+            if df is None:
+                df = f(spark, sf_dir)
+                if store:
+                    df = materialize(spark, df, f"{f.__name__}:{sf_dir}")
+                _CACHE[key] = df
+            return df
+        return wrap
+    return deco(fn) if fn is not None else deco
 
 
 def _behavior_col(user):
@@ -63,7 +83,7 @@ def _behavior_col(user):
         .otherwise(F.lit("legitimate"))
 
 
-@cached
+@cached(store=True)
 def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     e = table(spark, sf_dir, "events")

@@ -92,7 +92,7 @@ def _num(c: F.Column) -> F.Column:
     return c.cast("long").cast("string")
 
 
-@bind.cached
+@bind.cached(store=True)
 def bank_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     e = bind.table(spark, sf_dir, "events")
@@ -183,7 +183,7 @@ def _obj_parts(q, num, nullable_str, drop_merchant=False, extra=False, str_amoun
     return parts
 
 
-@bind.cached
+@bind.cached(store=True)
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     bl = bank_log(spark, sf_dir).withColumn("amount_txt", F.col("amount").cast("string"))
 

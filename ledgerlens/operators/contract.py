@@ -200,3 +200,21 @@ def attempts_to_success(validated: DataFrame, user: str = "user_id", order: list
     return v.groupBy(user, "step").agg(
         F.count(F.lit(1)).alias("attempts"), (F.count(F.lit(1)) - 1).alias("retries"),
         F.max(F.when(F.col("valid"), F.col(order[-1]))).alias("valid_resp_id"))
+
+
+def field_diff(responses: DataFrame, text: str = "raw_text") -> DataFrame:
+    """Expected fields missing from, and unexpected fields present in,
+    the response object (object responses only).  Intermediate values are
+    materialised as columns so the regex chain is evaluated once per row."""
+    d = responses.withColumn("_frag", extract_fragment(text))
+    d = d.withColumn("_v", F.try_parse_json(F.col("_frag")))
+    d = d.withColumn("_arr", F.schema_of_variant(F.col("_v")).startswith("ARRAY"))
+    d = d.withColumn("_txv", F.when(F.col("_arr"), F.try_variant_get(F.col("_v"), "$[0]", "variant"))
+                     .otherwise(F.col("_v")))
+    tx_txt = F.when(F.col("_arr"), F.get_json_object(F.col("_frag"), "$[0]")).otherwise(F.col("_frag"))
+    d = d.withColumn("_keys", F.when(F.schema_of_variant(F.col("_txv")).startswith("OBJECT"), F.json_object_keys(tx_txt)))
+    expected = F.array(*[F.lit(f) for f, _ in EXPECTED])
+    d = d.filter(F.col("_keys").isNotNull())
+    return d.withColumns({"missing": F.array_except(expected, F.col("_keys")),
+                          "extra": F.array_except(F.col("_keys"), expected)}) \
+        .drop("_keys", "_frag", "_v", "_arr", "_txv")

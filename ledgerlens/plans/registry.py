@@ -15,6 +15,7 @@ _MODULES = [
     "bank_queries",
     "contract_queries",
     "strategy_queries",
+    "join_queries",
 ]
 
 
