@@ -109,10 +109,11 @@ def parse_iso(c) -> F.Column:
     return F.try_to_timestamp(F.col(c) if isinstance(c, str) else c)
 
 
-def validate(responses: DataFrame, user: str = "user_id", order: list[str] | None = None,
-             text: str = "raw_text") -> DataFrame:
-    """R1 over a response table: adds fragment, stage, errors (array<string>), valid, tx_ts."""
-    order = order or ["ts", "resp_id"]
+def stages(responses: DataFrame, text: str = "raw_text") -> DataFrame:
+    """Stateless part of R1: every check except the timestamp order.
+
+    Adds fragment, tx_ts (parsed bank timestamp), _ts_txt, _pre (first failing
+    stage among 1-6 or null), _post (8 or 9 or null), _fmsgs and _tmsgs."""
     frag = extract_fragment(text)
     df = responses.withColumn("fragment", frag)
     v = F.try_parse_json(F.col("fragment"))
@@ -154,12 +155,12 @@ def validate(responses: DataFrame, user: str = "user_id", order: list[str] | Non
                  .when(F.col("tx_ts").isNull(), F.lit(6)))
     stage_post = F.when(F.size(field_msgs) > 0, F.lit(8)).when(F.size(type_msgs) > 0, F.lit(9))
     df = df.withColumns({"_pre": stage_pre, "_post": stage_post, "_fmsgs": field_msgs, "_tmsgs": type_msgs})
-    # last accepted timestamp = running max over earlier rows passing every non-order check
-    cand = F.when(F.col("_pre").isNull() & F.col("_post").isNull(), F.struct(F.col("tx_ts").alias("t"),
-                                                                           F.col("_ts_txt").alias("s")))
-    df = seqwin.running(df.withColumn("_cand", cand), user, order, {"_upto": ("max", F.col("_cand"))})
-    df = seqwin.neighbor(df, user, order, ["_upto"], prefix="_last")
-    last = F.col("_last_upto")
+    return df.drop("_v_ok", "_root", "_txv", "_keys", *[f"_t_{f}" for f, _ in EXPECTED])
+
+
+def finish(df: DataFrame, last: F.Column) -> DataFrame:
+    """Apply the order check given ``last`` = struct(t, s) of the last accepted
+    timestamp (or null) and build stage / errors / valid."""
     order_bad = last.isNotNull() & (F.col("tx_ts") <= last["t"])
     stage = F.coalesce(F.col("_pre"), F.when(order_bad, F.lit(7)), F.col("_post"))
     order_msg = F.concat(F.lit("Error: bank_timestamp "), F.col("_ts_txt"),
@@ -170,11 +171,23 @@ def validate(responses: DataFrame, user: str = "user_id", order: list[str] | Non
         errors = errors.when(stage == k, F.array(F.lit(m)))
     errors = errors.when(stage == 7, F.array(order_msg)).when(stage == 8, F.col("_fmsgs")) \
         .otherwise(F.col("_tmsgs"))
-    out = df.withColumns({"stage": stage, "errors": errors, "valid": stage.isNull(),
-                          "last_timestamp": last["s"]})
+    out = df.withColumns({"stage": stage, "errors": errors, "valid": stage.isNull(), "last_timestamp": last["s"]})
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
+def validate(responses: DataFrame, user: str = "user_id", order: list[str] | None = None,
+             text: str = "raw_text") -> DataFrame:
+    """R1 over a response table: adds fragment, stage, errors (array<string>), valid, tx_ts."""
+    order = order or ["ts", "resp_id"]
+    df = stages(responses, text)
+    # last accepted timestamp = running max over earlier rows passing every non-order check
+    cand = F.when(F.col("_pre").isNull() & F.col("_post").isNull(), F.struct(F.col("tx_ts").alias("t"),
+                                                                           F.col("_ts_txt").alias("s")))
+    df = seqwin.running(df.withColumn("_cand", cand), user, order, {"_upto": ("max", F.col("_cand"))})
+    df = seqwin.neighbor(df, user, order, ["_upto"], prefix="_last")
+    return finish(df, F.col("_last_upto"))
+
+
 def error_counts(validated: DataFrame) -> DataFrame:
     """Occurrences of each error text."""
     return validated.select(F.explode("errors").alias("error")).groupBy("error").agg(

@@ -16,6 +16,7 @@ _MODULES = [
     "contract_queries",
     "strategy_queries",
     "join_queries",
+    "stream_queries",
 ]
 
 
