@@ -75,6 +75,22 @@ def extract_fragment(text) -> F.Column:
     return out
 
 
+# cheap literal guards (on the lower-cased text) before each DOTALL regex
+_GUARDS = {P_TAG: ["<<<json>>>", "<<<end_json>>>"], P_FENCE_JSON: ["```json"], P_FENCE: ["```"],
+           P_ANGLE: ["<<<", ">>>"]}
+
+
+def _fragment_from(t: F.Column, stripped: F.Column, low: F.Column) -> F.Column:
+    out = F.when(stripped.startswith("{") & stripped.endswith("}"), stripped)
+    for p in (P_TAG, P_FENCE_JSON, P_FENCE, P_ANGLE):
+        guard = None
+        for g in _GUARDS[p]:
+            c = low.contains(g)
+            guard = c if guard is None else (guard & c)
+        out = out.when(guard & t.rlike(p), strip_ws(F.regexp_extract(t, p, 1)))
+    return out
+
+
 def has_comments(frag) -> F.Column:
     """Any ``//`` (so any URL) or a ``/* */`` block."""
     f = F.col(frag) if isinstance(frag, str) else frag
@@ -92,6 +108,16 @@ def py_type_expr(variant_sql: str) -> str:
             f"WHEN {s} LIKE 'OBJECT%' THEN 'dict' WHEN {s} LIKE 'ARRAY%' THEN 'list' ELSE 'other' END)")
 
 
+def py_type_of_schema_expr(schema_col: str) -> str:
+    """Spark SQL text mapping a ``schema_of_variant`` string column to a Python type name."""
+    s = f"`{schema_col}`"
+    return (f"(CASE WHEN {s} IS NULL THEN NULL WHEN {s} = 'STRING' THEN 'str' WHEN {s} = 'BOOLEAN' THEN 'bool' "
+            f"WHEN {s} = 'VOID' THEN 'NoneType' WHEN {s} IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT') THEN 'int' "
+            f"WHEN {s} RLIKE '^DECIMAL\\\\(\\\\d+,0\\\\)$' THEN 'int' "
+            f"WHEN {s} LIKE 'DECIMAL%' OR {s} IN ('DOUBLE', 'FLOAT') THEN 'float' "
+            f"WHEN {s} LIKE 'OBJECT%' THEN 'dict' WHEN {s} LIKE 'ARRAY%' THEN 'list' ELSE 'other' END)")
+
+
 def py_type(variant_col_name: str) -> F.Column:
     return F.expr(py_type_expr(f"`{variant_col_name}`"))
 
@@ -113,27 +139,32 @@ def stages(responses: DataFrame, text: str = "raw_text") -> DataFrame:
     """Stateless part of R1: every check except the timestamp order.
 
     Adds fragment, tx_ts (parsed bank timestamp), _ts_txt, _pre (first failing
-    stage among 1-6 or null), _post (8 or 9 or null), _fmsgs and _tmsgs."""
-    frag = extract_fragment(text)
-    df = responses.withColumn("fragment", frag)
-    v = F.try_parse_json(F.col("fragment"))
-    root = F.schema_of_variant(v)
-    is_arr = root.startswith("ARRAY")
-    txv = F.when(is_arr, F.try_variant_get(v, "$[0]", "variant")).otherwise(v)
-    tx_txt = F.when(is_arr, F.get_json_object(F.col("fragment"), "$[0]")).otherwise(F.col("fragment"))
-    df = df.withColumns({"_v_ok": v.isNotNull(), "_root": root, "_txv": txv})
-    tx_is_obj = F.schema_of_variant(F.col("_txv")).startswith("OBJECT")
-    keys = F.when(tx_is_obj, F.json_object_keys(tx_txt))
-    types = {f: F.expr(py_type_expr(f"try_variant_get(_txv, '$.{f}', 'variant')")) for f, _ in EXPECTED}
-    df = df.withColumns({"_keys": keys, **{f"_t_{f}": t for f, t in types.items()}})
-    bank_ts_txt = F.try_variant_get(F.col("_txv"), "$.bank_timestamp", "string")
-    ts_parsed = F.when(tx_is_obj & (F.col("_t_bank_timestamp") == "str"), parse_iso(bank_ts_txt))
-    df = df.withColumns({"tx_ts": ts_parsed, "_ts_txt": bank_ts_txt})
-
+    stage among 1-6 or null), _post (8 or 9 or null), _fmsgs and _tmsgs.
+    Every value used more than once is its own column, so Catalyst computes it
+    once per row (it does not inline non-trivial expressions referenced twice)."""
+    df = responses.withColumns({"_stripped": strip_ws(F.col(text)), "_low": F.lower(F.col(text))})
+    df = df.withColumn("fragment", _fragment_from(F.col(text), F.col("_stripped"), F.col("_low"))) \
+        .drop("_stripped", "_low")
+    df = df.withColumn("_v", F.try_parse_json(F.col("fragment")))
+    df = df.withColumn("_root", F.schema_of_variant(F.col("_v")))
+    df = df.withColumn("_arr", F.coalesce(F.col("_root").startswith("ARRAY"), F.lit(False)))
+    df = df.withColumn("_txv", F.when(F.col("_arr"), F.try_variant_get(F.col("_v"), "$[0]", "variant"))
+                       .otherwise(F.col("_v")))
+    df = df.withColumn("_txobj", F.coalesce(F.schema_of_variant(F.col("_txv")).startswith("OBJECT"), F.lit(False)))
+    tx_txt = F.when(F.col("_arr"), F.get_json_object(F.col("fragment"), "$[0]")).otherwise(F.col("fragment"))
+    df = df.withColumns({
+        "_keys": F.when(F.col("_txobj"), F.json_object_keys(tx_txt)),
+        **{f"_s_{f}": F.expr(f"schema_of_variant(try_variant_get(_txv, '$.{f}', 'variant'))") for f, _ in EXPECTED},
+        "_ts_txt": F.try_variant_get(F.col("_txv"), "$.bank_timestamp", "string"),
+        "_typ": F.coalesce(F.try_variant_get(F.col("_txv"), "$.type", "string"), F.lit("None")),
+    })
+    df = df.withColumns({f"_t_{f}": F.expr(py_type_of_schema_expr(f"_s_{f}")) for f, _ in EXPECTED})
+    df = df.withColumn("tx_ts", F.when(F.col("_txobj") & (F.col("_t_bank_timestamp") == "str"),
+                                       parse_iso(F.col("_ts_txt"))))
     expected = F.array(*[F.lit(f) for f, _ in EXPECTED])
-    missing = F.array_except(expected, F.col("_keys"))
-    extra = F.array_except(F.col("_keys"), expected)
-    typ = F.coalesce(F.try_variant_get(F.col("_txv"), "$.type", "string"), F.lit("None"))
+    df = df.withColumns({"_missing": F.array_except(expected, F.col("_keys")),
+                         "_extra": F.array_except(F.col("_keys"), expected)})
+    missing, extra, typ = F.col("_missing"), F.col("_extra"), F.col("_typ")
     field_msgs = F.array_compact(F.array(
         F.when(F.array_contains(missing, "merchant_name"), F.concat(
             F.lit(MSG_MERCHANT.split("{type}")[0]), typ, F.lit(MSG_MERCHANT.split("{type}")[1])))
@@ -146,16 +177,18 @@ def stages(responses: DataFrame, text: str = "raw_text") -> DataFrame:
                F.concat(F.lit(f"Error: Field {f} expected type {EXPECTED_REPR[k]} but got <class '"),
                         F.col(f"_t_{f}"), F.lit("'>")))
         for f, k in EXPECTED]))
+    df = df.withColumns({"_fmsgs": field_msgs, "_tmsgs": type_msgs})
     f0 = F.col("fragment")
     stage_pre = (F.when(f0.isNull() | (f0 == ""), F.lit(1))
                  .when(has_comments(f0), F.lit(2))
-                 .when(~F.col("_v_ok"), F.lit(3))
-                 .when(is_arr & (F.json_array_length(f0) == 0), F.lit(4))
-                 .when(~(is_arr | F.col("_root").startswith("OBJECT")), F.lit(5))
+                 .when(F.col("_v").isNull(), F.lit(3))
+                 .when(F.col("_arr") & (F.json_array_length(f0) == 0), F.lit(4))
+                 .when(~(F.col("_arr") | F.col("_root").startswith("OBJECT")), F.lit(5))
                  .when(F.col("tx_ts").isNull(), F.lit(6)))
-    stage_post = F.when(F.size(field_msgs) > 0, F.lit(8)).when(F.size(type_msgs) > 0, F.lit(9))
-    df = df.withColumns({"_pre": stage_pre, "_post": stage_post, "_fmsgs": field_msgs, "_tmsgs": type_msgs})
-    return df.drop("_v_ok", "_root", "_txv", "_keys", *[f"_t_{f}" for f, _ in EXPECTED])
+    stage_post = F.when(F.size(F.col("_fmsgs")) > 0, F.lit(8)).when(F.size(F.col("_tmsgs")) > 0, F.lit(9))
+    df = df.withColumns({"_pre": stage_pre, "_post": stage_post})
+    return df.drop("_v", "_root", "_arr", "_txv", "_txobj", "_keys", "_typ", "_missing", "_extra",
+                   *[f"_s_{f}" for f, _ in EXPECTED], *[f"_t_{f}" for f, _ in EXPECTED])
 
 
 def finish(df: DataFrame, last: F.Column) -> DataFrame:

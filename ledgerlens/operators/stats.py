@@ -124,7 +124,8 @@ def behavior_correlation(df: DataFrame, features: list[str], behavior: str, beha
 def classification_report(df: DataFrame, y: str, p: str) -> DataFrame:
     """Per-class precision/recall/F1/support, accuracy, macro and weighted
     averages (zero division -> 0), from one confusion aggregate."""
-    conf = df.groupBy(F.col(y).cast("string").alias("y"), F.col(p).cast("string").alias("p")).agg(
+    pc = F.col(p) if isinstance(p, str) else p
+    conf = df.groupBy(F.col(y).cast("string").alias("y"), pc.cast("string").alias("p")).agg(
         F.count(F.lit(1)).alias("n"))
     support = conf.groupBy(F.col("y").alias("label")).agg(F.sum("n").alias("support"))
     predicted = conf.groupBy(F.col("p").alias("label")).agg(F.sum("n").alias("predicted"))

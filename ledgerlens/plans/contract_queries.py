@@ -105,6 +105,7 @@ CONTRACT_SQL = bind.with_views("bank_log", "responses", extra={
 })
 
 
+@bind.cached
 def validated(spark, sf_dir):
     return K.validate(bind_bank.responses(spark, sf_dir), "user_id", ORDER)
 

@@ -17,6 +17,7 @@ _MODULES = [
     "strategy_queries",
     "join_queries",
     "stream_queries",
+    "model_queries",
 ]
 
 
