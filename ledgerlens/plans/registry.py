@@ -18,6 +18,7 @@ _MODULES = [
     "join_queries",
     "stream_queries",
     "model_queries",
+    "synth_queries",
 ]
 
 
