@@ -19,6 +19,7 @@ _MODULES = [
     "stream_queries",
     "model_queries",
     "synth_queries",
+    "text_queries",
 ]
 
 
