@@ -20,6 +20,7 @@ _MODULES = [
     "model_queries",
     "synth_queries",
     "text_queries",
+    "source_queries",
 ]
 
 
