@@ -21,6 +21,7 @@ _MODULES = [
     "synth_queries",
     "text_queries",
     "source_queries",
+    "sequence2_queries",
 ]
 
 
