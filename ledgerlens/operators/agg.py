@@ -31,7 +31,7 @@ def counts_by(df: DataFrame, *keys, name: str = "n") -> DataFrame:
 
 def counts_per_second(df: DataFrame, ts: str = "ts") -> DataFrame:
     """A3: floor to the second, count."""
-    return df.groupBy(F.date_trunc("second", F.col(ts)).alias("second")).agg(
+    return df.groupBy(F.date_trunc("second", F.col(ts)).cast("timestamp_ntz").alias("second")).agg(
         F.count(F.lit(1)).alias("n"))
 
 

@@ -94,14 +94,14 @@ def q_model_benchmark(spark, sf_dir):
 
 
 @register("benchmark_grouping_sets", WR + f"""
-SELECT model, profile, CAST(grouping_id(model, profile) AS INTEGER) AS gid, {_BENCH_AGGS}
+SELECT model, profile, CAST(grouping_id(model, profile) AS BIGINT) AS gid, {_BENCH_AGGS}
 FROM model_runs GROUP BY GROUPING SETS ((model), (model, profile))""")
 def q_benchmark_sets(spark, sf_dir):
     return agg.model_benchmark_sets(bind.model_runs(spark, sf_dir), "model", "profile")
 
 
 @register("fraud_cube", W + """
-SELECT device, network, CAST(grouping_id(device, network) AS INTEGER) AS gid, CAST(count(*) AS BIGINT) AS n,
+SELECT device, network, CAST(grouping_id(device, network) AS BIGINT) AS gid, CAST(count(*) AS BIGINT) AS n,
        CAST(sum(is_fraud) AS BIGINT) AS fraud_rows, round(avg(is_fraud), 6) AS fraud_share
 FROM activity_log GROUP BY CUBE (device, network)""")
 def q_fraud_cube(spark, sf_dir):

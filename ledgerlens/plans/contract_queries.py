@@ -138,8 +138,8 @@ def q_known_errors(spark, sf_dir):
 , s AS (SELECT *, CAST(valid AS BIGINT) AS ok,
                sum(CAST(valid AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, resp_id
                                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS okc FROM validated)
-SELECT user_id, okc - ok AS step, CAST(count(*) AS BIGINT) AS attempts, CAST(count(*) - 1 AS BIGINT) AS retries,
+SELECT user_id, CAST(okc - ok AS BIGINT) AS step, CAST(count(*) AS BIGINT) AS attempts, CAST(count(*) - 1 AS BIGINT) AS retries,
        max(CASE WHEN valid THEN resp_id END) AS valid_resp_id
-FROM s GROUP BY user_id, okc - ok""")
+FROM s GROUP BY user_id, CAST(okc - ok AS BIGINT)""")
 def q_attempts_to_success(spark, sf_dir):
     return K.attempts_to_success(validated(spark, sf_dir), "user_id", ORDER)

@@ -27,8 +27,9 @@ def feat(spark, sf_dir):
 
 
 @register("datetime_parts", WA + """
-SELECT seq, year(ts) AS year, month(ts) AS month, day(ts) AS day, hour(ts) AS hour, minute(ts) AS minute,
-       second(ts) AS second FROM activity_log""")
+SELECT seq, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day,
+       CAST(hour(ts) AS INTEGER) AS hour, CAST(minute(ts) AS INTEGER) AS minute, CAST(second(ts) AS INTEGER) AS second
+FROM activity_log""")
 def q_datetime_parts(spark, sf_dir):
     return features.datetime_parts(bind.activity_log(spark, sf_dir).select("seq", "ts"), "ts")
 

@@ -14,7 +14,7 @@ ORD_T = ["ts", "seq"]
 
 
 @register("cumulative_reward", WT + """
-SELECT seq, run, sum(reward) OVER (PARTITION BY run ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS cum_reward
+SELECT seq, run, CAST(sum(reward) OVER (PARTITION BY run ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_reward
 FROM attempts""")
 def q_cumulative_reward(spark, sf_dir):
     """Running reward per run (five runs: each is a hot key, split by day buckets)."""
@@ -23,7 +23,7 @@ def q_cumulative_reward(spark, sf_dir):
 
 
 @register("cumulative_success", WT + """
-SELECT seq, run, count(*) OVER w AS attempt, sum(CASE WHEN reward = 1 THEN 1 ELSE 0 END) OVER w AS cum_success
+SELECT seq, run, count(*) OVER w AS attempt, CAST(sum(CASE WHEN reward = 1 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS cum_success
 FROM attempts WINDOW w AS (PARTITION BY run ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)""")
 def q_cumulative_success(spark, sf_dir):
     a = bind_bank.attempts(spark, sf_dir)

@@ -78,7 +78,7 @@ WITH RECURSIVE ent AS (SELECT c_custkey AS k, {_behavior_sql('c_custkey')} AS be
 @register("expand_sequences", _EXPAND_SQL + """
 SELECT k AS c_custkey, behavior, step, activity, CAST(is_fraud AS INTEGER) AS is_fraud, gap_s,
        CASE WHEN impact = 'negative' THEN -amount_c WHEN impact = 'positive' THEN amount_c ELSE 0 END AS signed_c,
-       sum(gap_s) OVER (PARTITION BY k ORDER BY step ROWS UNBOUNDED PRECEDING) AS elapsed_s
+       CAST(sum(gap_s) OVER (PARTITION BY k ORDER BY step ROWS UNBOUNDED PRECEDING) AS BIGINT) AS elapsed_s
 FROM amt""")
 def q_expand_sequences(spark, sf_dir):
     ent = bind.table(spark, sf_dir, "customer").select("c_custkey")
