@@ -73,7 +73,8 @@ def read_profile_blocks(spark: SparkSession, path: str) -> DataFrame:
     t = spark.read.option("lineSep", "---\n").text(path)
     prof = F.regexp_extract("value", r"^\s*Profile Type: ([^\n]*)", 1)
     body = F.regexp_extract("value", r"(?s)Strategy:(.*)$", 1)
-    return t.filter(prof != "").select(F.trim(prof).alias("profile"), F.trim(body).alias("strategy"))
+    ws = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")  # noqa: E731  (trims newlines too)
+    return t.filter(prof != "").select(ws(prof).alias("profile"), ws(body).alias("strategy"))
 
 
 def write_response_log(responses: DataFrame, path: str, user: str = "user_id", text: str = "raw_text") -> None:
