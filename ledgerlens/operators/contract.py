@@ -216,7 +216,8 @@ def validate(responses: DataFrame, user: str = "user_id", order: list[str] | Non
     # last accepted timestamp = running max over earlier rows passing every non-order check
     cand = F.when(F.col("_pre").isNull() & F.col("_post").isNull(), F.struct(F.col("tx_ts").alias("t"),
                                                                            F.col("_ts_txt").alias("s")))
-    df = seqwin.running(df.withColumn("_cand", cand), user, order, {"_upto": ("max", F.col("_cand"))})
+    df = seqwin.add_bucket(df.withColumn("_cand", cand), order)
+    df = seqwin.running(df, user, order, {"_upto": ("max", F.col("_cand"))})
     df = seqwin.neighbor(df, user, order, ["_upto"], prefix="_last")
     return finish(df, F.col("_last_upto"))
 

@@ -37,6 +37,23 @@ def _bucket(df: DataFrame, order: list[str], bucket: Column | None) -> Column:
     return F.floor(F.col(order[0]) / F.lit(NUMERIC_BUCKET))
 
 
+def add_bucket(df: DataFrame, order: list[str], bucket: Column | None = None) -> DataFrame:
+    """Compute the bucket column once.  Chained :func:`neighbor` / :func:`running`
+    calls then reuse the same attribute, so the table stays hash-partitioned by
+    (key, bucket) across steps instead of being shuffled again for each one.
+    Drop it with ``.drop(seqwin.BUCKET)`` when done."""
+    return df.withColumn(_BK, _bucket(df, order, bucket))
+
+
+BUCKET = _BK
+
+
+def _prep(df: DataFrame, order: list[str], bucket: Column | None) -> tuple[DataFrame, bool]:
+    if bucket is None and _BK in df.columns:
+        return df, False
+    return df.withColumn(_BK, _bucket(df, order, bucket)), True
+
+
 def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
@@ -47,7 +64,7 @@ def neighbor(df: DataFrame, key, order: list[str], cols: list[str], direction: s
     row of the same key in ``order``; null on the first (last) row."""
     keys = _keys(key)
     prefix = prefix if prefix is not None else ("prev_" if direction == "prev" else "next_")
-    b = df.withColumn(_BK, _bucket(df, order, bucket))
+    b, own = _prep(df, order, bucket)
     asc = [F.col(c).asc() for c in order]
     desc = [F.col(c).desc() for c in order]
     w = Window.partitionBy(*keys, _BK).orderBy(*asc)
@@ -61,9 +78,10 @@ def neighbor(df: DataFrame, key, order: list[str], cols: list[str], direction: s
     ends = ends.withColumn("_sw_adj", (F.lag if direction == "prev" else F.lead)("_sw_end").over(wb)) \
         .select(*keys, _BK, "_sw_adj")
     j = b.join(ends, keys + [_BK], "left")
-    return j.withColumns({
+    out = j.withColumns({
         f"{prefix}{c}": F.when(F.col("_sw_edge"), F.col("_sw_adj")[c]).otherwise(F.col(f"_sw_{c}"))
-        for c in cols}).drop(_BK, "_sw_edge", "_sw_adj", *[f"_sw_{c}" for c in cols])
+        for c in cols}).drop("_sw_edge", "_sw_adj", *[f"_sw_{c}" for c in cols])
+    return out.drop(_BK) if own else out
 
 
 def running(df: DataFrame, key, order: list[str], exprs: dict[str, tuple[str, Column]],
@@ -74,7 +92,7 @@ def running(df: DataFrame, key, order: list[str], exprs: dict[str, tuple[str, Co
     ``min``).  Inclusive of the current row.
     """
     keys = _keys(key)
-    b = df.withColumn(_BK, _bucket(df, order, bucket))
+    b, own = _prep(df, order, bucket)
     w = Window.partitionBy(*keys, _BK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     fns = {"sum": F.sum, "max": F.max, "min": F.min}
     tmp = {}
@@ -94,7 +112,7 @@ def running(df: DataFrame, key, order: list[str], exprs: dict[str, tuple[str, Co
         else:
             g = F.greatest if kind == "max" else F.least
             out[name] = F.when(off.isNull(), inner).otherwise(g(inner, off))
-    drop = [_BK] + [f"_sw_in_{n}" for n in exprs] + [f"_sw_off_{n}" for n in exprs]
+    drop = ([_BK] if own else []) + [f"_sw_in_{n}" for n in exprs] + [f"_sw_off_{n}" for n in exprs]
     return j.withColumns(out).drop(*drop)
 
 

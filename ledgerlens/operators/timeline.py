@@ -35,7 +35,7 @@ def enforce_order(log: DataFrame, key: str, order: list[str], bank: str = "bank_
     """Shift ``bank`` to >= previous adjusted + 60 min (location changed) or
     + 1 min (same location); keep the bank - local difference; rows whose
     timestamps do not parse are left as they are."""
-    n = seqwin.neighbor(log, key, order, [location])
+    n = seqwin.neighbor(seqwin.add_bucket(log, order), key, order, [location])
     t = epoch_s_of_iso(bank)
     # first row of the key has no predecessor -> gap 0 (a_1 = t_1)
     g = F.when(F.col(f"prev_{location}").isNull(), F.lit(0)) \
@@ -51,7 +51,7 @@ def enforce_order(log: DataFrame, key: str, order: list[str], bank: str = "bank_
         "adj_bank_timestamp": F.when(shifted, iso_utc(adj)).otherwise(F.col(bank)),
         "adj_local_timestamp": F.when(shifted & lt.isNotNull(), iso_utc(adj - (F.col("_t") - lt)))
                                 .otherwise(F.col(local)),
-    }).drop("_t", "_g", "_G", "_M", f"prev_{location}")
+    }).drop("_t", "_g", "_G", "_M", f"prev_{location}", seqwin.BUCKET)
 
 
 def cumulative(log: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
