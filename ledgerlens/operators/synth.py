@@ -81,29 +81,34 @@ def expand_sequences(entities: DataFrame, key: str, n_steps: int = 20) -> DataFr
     """K6: entity -> (step, activity, gap, amount) rows by a hash-driven Markov walk
     over the behaviour's normalised matrix; the first activity is uniform over
     all activities except Close Account; the walk stops at Close Account."""
-    acts = _by_behavior(lambda b: _arr([a for a, _ in C.BEHAVIORS[b]["activities"]]))
-    cum = _by_behavior(lambda b: "array(" + ", ".join(_arr(r) for r in cumulative_rows(b)) + ")")
-    limit = _by_behavior(lambda b: str(C.BEHAVIORS[b]["time_limit"]))
+    spark = entities.sparkSession
+    # the catalog as a 5-row table (acts, cumulative matrix, time limit), broadcast:
+    # the walk then reads plain columns instead of rebuilding literal arrays per step
+    cat = spark.createDataFrame(
+        [(b, [a for a, _ in d["activities"]], cumulative_rows(b), int(d["time_limit"])) for b, d in C.BEHAVIORS.items()],
+        "behavior string, _acts array<string>, _cum array<array<double>>, _limit long")
     base = entities.select(key).withColumn("behavior", F.expr(behavior_expr(key)))
-    base = base.withColumns({"_acts": F.expr(acts), "_cum": F.expr(cum), "_limit": F.expr(limit)})
+    base = base.join(F.broadcast(cat), "behavior")
     k = f"CAST(`{key}` AS STRING)"
 
     def uu(tag_sql: str) -> str:
         return (f"(CAST(conv(substring(md5(concat({k}, ':', CAST(s AS STRING), ':{tag_sql}')), 1, 8), 16, 10) AS DOUBLE)"
                 f" / 4294967296.0)")
     first = f"CAST(floor({uu('first')} * (size(_acts) - 1)) AS INT)"
-    step = (f"CASE WHEN s = 1 THEN {first} ELSE least(size(filter(element_at(_cum, acc.st + 1), x -> x <= {uu('next')})), "
+    prev = "try_element_at(acc, -1)"
+    # cumulative rows are non-decreasing: next state = number of bounds <= u (0-based), capped.
+    # Everything stays inside the fold expression: referencing precomputed array columns from
+    # the lambda lets the optimizer inline (and re-evaluate) them per step, which is slower.
+    step = (f"CASE WHEN s = 1 THEN {first} ELSE least(size(filter(element_at(_cum, {prev} + 1), x -> x <= {uu('next')})), "
             f"size(_acts) - 1) END")
-    walk = (f"aggregate(sequence(1, {n_steps}), named_struct('st', -1, 'path', CAST(array() AS ARRAY<INT>)), "
-            f"(acc, s) -> named_struct('st', {step}, 'path', concat(acc.path, array({step}))))")
-    w = base.withColumn("_path", F.expr(f"{walk}.path"))
-    ex = w.select(key, "behavior", "_acts", "_limit", F.posexplode("_path").alias("_i", "_state"))
-    ex = ex.withColumn("step", F.col("_i") + 1).withColumn(
-        "activity", F.expr("element_at(_acts, _state + 1)"))
-    # stop at the first Close Account (keep it): index of the first close in the path
-    first_close = F.expr(f"array_position(transform(_path, x -> element_at(_acts, x + 1)), '{CLOSE}')")
-    w2 = w.withColumn("_close_at", first_close).select(key, "_close_at")
-    ex = ex.join(w2, key).filter((F.col("_close_at") == 0) | (F.col("step") <= F.col("_close_at")))
+    # the accumulator is the path itself; each step reads the previous state from its last element
+    walk = f"aggregate(sequence(1, {n_steps}), CAST(array() AS ARRAY<INT>), (acc, s) -> concat(acc, array({step})))"
+    w = base.withColumn("_path", F.expr(walk))
+    # stop at the first Close Account (kept): computed on the same row, no self-join
+    w = w.withColumn("_close_at", F.expr(f"array_position(transform(_path, x -> element_at(_acts, x + 1)), '{CLOSE}')"))
+    ex = w.select(key, "behavior", "_acts", "_limit", "_close_at", F.posexplode("_path").alias("_i", "_state"))
+    ex = ex.withColumn("step", F.col("_i") + 1).withColumn("activity", F.expr("element_at(_acts, _state + 1)"))
+    ex = ex.filter((F.col("_close_at") == 0) | (F.col("step") <= F.col("_close_at")))
     u_step = lambda tag: F.expr(
         f"(CAST(conv(substring(md5(concat({k}, ':', CAST(step AS STRING), ':{tag}')), 1, 8), 16, 10) AS DOUBLE)"
         f" / 4294967296.0)")
