@@ -127,6 +127,14 @@ FRAUD_OFFSHORE = ["Switzerland", "Cayman Islands", "Hong Kong", "Singapore"]
 FRAUD_ONSHORE = ["USA", "UK", "France", "Germany", "Canada"]
 TRAVEL_COUNTRIES = ["France", "UK", "USA", "Germany", "Japan"]
 
+# Merchant weights by transaction kind.
+MERCHANTS_BY_KIND = {
+    "purchase": [("Walmart", 0.15), ("Best Buy", 0.2), ("Target", 0.1), ("Starbucks", 0.1), ("Apple", 0.1),
+                 ("Amazon", 0.25), ("PayPal", 0.1)],
+    "deposit": [("Bank", 0.4), ("ATM", 0.3), ("PayPal", 0.3)],
+    "withdrawal": [("Bank", 0.5), ("ATM", 0.5)],
+}
+
 FRAUD_BEHAVIORS = [b for b, d in BEHAVIORS.items() if d["fraud"] == 1]
 CLOSE = "Close Account"
 

@@ -73,6 +73,18 @@ def weighted_pick(df: DataFrame, u: str, weights: DataFrame, cat: str, weight: s
     return df.join(F.broadcast(cw), cond, "inner").drop("lo", "hi")
 
 
+def weighted_pick_by(df: DataFrame, u: str, key: str, weights: DataFrame, cat: str, weight: str, order: str,
+                     out: str = "picked") -> DataFrame:
+    """J9 per group: equi-join on ``key`` plus ``lo <= u < hi`` against a broadcast
+    table of cumulative weights per key (bounded: one row per (key, category))."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    tot = F.sum(weight).over(Window.partitionBy(key))
+    cw = weights.withColumn("_hi", F.sum(weight).over(w) / tot).withColumn("_lo", F.col("_hi") - F.col(weight) / tot) \
+        .select(key, F.col(cat).alias(out), "_lo", "_hi")
+    cond = [df[key] == cw[key], F.col(u) >= F.col("_lo"), (F.col(u) < F.col("_hi")) | (F.col("_hi") >= 1.0 - 1e-12)]
+    return df.join(F.broadcast(cw), cond, "left").drop(cw[key]).drop("_lo", "_hi")
+
+
 def dense_index(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
     """1..n over ``order`` without a single-partition window and without a second
     shuffle: range partitioning + sort, checkpoint (stable partition ids and row

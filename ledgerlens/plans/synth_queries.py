@@ -91,3 +91,53 @@ def q_expand_sequences(spark, sf_dir):
     w = Window.partitionBy("c_custkey").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     return j.select("c_custkey", "behavior", F.col("step").cast("int").alias("step"), "activity", "is_fraud",
                     "gap_s", signed.alias("signed_c"), F.sum("gap_s").over(w).alias("elapsed_s"))
+
+
+def _kind_col():
+    t = F.lower(F.col("type"))
+    return F.when(t.contains("purchase"), "purchase").when(t.contains("deposit"), "deposit") \
+        .when(t.contains("withdrawal"), "withdrawal")
+
+
+_KIND_SQL = ("CASE WHEN contains(lower(type), 'purchase') THEN 'purchase' WHEN contains(lower(type), 'deposit') "
+             "THEN 'deposit' WHEN contains(lower(type), 'withdrawal') THEN 'withdrawal' END")
+
+
+def _merchant_sql():
+    parts = []
+    for k, rows in C.MERCHANTS_BY_KIND.items():
+        parts.append(f"WHEN kind = '{k}' THEN {weighted_sql('seq', 'merch14', [m for m, _ in rows], [w for _, w in rows])}")
+    return "CASE " + " ".join(parts) + " END"
+
+
+@register("merchant_by_type", bind.with_views("bank_log") + f"""
+SELECT transaction_id, kind, {_merchant_sql()} AS merchant FROM (SELECT *, {_KIND_SQL} AS kind FROM bank_log)""")
+def q_merchant_by_type(spark, sf_dir):
+    """Merchant drawn by transaction kind from a weighted table (equi + range join)."""
+    from .. import bind_bank
+    from ..functions.hashing import u
+    from ..operators import joins
+    b = bind_bank.bank_log(spark, sf_dir).select("transaction_id", "seq", "type") \
+        .withColumn("kind", _kind_col()).withColumn("_u", u("seq", "merch14"))
+    w = spark.createDataFrame([(k, m, float(x), i) for k, rows in C.MERCHANTS_BY_KIND.items()
+                               for i, (m, x) in enumerate(rows)], "kind string, merchant string, weight double, idx int")
+    return joins.weighted_pick_by(b, "_u", "kind", w, "merchant", "weight", "idx", out="merchant").select(
+        "transaction_id", "kind", "merchant")
+
+
+_COUNTRIES = [c for c, _ in C.FRAUD_RATE_BY_COUNTRY]
+_INV = [1.0 / r for _, r in C.FRAUD_RATE_BY_COUNTRY]
+
+
+@register("agent_country", f"""
+SELECT c_custkey, {weighted_sql('c_custkey', 'country', _COUNTRIES, _INV)} AS country FROM customer""")
+def q_agent_country(spark, sf_dir):
+    """Country per entity, weighted by inverse fraud rate (A22 weights + J9 range join)."""
+    from ..functions.hashing import u
+    from ..operators import agg, joins
+    rates = spark.createDataFrame([(c, float(r), i) for i, (c, r) in enumerate(C.FRAUD_RATE_BY_COUNTRY)],
+                                  "country string, rate double, idx int")
+    w = agg.inverse_weights(rates, "country", "rate").join(rates.select("country", "idx"), "country")
+    ent = bind.table(spark, sf_dir, "customer").select("c_custkey").withColumn("_u", u("c_custkey", "country"))
+    w = w.withColumn("weight", F.lit(1.0) / F.col("rate"))   # unrounded inverse weights
+    return joins.weighted_pick(ent, "_u", w, "country", "weight", "idx", out="country").select("c_custkey", "country")

@@ -77,3 +77,13 @@ def q_load_severity(spark, sf_dir):
     t = telemetry(spark, sf_dir)
     return t.select("event_id", X.load_severity(F.col("value"), F.col("k"), F.lit(30) + F.col("value") / 5)
                     .alias("severity"))
+
+
+@register("format_seconds", """
+SELECT event_id, regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00', '\\.\\d+', '') AS iso_seconds
+FROM events""")
+def q_format_seconds(spark, sf_dir):
+    """X11: ISO text at second precision, offset kept (fraction removed from the text)."""
+    e = bind.table(spark, sf_dir, "events")
+    iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    return e.select("event_id", F.regexp_replace(iso, r"\.\d+", "").alias("iso_seconds"))
