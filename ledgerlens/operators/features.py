@@ -69,3 +69,19 @@ def hash_split(df: DataFrame, key: str, test_share: float, tag: str = "split") -
     """M4: deterministic train/test membership from ``u(key)`` (same share as a
     random split, reproducible across runs and engines)."""
     return df.withColumn("split", F.when(u(key, tag) < F.lit(test_share), "test").otherwise("train"))
+
+
+def filter_agent(df: DataFrame, agent, col: str = "virtual_id") -> DataFrame:
+    """``'all'`` or None -> the whole log, else rows of one agent (pushed to the scan)."""
+    return df if agent in (None, "all") else df.filter(F.col(col) == F.lit(agent))
+
+
+def drop_columns(df: DataFrame, names: list[str] = (), prefixes: list[str] = ()) -> DataFrame:
+    """P5: drop listed columns that exist and every column starting with a prefix (D7: drop if present)."""
+    cols = [c for c in df.columns if c in set(names) or any(c.startswith(p) for p in prefixes)]
+    return df.drop(*cols)
+
+
+def split_by_label(df: DataFrame, label: str = "is_fraud") -> dict:
+    """One DataFrame per class value (lazy filters over the same scan)."""
+    return {v: df.filter(F.col(label) == v) for v in (0, 1)}

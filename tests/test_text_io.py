@@ -79,3 +79,12 @@ def test_catalog_json(spark, tmp_path):
     beh, acts, cells = io.read_catalog_json(spark, str(p))
     assert beh.count() == 5 and acts.count() == len(C.impact_rows())
     assert cells.count() == len(C.transition_rows(include_zero=True))
+
+
+def test_projection_helpers(spark):
+    from ledgerlens.operators import features
+    df = spark.createDataFrame([(1, 0, "a", 1), (2, 1, "b", 2)], "virtual_id long, is_fraud int, behavior_x string, keep int")
+    assert features.filter_agent(df, "all").count() == 2 and features.filter_agent(df, 2).count() == 1
+    assert features.drop_columns(df, ["missing", "keep"], ["behavior"]).columns == ["virtual_id", "is_fraud"]
+    parts = features.split_by_label(df)
+    assert parts[0].count() == 1 and parts[1].count() == 1
