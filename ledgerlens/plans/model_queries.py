@@ -135,10 +135,10 @@ def q_rank_features(spark, sf_dir):
 @register("decision_tree")
 def q_decision_tree(spark, sf_dir):
     t, _ = model_table(spark, sf_dir)
-    from pyspark.sql import Window
-    w = Window.partitionBy("is_fraud")
-    t = t.withColumn("_w", F.count(F.lit(1)).over(Window.partitionBy()) /
-                     (F.lit(2.0) * F.count(F.lit(1)).over(w)))
+    # balanced class weights n / (k * n_c) from a 2-row aggregate, broadcast back
+    from ..operators import agg
+    cw = agg.balanced_class_weights(t, "is_fraud").select("is_fraud", F.col("weight").alias("_w"))
+    t = t.join(F.broadcast(cw), "is_fraud")
     pred, _rules = models.decision_tree(t.filter("split = 'train'"), t.filter("split = 'test'"), "is_fraud", "_w")
     return stats.classification_report(pred, "is_fraud", F.col("prediction").cast("int"))
 
