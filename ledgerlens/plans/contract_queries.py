@@ -113,7 +113,7 @@ def validated(spark, sf_dir):
 @register("extract_fragment", CONTRACT_SQL + "SELECT resp_id, fragment FROM f")
 def q_extract_fragment(spark, sf_dir):
     r = bind_bank.responses(spark, sf_dir)
-    return r.select("resp_id", K.extract_fragment("raw_text").alias("fragment"))
+    return K.with_fragment(r, "raw_text", "fragment").select("resp_id", "fragment")
 
 
 @register("validate_contract", CONTRACT_SQL + """
