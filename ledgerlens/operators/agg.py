@@ -63,7 +63,6 @@ def _bench_aggs(valid, retries, rt):
 
 def model_benchmark_sets(df: DataFrame, model: str, profile: str, **kw) -> DataFrame:
     """A6 at (model) and (model, profile) in one pass (GROUPING SETS)."""
-    df.sparkSession  # noqa: B018 - keeps signature symmetric
     aggs = _bench_aggs(kw.get("valid", "valid"), kw.get("retries", "retries"),
                        kw.get("rt", "response_time"))
     # rollup(model, profile) = sets (model, profile), (model), (); drop the grand total

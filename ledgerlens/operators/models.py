@@ -153,6 +153,3 @@ def isolation_forest(df: DataFrame, cols: list[str], key: str, trees: int = 100,
     thr = scored.select(F.percentile_approx("anomaly_score", 1.0 - contamination, 10000)).scalar()
     return scored.withColumn("if_label", F.when(F.col("anomaly_score") >= thr, -1).otherwise(1))
 
-
-def hash_sample_key(key: str, tag: str) -> F.Column:
-    return u(key, tag)
