@@ -28,8 +28,12 @@ Plan (skew-safe, exact, bounded memory per task):
    Output is at most one row per partition.
 4. Carry-ins for runs continuing from the previous partition are resolved in
    partition order from those summaries: if carry >= T the run declines nothing
-   and ends at carry + S; otherwise that partition's run is folded exactly in a
-   small follow-up job (rare; one job per round of pending partitions).
+   and ends at carry + S; otherwise that partition's first run is folded exactly
+   in a follow-up job that reads only the pending partitions (``runJob`` on a
+   partition list) and stops at the run's end.  Rounds chain only through a hot
+   account's consecutive partitions whose carry is below their threshold; the
+   worst case is one sequential pass over that account's rows, which an exact
+   fold with declines cannot avoid.
 5. Pass 2 folds every partition with its carry-in and emits the rows.
 
 Within a task the fold is vectorised (numpy prefix sums); only account runs
@@ -194,33 +198,33 @@ _SUMMARY_SCHEMA = ("pid int, first_acct string, last_acct string, s long, t long
                    "first_end0 long, last_end0 long, single boolean")
 
 
-def _first_run_end(acct_col, carry: dict):
-    def fn(batches):
-        pid = TaskContext.get().partitionId()
-        if pid not in carry:
-            for _ in batches:
-                pass
-            return
-        c_acct, c_bal = carry[pid]
+def _first_run_ends(parted: DataFrame, acct_col: str, job: dict) -> dict:
+    """Exact end balance of the first account run of each pending partition.
+
+    Runs only on the pending partitions (``runJob`` with a partition list) and
+    stops reading a partition at its first row of another account, so a round
+    costs one partition per chain, not a scan of the table."""
+    cols = parted.columns
+    ia, idl, idb = cols.index(acct_col), cols.index(_D), cols.index(_B)
+    todo = dict(job)
+
+    def fold(pid, rows):
+        if pid not in todo:
+            return iter(())
+        c_acct, bal = todo[pid]
         end = None
-        done = False
-        for pdf in batches:
-            if done or len(pdf) == 0:
-                continue
-            acct = pdf[acct_col].to_numpy()
-            delta = pdf[_D].to_numpy(dtype=np.int64)
-            debit = pdf[_B].to_numpy(dtype=bool)
-            m = _lead_len(acct, c_acct)
-            if m == 0:
-                done = True
-                continue
-            _, _, after = fold_arrays(acct[:m], delta[:m], debit[:m], c_acct, c_bal)
-            c_bal = int(after[-1])
-            end = c_bal
-            if m < len(acct):
-                done = True
-        yield pd.DataFrame({"pid": [pid], "end": [end]})
-    return fn
+        for r in rows:
+            if r[ia] != c_acct:
+                break
+            d = r[idl]
+            if not (r[idb] and bal + d < 0):
+                bal += d
+            end = bal
+        return iter([(pid, end)])
+
+    rdd = parted.rdd.mapPartitionsWithIndex(fold)
+    res = parted.sparkSession.sparkContext.runJob(rdd, lambda it: list(it), partitions=sorted(todo))
+    return {pid: end for pid, end in res}
 
 
 def _fold_partition(acct_col, carry: dict, out_cols: list[str]):
@@ -298,9 +302,8 @@ def replay(log: DataFrame, opening: DataFrame | None = None, *, account: str, or
             break
         firsts = {r["pid"]: native(r["first_acct"]) for r in summ if r["first_acct"] is not None}
         job = {pid: (firsts[pid], cin) for pid, cin in pending.items()}
-        res = parted.mapInPandas(_first_run_end(account, job), "pid int, end long").collect()
-        for r in res:
-            exact[r["pid"]] = (pending[r["pid"]], int(r["end"]))
+        for pid, end in _first_run_ends(parted, account, job).items():
+            exact[pid] = (pending[pid], int(end))
 
     firsts = {r["pid"]: native(r["first_acct"]) for r in summ if r["first_acct"] is not None}
     carry_map = {pid: (firsts[pid], int(c)) for pid, c in carry.items()}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
+from ..session import prepare
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,7 +32,12 @@ def register(name: str, oracle: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            prepare(spark)          # UTC session zone, AQE, checkpoint folder, package on workers
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
