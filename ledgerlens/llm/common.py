@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import session
 
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 5_000_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:

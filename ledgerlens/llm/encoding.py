@@ -27,7 +27,7 @@ import pyarrow as pa
 
 from .common import text_bytes
 
-MEMO = 500_000
+MEMO = 400_000
 LONG = 64  # bytes; longer chunks are encoded, not kept
 
 _WS = np.zeros(256, bool)

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sentencepiece_codec, token_files
+from . import (html_blocks, knn_tiles, labelled, langid_nb, line_crf, minhash_oph, oracles, packing, quality_cnn, secret_links,
+               sentencepiece_codec, token_files)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,39 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
+
+
+@register("op3_quality_cnn")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.score(table(spark, sf_dir, "documents"), quality_cnn.fit(labelled.training(spark, sf_dir)))
+
+
+@register("op4_line_crf")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.judge(table(spark, sf_dir, "documents"), line_crf.fit(labelled.training(spark, sf_dir)))
+
+
+@register("op5_langid_nb")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid_nb.identify(docs, langid_nb.fit(docs))
+
+
+@register("op6_html_blocks")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+@register("op7_minhash_oph", oracles.NEAR_DUPLICATES)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_oph.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+@register("op9_secret_links", oracles.SECRETS)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_links.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op10_knn_tiles", oracles.NEAREST)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_tiles.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)

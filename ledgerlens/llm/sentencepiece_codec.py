@@ -145,12 +145,10 @@ class Codec:
         threads()
         from tokenizers import normalizers
         self.model = parse(data)
-        self.tokenizer = build(data)
-        self.chunks = None
-        if chunkable(self.model):
-            plain = build(data)  # the mark in front of a text comes as the first chunk's space
-            plain.normalizer = normalizers.Replace(" ", MARK)
-            self.chunks = Encoder(lambda: plain, "piece", " ")
+        self.tokenizer, self.chunks = build(data), None
+        if chunkable(self.model):  # the mark in front of a text comes as the first chunk's space
+            self.tokenizer.normalizer = normalizers.Replace(" ", MARK)
+            self.chunks = Encoder(lambda: self.tokenizer, "piece", " ")
         kinds = [k for _, _, k in self.model["pieces"]]
         self.raw = pa.array([bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN
                              else p.replace(MARK, " ").encode() for p, _, k in self.model["pieces"]], pa.binary())
