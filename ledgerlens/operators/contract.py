@@ -80,9 +80,14 @@ def extract_fragment(text) -> F.Column:
     return out
 
 
+def ascii_lower(c: F.Column) -> F.Column:
+    """A-Z made small, nothing else: positions in the result are positions in the text (``lower`` makes two of some letters)."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def with_fragment(df: DataFrame, text: str = "raw_text", out: str = "fragment") -> DataFrame:
     """X1 as a table step: adds ``out`` using locate/substr (no regex scans)."""
-    d = df.withColumns({"_x1_text": F.col(text), "_x1_low": F.lower(F.col(text)),
+    d = df.withColumns({"_x1_text": F.col(text), "_x1_low": ascii_lower(F.col(text)),
                         "_x1_stripped": strip_ws(F.col(text))})
     return d.withColumn(out, _fragment_from(F.col("_x1_text"), F.col("_x1_stripped"), F.col("_x1_low"))) \
         .drop("_x1_text", "_x1_low", "_x1_stripped")
@@ -229,16 +234,24 @@ def finish(df: DataFrame, last: F.Column) -> DataFrame:
 
 def validate(responses: DataFrame, user: str = "user_id", order: list[str] | None = None,
              text: str = "raw_text") -> DataFrame:
-    """R1 over a response table: adds fragment, stage, errors (array<string>), valid, tx_ts."""
+    """R1 over a response table: adds fragment, stage, errors (array<string>), valid, tx_ts.
+
+    A response is accepted when it passes every other check and is strictly later
+    than all accepted ones before it, so accepted instants grow and the last one is
+    a running max.  Of responses with the same instant only the first is accepted,
+    and its text is the one that later messages quote.  A user's first response
+    has no predecessor and passes the order check (the source fails there)."""
     order = order or ["ts", "resp_id"]
     df = stages(responses, text)
-    # last accepted timestamp = running max over earlier rows passing every non-order check
-    cand = F.when(F.col("_pre").isNull() & F.col("_post").isNull(), F.struct(F.col("tx_ts").alias("t"),
-                                                                           F.col("_ts_txt").alias("s")))
-    df = seqwin.add_bucket(df.withColumn("_cand", cand), order)
-    df = seqwin.running(df, user, order, {"_upto": ("max", F.col("_cand"))})
+    fine = F.col("_pre").isNull() & F.col("_post").isNull()
+    df = seqwin.add_bucket(df.withColumn("_fine_t", F.when(fine, F.col("tx_ts"))), user, order)
+    df = seqwin.running(df, user, order, {"_upto": ("max", F.col("_fine_t"))})
     df = seqwin.neighbor(df, user, order, ["_upto"], prefix="_last")
-    return finish(df, F.col("_last_upto"))
+    first = F.col("_last_upto").isNull() | (F.col("_fine_t") > F.col("_last_upto"))
+    accepted = F.when(first & F.col("_fine_t").isNotNull(), F.struct(F.col("_fine_t").alias("t"), F.col("_ts_txt").alias("s")))
+    df = seqwin.running(df.withColumn("_accepted", accepted), user, order, {"_acc": ("max", F.col("_accepted"))})
+    df = seqwin.neighbor(df, user, order, ["_acc"], prefix="_before")
+    return finish(df, F.col("_before_acc"))
 
 
 def error_counts(validated: DataFrame) -> DataFrame:

@@ -1,17 +1,22 @@
 """Skew-safe ordered-sequence primitives: lag/lead and running sums/max per key.
 
-A plain ``Window.partitionBy(account).orderBy(ts)`` puts every row of an
-account into one task; with one account holding a third of the log that task
-is the whole job.  These helpers split each key's sequence into
-(key, time bucket) windows, which Spark spreads over tasks, and patch the
-bucket edges from a per-(key, bucket) summary table (one row per bucket,
-pre-aggregated map-side).  The summary is scanned with a per-key window whose
-size is the number of buckets of that key, not its number of rows.  The big
-table is shuffled once, on (key, bucket); the summaries are joined back on the
-same keys, so the big side keeps its partitioning.
-
-``bucket`` is a column expression (default: calendar day of ``order[0]``);
-any function of the order columns that is monotone in the order works.
+A plain ``Window.partitionBy(account).orderBy(ts)`` puts every row of an account
+into one task; with one account holding a third of the log that task is the
+whole job.  These helpers split the sequence of every key with more than
+``ROWS_PER_BUCKET`` rows into buckets of about that many rows: the bounds are
+measured quantiles of the key's first order column, so a bucket's size depends
+neither on the calendar nor on the table's size.  Windows run per (key, bucket)
+and the bucket edges are patched from a summary table with one row per (key,
+bucket), pre-aggregated map-side.
+
+Counting the keys' rows is one partial aggregation over the key columns.  When
+no key is that large there is one bucket a key, and the plain window is the
+answer: no summary is built.
+
+Keys and order columns may be null: null keys are one key, null order values
+come first, null inputs are skipped by running aggregates as in any window.
+
+``bucket`` may also be given as a column expression that is monotone in the order.
 """
 
 from __future__ import annotations
@@ -20,42 +25,69 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BK = "_sw_bucket"
+BUCKET = _BK
+ROWS_PER_BUCKET = 1_000_000
+BROADCAST_KEYS = 10_000
 
 
-NUMERIC_BUCKET = 1_000_000
-
-
-def _bucket(df: DataFrame, order: list[str], bucket: Column | None) -> Column:
-    """Default bucket: calendar day of a time-typed first order column, else
-    blocks of ``NUMERIC_BUCKET`` consecutive values of a numeric one."""
-    if bucket is not None:
-        return bucket
-    from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
-    dt = df.schema[order[0]].dataType
-    if isinstance(dt, (TimestampType, TimestampNTZType, DateType)):
-        return F.date_trunc("day", F.col(order[0]))
-    return F.floor(F.col(order[0]) / F.lit(NUMERIC_BUCKET))
+def _keys(key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
 
 
-def add_bucket(df: DataFrame, order: list[str], bucket: Column | None = None) -> DataFrame:
+def _null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str = "left") -> DataFrame:
+    """Equi-join in which null equals null; the right side's key columns are dropped."""
+    renamed = right.select(*[F.col(c).alias(f"_sw_r_{c}") for c in cols], *[c for c in right.columns if c not in cols])
+    cond = None
+    for c in cols:
+        one = F.col(c).eqNullSafe(F.col(f"_sw_r_{c}"))
+        cond = one if cond is None else cond & one
+    return left.join(renamed, cond, how).drop(*[f"_sw_r_{c}" for c in cols])
+
+
+def _measured(df: DataFrame, keys: list[str], first: str, rows: int) -> DataFrame:
+    """``df`` with the bucket column: number of the measured range of ``first`` that a row lies in."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sw_n")).where(F.col("_sw_n") > rows)
+    # one row per key over the limit: at most all rows / ROWS_PER_BUCKET
+    top = counts.agg(F.count(F.lit(1)).alias("k"), F.max("_sw_n").alias("m")).first()
+    if not top["k"]:
+        return df.withColumn(_BK, F.lit(0))
+    few = top["k"] <= BROADCAST_KEYS
+    heavy = F.broadcast(counts) if few else counts
+    parts = -(-top["m"] // rows)
+    at = [k / parts for k in range(1, parts)]
+    bounds = (_null_safe(df.select(*keys, first), heavy.select(*keys), keys, "inner").groupBy(*keys)
+              .agg(F.percentile_approx(first, at, max(10_000, 20 * parts)).alias("_sw_bounds")))
+    out = _null_safe(df, F.broadcast(bounds) if few else bounds, keys)
+    # null order values come first; rows of equal values share a bucket, so the order of buckets is the order of rows
+    n = F.when(F.col(first).isNull() | F.col("_sw_bounds").isNull(), F.lit(0)).otherwise(
+        F.size(F.filter("_sw_bounds", lambda b: b < F.col(first))))
+    return out.withColumn(_BK, n.cast("long")).drop("_sw_bounds")
+
+
+def add_bucket(df: DataFrame, key, order: list[str], bucket: Column | None = None, rows: int | None = None) -> DataFrame:
     """Compute the bucket column once.  Chained :func:`neighbor` / :func:`running`
     calls then reuse the same attribute, so the table stays hash-partitioned by
     (key, bucket) across steps instead of being shuffled again for each one.
     Drop it with ``.drop(seqwin.BUCKET)`` when done."""
-    return df.withColumn(_BK, _bucket(df, order, bucket))
+    if bucket is not None:
+        return df.withColumn(_BK, bucket.cast("long") if _integral(df, bucket) else bucket)
+    return _measured(df, _keys(key), order[0], rows or ROWS_PER_BUCKET)
 
 
-BUCKET = _BK
+def _prep(df: DataFrame, keys: list[str], order: list[str], bucket: Column | None) -> tuple[DataFrame, bool, bool]:
+    """The frame with a bucket column, whether the column is our own, and whether a key has more than one bucket."""
+    own = bucket is not None or _BK not in df.columns
+    out = add_bucket(df, keys, order, bucket) if own else df
+    return out, own, not _is_literal(out)
 
 
-def _prep(df: DataFrame, order: list[str], bucket: Column | None) -> tuple[DataFrame, bool]:
-    if bucket is None and _BK in df.columns:
-        return df, False
-    return df.withColumn(_BK, _bucket(df, order, bucket)), True
+def _integral(df: DataFrame, bucket: Column) -> bool:
+    return df.select(bucket.alias(_BK)).schema[_BK].dataType.simpleString() == "int"
 
 
-def _keys(key) -> list[str]:
-    return [key] if isinstance(key, str) else list(key)
+def _is_literal(df: DataFrame) -> bool:
+    """Whether the bucket is the constant of :func:`_measured`: the only one of type int."""
+    return df.schema[_BK].dataType.simpleString() == "int"
 
 
 def neighbor(df: DataFrame, key, order: list[str], cols: list[str], direction: str = "prev",
@@ -64,11 +96,14 @@ def neighbor(df: DataFrame, key, order: list[str], cols: list[str], direction: s
     row of the same key in ``order``; null on the first (last) row."""
     keys = _keys(key)
     prefix = prefix if prefix is not None else ("prev_" if direction == "prev" else "next_")
-    b, own = _prep(df, order, bucket)
+    b, own, split = _prep(df, keys, order, bucket)
     asc = [F.col(c).asc() for c in order]
     desc = [F.col(c).desc() for c in order]
-    w = Window.partitionBy(*keys, _BK).orderBy(*asc)
     fn = F.lag if direction == "prev" else F.lead
+    w = Window.partitionBy(*keys, _BK).orderBy(*asc)
+    if not split:
+        out = b.withColumns({f"{prefix}{c}": fn(c).over(w) for c in cols})
+        return out.drop(_BK) if own else out
     b = b.withColumns({f"_sw_{c}": fn(c).over(w) for c in cols})
     edge_w = Window.partitionBy(*keys, _BK).orderBy(*(asc if direction == "prev" else desc))
     b = b.withColumn("_sw_edge", F.row_number().over(edge_w) == 1)
@@ -77,7 +112,7 @@ def neighbor(df: DataFrame, key, order: list[str], cols: list[str], direction: s
     wb = Window.partitionBy(*keys).orderBy(_BK)
     ends = ends.withColumn("_sw_adj", (F.lag if direction == "prev" else F.lead)("_sw_end").over(wb)) \
         .select(*keys, _BK, "_sw_adj")
-    j = b.join(ends, keys + [_BK], "left")
+    j = _null_safe(b, ends, keys + [_BK])
     out = j.withColumns({
         f"{prefix}{c}": F.when(F.col("_sw_edge"), F.col("_sw_adj")[c]).otherwise(F.col(f"_sw_{c}"))
         for c in cols}).drop("_sw_edge", "_sw_adj", *[f"_sw_{c}" for c in cols])
@@ -89,29 +124,28 @@ def running(df: DataFrame, key, order: list[str], exprs: dict[str, tuple[str, Co
     """Add running aggregates over ``ROWS UNBOUNDED PRECEDING`` per key.
 
     ``exprs``: output name -> (kind, column) with kind ``sum`` or ``max`` (or
-    ``min``).  Inclusive of the current row.
+    ``min``).  Inclusive of the current row; null inputs are skipped.
     """
     keys = _keys(key)
-    b, own = _prep(df, order, bucket)
+    b, own, split = _prep(df, keys, order, bucket)
     w = Window.partitionBy(*keys, _BK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     fns = {"sum": F.sum, "max": F.max, "min": F.min}
-    tmp = {}
-    for name, (kind, c) in exprs.items():
-        tmp[f"_sw_in_{name}"] = fns[kind](c).over(w)
-    b = b.withColumns(tmp)
+    if not split:
+        out = b.withColumns({name: fns[kind](c).over(w) for name, (kind, c) in exprs.items()})
+        return out.drop(_BK) if own else out
+    b = b.withColumns({f"_sw_in_{name}": fns[kind](c).over(w) for name, (kind, c) in exprs.items()})
     tot = b.groupBy(*keys, _BK).agg(*[fns[kind](c).alias(f"_sw_t_{name}") for name, (kind, c) in exprs.items()])
     wb = Window.partitionBy(*keys).orderBy(_BK).rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*keys, _BK, *[fns[kind](f"_sw_t_{name}").over(wb).alias(f"_sw_off_{name}")
                                    for name, (kind, _) in exprs.items()])
-    j = b.join(tot, keys + [_BK], "left")
+    j = _null_safe(b, tot, keys + [_BK])
     out = {}
     for name, (kind, _) in exprs.items():
         inner, off = F.col(f"_sw_in_{name}"), F.col(f"_sw_off_{name}")
         if kind == "sum":
-            out[name] = F.when(off.isNull(), inner).otherwise(inner + off)
-        else:
-            g = F.greatest if kind == "max" else F.least
-            out[name] = F.when(off.isNull(), inner).otherwise(g(inner, off))
+            out[name] = F.when(inner.isNull(), off).when(off.isNull(), inner).otherwise(inner + off)
+        else:  # greatest and least skip nulls
+            out[name] = (F.greatest if kind == "max" else F.least)(inner, off)
     drop = ([_BK] if own else []) + [f"_sw_in_{n}" for n in exprs] + [f"_sw_off_{n}" for n in exprs]
     return j.withColumns(out).drop(*drop)
 

@@ -25,33 +25,53 @@ def epoch_s_of_iso(c) -> F.Column:
     return F.unix_seconds(F.try_to_timestamp(c))
 
 
-def iso_utc(seconds: F.Column) -> F.Column:
-    return F.concat(F.date_format(F.timestamp_seconds(seconds), FMT), F.lit("+00:00"))
+def iso_at(seconds: F.Column, offset: F.Column) -> F.Column:
+    """ISO text of an instant at an offset like ``+05:30`` (empty: no offset is written)."""
+    part = lambda k: F.substring(offset, k, 2).cast("long")
+    shift = F.when(F.length(offset) == 6, (part(2) * 3600 + part(5) * 60) * F.when(F.substring(offset, 1, 1) == "-", -1).otherwise(1))
+    return F.concat(F.date_format(F.timestamp_seconds(seconds + F.coalesce(shift, F.lit(0))), FMT), offset)
+
+
+def offset_of(c: F.Column) -> F.Column:
+    """Offset of an ISO text: ``Z`` is ``+00:00``, none is empty."""
+    found = F.regexp_extract(c, r"([+-]\d\d:?\d\d)$", 1)
+    return (F.when(F.upper(F.substring(c, -1, 1)) == "Z", "+00:00")
+            .when(F.length(found) == 5, F.concat(F.substring(found, 1, 3), F.lit(":"), F.substring(found, 4, 2))).otherwise(found))
 
 
 def enforce_order(log: DataFrame, key: str, order: list[str], bank: str = "bank_timestamp",
                   local: str = "local_timestamp", location: str = "location",
                   gap_changed_s: int = 3600, gap_same_s: int = 60) -> DataFrame:
-    """Shift ``bank`` to >= previous adjusted + 60 min (location changed) or
-    + 1 min (same location); keep the bank - local difference; rows whose
-    timestamps do not parse are left as they are."""
-    n = seqwin.neighbor(seqwin.add_bucket(log, order), key, order, [location])
-    t = epoch_s_of_iso(bank)
-    # first row of the key has no predecessor -> gap 0 (a_1 = t_1)
-    g = F.when(F.col(f"prev_{location}").isNull(), F.lit(0)) \
-        .when(F.col(location) != F.col(f"prev_{location}"), F.lit(gap_changed_s)).otherwise(F.lit(gap_same_s))
-    n = n.withColumn("_t", t).withColumn("_g", g)
-    r = seqwin.running(n, key, order, {"_G": ("sum", F.col("_g").cast("long"))})
-    r = seqwin.running(r, key, order, {"_M": ("max", F.col("_t") - F.col("_G"))})
-    adj = F.col("_G") + F.col("_M")
-    lt = epoch_s_of_iso(local)
-    shifted = F.col("_t").isNotNull() & (adj > F.col("_t"))
+    """A row not later than the previous row's adjusted ``bank`` + 60 min
+    (another location; null is a location of its own) or + 1 min (same location)
+    is moved to that instant, written at the previous row's offset; ``local``
+    moves along.  A row is left alone if it is the key's first, or if its own
+    ``bank`` or ``local`` or the previous ``bank`` does not parse.
+
+    Rows left alone start a segment; inside one a_i = max(t_i, a_(i-1) + g_i)
+    = G_i + max over j <= i of (t_j - G_j), with G the running sum of the gaps.
+    The offset is that of the last row of the segment that was not moved."""
+    b = log.withColumns({"_t": epoch_s_of_iso(bank), "_lt": epoch_s_of_iso(local), "_row": F.lit(1)})
+    b = seqwin.add_bucket(b, key, order)
+    n = seqwin.neighbor(b, key, order, [location, "_t", "_row"], prefix="_p_")
+    alone = F.col("_p__row").isNull() | F.col("_t").isNull() | F.col("_lt").isNull() | F.col("_p__t").isNull()
+    gap = F.when(F.col(location).eqNullSafe(F.col(f"_p_{location}")), F.lit(gap_same_s)).otherwise(F.lit(gap_changed_s))
+    n = n.withColumns({"_alone": alone, "_g": F.when(alone, F.lit(0)).otherwise(gap).cast("long")})
+    r = seqwin.running(n, key, order, {"_G": ("sum", F.col("_g")), "_seg": ("sum", F.col("_alone").cast("long"))})
+    # segments are numbered upwards, so the running max of (segment, value) is the max inside the segment
+    r = seqwin.running(r, key, order, {"_M": ("max", F.struct(F.col("_seg").alias("s"), (F.col("_t") - F.col("_G")).alias("v")))})
+    r = seqwin.neighbor(r, key, order, ["_M"], prefix="_p_")
+    adj = F.col("_G") + F.col("_p__M")["v"]
+    r = r.withColumns({"shifted": F.coalesce(~F.col("_alone") & (adj >= F.col("_t")), F.lit(False)), "_adj": adj})
+    r = r.withColumn("_n", F.struct(F.col("_seg").alias("s"), F.struct(*order).alias("o"), offset_of(F.col(bank)).alias("z")))
+    r = seqwin.running(r, key, order, {"_Z": ("max", F.when(~F.col("shifted"), F.col("_n")))})
+    z = F.col("_Z")["z"]
     return r.withColumns({
-        "shifted": F.coalesce(shifted, F.lit(False)),
-        "adj_bank_timestamp": F.when(shifted, iso_utc(adj)).otherwise(F.col(bank)),
-        "adj_local_timestamp": F.when(shifted & lt.isNotNull(), iso_utc(adj - (F.col("_t") - lt)))
+        "adj_bank_timestamp": F.when(F.col("shifted"), iso_at(F.col("_adj"), z)).otherwise(F.col(bank)),
+        "adj_local_timestamp": F.when(F.col("shifted"), iso_at(F.col("_adj") - (F.col("_t") - F.col("_lt")), z))
                                 .otherwise(F.col(local)),
-    }).drop("_t", "_g", "_G", "_M", f"prev_{location}", seqwin.BUCKET)
+    }).drop("_t", "_lt", "_row", "_p__row", "_p__t", f"_p_{location}", "_alone", "_g", "_G", "_seg", "_M", "_p__M", "_adj", "_n",
+            "_Z", seqwin.BUCKET)
 
 
 def cumulative(log: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
@@ -87,9 +107,7 @@ def count_in_range(df: DataFrame, key: str, t: str, width: str, row_id: str, nam
     ends = base.select(key, F.col("_t").alias("_pt"), F.lit(2).alias("_kind"), F.col(row_id).alias("_rid"),
                        F.lit(0).alias("_is_row"))
     u = rows.unionByName(starts).unionByName(ends)
-    bucket = F.floor(F.col("_pt") / F.lit(86400.0))
-    c = seqwin.running(u, key, ["_pt", "_kind", "_rid"], {"_c": ("sum", F.col("_is_row").cast("long"))},
-                       bucket=bucket)
+    c = seqwin.running(u, key, ["_pt", "_kind", "_rid"], {"_c": ("sum", F.col("_is_row").cast("long"))})
     probes = c.filter(F.col("_is_row") == 0).groupBy(F.col("_rid").alias(row_id)).agg(
         (F.max(F.when(F.col("_kind") == 2, F.col("_c"))) - F.max(F.when(F.col("_kind") == 0, F.col("_c"))))
         .alias(name))

@@ -126,25 +126,44 @@ def q_balance_check(spark, sf_dir):
         "transaction_id", "balance_after", F.col("expected_after"))
 
 
-@register("enforce_order", WB + """
-, l AS (SELECT *, lag(location) OVER (PARTITION BY user_id ORDER BY seq) AS prev_location,
-               CAST(epoch(TRY_CAST(bank_timestamp AS TIMESTAMPTZ)) AS BIGINT) AS t,
-               CAST(epoch(TRY_CAST(local_timestamp AS TIMESTAMPTZ)) AS BIGINT) AS lt FROM bank_log),
-  g AS (SELECT *, CASE WHEN prev_location IS NULL THEN 0 WHEN location <> prev_location THEN 3600 ELSE 60 END AS gap
-        FROM l),
-  s AS (SELECT *, sum(gap) OVER w AS gg FROM g WINDOW w AS (PARTITION BY user_id ORDER BY seq
-                                                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-  m AS (SELECT *, gg + max(t - gg) OVER w AS adj FROM s WINDOW w AS (PARTITION BY user_id ORDER BY seq
-                                                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT transaction_id, user_id, coalesce(t IS NOT NULL AND adj > t, false) AS shifted,
-       CASE WHEN t IS NOT NULL AND adj > t THEN strftime(make_timestamp(CAST(adj AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00'
-            ELSE bank_timestamp END AS adj_bank_timestamp,
-       CASE WHEN t IS NOT NULL AND adj > t AND lt IS NOT NULL
-            THEN strftime(make_timestamp(CAST(adj - (t - lt) AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00'
-            ELSE local_timestamp END AS adj_local_timestamp
-FROM m""")
+_ODD_SPARK = {
+    "bank_timestamp": "CASE WHEN seq % 37 = 5 THEN 'no time' WHEN seq % 11 = 2 AND bank_timestamp LIKE '%+00:00' THEN "
+                      "date_format(try_to_timestamp(bank_timestamp) + INTERVAL 19800 SECONDS, \"yyyy-MM-dd'T'HH:mm:ss\") || '+05:30' "
+                      "ELSE bank_timestamp END",
+    "local_timestamp": "CASE WHEN seq % 43 = 7 THEN 'no time' ELSE local_timestamp END",
+    "location": "CASE WHEN seq % 41 IN (3, 4) THEN NULL ELSE location END"}
+
+
+@register("enforce_order", WB.replace("WITH ", "WITH RECURSIVE ", 1) + """
+, odd AS (SELECT transaction_id, user_id, seq,
+    CASE WHEN seq % 37 = 5 THEN 'no time' WHEN seq % 11 = 2 AND bank_timestamp LIKE '%+00:00' THEN
+      strftime(make_timestamp(CAST(epoch(TRY_CAST(bank_timestamp AS TIMESTAMPTZ)) + 19800 AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+05:30'
+      ELSE bank_timestamp END AS bank,
+    CASE WHEN seq % 43 = 7 THEN 'no time' ELSE local_timestamp END AS loc_time,
+    CASE WHEN seq % 41 IN (3, 4) THEN NULL ELSE location END AS place FROM bank_log),
+  r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k,
+    CAST(epoch(TRY_CAST(bank AS TIMESTAMPTZ)) AS BIGINT) AS t, CAST(epoch(TRY_CAST(loc_time AS TIMESTAMPTZ)) AS BIGINT) AS lt,
+    regexp_extract(bank, '[+-][0-9][0-9]:[0-9][0-9]$') AS z FROM odd),
+  step AS (
+    SELECT transaction_id, user_id, k, place, t AS a, z, false AS shifted, bank, loc_time FROM r WHERE k = 1
+    UNION ALL
+    SELECT r.transaction_id, r.user_id, r.k, r.place, CASE WHEN m.moved THEN m.least ELSE r.t END, CASE WHEN m.moved THEN s.z ELSE r.z END,
+      m.moved,
+      CASE WHEN m.moved THEN strftime(make_timestamp((m.least + m.east) * 1000000), '%Y-%m-%dT%H:%M:%S') || s.z ELSE r.bank END,
+      CASE WHEN m.moved THEN strftime(make_timestamp((m.least - (r.t - r.lt) + m.east) * 1000000), '%Y-%m-%dT%H:%M:%S') || s.z ELSE r.loc_time END
+    FROM step s JOIN r ON r.user_id = s.user_id AND r.k = s.k + 1,
+    LATERAL (SELECT s.a + CASE WHEN r.place IS NOT DISTINCT FROM s.place THEN 60 ELSE 3600 END AS least,
+      coalesce(s.a IS NOT NULL AND r.t IS NOT NULL AND r.lt IS NOT NULL
+               AND r.t <= s.a + CASE WHEN r.place IS NOT DISTINCT FROM s.place THEN 60 ELSE 3600 END, false) AS moved,
+      CASE WHEN s.z = '' THEN 0 ELSE (CAST(s.z[2:3] AS BIGINT) * 3600 + CAST(s.z[5:6] AS BIGINT) * 60)
+        * CASE WHEN s.z[1] = '-' THEN -1 ELSE 1 END END AS east) m)
+SELECT transaction_id, user_id, shifted, bank AS adj_bank_timestamp, loc_time AS adj_local_timestamp FROM step""")
 def q_enforce_order(spark, sf_dir):
+    """W19 on the bank log with unreadable times, missing places and other offsets put in; the twin walks the rows one by one."""
     from ..operators import timeline
     bl = bind_bank.bank_log(spark, sf_dir)
+    bl = bl.withColumns({c: F.expr(e) for c, e in _ODD_SPARK.items()})
     return timeline.enforce_order(bl, "user_id", ["seq"]).select(
         "transaction_id", "user_id", "shifted", "adj_bank_timestamp", "adj_local_timestamp")
+
+

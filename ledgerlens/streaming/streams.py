@@ -184,7 +184,7 @@ def _validate_state_fn(key, pdfs, state):
             stage = 7
         else:
             stage = post
-        if pre is None and post is None and (last_t is None or (t, r.ts_txt) > (last_t, last_s)):
+        if pre is None and post is None and (last_t is None or t > last_t):
             last_t, last_s = t, r.ts_txt
         out.append((int(r.resp_id), key[0], stage, stage is None))
     if last_t is not None:

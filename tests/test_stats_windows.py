@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -61,6 +62,32 @@ def test_seqwin_equals_plain_windows(spark):
     assert a == c
 
 
+@pytest.mark.parametrize("rows_per_bucket", [7, 60, 10**6])
+def test_seqwin_nulls_and_measured_buckets(spark, monkeypatch, rows_per_bucket):
+    """Null keys, null order values and null inputs as in a plain window, whatever the bucket size."""
+    monkeypatch.setattr(seqwin, "ROWS_PER_BUCKET", rows_per_bucket)
+    rng = np.random.default_rng(4)
+    keys, rows = [None, 1, 1, 1, 2], []
+    for i in range(500):
+        t = int(rng.integers(0, 120))
+        rows.append((keys[rng.integers(0, 5)], None if t < 4 else t, i, None if i % 3 == 0 else int(rng.integers(-50, 50))))
+    df = spark.createDataFrame(rows, "k long, t long, i long, v long")
+    got = seqwin.running(df, "k", ["t", "i"], {"s": ("sum", F.col("v")), "m": ("max", F.col("v")), "l": ("min", F.col("v"))})
+    got = seqwin.neighbor(seqwin.neighbor(got, "k", ["t", "i"], ["v", "t"]), "k", ["t", "i"], ["v"], direction="next")
+    w = Window.partitionBy("k").orderBy("t", "i")
+    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.withColumns({"s": F.sum("v").over(up), "m": F.max("v").over(up), "l": F.min("v").over(up), "prev_v": F.lag("v").over(w),
+                          "prev_t": F.lag("t").over(w), "next_v": F.lead("v").over(w)})
+    assert sorted(map(tuple, got.select(ref.columns).collect()), key=str) == sorted(map(tuple, ref.collect()), key=str)
+
+
+def test_seqwin_hot_key_is_split(spark, monkeypatch):
+    monkeypatch.setattr(seqwin, "ROWS_PER_BUCKET", 100)
+    df = spark.range(4000).select((F.col("id") % 5).alias("k"), F.col("id").alias("t"))  # five keys, one day
+    sizes = [r["n"] for r in seqwin.add_bucket(df, "k", ["t"]).groupBy("k", seqwin.BUCKET).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 200
+
+
 def test_sequence_score_single_row(spark):
     df = spark.createDataFrame([("u", 1, 10.0, "Paris", True)], "u string, seq long, amount double, location string, granted boolean") \
         .withColumn("ts", F.current_timestamp())
