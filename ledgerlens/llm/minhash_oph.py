@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codes, map_slices, stored, text_bytes, words
+from .common import codes, fresh, map_slices, stored, text_bytes, words
 
 MISS = 1e-5
 ROWS = 6
@@ -260,5 +260,6 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of each group the document with the smallest doc_id."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    name = fresh(docs, "gone")
+    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

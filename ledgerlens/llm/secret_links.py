@@ -33,6 +33,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 SCOPE = 400
 # Patterns of the kinds, in the order of the report.  {24,} and {16,} equal "+" with a least length, as these
 # runs hold no shorter match; an assignment is matched with "+" and dropped afterwards.
@@ -67,7 +69,7 @@ def matches(docs: DataFrame) -> DataFrame:
     """KEY, kind (number), start, end (code points, end exclusive) of all matches of all kinds that fit."""
     texts = _key(docs)
     # weak kinds need an access identifier in the document; without any strong kind there is nothing to report
-    text, empty = F.col("text"), F.array().cast("array<string>")
+    text = F.col("text")
     texts = texts.where(text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX))
     weak = text.contains("AKIA")
 
@@ -134,11 +136,11 @@ def redact(docs: DataFrame, scope: int = SCOPE, mask: str = MASK) -> DataFrame:
     """All rows and columns of ``docs``; in ``text`` every reported span is replaced by ``mask``, ``n_chars`` follows.
 
     Spans that overlap are masked once.  Rows without a span stay as they are."""
-    spans = by_document(docs, scope).select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "found")
-    spans = spans.withColumnRenamed("found", "_found")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    same = (docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text, F.lit(1)) == F.col("_h1"))
-            & (F.xxhash64(F.lit(2), text) == F.col("_h2")))
+    own = {c: fresh(docs, f"_{c}") for c in (*KEY, "found")}
+    spans = by_document(docs, scope).select(*(F.col(c).alias(name) for c, name in own.items()))
+    text, found = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col(own["found"])
+    same = (docs["doc_id"].cast("long").eqNullSafe(F.col(own["doc_id"])) & (F.xxhash64(text, F.lit(1)) == F.col(own["h1"]))
+            & (F.xxhash64(F.lit(2), text) == F.col(own["h2"])))
     rows = docs.join(spans, same, "left")
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -147,10 +149,10 @@ def redact(docs: DataFrame, scope: int = SCOPE, mask: str = MASK) -> DataFrame:
         more = F.when(gap >= 0, F.concat(acc["out"], F.substring(text, acc["at"] + 1, gap), F.lit(mask))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
 
-    done = F.aggregate("_found", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text).cast("long"))))
-    new = F.when(F.col("_found").isNotNull(), done).otherwise(F.col("text"))
+    done = F.aggregate(found, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text).cast("long"))))
+    new = F.when(found.isNotNull(), done).otherwise(F.col("text"))
     out = rows.withColumn("text", new.cast(docs.schema["text"].dataType))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_found").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(found.isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
                              .otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
