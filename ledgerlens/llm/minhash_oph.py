@@ -14,17 +14,18 @@ shingle).  Documents with ``100 * |A and B| >= percent * |A or B|`` are linked;
    bucket's smallest digest only, so pairs grow with members, not their square.
 3. Candidates are confirmed on full sets, fetched for candidates only.
 4. The rest, exactly: buckets whose members stand in more than one component
-   still hide pairs that no star holds.  A member outside its bucket's largest
-   component is paired with all members of other components there, unless too
-   many of its shingles stand in no other set of such buckets for any link to
-   reach the threshold (a bound, so no link is lost).
+   still hide pairs that no star holds.  A second star starts from the member
+   with the smallest share of shingles of its own.  After it, a member outside its
+   bucket's largest component is paired with all members of other components
+   there, unless too many shingles of either stand in no other set of such buckets
+   for the link to reach the threshold (a bound, so no link is lost).
 5. Components by contraction to the smallest neighbour, a written table a round.
 
 ``bands`` follows from the threshold: a pair at the threshold shares no bucket
 with a probability under ``MISS``.  Hot groups: copies collapse by partial
 aggregation, buckets are aggregated before they are joined, and no step gathers
-a group into a row or a task.  Only the ids of candidates are broadcast, behind
-a count (``BROADCAST``); beyond it the same join shuffles.
+a group into a row or a task.  Only the ids of candidates and the keys of shared buckets
+are broadcast, behind a count (``BROADCAST``); beyond it the same joins shuffle.
 
 Defined cases: null, empty or wordless texts have the empty set, link with
 nothing and are kept; rows that repeat a doc_id are documents of their own that
@@ -203,50 +204,73 @@ def _fetch(docs: DataFrame, sketch: DataFrame, wanted: DataFrame, k: int) -> Dat
     return stored(found.join(ids.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "sets")
 
 
-def _rest(members: DataFrame, labels: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that no star holds and that could still link two components (see 4. above)."""
-    named = (members.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left")
-             .select("key", "digest", "n", F.coalesce("label", "digest").alias("label")))
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, digest, label of the buckets whose members stand in more than one component."""
+    named = (members.select("key", "digest").join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left")
+             .select("key", "digest", F.coalesce("label", "digest").alias("label")))
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    named = stored(named.join(mixed, "key", "left_semi"), "mixed")
-    sizes = named.groupBy("key", "label").agg(F.count("*").alias("m"))
+    return stored(named.join(mixed, "key", "left_semi"), "mixed")
+
+
+def _alone(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """digest, n and own: how many of its shingles no other set of the mixed buckets holds."""
+    inside = sets.join(mixed.select("digest").distinct(), "digest", "left_semi")
+    once = (inside.select("digest", F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("digest").alias("digest"))
+            .where("c = 1").groupBy("digest").agg(F.count("*").alias("own")))
+    return stored(inside.select("digest", F.size("set").alias("n")).join(once, "digest", "left")
+                  .select("digest", "n", F.coalesce("own", F.lit(0)).alias("own")), "own")
+
+
+def _ordered(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _second_stars(mixed: DataFrame, alone: DataFrame) -> DataFrame:
+    """Pairs of each mixed bucket's plainest member (least share of own shingles) with its members of other components."""
+    rows = mixed.join(alone, "digest")
+    centre = rows.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "digest", "label")).alias("m"))
+    pairs = mixed.join(centre, "key").where(F.col("label") != F.col("m.label")).select("digest", F.col("m.digest").alias("centre"))
+    return pairs.select(*_ordered("digest", "centre")).distinct()
+
+
+def _rest(mixed: DataFrame, alone: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that a mixed bucket still holds, one of them outside its largest component.
+
+    No more than ``n - own`` shingles of a set stand in any other, and a link needs
+    ``percent / (100 + percent) * (n + m)`` common ones: the join drops other pairs."""
+    sizes = mixed.groupBy("key", "label").agg(F.count("*").alias("m"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("m", "label"))["label"].alias("top"))
-    inside = named.select("digest", "n").distinct()
-    # shingles that a single set of these buckets holds
-    alone = (sets.join(inside, "digest", "left_semi").select("digest", F.explode("set").alias("h"))
-             .groupBy("h").agg(F.count("*").alias("c"), F.min("digest").alias("digest")).where("c = 1")
-             .groupBy("digest").agg(F.count("*").alias("own")))
-    # a partner in a bucket has at least max(least size there, percent of n) shingles, and J >= t needs t/(1+t)*(n+m) common ones
-    low = named.groupBy("key").agg(F.min("n").alias("least"))
-    size = F.greatest(F.col("least").cast("double"), F.col("n") * (percent / 100))
-    outside = (named.join(largest, "key").where("label <> top").join(low, "key").join(alone, "digest", "left")
-               .where(F.col("n") - F.coalesce("own", F.lit(0)) >= (F.col("n") + size) * (percent / (100 + percent)) - 1e-6)
-               .select("key", F.col("digest").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx")))
-    other = named.select("key", F.col("digest").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"))
-    close = (F.col("lx") != F.col("ly")) & (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
-    pairs = (outside.join(other, "key").where(close)
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    rows = mixed.join(alone, "digest")
+    name = lambda k: ["key", *(F.col(c).alias(f"{c}_{k}") for c in ("digest", "label", "n", "own"))]
+    outside = rows.join(largest, "key").where("label <> top").select(*name("x"))
+    need = (F.col("n_x") + F.col("n_y")) * percent
+    fits = lambda k: (F.col(f"n_{k}") - F.col(f"own_{k}")) * (100 + percent) >= need
+    other = rows.select(*name("y")).withColumnRenamed("key", "key_y")
+    pairs = outside.join(other, (F.col("key") == F.col("key_y")) & (F.col("label_x") != F.col("label_y")) & fits("x") & fits("y"))
+    return pairs.select(*_ordered("digest_x", "digest_y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     sketch = stored(sketches(docs, k, percent), "sketch")
     some = sketch.where("digest is not null and doc_id is not null")
-    first = F.min(F.struct("doc_id", "n", "bands")).alias("r")
-    sets = some.groupBy("digest").agg(first).select("digest", "r.n", F.explode("r.bands").alias("key"))
-    sets = stored(sets, "buckets")
-    buckets = sets.groupBy("key").agg(F.min("digest").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")
-    members = stored(sets.join(buckets, "key"), "members")
-    near = (members.where("a <> digest").select("a", F.col("digest").alias("b"), "n", "key"))
-    tested = stored(near.select("a", "b").distinct(), "stars")
-    digests = members.select("digest").distinct()
-    full = _fetch(docs, sketch, digests, k)
+    rows = some.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("digest", F.explode("r.bands").alias("key"))
+    rows = stored(rows, "buckets")
+    buckets = stored(rows.groupBy("key").agg(F.min("digest").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a"), "shared")
+    members = stored(rows.join(F.broadcast(buckets) if buckets.count() <= BROADCAST else buckets, "key"), "members")
+    tested = stored(members.where("a <> digest").select("a", F.col("digest").alias("b")).distinct(), "stars")
+    full = _fetch(docs, sketch, members.select("digest").distinct(), k)
     links = stored(confirmed(tested, full, percent), "links")
     labels = components(links)
-    rest = stored(confirmed(_rest(members.select("key", "digest", "n"), labels, tested, full, percent), full, percent), "rest")
-    if not rest.isEmpty():
-        labels = components(links.union(rest))
+    mixed = _mixed(members, labels)
+    alone = _alone(mixed, full)
+    for find in (lambda: _second_stars(mixed, alone), lambda: _rest(mixed, alone, percent)):
+        pairs = stored(find().join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = stored(confirmed(pairs, full, percent), "links")
+        if not more.isEmpty():
+            links, tested = links.union(more), tested.union(pairs)
+            labels = components(links)
+            mixed = _mixed(mixed, labels)
     named = some.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left")
     group = F.coalesce("label", "digest")
     lowest = named.groupBy(group.alias("group")).agg(F.min("doc_id").alias("component_id"))
