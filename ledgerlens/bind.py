@@ -32,7 +32,7 @@ MONEY = "decimal(18,2)"
 FRAUD_SHARE = 0.25
 THIEF_SHARE = 0.03
 N_THIEVES = 20
-THIEF_BASE = 1000000
+THIEF_BASE = -1000000  # below all user ids, which are not negative
 TRAVELER_SHARE = 0.3
 
 
@@ -43,6 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _CACHE: dict = {}
 
 
+def stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the tables' files, asked from the store itself: a stored view is used while they stay."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in store.listStatus(path)))
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write a derived view once as parquet under the session's shared checkpoint
     folder and read it back.  Downstream plans then start from a parquet scan
@@ -66,7 +73,7 @@ def cached(fn=None, *, store: bool = False):
     def deco(f):
         @functools.wraps(f)
         def wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-            key = (f.__module__, f.__name__, spark.sparkContext.applicationId, sf_dir)
+            key = (f.__module__, f.__name__, spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir))
             df = _CACHE.get(key)
             if df is None:
                 df = f(spark, sf_dir)

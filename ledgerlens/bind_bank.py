@@ -3,7 +3,7 @@
 ``bank_log`` (19 columns of the model pipeline plus helpers)
     one row per event; the user's profile is one of the six strategies (25 %
     fraud profiles), and every field is drawn from that profile's strategy by
-    ``u(key, tag)``: account (up to min(n_accounts, 3) per user), type, city from
+    ``u(key, tag)``: account (up to n_accounts per user), type, city from
     the focus regions, device, network, merchant (purchases), recipient
     (transfers out).  bank_ts = event time, 10 % of rows shifted up to 2 h earlier
     (late arrivals); local_timestamp is the bank time in the city's zone with its
@@ -60,7 +60,7 @@ def _field(profile: str, f: str):
     if f == "hi":
         return _range(profile)[1]
     if f == "n_acc":
-        return min(int(S.PARSED[profile]["n_accounts"]), 3)
+        return int(S.PARSED[profile]["n_accounts"])
     return S.PARSED[profile][f]
 
 

@@ -86,6 +86,14 @@ def balance_check(log: DataFrame, before: str = "balance_before", after: str = "
         ~(F.abs(got - exp) <= F.lit(atol) + F.lit(1e-5) * F.abs(exp)))
 
 
+def flagged(df: DataFrame, rules: list[tuple[str, F.Column, F.Column]], key: str) -> DataFrame:
+    """(key, rule, message) of every rule (name, condition, message) that a row breaks, in one pass over ``df``.
+
+    A condition that is null does not hold."""
+    hits = F.array(*[F.when(cond, F.struct(F.lit(rule).alias("rule"), msg.alias("message"))) for rule, cond, msg in rules])
+    return df.select(key, F.inline(F.array_compact(hits)))
+
+
 def violations(parts: dict[str, tuple[DataFrame, F.Column]], key: str) -> DataFrame:
     """Union of rule outputs into (key, rule, message)."""
     dfs = [df.select(F.col(key), F.lit(rule).alias("rule"), msg.alias("message"))

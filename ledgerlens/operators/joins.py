@@ -64,13 +64,22 @@ def cumulative_weights(weights: DataFrame, cat: str, weight: str, order: str) ->
         "lo", F.col("hi") - F.col(weight) / tot)
 
 
+def cap_rows(new: DataFrame, stored: DataFrame, order: list, cap: int) -> DataFrame:
+    """The first new rows that still fit into a store of ``cap`` rows."""
+    return top_k(new, order, max(0, cap - stored.count()))
+
+
 def weighted_pick(df: DataFrame, u: str, weights: DataFrame, cat: str, weight: str, order: str,
                   out: str = "picked") -> DataFrame:
-    """Range join ``lo <= u < hi`` against a broadcast cumulative-weight table
-    (bounded: one row per category); the last bin is closed at 1."""
-    cw = cumulative_weights(weights, cat, weight, order).select(F.col(cat).alias(out), "lo", "hi")
-    cond = (F.col(u) >= F.col("lo")) & ((F.col(u) < F.col("hi")) | (F.col("hi") >= 1.0 - 1e-12))
-    return df.join(F.broadcast(cw), cond, "inner").drop("lo", "hi")
+    """The category whose range ``lo <= u < hi`` of cumulative weights holds ``u``; the last is closed at 1.
+
+    The weights are a small table (one row a category) and become one ``CASE`` over
+    the upper bounds, so no row is compared by a join."""
+    rows = cumulative_weights(weights, cat, weight, order).orderBy("hi").collect()
+    picked = F.lit(None).cast(weights.schema[cat].dataType)
+    for r in reversed(rows):
+        picked = F.when((F.col(u) < r["hi"]) | F.lit(r["hi"] >= 1.0 - 1e-12), F.lit(r[cat])).otherwise(picked)
+    return df.filter(F.col(u) >= 0).withColumn(out, picked)
 
 
 def weighted_pick_by(df: DataFrame, u: str, key: str, weights: DataFrame, cat: str, weight: str, order: str,

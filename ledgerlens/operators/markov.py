@@ -70,7 +70,8 @@ def invalid_transitions(log: DataFrame, catalog_t: DataFrame, account: str, orde
 def sequence_loglik(log: DataFrame, catalog_t: DataFrame, behaviors: list[str], account: str,
                     order: list[str], state: str = "activity_type", eps: float = EPS) -> DataFrame:
     """K2: sum of ln p(from -> to) per account under each candidate behaviour's
-    matrix; unseen or zero cells count as ``eps``."""
+    matrix; unseen or zero cells count as ``eps``.  An account with a single row has
+    no transition and log-likelihood 0 under every candidate."""
     c = (lead_state(log.select(account, state, *order), account, order, state)
          .filter(F.col("next_state").isNotNull())
          .groupBy(account, F.col(state).alias("from_activity"), F.col("next_state").alias("to_activity"))
@@ -79,8 +80,11 @@ def sequence_loglik(log: DataFrame, catalog_t: DataFrame, behaviors: list[str],
     cat = catalog_t.select(F.col("behavior").alias("candidate"), "from_activity", "to_activity", "p")
     j = cand.join(F.broadcast(cat), ["candidate", "from_activity", "to_activity"], "left")
     ll = F.col("cnt") * F.ln(F.greatest(F.coalesce(F.col("p"), F.lit(0.0)), F.lit(eps)))
-    return j.groupBy(account, "candidate").agg(_r(F.sum(ll), 4).alias("loglik"),
-                                               F.sum("cnt").alias("n_transitions"))
+    found = j.groupBy(account, "candidate").agg(_r(F.sum(ll), 4).alias("loglik"), F.sum("cnt").alias("n_transitions"))
+    single = log.groupBy(account).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select(
+        account, F.explode(F.array(*[F.lit(b) for b in behaviors])).alias("candidate"), F.lit(0.0).alias("loglik"),
+        F.lit(0).cast("long").alias("n_transitions"))
+    return found.unionByName(single)
 
 
 def classify_behavior(loglik: DataFrame, labels: DataFrame, account: str, by: str = "behavior") -> DataFrame:

@@ -103,16 +103,19 @@ def isolation_forest(df: DataFrame, cols: list[str], key: str, trees: int = 100,
     ``contamination`` share (threshold by ``percentile_approx``), else 1."""
     spark = df.sparkSession
     n = df.count()
-    frac = min(1.0, sample * 1.2 / max(n, 1))
-    # one hash per row: r = u(key) in [0, 1); tree t's sample is the rows with
-    # r in [t * frac, (t + 1) * frac) -- disjoint hash samples, no row explosion;
-    # each tree keeps its first `sample` rows by r (a bounded group)
-    draws = df.select(key, *cols, u(key, "iforest").alias("_r")).filter(F.col("_r") < F.lit(frac * trees))
-    draws = draws.withColumn("tree", F.floor(F.col("_r") / F.lit(frac)).cast("int"))
+    size = min(n, sample)
+    # every tree has a hash of its own, so samples may overlap and all trees are full at
+    # any table size.  A row joins a tree's draw with twice the chance that fills the
+    # sample; the tree then keeps the `size` rows with the smallest hashes.
+    share = min(1.0, (2 * sample + 64) / max(n, 1))
+    bits = 1 << 30
+    draw = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        t.alias("tree"), F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(bits)).alias("_r")))
+    draws = df.select(key, *cols, F.inline(F.filter(draw, lambda d: d["_r"] < int(share * bits))))
     max_depth = int(math.ceil(math.log2(max(sample, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_r").head(sample)
+        pdf = pdf.sort_values(["_r", key]).head(size)
         t = int(pdf["tree"].iloc[0])
         rng = np.random.default_rng(seed + t)
         nodes = _grow(pdf[cols].to_numpy(dtype=float), rng, max_depth)
@@ -124,7 +127,7 @@ def isolation_forest(df: DataFrame, cols: list[str], key: str, trees: int = 100,
         grow, "tree int, node int, feature int, split double, left int, right int, size long")
     table = forest.toPandas()  # bounded: trees x (2^(max_depth+1) - 1) rows
     by_tree = {t: g.sort_values("node").to_numpy() for t, g in table.groupby("tree")}
-    cn = _c(sample)
+    cn = _c(size)
     bc = spark.sparkContext.broadcast(by_tree)
 
     def score(it):
@@ -149,7 +152,7 @@ def isolation_forest(df: DataFrame, cols: list[str], key: str, trees: int = 100,
             yield pdf
 
     schema = T.StructType(list(df.schema.fields) + [T.StructField("anomaly_score", T.DoubleType())])
-    scored = df.mapInPandas(score, schema)
+    scored = df.mapInPandas(score, schema).checkpoint(eager=True)  # scored once, read for the threshold and the output
     thr = scored.select(F.percentile_approx("anomaly_score", 1.0 - contamination, 10000)).scalar()
     return scored.withColumn("if_label", F.when(F.col("anomaly_score") >= thr, -1).otherwise(1))
 

@@ -182,9 +182,21 @@ def q_head(spark, sf_dir):
     return joins.top_k(b, ["bank_ts", "transaction_id"], 10).select("transaction_id", "bank_timestamp", "type", "amount")
 
 
-@register("cap_rows", WA + "SELECT seq, virtual_id, activity_type FROM activity_log ORDER BY seq LIMIT 1000")
+@register("cap_rows", WA + """
+SELECT seq, virtual_id, activity_type FROM activity_log WHERE seq % 97 <> 0
+ORDER BY seq LIMIT (SELECT greatest(0, 1000 - count(*)) FROM activity_log WHERE seq % 97 = 0)""")
 def q_cap_rows(spark, sf_dir):
-    return joins.top_k(bind.activity_log(spark, sf_dir), ["seq"], 1000).select("seq", "virtual_id", "activity_type")
+    """A store of at most 1000 rows that holds some already takes as many new ones as are missing."""
+    log = bind.activity_log(spark, sf_dir)
+    return joins.cap_rows(log.filter("seq % 97 <> 0"), log.filter("seq % 97 = 0"), ["seq"], 1000).select("seq", "virtual_id", "activity_type")
+
+
+@register("city_difference", WB + f"""
+SELECT location FROM {_COORD_NAMES} EXCEPT ALL SELECT DISTINCT location FROM bank_log WHERE fraud_label = 1""")
+def q_city_difference(spark, sf_dir):
+    """Known cities without those of fraud rows, duplicates counted."""
+    return G.coords_df(spark).select("location").exceptAll(
+        bind_bank.bank_log(spark, sf_dir).filter("fraud_label = 1").select("location").distinct())
 
 
 @register("label_size", WB + """

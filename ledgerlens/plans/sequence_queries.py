@@ -72,41 +72,54 @@ def q_shared_identity(spark, sf_dir):
     return checks.shared_identity(log(spark, sf_dir))
 
 
-@register("log_violations", W + """
-, closed AS (SELECT virtual_id, min(ts) AS closed_ts FROM activity_log WHERE activity_type = 'Close Account' GROUP BY 1)
+# rows that break R14 and R15, which the binding never does by itself
+_ODD = {"activity_type": "CASE WHEN seq % 101 = 7 THEN 'Unknown Act' ELSE activity_type END",
+        "is_fraud": "CASE WHEN seq % 103 = 9 THEN 1 - is_fraud ELSE is_fraud END"}
+
+
+@register("log_violations", W + f"""
+, odd AS (SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in _ODD.items())}) FROM activity_log),
+  oled AS (SELECT *, lead(activity_type) OVER (PARTITION BY virtual_id ORDER BY ts, seq) AS next_state FROM odd),
+  closed AS (SELECT virtual_id, min(ts) AS closed_ts FROM odd WHERE activity_type = 'Close Account' GROUP BY 1)
 SELECT l.seq, 'R13' AS rule, 'transition ' || l.activity_type || ' -> ' || l.next_state || ' not allowed' AS message
-FROM led l WHERE l.next_state IS NOT NULL AND NOT EXISTS (
+FROM oled l WHERE l.next_state IS NOT NULL AND NOT EXISTS (
   SELECT 1 FROM cat c WHERE c.behavior = l.behavior AND c.from_activity = l.activity_type
     AND c.to_activity = l.next_state AND c.p > 0)
 UNION ALL
-SELECT a.seq, 'R14', 'activity ' || a.activity_type || ' not in ' || a.behavior FROM activity_log a
+SELECT a.seq, 'R14', 'activity ' || a.activity_type || ' not in ' || a.behavior FROM odd a
 WHERE NOT EXISTS (SELECT 1 FROM imp i WHERE i.behavior = a.behavior AND i.activity = a.activity_type)
 UNION ALL
 SELECT a.seq, 'R15', 'label ' || CAST(a.is_fraud AS VARCHAR) || ' differs from behaviour flag'
-FROM activity_log a LEFT JOIN beh b USING (behavior) WHERE b.fraud IS NULL OR b.fraud <> a.is_fraud
+FROM odd a LEFT JOIN beh b USING (behavior) WHERE b.fraud IS NULL OR b.fraud <> a.is_fraud
 UNION ALL
-SELECT a.seq, 'R16', 'activity after Close Account' FROM activity_log a JOIN closed c USING (virtual_id)
+SELECT a.seq, 'R16', 'activity after Close Account' FROM odd a JOIN closed c USING (virtual_id)
 WHERE a.ts > c.closed_ts
 UNION ALL
 SELECT g.seq, 'W7', 'gap ' || CAST(CAST(floor(g.gap_s) AS BIGINT) AS VARCHAR) || ' s over limit'
 FROM gaps g JOIN beh b USING (behavior) WHERE g.gap_s > b.time_limit_s""")
 def q_log_violations(spark, sf_dir):
-    lg = log(spark, sf_dir)
-    cat = norm_catalog(spark)
-    r13 = markov.invalid_transitions(lg, cat, ACC, ORD)
-    r13 = seqwin.neighbor(lg, ACC, ORD, ["activity_type"], direction="next", prefix="next_") \
-        .withColumnRenamed("next_activity_type", "next_state").join(r13.select("seq"), "seq", "left_semi")
-    gaps = checks.gap_violations(lg, C.behavior_df(spark), ACC, ORD)
-    return checks.violations({
-        "R13": (r13, F.concat(F.lit("transition "), F.col("activity_type"), F.lit(" -> "), F.col("next_state"),
-                              F.lit(" not allowed"))),
-        "R14": (checks.off_catalog(lg, C.impact_df(spark)),
-                F.concat(F.lit("activity "), F.col("activity_type"), F.lit(" not in "), F.col("behavior"))),
-        "R15": (checks.label_mismatch(lg, C.behavior_df(spark)),
-                F.concat(F.lit("label "), F.col("is_fraud").cast("string"), F.lit(" differs from behaviour flag"))),
-        "R16": (checks.after_closure(lg, ACC), F.lit("activity after Close Account")),
-        "W7": (gaps, F.concat(F.lit("gap "), F.floor("gap_s").cast("long").cast("string"), F.lit(" s over limit"))),
-    }, "seq")
+    """R13-R16 and W7 in one pass: neighbours once, the catalog's fixed tables broadcast, one array of findings a row."""
+    odd = log(spark, sf_dir).withColumns({c: F.expr(e) for c, e in _ODD.items()})
+    n = seqwin.neighbor(seqwin.add_bucket(odd, ACC, ORD), ACC, ORD, ["activity_type"], direction="next", prefix="next_")
+    n = seqwin.neighbor(n, ACC, ORD, ["ts"]).drop(seqwin.BUCKET)
+    allowed = norm_catalog(spark).filter(F.col("p") > 0).select(
+        "behavior", F.col("from_activity").alias("activity_type"), F.col("to_activity").alias("next_activity_type"), F.lit(True).alias("allowed"))
+    known = C.impact_df(spark).select("behavior", F.col("activity").alias("activity_type"), F.lit(True).alias("known")).distinct()
+    beh = C.behavior_df(spark).select("behavior", "time_limit_s", "fraud")
+    closed = odd.filter(F.col("activity_type") == checks.CLOSE).groupBy(ACC).agg(F.min("ts").alias("closed_ts"))
+    rows = (n.join(F.broadcast(allowed), ["behavior", "activity_type", "next_activity_type"], "left")
+            .join(F.broadcast(known), ["behavior", "activity_type"], "left").join(F.broadcast(beh), "behavior", "left")
+            .join(closed, ACC, "left"))
+    gap = F.round(F.coalesce(checks.epoch_s("ts") - checks.epoch_s("prev_ts"), F.lit(0.0)), 6)
+    return checks.flagged(rows.withColumn("gap_s", gap), [
+        ("R13", F.col("next_activity_type").isNotNull() & F.col("allowed").isNull(),
+         F.concat(F.lit("transition "), F.col("activity_type"), F.lit(" -> "), F.col("next_activity_type"), F.lit(" not allowed"))),
+        ("R14", F.col("known").isNull(), F.concat(F.lit("activity "), F.col("activity_type"), F.lit(" not in "), F.col("behavior"))),
+        ("R15", F.col("fraud").isNull() | (F.col("fraud") != F.col("is_fraud")),
+         F.concat(F.lit("label "), F.col("is_fraud").cast("string"), F.lit(" differs from behaviour flag"))),
+        ("R16", F.col("ts") > F.col("closed_ts"), F.lit("activity after Close Account")),
+        ("W7", F.col("gap_s") > F.col("time_limit_s"),
+         F.concat(F.lit("gap "), F.floor("gap_s").cast("long").cast("string"), F.lit(" s over limit")))], "seq")
 
 
 @register("transition_fit", W + """
@@ -160,7 +173,10 @@ _LL_SQL = f"""
                 CAST(sum(cnt) AS BIGINT) AS n_transitions
          FROM cand LEFT JOIN cat ON cat.behavior = cand.candidate AND cat.from_activity = cand.from_activity
                                 AND cat.to_activity = cand.to_activity
-         GROUP BY 1, 2)"""
+         GROUP BY 1, 2
+         UNION ALL
+         SELECT o.virtual_id, b.behavior, 0.0, 0
+         FROM (SELECT virtual_id FROM activity_log GROUP BY 1 HAVING count(*) = 1) o, (SELECT behavior FROM beh) b)"""
 
 
 @register("sequence_loglik", W + _LL_SQL + " SELECT * FROM ll")

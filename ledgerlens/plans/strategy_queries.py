@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import bind, bind_bank
 from ..dims import catalog as C
 from ..dims import geography as G
 from ..dims import strategies as S
-from ..operators import geo, strategy, timeline
+from ..operators import checks, geo, strategy, timeline
 from .registry import register
 
 ORD_U = ["bank_ts", "seq"]
@@ -219,50 +216,54 @@ def q_sequence_score(spark, sf_dir):
 ACCOUNT_PATTERN = r"^ACC-[A-Za-z0-9]{8}$"
 
 
-def _rule(df, rule, msg):
-    return df.select("transaction_id", F.lit(rule).alias("rule"), msg.alias("message"))
+# account ids that break R2 and amounts above the balance before
+_ODD_ID = "CASE WHEN seq % 59 = 1 THEN 'ACC_' || substring(account_id, 5, 7) ELSE account_id END"
 
 
 @register("bank_violations", W + f"""
-SELECT transaction_id, 'R2' AS rule, 'bad account_id ' || account_id AS message FROM bank_log
+, odd AS (SELECT * REPLACE ({_ODD_ID} AS account_id) FROM bank_log)
+SELECT transaction_id, 'R2' AS rule, 'bad account_id ' || account_id AS message FROM odd
 WHERE NOT regexp_matches(account_id, '{ACCOUNT_PATTERN}')
 UNION ALL
-SELECT transaction_id, 'R3', 'merchant_name required for ' || type FROM bank_log
+SELECT transaction_id, 'R3', 'merchant_name required for ' || type FROM odd
 WHERE merchant_name IS NULL AND (contains(lower(type), 'purchase') OR contains(lower(type), 'sale'))
 UNION ALL
-SELECT transaction_id, 'R3', 'merchant_name must be null for ' || type FROM bank_log
+SELECT transaction_id, 'R3', 'merchant_name must be null for ' || type FROM odd
 WHERE merchant_name IS NOT NULL AND contains(lower(type), 'transfer')
 UNION ALL
-SELECT transaction_id, 'R4', 'recipient required for ' || type FROM bank_log
+SELECT transaction_id, 'R4', 'recipient required for ' || type FROM odd
 WHERE (recipient_id IS NULL OR recipient_bank IS NULL) AND contains(lower(type), 'transfer out')
 UNION ALL
-SELECT transaction_id, 'R4', 'recipient must be null for ' || type FROM bank_log
+SELECT transaction_id, 'R4', 'recipient must be null for ' || type FROM odd
 WHERE (recipient_id IS NOT NULL OR recipient_bank IS NOT NULL) AND NOT contains(lower(type), 'transfer')
 UNION ALL
-SELECT b.transaction_id, 'R5', 'amount outside ' || s.rng FROM bank_log b JOIN strat s ON s.profile = b.behavior_type
+SELECT b.transaction_id, 'R5', 'amount outside ' || s.rng FROM odd b JOIN strat s ON s.profile = b.behavior_type
 WHERE CAST(b.amount AS DOUBLE) < s.lo OR CAST(b.amount AS DOUBLE) > s.hi
 UNION ALL
-SELECT b.transaction_id, 'R8', 'ip ' || b.ip_address || ' not in ' || b.location FROM bank_log b
+SELECT b.transaction_id, 'R8', 'ip ' || b.ip_address || ' not in ' || b.location FROM odd b
 JOIN {_PLACES_SQL.replace(') AS t(', ') AS p(')} ON p.location = b.location
-WHERE NOT starts_with(b.ip_address, p.ip_prefix || '.')""")
+WHERE NOT starts_with(b.ip_address, p.ip_prefix || '.')
+UNION ALL
+SELECT transaction_id, 'R6', 'amount above balance' FROM odd
+WHERE amount > balance_before AND regexp_matches(lower(type), '{'|'.join(bind_bank.DEBIT_WORDS)}')""")
 def q_bank_violations(spark, sf_dir):
-    b = bl(spark, sf_dir)
+    """R2-R6 and R8 in one pass over the log; the strategies and places are fixed tables and broadcast."""
     t = F.lower(F.col("type"))
-    st = strat(spark).select(F.col("profile").alias("behavior_type"), "typical_amount_range")
-    r5 = strategy.range_violations(b, strat(spark)).join(F.broadcast(st), "behavior_type")
-    r8 = geo.ip_matches(b, G.places_df(spark)).filter(F.col("ip_ok") == F.lit(False))
-    parts = [
-        _rule(b.filter(~F.col("account_id").rlike(ACCOUNT_PATTERN)), "R2",
-              F.concat(F.lit("bad account_id "), F.col("account_id"))),
-        _rule(b.filter(F.col("merchant_name").isNull() & (t.contains("purchase") | t.contains("sale"))), "R3",
-              F.concat(F.lit("merchant_name required for "), F.col("type"))),
-        _rule(b.filter(F.col("merchant_name").isNotNull() & t.contains("transfer")), "R3",
-              F.concat(F.lit("merchant_name must be null for "), F.col("type"))),
-        _rule(b.filter((F.col("recipient_id").isNull() | F.col("recipient_bank").isNull())
-                       & t.contains("transfer out")), "R4", F.concat(F.lit("recipient required for "), F.col("type"))),
-        _rule(b.filter((F.col("recipient_id").isNotNull() | F.col("recipient_bank").isNotNull())
-                       & ~t.contains("transfer")), "R4", F.concat(F.lit("recipient must be null for "), F.col("type"))),
-        _rule(r5, "R5", F.concat(F.lit("amount outside "), F.col("typical_amount_range"))),
-        _rule(r8, "R8", F.concat(F.lit("ip "), F.col("ip_address"), F.lit(" not in "), F.col("location"))),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    s = strat(spark).select(F.col("profile").alias("behavior_type"), "typical_amount_range", F.col("amount.lo").alias("lo"),
+                            F.col("amount.hi").alias("hi"))
+    p = G.places_df(spark).select("location", F.col("ip_prefix").alias("prefix"))
+    b = bl(spark, sf_dir).withColumn("account_id", F.expr(_ODD_ID))
+    rows = b.join(F.broadcast(s), "behavior_type", "left").join(F.broadcast(p), "location", "left")
+    amount, kind = F.col("amount").cast("double"), F.col("type")
+    merchant, recipient = F.col("merchant_name").isNotNull(), F.col("recipient_id").isNotNull() | F.col("recipient_bank").isNotNull()
+    lacking = F.col("recipient_id").isNull() | F.col("recipient_bank").isNull()
+    return checks.flagged(rows, [
+        ("R2", ~F.col("account_id").rlike(ACCOUNT_PATTERN), F.concat(F.lit("bad account_id "), F.col("account_id"))),
+        ("R3", ~merchant & (t.contains("purchase") | t.contains("sale")), F.concat(F.lit("merchant_name required for "), kind)),
+        ("R3", merchant & t.contains("transfer"), F.concat(F.lit("merchant_name must be null for "), kind)),
+        ("R4", lacking & t.contains("transfer out"), F.concat(F.lit("recipient required for "), kind)),
+        ("R4", recipient & ~t.contains("transfer"), F.concat(F.lit("recipient must be null for "), kind)),
+        ("R5", (amount < F.col("lo")) | (amount > F.col("hi")), F.concat(F.lit("amount outside "), F.col("typical_amount_range"))),
+        ("R6", (F.col("amount") > F.col("balance_before")) & t.rlike("|".join(bind_bank.DEBIT_WORDS)), F.lit("amount above balance")),
+        ("R8", ~F.col("ip_address").startswith(F.concat(F.col("prefix"), F.lit("."))),
+         F.concat(F.lit("ip "), F.col("ip_address"), F.lit(" not in "), F.col("location")))], "transaction_id")

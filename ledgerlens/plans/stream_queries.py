@@ -32,13 +32,13 @@ def q_stream_counts(spark, sf_dir):
   rows AS (SELECT r.seq, r.virtual_id, r.bal_before, r.granted, r.balance, a.ts FROM r JOIN activity_log a USING (seq)
            WHERE r.rn > 0)
 SELECT rows.seq, rows.virtual_id, bal_before AS balance_before, granted, balance AS balance_after,
-       coalesce({'t': rows.ts, 's': rows.seq} > closes.c, false) AS after_close
+       coalesce({'t': rows.ts, 's': rows.seq} > closes.c, false) AS after_close, 'applied' AS status
 FROM rows LEFT JOIN closes USING (virtual_id)""")
 def q_stream_ledger(spark, sf_dir):
     out = streams.ledger_stream(spark, bind.activity_log(spark, sf_dir), bind.opening(spark, sf_dir))
-    return out.filter(F.col("status") == "applied").select(
+    return out.select(
         "seq", F.col("account").alias("virtual_id"), ledger.from_cents("balance_before").alias("balance_before"),
-        "granted", ledger.from_cents("balance_after").alias("balance_after"), "after_close")
+        "granted", ledger.from_cents("balance_after").alias("balance_after"), "after_close", "status")
 
 
 @register("stream_validate", CONTRACT_SQL + "SELECT resp_id, user_id, CAST(stage AS INTEGER) AS stage, valid FROM validated")
@@ -73,10 +73,7 @@ def q_session_windows(spark, sf_dir):
     time limit share a session; a gap equal to the limit starts a new one)."""
     log = bind.activity_log(spark, sf_dir).join(F.broadcast(C.behavior_df(spark)), "behavior")
     gap = F.concat(F.col("time_limit_s").cast("string"), F.lit(" seconds"))
-    g = log.groupBy(ACC, F.session_window(F.col("ts").cast("timestamp"), gap).alias("s")).agg(
-        F.count(F.lit(1)).alias("n"))
-    return g.select(ACC, F.col("s.start").cast("timestamp_ntz").alias("session_start"),
-                    F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n")
+    return streams.sessions(spark, log, "ts", ACC, gap, extra=["time_limit_s"])
 
 
 @register("sessions_gap", WA + f"""
@@ -108,8 +105,5 @@ SLIDING_MAX = 5
 SELECT virtual_id, window_start, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY 1, 2 HAVING count(*) > {SLIDING_MAX}""")
 def q_sliding_rate(spark, sf_dir):
     """Sliding one-day windows every hour; accounts above the rate."""
-    log = bind.activity_log(spark, sf_dir)
-    g = log.groupBy(ACC, F.window(F.col("ts").cast("timestamp"), "1 day", "1 hour").alias("w")).agg(
-        F.count(F.lit(1)).alias("n"))
-    return g.filter(F.col("n") > SLIDING_MAX).select(
-        ACC, F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n")
+    g = streams.sliding_counts(spark, bind.activity_log(spark, sf_dir), "ts", ACC)
+    return g.filter(F.col("n") > SLIDING_MAX).select(ACC, "window_start", "n")

@@ -3,8 +3,8 @@
 Every query entry point calls :func:`prepare` on the session it is handed, so
 results do not depend on how the caller built the session: UTC session zone,
 AQE on, and a reliable checkpoint directory.  The checkpoint directory is read
-from the session (``spark.checkpoint.dir``); only when it is unset (local
-tests) do we create one of our own.
+from the session (``spark.checkpoint.dir``); only when it is unset and the
+master is local (tests) do we create one of our own.
 """
 
 from __future__ import annotations
@@ -86,7 +86,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None)
     if not configured:
-        # Only reached in local runs/tests: no cluster folder was given.
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
+        # local runs and tests: one machine, no cluster folder was given
         configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -1,27 +1,37 @@
 """Structured Streaming versions of the log operators.
 
-The log is replayed as a file stream (``readStream.parquet``) of time-ordered
-slices; every query runs with ``trigger(availableNow=True)`` and a checkpoint
-under the session's shared checkpoint folder, so a restarted or re-scheduled
-job resumes exactly once.  Each function returns the final result table as a
-batch DataFrame, which is what the correctness checks compare.
-
-* T1  window counts with a watermark (complete mode: every window, including
-      the last open one, is in the result).
+The log arrives in deliveries: the table is cut into time ranges, each delivery is
+appended to the stream's input folder by as many tasks as it has partitions, and the
+query then runs over the new files with ``trigger(availableNow=True)``.  Its
+checkpoint stays in the session's shared checkpoint folder between deliveries, so
+state and watermark carry on, and a restarted job resumes exactly once.  Each
+function returns the final result table as a batch DataFrame, which is what the
+correctness checks compare.
+
+Rows without a timestamp come with the first delivery.  Window counts report them
+under a null window (a watermark cannot place them); the ledger reports them with
+``status = 'undated'`` and does not apply them.
+
+* T1  window counts in append mode: a window is written once the watermark passes
+      its end, and rows that come later than that are dropped by the watermark.  The
+      deliveries here are in time order, so no row is late.
 * T3  ledger as per-account state (``applyInPandasWithState``): state = running
       balance in cents, closed flag (T9) and the last (ts, seq) applied.  Rows
       older than the state's last row are late: they are emitted with
       ``status = 'late'`` and not applied (a ledger cannot be re-ordered once
-      emitted).  The opening balance comes from a stream-static join (T8).
+      emitted).  The opening balance comes from a stream-static join (T8).  One
+      account is one task's work here; the batch ledger splits a hot account.
 * T2  contract validation with the user's last accepted timestamp as state; the
       other checks are stateless column expressions.
 * T4  running reward per run (complete mode totals).
+* T5  session windows, T6 sliding windows: as T1.
 * T7  ``foreachBatch`` append sink, idempotent per batch id.
 """
 
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
@@ -37,68 +47,110 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens-streams/{name}-{uuid.uuid4().hex[:10]}"
 
 
-def time_slices(spark: SparkSession, df: DataFrame, ts: str, n_slices: int, name: str) -> tuple[str, int]:
-    """Write ``df`` as ``n_slices`` time-ordered parquet slices (one file each, in
-    order) into a fresh folder; returns (path, n_slices).  Replaying the folder
-    as a file stream with ``maxFilesPerTrigger=1`` yields time-ordered batches."""
-    path = _scratch(spark, name)
-    bounds = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    if lo is None:
-        df.limit(0).write.parquet(path)
-        return path, 0
-    span = (hi - lo) / n_slices
-    for i in range(n_slices):
-        a = lo + span * i
-        cond = F.col(ts) >= F.lit(a)
-        if i < n_slices - 1:
-            cond = cond & (F.col(ts) < F.lit(lo + span * (i + 1)))
-        df.filter(cond).coalesce(1).write.mode("append").parquet(path)
-    return path, n_slices
-
-
-def replay(spark: SparkSession, df: DataFrame, ts: str, n_slices: int, name: str) -> DataFrame:
-    path, _ = time_slices(spark, df, ts, n_slices, name)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def _run(stream_df: DataFrame, name: str, mode: str = "append", spark: SparkSession | None = None) -> DataFrame:
-    """Run to completion into a parquet sink (append) or via foreachBatch (complete/update)."""
-    spark = spark or stream_df.sparkSession
-    out = _scratch(spark, f"{name}-out")
-    ckpt = _scratch(spark, f"{name}-ckpt")
-    if mode == "append":
-        q = (stream_df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-             .outputMode("append").trigger(availableNow=True).start())
-        q.awaitTermination()
-        return spark.read.schema(stream_df.schema).parquet(out)
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        # complete mode re-emits the whole table: keep the latest batch only
-        batch.write.mode("overwrite").parquet(f"{out}/latest")
-
-    q = (stream_df.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
-         .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{out}/latest")
+class Deliveries:
+    """``df`` cut into ``n`` time ranges of equal length (rows without a time in the first)."""
+
+    def __init__(self, spark: SparkSession, df: DataFrame, ts: str, n: int, name: str):
+        self.spark, self.ts, self.name = spark, ts, name
+        path = _scratch(spark, f"{name}-all")
+        df.write.parquet(path)  # the given frame is computed once; each range is a filtered scan of it
+        self.rows = spark.read.schema(df.schema).parquet(path)
+        lo, hi = self.rows.agg(F.min(ts), F.max(ts)).first()
+        self.bounds = [] if lo is None else [lo + (hi - lo) / n * k for k in range(1, n)]
+        self.folder = _scratch(spark, name)
+        self.rows.limit(0).write.parquet(self.folder)
+
+    def parts(self) -> list[DataFrame]:
+        t, edges = F.col(self.ts), [None, *self.bounds, None]
+        out = []
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            cond = F.lit(True) if a is None else t >= F.lit(a)
+            cond = cond if b is None else cond & (t < F.lit(b))
+            out.append(self.rows.filter(cond | t.isNull() if k == 0 else cond))
+        return out
+
+    def run(self, start) -> None:
+        """``start(stream) -> DataStreamWriter`` is started once for each delivery, always with the same checkpoint."""
+        ckpt = _scratch(self.spark, f"{self.name}-ckpt")
+        for part in self.parts():
+            part.write.mode("append").parquet(self.folder)
+            stream = self.spark.readStream.schema(self.rows.schema).parquet(self.folder)
+            start(stream).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+
+    def appended(self, transform) -> DataFrame:
+        """The sink's table of an append-mode query ``transform(stream)``."""
+        out, schema = _scratch(self.spark, f"{self.name}-out"), []
+
+        def start(stream):
+            result = transform(stream)
+            schema[:] = [result.schema]
+            return result.writeStream.format("parquet").option("path", out).outputMode("append")
+
+        self.run(start)
+        return self.spark.read.schema(schema[0]).parquet(out)
+
+    def complete(self, transform) -> DataFrame:
+        """The last full result of a complete-mode query ``transform(stream)``."""
+        out = _scratch(self.spark, f"{self.name}-out")
+
+        def start(stream):
+            return (transform(stream).writeStream.outputMode("complete")
+                    .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/latest")))
+
+        self.run(start)
+        return self.spark.read.parquet(f"{out}/latest")
+
+
+def closed_windows(feed: Deliveries, counted, watermark: str) -> DataFrame:
+    """The sink's table of the append-mode window query ``counted(df)``, every window closed.
+
+    After the last delivery one row far in the future (all other columns null)
+    moves the watermark past every window, so all of them are written; the window
+    of that row itself stays open and is never written."""
+    last = feed.rows.agg(F.max("_ets").alias("t")).first()["t"]
+    parts = feed.parts
+    if last is not None:
+        end = feed.spark.range(1).select(*[
+            F.lit(last + timedelta(days=3650)).cast(f.dataType).alias(f.name) if f.name == "_ets"
+            else F.lit(None).cast(f.dataType).alias(f.name) for f in feed.rows.schema])
+        feed.parts = lambda: [*parts(), end, feed.rows.limit(0)]
+    dated = lambda df: df.filter(F.col("_ets").isNotNull()).withWatermark("_ets", watermark)
+    return feed.appended(lambda stream: counted(dated(stream)))
 
 
 # ---- T1 / T4 --------------------------------------------------------------
 
 def window_counts(spark: SparkSession, log: DataFrame, ts: str, by: str, width: str = "1 hour",
                   watermark: str = "2 hours", n_slices: int = 3) -> DataFrame:
-    src = replay(spark, log.select(F.col(ts).cast("timestamp").alias("_ets"), by), "_ets", n_slices, "counts")
-    agg = (src.withWatermark("_ets", watermark).groupBy(F.window("_ets", width).alias("w"), by)
-           .agg(F.count(F.lit(1)).alias("n")))
-    res = _run(agg, "counts", "complete", spark)
-    return res.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), by, "n")
+    rows = log.select(F.col(ts).cast("timestamp").alias("_ets"), by)
+    feed = Deliveries(spark, rows, "_ets", n_slices, "counts")
+    res = closed_windows(feed, lambda df: df.groupBy(F.window("_ets", width).alias("w"), by).agg(F.count(F.lit(1)).alias("n")), watermark)
+    undated = feed.rows.filter(F.col("_ets").isNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(None).cast("timestamp_ntz").alias("window_start")
+    return res.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), by, "n").unionByName(undated.select(none, by, "n"))
+
+
+def sliding_counts(spark: SparkSession, log: DataFrame, ts: str, key: str, width: str = "1 day", slide: str = "1 hour",
+                   watermark: str = "2 hours", n_slices: int = 3) -> DataFrame:
+    """(window_start, key, n) of all sliding windows that hold a row."""
+    feed = Deliveries(spark, log.select(F.col(ts).cast("timestamp").alias("_ets"), key), "_ets", n_slices, "sliding")
+    res = closed_windows(feed, lambda df: df.groupBy(F.window("_ets", width, slide).alias("w"), key).agg(F.count(F.lit(1)).alias("n")), watermark)
+    return res.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), key, "n")
+
+
+def sessions(spark: SparkSession, log: DataFrame, ts: str, key: str, gap, watermark: str = "2 hours", n_slices: int = 3,
+             extra: list[str] = ()) -> DataFrame:
+    """T5: (key, session_start, session_end, n); ``gap`` is a column over ``extra``."""
+    feed = Deliveries(spark, log.select(F.col(ts).cast("timestamp").alias("_ets"), key, *extra), "_ets", n_slices, "sessions")
+    res = closed_windows(feed, lambda df: df.groupBy(F.session_window("_ets", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")), watermark)
+    return res.select(key, F.col("w.start").cast("timestamp_ntz").alias("session_start"),
+                      F.col("w.end").cast("timestamp_ntz").alias("session_end"), "n")
 
 
 def running_totals(spark: SparkSession, log: DataFrame, ts: str, key: str, value: str,
                    n_slices: int = 3) -> DataFrame:
-    src = replay(spark, log.select(F.col(ts).cast("timestamp").alias("_ets"), key, value), "_ets", n_slices, "totals")
-    agg = src.groupBy(key).agg(F.sum(value).cast("long").alias("total"), F.count(F.lit(1)).alias("n"))
-    return _run(agg, "totals", "complete", spark)
+    feed = Deliveries(spark, log.select(F.col(ts).cast("timestamp").alias("_ets"), key, value), "_ets", n_slices, "totals")
+    return feed.complete(lambda df: df.groupBy(key).agg(F.sum(value).cast("long").alias("total"), F.count(F.lit(1)).alias("n")))
 
 
 # ---- T3 / T8 / T9 -----------------------------------------------------------
@@ -120,6 +172,15 @@ def _ledger_state_fn(close_type: str):
         if bal is None:
             op = pdf["opening_c"].iloc[0]
             bal = 0 if pd.isna(op) else int(op)
+        undated = pdf[pdf["ts_us"].isna()]
+        pdf = pdf[pdf["ts_us"].notna()]
+        if len(undated):
+            yield pd.DataFrame({"account": np.full(len(undated), key[0], dtype=np.int64), "seq": undated["seq"].to_numpy(np.int64),
+                                "ts_us": pd.array([None] * len(undated), dtype="Int64"), "balance_before": np.full(len(undated), bal),
+                                "granted": False, "balance_after": np.full(len(undated), bal), "after_close": closed, "status": "undated"})
+        if not len(pdf):
+            state.update((int(bal), closed, last_ts, last_seq))
+            return
         ts = pdf["ts_us"].to_numpy(np.int64)
         sq = pdf["seq"].to_numpy(np.int64)
         late = np.zeros(len(pdf), dtype=bool)
@@ -155,13 +216,11 @@ def ledger_stream(spark: SparkSession, log: DataFrame, opening: DataFrame, accou
                       F.col(ts).cast("timestamp").alias("_ets"),
                       F.round(F.col(amount).cast("decimal(18,2)") * 100, 0).cast("long").alias("delta_c"),
                       F.col(state_col).alias("activity_type"))
-    src = replay(spark, base, "_ets", n_slices, "ledger")
+    feed = Deliveries(spark, base, "_ets", n_slices, "ledger")
     op = opening.select(F.col("account"), F.round(F.col("opening").cast("decimal(18,2)") * 100, 0)
                         .cast("long").alias("opening_c"))
-    joined = src.join(F.broadcast(op), "account", "left")   # stream-static join (T8)
-    st = joined.groupBy("account").applyInPandasWithState(
-        _ledger_state_fn(close_type), LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout)
-    return _run(st, "ledger", "append", spark)
+    return feed.appended(lambda stream: stream.join(op, "account", "left").groupBy("account").applyInPandasWithState(  # T8: stream-static join
+        _ledger_state_fn(close_type), LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout))
 
 
 # ---- T2 ---------------------------------------------------------------------
@@ -199,10 +258,9 @@ def validate_stream(spark: SparkSession, responses: DataFrame, n_slices: int = 3
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
         F.col("_pre").cast("int").alias("pre"), F.col("_post").cast("int").alias("post"),
         F.unix_micros("tx_ts").alias("tx_us"), F.col("_ts_txt").alias("ts_txt"))
-    src = replay(spark, st, "_ets", n_slices, "validate")
-    out = src.groupBy("user_id").applyInPandasWithState(
-        _validate_state_fn, VALIDATE_OUT, VALIDATE_STATE, "append", GroupStateTimeout.NoTimeout)
-    return _run(out, "validate", "append", spark)
+    feed = Deliveries(spark, st, "_ets", n_slices, "validate")
+    return feed.appended(lambda stream: stream.groupBy("user_id").applyInPandasWithState(
+        _validate_state_fn, VALIDATE_OUT, VALIDATE_STATE, "append", GroupStateTimeout.NoTimeout))
 
 
 # ---- T7 ---------------------------------------------------------------------
@@ -210,13 +268,11 @@ def validate_stream(spark: SparkSession, responses: DataFrame, n_slices: int = 3
 def append_sink(spark: SparkSession, log: DataFrame, ts: str, n_slices: int = 3) -> DataFrame:
     """Batched append with ``foreachBatch``; each batch id writes its own
     folder (overwrite), so a replayed batch after a failure replaces itself."""
-    src = replay(spark, log.withColumn("_ets", F.col(ts).cast("timestamp")), "_ets", n_slices, "sink")
+    feed = Deliveries(spark, log.withColumn("_ets", F.col(ts).cast("timestamp")), "_ets", n_slices, "sink")
     out = _scratch(spark, "sink-out")
-    ckpt = _scratch(spark, "sink-ckpt")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.drop("_ets").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = src.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    q.awaitTermination()
+    feed.run(lambda stream: stream.writeStream.foreachBatch(sink))
     return spark.read.parquet(out).drop("batch")
