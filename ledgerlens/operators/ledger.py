@@ -57,6 +57,7 @@ DEBIT_WORDS = ["withdrawal", "transfer out", "purchase"]
 _K = "_ll_head"      # 0 = opening pseudo-row, 1 = log row
 _D = "_ll_delta"     # signed cents
 _B = "_ll_debit"     # may decline
+_A = "_ll_account"
 _BB = "_ll_before"
 _G = "_ll_granted"
 _BA = "_ll_after"
@@ -201,30 +202,28 @@ _SUMMARY_SCHEMA = ("pid int, first_acct string, last_acct string, s long, t long
 def _first_run_ends(parted: DataFrame, acct_col: str, job: dict) -> dict:
     """Exact end balance of the first account run of each pending partition.
 
-    Runs only on the pending partitions (``runJob`` with a partition list) and
-    stops reading a partition at its first row of another account, so a round
-    costs one partition per chain, not a scan of the table."""
-    cols = parted.columns
-    ia, idl, idb = cols.index(acct_col), cols.index(_D), cols.index(_B)
-    todo = dict(job)
-
-    def fold(pid, rows):
-        if pid not in todo:
-            return iter(())
-        c_acct, bal = todo[pid]
-        end = None
-        for r in rows:
-            if r[ia] != c_acct:
+    Runs only on the pending partitions (``runJob`` with a partition list), on
+    three columns, folded in Arrow batches, and stops reading a partition at its
+    first row of another account: a round costs one run per chain, not a scan."""
+
+    def fold(batches):
+        pid = TaskContext.get().partitionId()
+        if pid not in job:
+            return
+        c_acct, bal = job[pid]
+        for pdf in batches:
+            acct = pdf[acct_col].to_numpy()
+            n = _lead_len(acct, c_acct)
+            if n:
+                _, _, after = fold_arrays(acct[:n], pdf[_D].to_numpy(dtype=np.int64)[:n], pdf[_B].to_numpy(dtype=bool)[:n], c_acct, bal)
+                bal = int(after[-1])
+            if n < len(acct):
                 break
-            d = r[idl]
-            if not (r[idb] and bal + d < 0):
-                bal += d
-            end = bal
-        return iter([(pid, end)])
+        yield pd.DataFrame({"pid": [pid], "end": [bal]})
 
-    rdd = parted.rdd.mapPartitionsWithIndex(fold)
-    res = parted.sparkSession.sparkContext.runJob(rdd, lambda it: list(it), partitions=sorted(todo))
-    return {pid: end for pid, end in res}
+    rdd = parted.select(acct_col, _D, _B).mapInPandas(fold, "pid int, end long").rdd
+    res = parted.sparkSession.sparkContext.runJob(rdd, lambda it: [tuple(r) for r in it], partitions=sorted(job))
+    return dict(res)
 
 
 def _fold_partition(acct_col, carry: dict, out_cols: list[str]):
@@ -279,42 +278,46 @@ def replay(log: DataFrame, opening: DataFrame | None = None, *, account: str, or
     (and ``amount_settled`` for v3) to every row of ``log``.
 
     ``opening``: (opening_account, opening_col) starting balance per account;
-    accounts without one start at 0.
+    accounts without one start at 0.  A null amount leaves the balance as it is and
+    has a null ``granted``; rows with a null account are one account.
     """
-    spark = log.sparkSession
     cols = log.columns
-    rows = _deltas(log, variant, amount, type_col).withColumn(_K, F.lit(1))
+    # a null account is an account of its own; a null amount changes nothing and has no verdict
+    key = F.when(F.col(account).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(account).cast("string")))
+    rows = _deltas(log, variant, amount, type_col).withColumns({
+        _K: F.lit(1), _A: key, _D: F.coalesce(F.col(_D), F.lit(0)).cast("long"), _B: F.coalesce(F.col(_B), F.lit(False))})
     if opening is not None:
         heads = opening.select(
             F.col(opening_account).cast(log.schema[account].dataType).alias(account),
-            F.lit(0).alias(_K), to_cents(opening_col).alias(_D), F.lit(False).alias(_B))
+            F.lit(0).alias(_K), F.coalesce(to_cents(opening_col), F.lit(0)).cast("long").alias(_D), F.lit(False).alias(_B)).withColumn(_A, key)
         rows = rows.unionByName(heads, allowMissingColumns=True)
-    sort_key = [account, _K] + order
+    sort_key = [_A, _K] + order
     rp = rows.repartitionByRange(partitions, *sort_key) if partitions else rows.repartitionByRange(*sort_key)
     parted = rp.sortWithinPartitions(*sort_key).checkpoint(eager=True)
 
-    summ = [r.asDict() for r in parted.mapInPandas(_summarize_partition(account), _SUMMARY_SCHEMA).collect()]
-    native = int if isinstance(log.schema[account].dataType, T.IntegralType) else str
+    summ = [r.asDict() for r in parted.select(_A, _D, _B).mapInPandas(_summarize_partition(_A), _SUMMARY_SCHEMA).collect()]
+    firsts = {r["pid"]: r["first_acct"] for r in summ if r["first_acct"] is not None}
     exact: dict[int, tuple[int, int]] = {}
+    rounds = 0
     while True:
         carry, pending = _resolve(summ, exact)
         if not pending:
             break
-        firsts = {r["pid"]: native(r["first_acct"]) for r in summ if r["first_acct"] is not None}
+        rounds += 1
         job = {pid: (firsts[pid], cin) for pid, cin in pending.items()}
-        for pid, end in _first_run_ends(parted, account, job).items():
+        for pid, end in _first_run_ends(parted, _A, job).items():
             exact[pid] = (pending[pid], int(end))
+    replay.rounds = rounds  # of the last call, for tools/skew_probe.py
 
-    firsts = {r["pid"]: native(r["first_acct"]) for r in summ if r["first_acct"] is not None}
     carry_map = {pid: (firsts[pid], int(c)) for pid, c in carry.items()}
     out_schema = T.StructType(list(parted.schema.fields) + [
         T.StructField(_BB, T.LongType()), T.StructField(_G, T.BooleanType()),
         T.StructField(_BA, T.LongType())])
-    folded = parted.mapInPandas(_fold_partition(account, carry_map, out_schema.fieldNames()), out_schema)
+    folded = parted.mapInPandas(_fold_partition(_A, carry_map, out_schema.fieldNames()), out_schema)
     out = folded.filter(F.col(_K) == 1).select(
         *cols,
         from_cents(_BB).alias("balance_before"),
-        F.col(_G).alias("granted"),
+        F.when(F.col(amount).isNotNull(), F.col(_G)).alias("granted"),
         from_cents(_BA).alias("balance_after"))
     if variant == "v3":
         out = out.withColumn("amount_settled",
@@ -326,5 +329,5 @@ def account_results(rows: DataFrame, *, account: str, order: list[str]) -> DataF
     """Per-account closing balance and declines from replayed rows (partial aggregation, skew-safe)."""
     return rows.groupBy(account).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum((~F.col("granted")).cast("long")).alias("declines"),
+        F.coalesce(F.sum((~F.col("granted")).cast("long")), F.lit(0)).alias("declines"),
         F.max_by("balance_after", F.struct(*order)).alias("closing_balance"))

@@ -50,15 +50,24 @@ def kmeans(df: DataFrame, k: int = 3, seed: int = 42, col: str = "kmeans") -> Da
     return KMeans(k=k, seed=seed, featuresCol="features", predictionCol=col).fit(df).transform(df)
 
 
+def kmeans_centres(df: DataFrame, k: int = 3, seed: int = 42, col: str = "kmeans") -> tuple[DataFrame, list]:
+    """M7 with its centres."""
+    m = KMeans(k=k, seed=seed, featuresCol="features", predictionCol=col).fit(df)
+    return m.transform(df), m.clusterCenters()
+
+
 def bisecting(df: DataFrame, k: int = 3, seed: int = 42, col: str = "hierarchical") -> DataFrame:
     """M9 (substitute for Ward)."""
     return BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol=col).fit(df).transform(df)
 
 
-def pca2(df: DataFrame, centered: str = "features") -> tuple[DataFrame, list[float]]:
-    """Two components of the centred features (MLlib does not centre)."""
+def pca2(df: DataFrame, centered: str = "features") -> tuple[DataFrame, list[float], list[list[float]]]:
+    """Projection on two components of the centred features (MLlib does not centre), their share of the
+    variance and their loadings (one list a component; the sign is fixed by the largest loading being positive)."""
     m = PCA(k=2, inputCol=centered, outputCol="pca").fit(df)
-    return m.transform(df), [float(x) for x in m.explainedVariance]
+    loadings = m.pc.toArray().T
+    signs = [1.0 if v[abs(v).argmax()] > 0 else -1.0 for v in loadings]
+    return m.transform(df), [float(x) for x in m.explainedVariance], [[float(x) * g for x in v] for v, g in zip(loadings, signs, strict=True)]
 
 
 # ---- isolation forest (M10) -------------------------------------------------
@@ -97,21 +106,36 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int):
     return nodes
 
 
-def isolation_forest(df: DataFrame, cols: list[str], key: str, trees: int = 100, sample: int = 256,
-                     contamination: float = 0.05, seed: int = 42) -> DataFrame:
-    """Anomaly score 2^(-E[h]/c(sample)) for every row, label -1 for the top
-    ``contamination`` share (threshold by ``percentile_approx``), else 1."""
-    spark = df.sparkSession
-    n = df.count()
-    size = min(n, sample)
-    # every tree has a hash of its own, so samples may overlap and all trees are full at
-    # any table size.  A row joins a tree's draw with twice the chance that fills the
-    # sample; the tree then keeps the `size` rows with the smallest hashes.
+def forest_draws(df: DataFrame, cols: list[str], key: str, n: int, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+    """(key, cols, tree, _r): the rows drawn for each tree, about twice the sample.
+
+    Every tree has a hash of its own, so samples may overlap and all trees are full at
+    any table size; a tree then keeps the rows with the smallest hashes."""
     share = min(1.0, (2 * sample + 64) / max(n, 1))
     bits = 1 << 30
     draw = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
         t.alias("tree"), F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(bits)).alias("_r")))
-    draws = df.select(key, *cols, F.inline(F.filter(draw, lambda d: d["_r"] < int(share * bits))))
+    return df.select(key, *cols, F.inline(F.filter(draw, lambda d: d["_r"] < int(share * bits))))
+
+
+def forest_samples(df: DataFrame, cols: list[str], key: str, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+    """(key, tree): the exact sample of each tree."""
+    n = df.count()
+    size = min(n, sample)
+    return forest_draws(df, cols, key, n, trees, sample, seed).select(key, "tree", "_r").groupBy("tree").applyInPandas(
+        lambda pdf: pdf.sort_values(["_r", key]).head(size)[[key, "tree"]], f"{key} {df.schema[key].dataType.simpleString()}, tree int")
+
+
+def isolation_scores(df: DataFrame, cols: list[str], key: str, trees: int = 100, sample: int = 256, seed: int = 42,
+                     fit: DataFrame | None = None) -> DataFrame:
+    """``anomaly_score`` = 2^(-E[h]/c(sample)) of every row under a forest grown on ``fit`` (default: ``df``).
+
+    The scores are checkpointed: thresholds and outputs read them, nothing is scored twice."""
+    spark = df.sparkSession
+    fit = fit if fit is not None else df
+    n = fit.count()
+    size = min(n, sample)
+    draws = forest_draws(fit, cols, key, n, trees, sample, seed)
     max_depth = int(math.ceil(math.log2(max(sample, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -152,7 +176,16 @@ def isolation_forest(df: DataFrame, cols: list[str], key: str, trees: int = 100,
             yield pdf
 
     schema = T.StructType(list(df.schema.fields) + [T.StructField("anomaly_score", T.DoubleType())])
-    scored = df.mapInPandas(score, schema).checkpoint(eager=True)  # scored once, read for the threshold and the output
-    thr = scored.select(F.percentile_approx("anomaly_score", 1.0 - contamination, 10000)).scalar()
-    return scored.withColumn("if_label", F.when(F.col("anomaly_score") >= thr, -1).otherwise(1))
+    return df.mapInPandas(score, schema).checkpoint(eager=True)
 
+
+def flag_share(scored: DataFrame, contamination: float, of: DataFrame | None = None, out: str = "if_label") -> DataFrame:
+    """Label -1 for rows at or over the score that the top ``contamination`` share of ``of`` (default: the rows) reaches, else 1."""
+    thr = (of if of is not None else scored).select(F.percentile_approx("anomaly_score", 1.0 - contamination, 10000)).scalar()
+    return scored.withColumn(out, F.when(F.col("anomaly_score") >= thr, -1).otherwise(1))
+
+
+def isolation_forest(df: DataFrame, cols: list[str], key: str, trees: int = 100, sample: int = 256,
+                     contamination: float = 0.05, seed: int = 42) -> DataFrame:
+    """Scores and labels of ``df`` under its own forest."""
+    return flag_share(isolation_scores(df, cols, key, trees, sample, seed), contamination)

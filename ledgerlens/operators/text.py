@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 FENCED_ARRAY = r"(?s)```json\s*(\[.*?\])\s*```"
+FENCED_OBJECTS = r"(?s)```json\s*(\[\s*\{.*?\}\s*\])\s*```"
 BARE_ARRAY = r"(?s)(\[\s*\{.*?\}\s*\])"
 GREEDY_ARRAY = r"(?s)\[.*\]"
 FIRST_ARRAY = r"(?s)\[.*?\]"
@@ -17,27 +18,45 @@ def _c(x):
     return F.col(x) if isinstance(x, str) else x
 
 
-def extract_arrays(text, strip_comments: bool = False) -> F.Column:
-    """X2 (X4 with ``strip_comments``): every fenced ```json [...]``` block, else
-    every bare ``[ {...} ]``; blocks that do not parse are skipped, the rest are
-    concatenated (JSON text of the merged array); null when nothing parses."""
+def _items(block) -> F.Column:
+    """Items of a JSON text (an array's own, or the value itself), each as JSON text; null if it does not parse.
+
+    Spark's parser stops behind the first value, so the text is read as the only
+    item of an array: anything behind the value then breaks the array or adds to it."""
+    one = F.from_json(F.concat(F.lit("["), block, F.lit("]")), "array<variant>")
+    many = F.transform(F.from_json(block, "array<variant>"), lambda x: F.to_json(x))
+    return F.when(F.size(one) == 1, F.when(block.rlike(r"^\s*\["), many).otherwise(F.transform(one, lambda x: F.to_json(x))))
+
+
+def extract_arrays(text) -> F.Column:
+    """Items (JSON texts) of every fenced ```json [...]``` block, else of every bare
+    ``[ {...} ]``; blocks that do not parse are skipped; null when no item is found."""
     t = _c(text)
-    if strip_comments:
-        t = F.regexp_replace(t, r"//[^\n]*", "")
     fenced = F.regexp_extract_all(t, F.lit(FENCED_ARRAY), 1)
-    bare = F.regexp_extract_all(t, F.lit(BARE_ARRAY), 1)
-    blocks = F.when(F.size(fenced) > 0, fenced).otherwise(bare)
-    parsed = F.filter(F.transform(blocks, lambda b: F.from_json(b, "array<string>")), lambda a: a.isNotNull())
-    merged = F.flatten(parsed)
-    return F.when(F.size(parsed) > 0, F.to_json(merged))
+    blocks = F.when(F.size(fenced) > 0, fenced).otherwise(F.regexp_extract_all(t, F.lit(BARE_ARRAY), 1))
+    items = F.flatten(F.filter(F.transform(blocks, _items), lambda a: a.isNotNull()))
+    return F.when(F.size(items) > 0, items)
 
 
 def extract_array_simple(text) -> F.Column:
-    """The whole text if it is JSON, else the greedy ``[...]`` span (or null)."""
-    t = _c(text)
-    whole = F.when(F.try_parse_json(t).isNotNull(), t)
+    """Items of the whole text if it is JSON, else of the greedy ``[...]`` span; null if that does not parse either."""
+    t = F.regexp_replace(_c(text), r"^\s+|\s+$", "")
     span = F.regexp_extract(t, GREEDY_ARRAY, 0)
-    return F.coalesce(whole, F.when(span != "", span))
+    return F.coalesce(_items(t), F.when(span != "", _items(span)))
+
+
+def extract_array_nocomment(text) -> F.Column:
+    """struct(items, retries).  Fenced arrays of objects, else bare ones; ``//`` to the line's end is taken out
+    of each block; the first block that parses is the answer and ``retries`` counts the ones before it.  Without an
+    answer ``items`` is null and ``retries`` is 1 (no block), or what passes over all blocks add up to, three at least."""
+    t = _c(text)
+    fenced = F.regexp_extract_all(t, F.lit(FENCED_OBJECTS), 1)
+    blocks = F.when(F.size(fenced) > 0, fenced).otherwise(F.regexp_extract_all(t, F.lit(BARE_ARRAY), 1))
+    tried = F.transform(blocks, lambda b: F.struct(_items(F.regexp_replace(b, r"//[^\n]*", "")).alias("items")))
+    at = F.array_position(F.transform(tried, lambda x: x["items"].isNotNull()), True).cast("int")
+    k = F.size(blocks)
+    return F.struct(F.when(at > 0, F.element_at(tried, F.when(at > 0, at))["items"]).alias("items"),
+                    F.when(at > 0, at - 1).when(k == 0, 1).otherwise(k * F.ceil(F.lit(3) / k)).cast("int").alias("retries"))
 
 
 def first_json_block(text) -> F.Column:

@@ -100,12 +100,16 @@ def q_benchmark_sets(spark, sf_dir):
     return agg.model_benchmark_sets(bind.model_runs(spark, sf_dir), "model", "profile")
 
 
-@register("fraud_cube", W + """
-SELECT device, network, CAST(grouping_id(device, network) AS BIGINT) AS gid, CAST(count(*) AS BIGINT) AS n,
+_CUBE = ["behavior", "device", "network", "location"]
+
+
+@register("fraud_cube", W + f"""
+SELECT {', '.join(_CUBE)}, CAST(grouping_id({', '.join(_CUBE)}) AS BIGINT) AS gid, CAST(count(*) AS BIGINT) AS n,
        CAST(sum(is_fraud) AS BIGINT) AS fraud_rows, round(avg(is_fraud), 6) AS fraud_share
-FROM activity_log GROUP BY CUBE (device, network)""")
+FROM activity_log GROUP BY CUBE ({', '.join(_CUBE)})""")
 def q_fraud_cube(spark, sf_dir):
-    return agg.fraud_cube(bind.activity_log(spark, sf_dir), ["device", "network"])
+    """A27 over all four dimensions."""
+    return agg.fraud_cube(bind.activity_log(spark, sf_dir), _CUBE)
 
 
 @register("density_histogram", W + """

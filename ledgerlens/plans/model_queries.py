@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import bind, bind_bank
 from ..dims import catalog as C
 from ..functions.hashing import u_sql
-from ..operators import checks, features, models, stats, timeline
+from ..operators import agg, checks, features, models, stats, timeline
 from .registry import register
 
 WA = bind.with_views("activity_log")
@@ -112,9 +112,10 @@ def model_table(spark, sf_dir):
     f = features.one_hot(f, "network", _NET, prefix="net")
     f = f.withColumn("traveler", (F.col("agent_type") == "traveler").cast("int"))
     cats = [f"dev_{d}" for d in _DEV] + [f"net_{n}" for n in _NET] + ["traveler"]
-    f = features.standardize(f, NUMS)
+    f = features.hash_split(f, "seq", 0.2)
+    f = features.standardize(f, NUMS, fit=f.filter("split = 'train'"))  # the scaler sees no test row
     cols = [c + "_z" for c in NUMS] + cats
-    return models.assemble(features.hash_split(f, "seq", 0.2), cols), cols
+    return models.assemble(f, cols), cols
 
 
 @register("random_forest")
@@ -136,7 +137,6 @@ def q_rank_features(spark, sf_dir):
 def q_decision_tree(spark, sf_dir):
     t, _ = model_table(spark, sf_dir)
     # balanced class weights n / (k * n_c) from a 2-row aggregate, broadcast back
-    from ..operators import agg
     cw = agg.balanced_class_weights(t, "is_fraud").select("is_fraud", F.col("weight").alias("_w"))
     t = t.join(F.broadcast(cw), "is_fraud")
     pred, _rules = models.decision_tree(t.filter("split = 'train'"), t.filter("split = 'test'"), "is_fraud", "_w")
@@ -162,9 +162,25 @@ def q_bisecting(spark, sf_dir):
 
 @register("pca2")
 def q_pca2(spark, sf_dir):
-    t, _ = model_table(spark, sf_dir)   # features are standardised, i.e. centred
-    _, var = models.pca2(t)
-    return spark.createDataFrame([(i + 1, v) for i, v in enumerate(var)], "component int, explained_variance double")
+    """Loading of every feature on both components, with the variance each explains."""
+    t, cols = model_table(spark, sf_dir)
+    means = t.agg(*[F.avg(c).alias(c) for c in cols])  # one row; the features are centred on all rows here
+    centred = t.crossJoin(F.broadcast(means.select(*[F.col(c).alias(f"_m_{c}") for c in cols]))).select(
+        "seq", *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in cols])
+    _, var, loadings = models.pca2(models.assemble(centred, cols))
+    rows = [(k + 1, c, x, v) for k, (v, load) in enumerate(zip(var, loadings, strict=True)) for c, x in zip(cols, load, strict=True)]
+    return spark.createDataFrame(rows, "component int, feature string, loading double, explained_variance double")
+
+
+@register("decision_tree_rules")
+def q_decision_tree_rules(spark, sf_dir):
+    """M6: the depth-4 tree's rules, one line a row, features by name."""
+    t, cols = model_table(spark, sf_dir)
+    cw = agg.balanced_class_weights(t, "is_fraud").select("is_fraud", F.col("weight").alias("_w"))
+    t = t.join(F.broadcast(cw), "is_fraud")
+    _, rules = models.decision_tree(t.filter("split = 'train'"), t.filter("split = 'test'"), "is_fraud", "_w")
+    lines = [re.sub(r"feature (\d+)", lambda m: cols[int(m[1])], x) for x in rules.splitlines()[1:] if x.strip()]
+    return spark.createDataFrame(list(enumerate(lines)), "line int, rule string")
 
 
 def _iforest(spark, sf_dir, contamination):
@@ -180,18 +196,42 @@ def q_isolation_forest(spark, sf_dir):
 
 @register("detector_benchmark")
 def q_detector_benchmark(spark, sf_dir):
+    """Forest grown on 70 % of the rows on two features, the other 30 % judged at two contaminations
+    (thresholds from the training scores)."""
+    cols = ["amount_d", "value"]
+    f = features.standardize(features.impute_mean(feat(spark, sf_dir), cols), cols)
+    f = features.hash_split(f.select("seq", "is_fraud", "amount_d_z", "value_z"), "seq", 0.3, tag="bench")
+    train, test = f.filter("split = 'train'"), f.filter("split = 'test'")
+    scored = models.isolation_scores(f, ["amount_d_z", "value_z"], "seq", fit=train)
     parts = []
     for c in (0.05, 0.1):
-        s = _iforest(spark, sf_dir, c).withColumn("pred", (F.col("if_label") == -1).cast("int"))
-        rep = stats.classification_report(s, "is_fraud", F.col("pred"))
+        s = models.flag_share(scored.filter("split = 'test'"), c, of=scored.filter("split = 'train'"))
+        rep = stats.classification_report(s, "is_fraud", (F.col("if_label") == -1).cast("int"))
         parts.append(rep.withColumn("detector", F.lit("isolation_forest")).withColumn("contamination", F.lit(c)))
     return parts[0].unionByName(parts[1])
 
 
 @register("cluster_labels")
 def q_cluster_labels(spark, sf_dir):
+    """Each model adds its label to the same rows, no join back."""
+    t, cols = model_table(spark, sf_dir)
+    both = models.bisecting(models.kmeans(t)).select("seq", "is_fraud", "kmeans", "hierarchical", *cols)
+    return models.isolation_forest(both, cols, "seq").select("seq", "is_fraud", "kmeans", "hierarchical", "if_label")
+
+
+@register("kmeans_nearest", WA + "SELECT seq, true AS nearest FROM activity_log")
+def q_kmeans_nearest(spark, sf_dir):
+    """M7 checked on every row: its cluster's centre is the nearest one."""
+    t, cols = model_table(spark, sf_dir)
+    labelled, centres = models.kmeans_centres(t)
+    gap = [sum((F.col(c) - float(x)) * (F.col(c) - float(x)) for c, x in zip(cols, v, strict=True)) for v in centres]
+    own = F.get(F.array(*gap), F.col("kmeans"))
+    return labelled.select("seq", (own <= F.least(*gap) + 1e-6).alias("nearest"))
+
+
+@register("forest_trees", WA + """
+SELECT CAST(tree AS INTEGER) AS tree, least(256, (SELECT count(*) FROM activity_log)) AS rows FROM range(100) t(tree)""")
+def q_forest_trees(spark, sf_dir):
+    """M10 checked: 100 trees, each grown on a full sample, whatever the table's size."""
     t, cols = model_table(spark, sf_dir)
-    k = models.kmeans(t).select("seq", "kmeans")
-    b = models.bisecting(t).select("seq", "hierarchical")
-    i = _iforest(spark, sf_dir, 0.05).select("seq", "if_label")
-    return bind.activity_log(spark, sf_dir).select("seq", "is_fraud").join(k, "seq").join(b, "seq").join(i, "seq")
+    return models.forest_samples(t.select("seq", *cols), cols, "seq").groupBy("tree").agg(F.count(F.lit(1)).alias("rows"))

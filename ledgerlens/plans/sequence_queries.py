@@ -232,3 +232,40 @@ def q_transition_rules(spark, sf_dir):
     rules = rules.withColumn("p", F.round(F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("from_state")), 6))
     states = C.impact_df(spark).select(F.col("activity").alias("state")).distinct()
     return markov.build_transition_rules(rules, states)
+
+
+@register("matrix_row_sums", f"""
+SELECT behavior, from_activity, round(sum(p), 6) AS row_sum FROM {_RAW_T_SQL} GROUP BY 1, 2
+HAVING abs(sum(p) - 1.0) > 1e-6 AND behavior IN (SELECT DISTINCT behavior FROM activity_log)""".replace(
+    "SELECT behavior, from", W + "SELECT behavior, from", 1))
+def q_matrix_row_sums(spark, sf_dir):
+    """Rows of the raw catalog, for behaviours that the log shows, whose probabilities do not sum to 1."""
+    seen = log(spark, sf_dir).select("behavior").distinct()
+    sums = C.transition_df(spark, include_zero=True).groupBy("behavior", "from_activity").agg(F.sum("p").alias("s"))
+    return sums.filter(F.abs(F.col("s") - 1.0) > 1e-6).join(seen, "behavior", "left_semi").select(
+        "behavior", "from_activity", F.round("s", 6).alias("row_sum"))
+
+
+@register("filter_agent", W + "SELECT seq, virtual_id, activity_type FROM activity_log WHERE virtual_id = (SELECT min(virtual_id) FROM activity_log)")
+def q_filter_agent(spark, sf_dir):
+    """One agent's rows, the filter pushed to the scan."""
+    from ..operators import features
+    lg = log(spark, sf_dir)
+    return features.filter_agent(lg, lg.agg(F.min(ACC)).first()[0], ACC).select("seq", ACC, "activity_type")
+
+
+@register("split_by_label", W + """
+SELECT is_fraud, CAST(count(*) AS BIGINT) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM activity_log GROUP BY 1""")
+def q_split_by_label(spark, sf_dir):
+    """The two class frames, summed up."""
+    from ..operators import features
+    parts = features.split_by_label(log(spark, sf_dir))
+    out = [d.agg(F.lit(v).alias("is_fraud"), F.count(F.lit(1)).alias("n"), F.sum("seq").cast("long").alias("seq_sum")) for v, d in parts.items()]
+    return out[0].unionByName(out[1]).withColumn("is_fraud", F.col("is_fraud").cast("int"))
+
+
+@register("drop_columns", W + "SELECT * EXCLUDE (device, network, location) FROM activity_log")
+def q_drop_columns(spark, sf_dir):
+    """P5: named columns and a prefix dropped, absent names ignored."""
+    from ..operators import features
+    return features.drop_columns(log(spark, sf_dir), names=["device", "network", "absent"], prefixes=["loc"])

@@ -87,3 +87,56 @@ def q_format_seconds(spark, sf_dir):
     e = bind.table(spark, sf_dir, "events")
     iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
     return e.select("event_id", F.regexp_replace(iso, r"\.\d+", "").alias("iso_seconds"))
+
+
+# Array answers: every response's object in one of seven shapes (fenced, several blocks, bare, a bad block first, a comment, none, whole).
+_OBJ = "'{\"id\": ' || resp_id || ', \"n\": ' || (resp_id % 7) || '}'"
+_SHAPES = {0: f"'Here: ```json\n[' || {_OBJ} || ', {{\"id\": 0}}]\n```'", 1: f"'```json\n[' || {_OBJ} || ']\n``` and ```json\n[{{\"id\": 1}}]\n```'",
+           2: f"'so [ ' || {_OBJ} || ' ] it is'", 3: f"'[ {{bad}} ] or [ ' || {_OBJ} || ' ]'",
+           4: "'```json\n[{\"id\": ' || resp_id || ' // note\n}]\n```'", 5: "'no answer'", 6: f"'[' || {_OBJ} || ', ' || {_OBJ} || ']'"}
+_ANSWER = "CASE resp_id % 7 " + " ".join(f"WHEN {k} THEN {v}" for k, v in _SHAPES.items()) + " END"
+
+
+def answers(spark, sf_dir):
+    expr = _ANSWER.replace("\n", "\\n").replace('\"', '\\"')
+    return bind_bank.responses(spark, sf_dir).select("resp_id", F.expr(expr).alias("answer"))
+
+
+_AR = WR + rf"""
+, a AS (SELECT resp_id, replace({_ANSWER.replace(chr(10), "<nl>")}, '<nl>', chr(10)) AS t FROM responses),
+  x2 AS (SELECT resp_id, CASE WHEN len(f) > 0 THEN f ELSE b END AS blocks FROM (
+    SELECT resp_id, regexp_extract_all(t, '(?s)```json\s*(\[.*?\])\s*```', 1) AS f, regexp_extract_all(t, '(?s)(\[\s*\{{.*?\}}\s*\])', 1) AS b FROM a)),
+  x4 AS (SELECT resp_id, list_transform(CASE WHEN len(f) > 0 THEN f ELSE b END, lambda v: regexp_replace(v, '//[^\n]*', '', 'g')) AS blocks FROM (
+    SELECT resp_id, regexp_extract_all(t, '(?s)```json\s*(\[\s*\{{.*?\}}\s*\])\s*```', 1) AS f,
+           regexp_extract_all(t, '(?s)(\[\s*\{{.*?\}}\s*\])', 1) AS b FROM a))
+"""
+
+
+@register("extract_arrays", _AR + """
+SELECT resp_id, CAST(list_sum(list_transform(list_filter(blocks, lambda v: json_valid(v)), lambda v: json_array_length(v))) AS INTEGER) AS n_items,
+       json_extract_string(list_filter(blocks, lambda v: json_valid(v))[1], '$[0].id') AS first_id
+FROM x2 WHERE len(list_filter(blocks, lambda v: json_valid(v))) > 0""")
+def q_extract_arrays(spark, sf_dir):
+    """X2 on array answers: number of items of all blocks that parse, and the first item's id."""
+    a = answers(spark, sf_dir).select("resp_id", X.extract_arrays("answer").alias("i")).filter(F.col("i").isNotNull())
+    return a.select("resp_id", F.size("i").alias("n_items"), F.get_json_object(F.get("i", F.lit(0)), "$.id").alias("first_id"))
+
+
+@register("extract_array_simple", _AR + r"""
+SELECT resp_id, CAST(json_array_length(v) AS INTEGER) AS n_items, json_extract_string(v, '$[0].id') AS first_id
+FROM (SELECT resp_id, CASE WHEN json_valid(t) THEN t ELSE regexp_extract(t, '(?s)\[.*\]') END AS v FROM a) WHERE json_valid(v)""")
+def q_extract_array_simple(spark, sf_dir):
+    """X3 on array answers."""
+    a = answers(spark, sf_dir).select("resp_id", X.extract_array_simple("answer").alias("i")).filter(F.col("i").isNotNull())
+    return a.select("resp_id", F.size("i").alias("n_items"), F.get_json_object(F.get("i", F.lit(0)), "$.id").alias("first_id"))
+
+
+@register("extract_array_nocomment", _AR + """
+SELECT resp_id, CAST(CASE WHEN ok > 0 THEN json_array_length(blocks[ok]) END AS INTEGER) AS n_items,
+       CAST(CASE WHEN ok > 0 THEN ok - 1 WHEN k = 0 THEN 1 ELSE k * ceil(3.0 / k) END AS INTEGER) AS retries
+FROM (SELECT resp_id, blocks, len(blocks) AS k,
+             coalesce(list_position(list_transform(blocks, lambda v: json_valid(v)), true), 0) AS ok FROM x4)""")
+def q_extract_array_nocomment(spark, sf_dir):
+    """X4 on array answers: items of the first block that parses and the failed tries."""
+    a = answers(spark, sf_dir).select("resp_id", X.extract_array_nocomment("answer").alias("r"))
+    return a.select("resp_id", F.when(F.col("r.items").isNotNull(), F.size("r.items")).alias("n_items"), F.col("r.retries").alias("retries"))

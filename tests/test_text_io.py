@@ -13,25 +13,29 @@ def _one(spark, col):
     return spark.createDataFrame([("x",)], "t string").select(col.alias("r")).first()["r"]
 
 
-def test_extract_arrays_variants(spark):
-    t = 'a ```json\n[{"a": 1}]\n``` b ```json\n[{"b": 2}, {"c": 3}]\n``` c ```json\n[bad]\n```'
-    got = spark.createDataFrame([(t,)], "t string").select(X.extract_arrays("t").alias("r")).first()["r"]
-    assert json.loads(got) == ['{"a":1}', '{"b":2}', '{"c":3}']
-    bare = 'text [ {"a": 1} ] more [ {"b": 2} ]'
-    got = spark.createDataFrame([(bare,)], "t string").select(X.extract_arrays("t").alias("r")).first()["r"]
-    assert len(json.loads(got)) == 2
-    none = spark.createDataFrame([("nothing here",)], "t string").select(X.extract_arrays("t").alias("r")).first()["r"]
-    assert none is None
-    com = '```json\n[{"a": 1} // note\n]\n```'
-    got = spark.createDataFrame([(com,)], "t string").select(X.extract_arrays("t", strip_comments=True).alias("r")).first()["r"]
-    assert len(json.loads(got)) == 1
+def _texts(spark, texts, col):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    return [r["r"] for r in df.select("i", col.alias("r")).orderBy("i").collect()]
+
+
+def test_extract_arrays(spark):
+    got = _texts(spark, ['a ```json\n[{"a": 1}]\n``` b ```json\n[{"b": "x//y"}, {"c": 3}]\n``` c ```json\n[bad]\n```',
+                         'text [ {"a": 1} ] more [ {"b": 2} ]', "nothing here", None, "```json\n[]\n```"], X.extract_arrays("t"))
+    assert [json.loads(x) for x in got[0]] == [{"a": 1}, {"b": "x//y"}, {"c": 3}]
+    assert [json.loads(x) for x in got[1]] == [{"a": 1}, {"b": 2}] and got[2:] == [None, None, None]
+
+
+def test_extract_array_nocomment(spark):
+    got = _texts(spark, ['```json\n[{"a": 1 // note\n}]\n```', 'x [ {bad} ] y [ {"b": 2} ] z [ {"c": 3} ]', "[ {bad} ]", "none",
+                         "[ {x} ] [ {y} ]"], X.extract_array_nocomment("t"))
+    assert [(r["items"], r["retries"]) for r in got] == [(['{"a":1}'], 0), (['{"b":2}'], 1), (None, 3), (None, 1), (None, 4)]
 
 
 def test_simple_and_first_block(spark):
-    df = spark.createDataFrame([('[1, 2]',), ('see [1] and [2]',), ('obj {"a": 1} then {"b": 2}',), ('none',)], "t string")
-    got = [r.asDict() for r in df.select(X.extract_array_simple("t").alias("s"), X.first_json_block("t").alias("f")).collect()]
-    assert got[0]["s"] == "[1, 2]" and got[1]["s"] == "[1] and [2]" and got[1]["f"] == "[1]"
-    assert got[2]["f"] == '{"a": 1}' and got[3]["s"] is None and got[3]["f"] is None
+    texts = ["[1, 2]", "see [1] and [2]", 'obj {"a": 1} then {"b": 2}', "none", ' {"a": 1} ', "so [1, 2] it is"]
+    assert _texts(spark, texts, X.extract_array_simple("t")) == [["1", "2"], None, None, None, ['{"a":1}'], ["1", "2"]]
+    first = _texts(spark, texts, X.first_json_block("t"))
+    assert first[1] == "[1]" and first[2] == '{"a": 1}' and first[3] is None
 
 
 def test_tokens_severity_power(spark):

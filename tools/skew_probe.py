@@ -40,7 +40,7 @@ def main():
     acc = ledger.account_results(rows, account="acct", order=["ts", "seq"]).orderBy("acct").collect()
     t_ledger = time.time() - t
     sizes = rows.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
-    b = seqwin.add_bucket(log, ["ts", "seq"])
+    b = seqwin.add_bucket(log, "acct", ["ts", "seq"], rows=max(1000, n // 64))
     win_max = b.groupBy("acct", seqwin.BUCKET).count().agg(F.max("count")).first()[0]
     plain_max = log.groupBy("acct").count().agg(F.max("count")).first()[0]
     # reference: one pandas fold per account on its own (the plain plan), compared per account
@@ -57,7 +57,7 @@ def main():
                     bal += x
             ref[a] = (dec, bal)
         ok = all(ref[r["acct"]] == (r["declines"], int(r["closing_balance"] * 100)) for r in acc)
-    print({"rows": n, "hot_account_rows": hot, "partitions": parts,
+    print({"carry_rounds": ledger.replay.rounds, "rows": n, "hot_account_rows": hot, "partitions": parts,
            "ledger_max_partition_share": round(sizes / n, 4), "window_max_group_share": round(win_max / n, 4),
            "plain_window_max_group_share": round(plain_max / n, 4), "ledger_s": round(t_ledger, 2),
            "matches_per_account_fold": ok})
