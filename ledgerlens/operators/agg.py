@@ -111,12 +111,12 @@ def fraud_mix(df: DataFrame, target: float, label: str = "is_fraud") -> DataFram
 def inverse_weights(rates: DataFrame, key: str, rate: str) -> DataFrame:
     """w = (1/rate) / sum(1/rate) over the (small) rate table."""
     inv = F.lit(1.0) / F.col(rate)
-    return rates.select(key, rate, _r(inv / F.sum(inv).over(Window.partitionBy())).alias("weight"))
+    total = rates.agg(F.sum(inv).alias("_t"))  # one row
+    return rates.crossJoin(F.broadcast(total)).select(key, rate, _r(inv / F.col("_t")).alias("weight"))
 
 
 def balanced_class_weights(df: DataFrame, label: str) -> DataFrame:
     """N / (k * n_c) per class."""
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    w = Window.partitionBy()
-    return g.select(label, "n_c", _r(F.sum("n_c").over(w) / (F.count(F.lit(1)).over(w) * F.col("n_c")))
-                    .alias("weight"))
+    total = g.agg(F.sum("n_c").alias("_n"), F.count(F.lit(1)).alias("_k"))  # one row
+    return g.crossJoin(F.broadcast(total)).select(label, "n_c", _r(F.col("_n") / (F.col("_k") * F.col("n_c"))).alias("weight"))

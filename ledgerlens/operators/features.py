@@ -50,9 +50,15 @@ def standardize(df: DataFrame, cols: list[str], fit: DataFrame | None = None, su
     return df.withColumns(out)
 
 
+MAX_CATEGORIES = 2000
+
+
 def categories(df: DataFrame, col: str) -> list[str]:
-    """Sorted distinct values of a categorical column (bounded by its cardinality)."""
-    return sorted(r[0] for r in df.select(col).distinct().collect() if r[0] is not None)
+    """Sorted distinct values of a categorical column.  More than ``MAX_CATEGORIES`` would be as many columns: an error."""
+    found = df.select(col).filter(F.col(col).isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect()
+    if len(found) > MAX_CATEGORIES:
+        raise ValueError(f"{col} has more than {MAX_CATEGORIES} values")
+    return sorted(r[0] for r in found)
 
 
 def one_hot(df: DataFrame, col: str, cats: list[str] | None = None, drop_first: bool = False,

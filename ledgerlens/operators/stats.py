@@ -18,25 +18,30 @@ def _r(c, n: int = 6):
 
 
 def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
-    """sqrt(chi2 / (n * (min(r, c) - 1))).
+    """sqrt(chi2 / (n * (min(r, c) - 1))) of one pair of columns."""
+    cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
+        F.col(x).cast("string").alias("x"), F.col(y).cast("string").alias("y")).agg(F.count(F.lit(1)).alias("o"))
+    return cramers_of_cells(cells.select(F.lit(x).alias("col1"), F.lit(y).alias("col2"), "x", "y", "o"))
+
+
+def cramers_of_cells(cells: DataFrame) -> DataFrame:
+    """A11 for many pairs at once: (col1, col2, n, chi2, cramers_v) from cells (col1, col2, x, y, o).
 
     chi2 over the full r x c table; cells absent from the data are handled by
     chi2 = n * (sum o^2 / (r_i c_j) - 1).  As in scipy, Yates' correction is
     applied only when dof = 1 (2 x 2), computed from the four counts.  A table
-    with a single row or column gives null.
+    with a single row or column gives null.  Totals are aggregates joined back,
+    so the cells of a pair never meet in one task.
     """
-    cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(
-        F.count(F.lit(1)).alias("o"))
-    wall = Window.partitionBy()
-    t = (cells.withColumn("ri", F.sum("o").over(Window.partitionBy(x)))
-         .withColumn("cj", F.sum("o").over(Window.partitionBy(y)))
-         .withColumn("n", F.sum("o").over(wall))
-         .withColumn("x0", F.min(x).over(wall)).withColumn("y0", F.min(y).over(wall)))
-    agg = t.agg(
-        F.first("n").alias("n"), F.countDistinct(x).alias("r"), F.countDistinct(y).alias("c"),
+    key = ["col1", "col2"]
+    t = (cells.join(cells.groupBy(*key, "x").agg(F.sum("o").alias("ri")), [*key, "x"])
+         .join(cells.groupBy(*key, "y").agg(F.sum("o").alias("cj")), [*key, "y"])
+         .join(cells.groupBy(*key).agg(F.sum("o").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0")), key))
+    agg = t.groupBy(*key).agg(
+        F.first("n").alias("n"), F.countDistinct("x").alias("r"), F.countDistinct("y").alias("c"),
         F.sum(F.col("o") * F.col("o") / (F.col("ri") * F.col("cj"))).alias("s"),
-        *[F.sum(F.when((F.col(x) == F.col("x0")) == xa, F.when((F.col(y) == F.col("y0")) == ya,
-                                                               F.col("o")))).alias(f"n{i}{j}")
+        *[F.sum(F.when((F.col("x") == F.col("x0")) == xa, F.when((F.col("y") == F.col("y0")) == ya,
+                                                                 F.col("o")))).alias(f"n{i}{j}")
           for i, xa in enumerate([True, False]) for j, ya in enumerate([True, False])])
     n = F.col("n").cast("double")
     o = {k: F.coalesce(F.col(k), F.lit(0)).cast("double") for k in ["n00", "n01", "n10", "n11"]}
@@ -54,8 +59,7 @@ def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
     chi_plain = n * (F.col("s") - F.lit(1.0))
     chi2 = F.when((F.col("r") == 2) & (F.col("c") == 2), chi_yates).otherwise(chi_plain)
     k = F.least(F.col("r"), F.col("c")) - 1
-    return agg.select(F.lit(x).alias("col1"), F.lit(y).alias("col2"), F.col("n").cast("long").alias("n"),
-                      _r(chi2).alias("chi2"),
+    return agg.select(*key, F.col("n").cast("long").alias("n"), _r(chi2).alias("chi2"),
                       F.when(k > 0, _r(F.sqrt(chi2 / (n * k)))).alias("cramers_v"))
 
 
@@ -74,57 +78,57 @@ def anova_f(df: DataFrame, cat: str, num: str) -> DataFrame:
     g = df.filter(F.col(cat).isNotNull() & F.col(num).isNotNull()).groupBy(cat).agg(
         F.count(F.lit(1)).alias("ng"), F.avg(num).alias("mg"),
         F.coalesce(F.var_samp(num), F.lit(0.0)).alias("vg"))
-    tot = g.agg(F.sum("ng").alias("N"), (F.sum(F.col("ng") * F.col("mg")) / F.sum("ng")).alias("gm"),
-                F.count(F.lit(1)).alias("k"),
-                F.collect_list(F.struct("ng", "mg", "vg")).alias("groups"))
-    ssb = F.aggregate("groups", F.lit(0.0), lambda a, s: a + s["ng"] * (s["mg"] - F.col("gm")) ** 2)
-    ssw = F.aggregate("groups", F.lit(0.0), lambda a, s: a + (s["ng"] - 1) * s["vg"])
-    f = (ssb / (F.col("k") - 1)) / (ssw / (F.col("N") - F.col("k")))
-    return tot.select(F.lit(cat).alias("col1"), F.lit(num).alias("col2"), F.col("k").cast("long").alias("k"),
-                      F.col("N").cast("long").alias("n"), _r(f).alias("f_stat"))
-
-
-def anova_multi(df: DataFrame, cat: str, nums: list[str]) -> DataFrame:
-    """A13 for several numeric columns against one category in a single grouped pass."""
-    parts = []
-    aggs = []
-    for i, m in enumerate(nums):
-        ok = F.col(m).isNotNull()
-        aggs += [F.count(F.when(ok, F.lit(1))).alias(f"ng{i}"), F.avg(m).alias(f"mg{i}"),
-                 F.coalesce(F.var_samp(m), F.lit(0.0)).alias(f"vg{i}")]
-    g = df.filter(F.col(cat).isNotNull()).groupBy(cat).agg(*aggs)
-    for i, m in enumerate(nums):
-        gi = g.filter(F.col(f"ng{i}") > 0).select(F.col(f"ng{i}").alias("ng"), F.col(f"mg{i}").alias("mg"),
-                                                   F.col(f"vg{i}").alias("vg"))
-        tot = gi.agg(F.sum("ng").alias("N"), (F.sum(F.col("ng") * F.col("mg")) / F.sum("ng")).alias("gm"),
-                     F.count(F.lit(1)).alias("k"), F.collect_list(F.struct("ng", "mg", "vg")).alias("groups"))
-        ssb = F.aggregate("groups", F.lit(0.0), lambda a, x: a + x["ng"] * (x["mg"] - F.col("gm")) ** 2)
-        ssw = F.aggregate("groups", F.lit(0.0), lambda a, x: a + (x["ng"] - 1) * x["vg"])
-        f = (ssb / (F.col("k") - 1)) / (ssw / (F.col("N") - F.col("k")))
-        parts.append(tot.select(F.lit(cat).alias("col1"), F.lit(m).alias("col2"), F.col("k").cast("long").alias("k"),
-                                F.col("N").cast("long").alias("n"), _r(f).alias("f_stat")))
-    return reduce(DataFrame.unionByName, parts)
+    return anova_of_groups(g.select(F.lit(cat).alias("col1"), F.lit(num).alias("col2"), "ng", "mg", "vg"))
+
+
+def anova_of_groups(groups: DataFrame) -> DataFrame:
+    """A13 for many (category, number) pairs at once from group counts, means and variances (col1, col2, ng, mg, vg).
+
+    The grand means are joined back to the groups, so no pair's groups are collected."""
+    key = ["col1", "col2"]
+    tot = groups.groupBy(*key).agg(F.sum("ng").alias("N"), (F.sum(F.col("ng") * F.col("mg")) / F.sum("ng")).alias("gm"),
+                                   F.count(F.lit(1)).alias("k"))
+    parts = groups.join(tot, key).groupBy(*key).agg(
+        F.first("N").alias("N"), F.first("k").alias("k"), F.sum(F.col("ng") * (F.col("mg") - F.col("gm")) ** 2).alias("ssb"),
+        F.sum((F.col("ng") - 1) * F.col("vg")).alias("ssw"))
+    f = (F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("N") - F.col("k")))
+    return parts.select(*key, F.col("k").cast("long").alias("k"), F.col("N").cast("long").alias("n"), _r(f).alias("f_stat"))
 
 
 def mixed_association(df: DataFrame, nums: list[str], cats: list[str]) -> DataFrame:
     """Long table of associations: num-num Pearson, cat-cat Cramer's V,
-    cat-num ANOVA F, num-cat null (as in the source)."""
-    parts = []
-    if len(nums) > 1:
-        parts.append(pearson_pairs(df, nums).select("col1", "col2", F.lit("pearson").alias("kind"),
-                                                    F.col("corr").alias("value")))
-    for i, a in enumerate(cats):
-        for b in cats[i + 1:]:
-            parts.append(cramers_v(df, a, b).select("col1", "col2", F.lit("cramers_v").alias("kind"),
-                                                   F.col("cramers_v").alias("value")))
-    for c in cats:   # one grouped pass per category for all numeric columns
-        parts.append(anova_multi(df, c, nums).select("col1", "col2", F.lit("anova_f").alias("kind"),
-                                                     F.col("f_stat").alias("value")))
-    spark = df.sparkSession
-    nulls = spark.createDataFrame([(m, c) for m in nums for c in cats], "col1 string, col2 string") \
+    cat-num ANOVA F, num-cat null (as in the source).
+
+    One scan: ``GROUPING SETS`` over all categories, all pairs of them and the whole
+    table gives counts, means, variances and correlations; the small result is
+    checkpointed and everything else comes from it."""
+    width, num_pairs = len(cats), [(a, b) for i, a in enumerate(nums) for b in nums[i + 1:]]
+    sets = [[a, b] for i, a in enumerate(cats) for b in cats[i + 1:]] + [[c] for c in cats] + [[]]
+    aggs = [F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("_o")]
+    for i, m in enumerate(nums):
+        aggs += [F.count(m).alias(f"_n{i}"), F.avg(m).alias(f"_m{i}"), F.coalesce(F.var_samp(m), F.lit(0.0)).alias(f"_v{i}")]
+    aggs += [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_c{i}") for i, (a, b) in enumerate(num_pairs)]
+    small = df.select(*cats, *nums).groupingSets(sets, *cats).agg(*aggs).checkpoint(eager=True)
+    of = lambda *names: small.filter(F.col("_gid") == sum(  # noqa: E731  a set bit: the column is not in the set
+        1 << (width - 1 - k) for k, c in enumerate(cats) if c not in names))
+    label = lambda a, b: [F.lit(a).alias("col1"), F.lit(b).alias("col2")]
+    parts = [of().select(*label(a, b), F.lit("pearson").alias("kind"), _r(F.col(f"_c{i}")).alias("value"))
+             for i, (a, b) in enumerate(num_pairs)]
+    cells = [of(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
+        *label(a, b), F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y"), F.col("_o").alias("o"))
+        for a, b in (s for s in sets if len(s) == 2)]
+    if cells:
+        parts.append(cramers_of_cells(reduce(DataFrame.unionByName, cells)).select(
+            "col1", "col2", F.lit("cramers_v").alias("kind"), F.col("cramers_v").alias("value")))
+    groups = [of(c).filter(F.col(c).isNotNull() & (F.col(f"_n{i}") > 0)).select(
+        *label(c, m), F.col(f"_n{i}").alias("ng"), F.col(f"_m{i}").alias("mg"), F.col(f"_v{i}").alias("vg"))
+        for c in cats for i, m in enumerate(nums)]
+    if groups:
+        parts.append(anova_of_groups(reduce(DataFrame.unionByName, groups)).select(
+            "col1", "col2", F.lit("anova_f").alias("kind"), F.col("f_stat").alias("value")))
+    nulls = df.sparkSession.createDataFrame([(m, c) for m in nums for c in cats], "col1 string, col2 string") \
         .select("col1", "col2", F.lit("none").alias("kind"), F.lit(None).cast("double").alias("value"))
-    parts.append(nulls)
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [*parts, nulls])
 
 
 def behavior_correlation(df: DataFrame, features: list[str], behavior: str, behaviors: list[str]) -> DataFrame:

@@ -80,8 +80,9 @@ _NET = sorted(C.NETWORKS)
     f"CAST(device = '{d}' AS INTEGER) AS device_{_safe(d)}" for d in _DEV) + " FROM activity_log")
 def q_one_hot(spark, sf_dir):
     log = bind.activity_log(spark, sf_dir).select("seq", "device")
-    oh = features.one_hot(log, "device")
-    return oh.select("seq", *[F.col(f"device_{d}").alias(f"device_{_safe(d)}") for d in features.categories(log, "device")])
+    cats = features.categories(log, "device")
+    oh = features.one_hot(log, "device", cats)
+    return oh.select("seq", *[F.col(f"device_{d}").alias(f"device_{_safe(d)}") for d in cats])
 
 
 @register("dummies", WA + "SELECT seq, " + ", ".join(
