@@ -14,11 +14,11 @@ shingle).  Documents with ``100 * |A and B| >= percent * |A or B|`` are linked;
    bucket's smallest digest only, so pairs grow with members, not their square.
 3. Candidates are confirmed on full sets, fetched for candidates only.
 4. The rest, exactly: buckets whose members stand in more than one component
-   still hide pairs that no star holds.  A second star starts from the member
-   with the smallest share of shingles of its own.  After it, a member outside its
-   bucket's largest component is paired with all members of other components
-   there, unless too many shingles of either stand in no other set of such buckets
-   for the link to reach the threshold (a bound, so no link is lost).
+   still hide pairs that no star holds.  Up to ``SMALL`` members all pairs are
+   taken.  Larger buckets get a second star, from their pivot, that also counts
+   what each member shares with the pivot; what two members must then share
+   beyond it selects pairs by their rarest such shingles (``_beside_pivots``).
+   Both are bounds, so no link is lost.
 5. Components by contraction to the smallest neighbour, a written table a round.
 
 ``bands`` follows from the threshold: a pair at the threshold shares no bucket
@@ -41,7 +41,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import codes, fresh, map_slices, stored, text_bytes, words
@@ -49,6 +49,7 @@ from .common import codes, fresh, map_slices, stored, text_bytes, words
 MISS = 1e-5
 ROWS = 6
 BROADCAST = 400_000
+SMALL = 8
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -204,50 +205,71 @@ def _fetch(docs: DataFrame, sketch: DataFrame, wanted: DataFrame, k: int) -> Dat
     return stored(found.join(ids.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "sets")
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, digest, label of the buckets whose members stand in more than one component."""
-    named = (members.select("key", "digest").join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left")
-             .select("key", "digest", F.coalesce("label", "digest").alias("label")))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return stored(named.join(mixed, "key", "left_semi"), "mixed")
-
-
-def _alone(mixed: DataFrame, sets: DataFrame) -> DataFrame:
-    """digest, n and own: how many of its shingles no other set of the mixed buckets holds."""
-    inside = sets.join(mixed.select("digest").distinct(), "digest", "left_semi")
-    once = (inside.select("digest", F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("digest").alias("digest"))
-            .where("c = 1").groupBy("digest").agg(F.count("*").alias("own")))
-    return stored(inside.select("digest", F.size("set").alias("n")).join(once, "digest", "left")
-                  .select("digest", "n", F.coalesce("own", F.lit(0)).alias("own")), "own")
-
-
 def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _second_stars(mixed: DataFrame, alone: DataFrame) -> DataFrame:
-    """Pairs of each mixed bucket's plainest member (least share of own shingles) with its members of other components."""
-    rows = mixed.join(alone, "digest")
-    centre = rows.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "digest", "label")).alias("m"))
-    pairs = mixed.join(centre, "key").where(F.col("label") != F.col("m.label")).select("digest", F.col("m.digest").alias("centre"))
-    return pairs.select(*_ordered("digest", "centre")).distinct()
-
-
-def _rest(mixed: DataFrame, alone: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that a mixed bucket still holds, one of them outside its largest component.
-
-    No more than ``n - own`` shingles of a set stand in any other, and a link needs
-    ``percent / (100 + percent) * (n + m)`` common ones: the join drops other pairs."""
-    sizes = mixed.groupBy("key", "label").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("m", "label"))["label"].alias("top"))
-    rows = mixed.join(alone, "digest")
-    name = lambda k: ["key", *(F.col(c).alias(f"{c}_{k}") for c in ("digest", "label", "n", "own"))]
-    outside = rows.join(largest, "key").where("label <> top").select(*name("x"))
-    need = (F.col("n_x") + F.col("n_y")) * percent
-    fits = lambda k: (F.col(f"n_{k}") - F.col(f"own_{k}")) * (100 + percent) >= need
-    other = rows.select(*name("y")).withColumnRenamed("key", "key_y")
-    pairs = outside.join(other, (F.col("key") == F.col("key_y")) & (F.col("label_x") != F.col("label_y")) & fits("x") & fits("y"))
-    return pairs.select(*_ordered("digest_x", "digest_y")).distinct()
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, digest, label, m (size) of the buckets of three members or more that stand in more than one component."""
+    named = (members.select("key", "digest").join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left")
+             .select("key", "digest", F.coalesce("label", "digest").alias("label")))
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"))
+    return stored(named.join(mixed.where("lo <> hi and m > 2").select("key", "m"), "key"), "mixed")
+
+
+def _small(mixed: DataFrame) -> DataFrame:
+    """All pairs of different components of buckets of at most SMALL members: a bounded number for each member."""
+    rows = mixed.where(F.col("m") <= SMALL)
+    other = rows.select(F.col("key").alias("k2"), F.col("digest").alias("d2"), F.col("label").alias("l2"))
+    return (rows.join(other, (F.col("key") == F.col("k2")) & (F.col("digest") < F.col("d2")) & (F.col("label") != F.col("l2")))
+            .select(*_ordered("digest", "d2")))
+
+
+def _against_pivots(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """p, y, n, np, ip, extra: each member y of a large bucket against the bucket's pivot p.
+
+    n and np are set sizes, ip the common shingles, extra those of y that p lacks.
+    The pivot is the member that most mixed buckets hold, which are the plainest copies."""
+    large = mixed.where(F.col("m") > SMALL)
+    often = large.groupBy("digest").agg(F.count("*").alias("k"))
+    pivot = large.join(often, "digest").groupBy("key").agg(F.min(F.struct((-F.col("k")).alias("k"), "digest"))["digest"].alias("p"))
+    pairs = large.join(pivot, "key").select("p", F.col("digest").alias("y")).distinct()
+    both = (pairs.join(sets.select(F.col("digest").alias("y"), F.col("set").alias("sy")), "y")
+            .join(sets.select(F.col("digest").alias("p"), F.col("set").alias("sp")), "p"))
+    return stored(both.select("p", "y", F.size("sy").alias("n"), F.size("sp").alias("np"), F.size(F.array_intersect("sy", "sp")).alias("ip"),
+                              F.array_except("sy", "sp").alias("extra")), "pivots")
+
+
+def _beside_pivots(against: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) under one pivot, of different components, that can reach the threshold; x is not linked with the pivot.
+
+    A link needs ``percent / (100 + percent) * (n_x + n_y)`` common shingles and at
+    most ``min(ip_x, ip_y)`` of them are the pivot's.  For y not smaller than x the
+    rest, ``r`` of x's extra shingles at least, must be y's too, so y holds one of any
+    ``e_x - r + 1`` of them: the rarest are joined.  For other pairs the extra ones
+    that stand in another set at all bound what two sets can share."""
+    name = labels.select("node", "label")
+    rows = (against.join(name.select(F.col("node").alias("y"), F.col("label").alias("ly")), "y", "left")
+            .join(name.select(F.col("node").alias("p"), F.col("label").alias("lp")), "p", "left")
+            .withColumns({"ly": F.coalesce("ly", "y"), "lp": F.coalesce("lp", "p")}))
+    held = rows.select("p", "y", "n", "ly", F.explode("extra").alias("h"))
+    shared = held.groupBy("p", "h").agg(F.count("*").alias("c")).where("c > 1")
+    need = F.ceil(F.col("n") * (2 * percent / (100 + percent)) - 1e-9).cast("int")
+    outside = rows.where("ly <> lp").withColumns({"e": F.size("extra"), "r": need - F.col("ip")})
+    # shingles that only x has come first in the order and join with nothing
+    spread = outside.where("r >= 1 and e >= r").select("p", F.col("y").alias("x"), F.col("n").alias("nx"), F.col("ly").alias("lx"), "e", "r",
+                                                       F.explode("extra").alias("h")).join(shared, ["p", "h"])
+    place = F.row_number().over(Window.partitionBy("p", "x").orderBy("c", "h")) + F.col("e") - F.count("*").over(Window.partitionBy("p", "x"))
+    prefix = spread.withColumn("place", place).where(F.col("place") <= F.col("e") - F.col("r") + 1).select("p", "h", "x", "nx", "lx")
+    found = prefix.join(held, ["p", "h"]).where((F.col("lx") != F.col("ly")) & (F.col("n") >= F.col("nx"))).select(*_ordered("x", "y"))
+    slack = held.join(shared, ["p", "h"], "left_semi").groupBy("p", "y").agg(F.count("*").cast("int").alias("slack"))
+    bound = lambda df: df.join(slack, ["p", "y"], "left").withColumn("slack", F.coalesce("slack", F.lit(0)))
+    col = lambda k: [F.col("p").alias(f"p{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("y", "n", "ip", "ly", "slack"))]
+    left, right = bound(outside).select(*col(1), "r"), bound(rows).select(*col(2))
+    common = F.least("ip1", "ip2") + F.least("slack1", "slack2")
+    other = left.join(right, (F.col("p1") == F.col("p2")) & (F.col("ly1") != F.col("ly2")) & ((F.col("n2") < F.col("n1")) | (F.col("r") < 1))
+                      & (common * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)).select(*_ordered("y1", "y2"))
+    return found.union(other)
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
@@ -263,14 +285,17 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     links = stored(confirmed(tested, full, percent), "links")
     labels = components(links)
     mixed = _mixed(members, labels)
-    alone = _alone(mixed, full)
-    for find in (lambda: _second_stars(mixed, alone), lambda: _rest(mixed, alone, percent)):
-        pairs = stored(find().join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = stored(confirmed(pairs, full, percent), "links")
-        if not more.isEmpty():
-            links, tested = links.union(more), tested.union(pairs)
-            labels = components(links)
-            mixed = _mixed(mixed, labels)
+    against = _against_pivots(mixed, full)
+    reach = F.col("ip") * 100 >= (F.col("n") + F.col("np") - F.col("ip")) * percent
+    more = stored(against.where((F.col("p") != F.col("y")) & reach).select(*_ordered("p", "y")).distinct(), "links")
+    if not more.isEmpty():
+        links = links.union(more)
+        labels = components(links)
+    tested = tested.union(against.select(*_ordered("p", "y")))
+    pairs = stored(_small(mixed).union(_beside_pivots(against, labels, percent)).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    rest = stored(confirmed(pairs, full, percent), "rest")
+    if not rest.isEmpty():
+        labels = components(links.union(rest))
     named = some.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left")
     group = F.coalesce("label", "digest")
     lowest = named.groupBy(group.alias("group")).agg(F.min("doc_id").alias("component_id"))
