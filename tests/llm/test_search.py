@@ -66,7 +66,7 @@ def test_one_permutation_estimates_jaccard():
         assert abs(np.mean(hits)) < 0.08
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_near_duplicates_brute_force(spark, seed):
     """Chains, edited copies over a range of similarities and one large group of copies of a copy."""
     rng = random.Random(seed)
