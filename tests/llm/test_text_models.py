@@ -90,7 +90,7 @@ def test_line_crf_held_out(spark, truth, odd_docs, no_docs):
 
 def test_no_labels(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    one = spark.createDataFrame([(4, 1, 0), (4, 1, 0), (None, 0, 0), (7, None, 1)], "doc_id long, quality int, toxic int")
+    one = spark.createDataFrame([(8, 1, 0), (8, 1, 0), (4, 0, 0), (None, 0, 0), (7, None, 1)], "doc_id long, quality int, toxic int")
     for labels, prior in ((none, 0.5), (one, 1.0)):
         sample = labelled.sample(odd_docs, labels)
         net = quality_cnn.fit(sample)
