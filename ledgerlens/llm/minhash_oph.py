@@ -177,9 +177,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and label (the smallest node of its component) of all nodes of ``edges`` (a, b).
 
-    Each round contracts every node to its smallest neighbour; nodes that are no
-    local minimum vanish, so the rounds are logarithmic.  Every round's tables
-    are written to the shared folder."""
+    Each round contracts every node to its smallest neighbour.  Nodes are digests,
+    so their order is random and the expected number of rounds is logarithmic, for
+    a long chain as for a star.  Every round's tables are written to the shared folder."""
     labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

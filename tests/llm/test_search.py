@@ -100,9 +100,11 @@ def test_near_duplicates_real_and_odd(spark, real_docs, odd_docs, no_docs, odd_r
 
 
 def test_components(spark):
+    """Random edges and a long path, over digests as the operator makes them."""
     rng = random.Random(5)
-    edges = {(f"{a:03d}".encode(), f"{b:03d}".encode()) for a, b in ((rng.randrange(150), rng.randrange(150)) for _ in range(110)) if a < b}
-    edges |= {(f"{k:03d}".encode(), f"{k + 1:03d}".encode()) for k in range(200, 260)}
+    node = lambda k: hashlib.blake2b(str(k).encode(), digest_size=16).digest()
+    edges = {tuple(sorted((node(a), node(b)))) for a, b in ((rng.randrange(150), rng.randrange(150)) for _ in range(110)) if a != b}
+    edges |= {tuple(sorted((node(k), node(k + 1)))) for k in range(200, 260)}
     got = {bytes(r["node"]): bytes(r["label"]) for r in minhash_oph.components(spark.createDataFrame(sorted(edges), "a binary, b binary")).collect()}
     want = {x: x for e in edges for x in e}
     for _ in want:
