@@ -296,11 +296,10 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     rest = stored(confirmed(pairs, full, percent), "rest")
     if not rest.isEmpty():
         labels = components(links.union(rest))
-    named = some.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left")
-    group = F.coalesce("label", "digest")
-    lowest = named.groupBy(group.alias("group")).agg(F.min("doc_id").alias("component_id"))
-    by_digest = (some.select("digest").distinct().join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left")
-                 .select("digest", group.alias("group")).join(lowest, "group").select("digest", "component_id"))
+    # copies meet in a partial aggregate first, so a hot digest is one row in these joins
+    lowest = some.groupBy("digest").agg(F.min("doc_id").alias("first")).join(
+        labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    by_digest = lowest.join(lowest.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("digest", "component_id")
     out = sketch.select("doc_id", "n", "digest").join(by_digest, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
