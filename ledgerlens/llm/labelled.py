@@ -28,7 +28,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
     few = known.where("label = 0").orderBy("order", "doc_id").limit(per_class).union(
         known.where("label = 1").orderBy("order", "doc_id").limit(per_class))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])  # 2 * per_class rows are broadcast
+    # 2 * per_class rows are broadcast; of rows that repeat a doc_id the text first in order counts
+    return texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "label", "order").agg(F.min("text").alias("text"))
 
 
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
