@@ -4,8 +4,14 @@ A page is cut into blocks at block-level tags.  A block has its text (character
 references decoded, white space turned into single spaces), its share of
 characters inside links, its share of stop words and its place: inside an
 element that never holds the article (navigation, header, footer, sidebar, form,
-or an element whose class, id or role names a menu, notice, advert, share bar or
-comments), inside ``article`` or ``main``, or neither.
+a hidden element, or one whose class, id or role is a hint), inside ``article`` or
+``main``, or neither.
+
+A hint is a whole name of a class or id (``sidebar``, ``cookie-notice``; not
+``has-sidebar``).  Names of layout parts give way to an article or main below
+them, they and names of teasers and adverts to a main or a block below them that is
+long, no link and rich in stop words.  Names of comments and of cookie notices give
+way only where the page has no text without them.
 
 Pass 1 decides a block on its own: boilerplate if its place says so, if most of
 it is links, or, on a page with an ``article`` or ``main``, if it lies outside;
@@ -56,39 +62,85 @@ small span strike strong sub sup time tt u var wbr""".split())
 NEVER = frozenset("""nav header footer aside form menu dialog button select option textarea noscript template iframe object
 svg math canvas audio video map fieldset datalist""".split())
 PLACES = frozenset(("article", "main"))
-HINT = re.compile(r"""(?ix) (?:^|[\s_-]) (?: ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|menu\w*|nav|navbar|navigation|
-breadcrumbs?|sidebar|side|widget\w*|footer|header|masthead|cookies?|consent|notices?|alert\w*|popup|modal|newsletter|subscribe|
-share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|reply|login|signup|search|pagination|pager|
-complementary|contentinfo|copyright|legal|disclaimer ) (?:$|[\s_-])""")
+# Names by what they give way to: an article, a main or rich text, nothing but an empty page.
+LAYOUT, TEASER, REMARK = 1, 2, 3
+HINTS = (
+    (REMARK, re.compile(r"cookies?|consent|comments?|commentlist|disqus|replies|reply")),
+    (TEASER, re.compile(r"ad|ads|advert[a-z]*|adbox|sponsor[a-z]*|promo[a-z]*|related|recommend[a-z]*")),
+    (LAYOUT, re.compile(r"""(?x) banner|menu[a-z]*|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget[a-z]*|footer|header|masthead|
+notices?|alert[a-z]*|popup|modal|newsletter|subscribe|share|sharing|social|login|signup|search|pagination|pager|complementary|
+contentinfo|copyright|legal|disclaimer""")))
+FRAME = frozenset("area bar block box item items links list main site".split())  # parts of a name that change nothing
+OF_REMARK = frozenset("body content div section text thread".split())  # the same, beside a name of comments
 TOKEN = re.compile(r"""(?isx)
     <!--.*?(?:-->|\Z) | <!\[CDATA\[.*?(?:\]\]>|\Z) | <[!?][^>]*(?:>|\Z)
   | <(?P<raw>script|style|title|xmp|noembed|noframes)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)
   | <(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)>
   | <(?P<close2>/?)(?P<tag2>[a-z][a-z0-9:-]*)[^>]*(?:>|\Z)""")
-ATTRIBUTE = re.compile(r"""(?is)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
-HIDDEN = re.compile(r"""(?is)\bhidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""")
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
+NO_DISPLAY = re.compile(r"(?i)display\s*:\s*none")
+PART = re.compile(r"[-_]+")
 WORD = re.compile(r"[^\W\d_]+")
 BOILERPLATE, CONTENT, OPEN = 0, 1, 2
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """(text, link characters, excluded, in article, heading) of all blocks with text, in page order."""
+def stop_share(text: str) -> float:
+    seen = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in seen) / max(1, len(seen))
+
+
+def hint_of(names: str) -> int:
+    """The strongest hint among the names of an element, 0 for none."""
+    best = 0
+    for name in names.lower().split():
+        parts = [x for x in PART.split(name) if x]
+        kinds = [next((k for k, words in HINTS if words.fullmatch(x)), 0) for x in parts]
+        strongest = max(kinds, default=0)
+        if strongest > best and all(k or x in FRAME or strongest == REMARK and (x in OF_REMARK or x.isdigit())
+                                    for k, x in zip(kinds, parts, strict=True)):
+            best = strongest
+    return best
+
+
+def attributes(rest: str) -> tuple[bool, int]:
+    """Whether an element is hidden, and the hint of its names."""
+    found = {}
+    for name, value in ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), value.strip("\"'"))
+    hidden = ("hidden" in found or found.get("aria-hidden", "").strip().lower() == "true"
+              or bool(NO_DISPLAY.search(found.get("style", ""))))
+    return hidden, hint_of(" ".join(found.get(x, "") for x in ("class", "id", "role")))
+
+
+def blocks(page: str, remarks: bool = False) -> list[tuple[str, int, bool, bool, bool]]:
+    """(text, link characters, excluded, in article, heading) of all blocks with text, in page order.
+
+    With ``remarks`` names of comments and notices are no hint."""
     out, stack, words, link = [], [], [], []
     excluded = placed = links = heads = 0
-    at = 0
+    at, hint = 0, -1
+    parent, kind, passed = [], [], []  # of each hint: the hint around it, its kind, the strongest that it has given way to
+
+    def give_way(h, strength):
+        while h >= 0 and kind[h] <= strength and passed[h] < strength:
+            passed[h] = strength
+            h = parent[h]
 
     def flush():
         if words:
             text = " ".join(html.unescape("".join(words)).split())
             if text:
                 inside = len(" ".join(html.unescape("".join(link)).split()))
-                out.append((text, inside, excluded > 0, placed > 0, heads > 0))
+                out.append((text, inside, excluded > 0, placed > 0, heads > 0, hint))
+                if hint >= 0 and not excluded and len(text) >= LONG and inside <= LINKS * len(text) and stop_share(text) >= STOP_HIGH:
+                    give_way(hint, TEASER)
             words.clear()
             link.clear()
 
     def leave(entry):
-        nonlocal excluded, placed, links, heads
-        _, out_of, place, is_link, head = entry
+        nonlocal excluded, placed, links, heads, hint
+        _, out_of, place, is_link, head, hinted = entry
+        hint = parent[hint] if hinted else hint
         excluded, placed, links, heads = excluded - out_of, placed - place, links - is_link, heads - head
 
     def put(text):
@@ -121,16 +173,26 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             continue
         if tag in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == tag:
             leave(stack.pop())
-        names = " ".join(x for a in ATTRIBUTE.findall(rest) for x in a if x)
-        out_of = tag in NEVER and not (tag == "header" and placed) or bool(HIDDEN.search(rest))
-        out_of = out_of or tag not in ("html", "body", *PLACES) and bool(names) and bool(HINT.search(names))
-        entry = (tag, int(out_of), int(tag in PLACES), int(tag == "a"), int(tag in ("h1", "h2", "h3", "h4", "h5", "h6")))
+        hidden, name = attributes(rest) if rest else (False, 0)
+        out_of = tag in NEVER and not (tag == "header" and placed) or hidden
+        hinted = name > 0 and tag not in ("html", "body", *PLACES) and not (remarks and name == REMARK)
+        if tag in PLACES and not out_of and not excluded:
+            give_way(hint, TEASER if tag == "main" else LAYOUT)
+        if hinted:
+            parent.append(hint)
+            kind.append(name)
+            passed.append(0)
+            hint = len(kind) - 1
+        entry = (tag, int(out_of), int(tag in PLACES), int(tag == "a"), int(tag in ("h1", "h2", "h3", "h4", "h5", "h6")), hinted)
         stack.append(entry)
         excluded, placed, links, heads = excluded + entry[1], placed + entry[2], links + entry[3], heads + entry[4]
     if at < len(page):
         put(page[at:])
     flush()
-    return out
+    holds = [p < k for p, k in zip(passed, kind, strict=True)]
+    for h, around in enumerate(parent):  # a hint stands after the hint around it
+        holds[h] = holds[h] or around >= 0 and holds[around]
+    return [(text, inside, out_of or h >= 0 and holds[h], place, head) for text, inside, out_of, place, head, h in out]
 
 
 def first_pass(found: list[tuple[str, int, bool, bool, bool]]) -> list[int]:
@@ -140,8 +202,7 @@ def first_pass(found: list[tuple[str, int, bool, bool, bool]]) -> list[int]:
         if out or has_place and not placed or inside > LINKS * len(text):
             labels.append(BOILERPLATE)
             continue
-        seen = WORD.findall(text.lower())
-        stops = sum(w in STOP_WORDS for w in seen) / max(1, len(seen))
+        stops = stop_share(text)
         if len(text) >= LONG and stops >= (STOP_LOW if placed else STOP_HIGH):
             labels.append(CONTENT)
         elif len(text) >= 3 * LONG and stops < STOP_LOW and not placed and not heading:
@@ -181,8 +242,12 @@ def second_pass(found: list[tuple[str, int, bool, bool, bool]], labels: list[int
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    return "\n".join(f[0] for f, x in zip(found, second_pass(found, first_pass(found)), strict=True) if x == CONTENT)
+    for remarks in (False, True):
+        found = blocks(page or "", remarks)
+        text = "\n".join(f[0] for f, x in zip(found, second_pass(found, first_pass(found)), strict=True) if x == CONTENT)
+        if text or not any(f[2] for f in found):
+            break
+    return text
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -170,6 +170,27 @@ def test_html_without_article_uses_neighbours():
     assert html_blocks.main_text(page) == f"{good}\nTiny.\n{good}"
 
 
+RICH = "This is the story of the man and of the sea that was there for all of us to see in the end of it."
+
+
+@pytest.mark.parametrize("attribute", [
+    *(f'class="{x}"' for x in ("content has-sidebar", "elementor-widget-container", "article-content no-comments", "layout-side-by-side",
+                               "page-header-fixed wrapper", "post-header", "sidebar", "overflow-hidden md:flex")),
+    'aria-hidden="false"', 'id="comments"', "data-class=ad"])
+def test_html_names_of_wrappers_keep_the_text(attribute):
+    for inside in (f"<p>{RICH}</p><p>Short.</p>", f"<article><h1>Title</h1><p>{RICH}</p></article>", f"<main><p>{RICH}</p></main>"):
+        assert RICH in html_blocks.main_text(f"<body><nav>Home</nav><div {attribute}>{inside}</div><footer>me</footer></body>")
+
+
+def test_html_hints_hold():
+    for attribute in ('class="comment-list"', 'id="div-comment-12"', "class=cookie-notice", "hidden", "aria-hidden=true", 'style="display: none"'):
+        assert html_blocks.main_text(f"<body><div><p>{RICH}</p></div><div {attribute}><p>{RICH}</p></div></body>") == RICH
+    short = "<p>Some few words of the day</p>"
+    for name in ("sidebar", "site-footer", "ad", "related", "share-bar", "side widget"):
+        assert html_blocks.main_text(f'<body><div><p>{RICH}</p></div><div class="{name}">{short}</div></body>') == RICH
+    assert html_blocks.main_text(f'<body><div><p>{RICH}</p></div><div class="related"><article>{short}</article></div></body>') == RICH
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!-- x", "<script>x", "&#xZZ; &", "<a href='x>y", "</div></p>", "<p>" * 5000, "<div class='" * 2000])
 def test_html_odd_pages(page):
     assert isinstance(html_blocks.main_text(page), str)
