@@ -9,14 +9,16 @@ a hidden element, or one whose class, id or role is a hint), inside ``article``
 
 A hint is a whole name of a class or id (``sidebar``, ``cookie-notice``; not
 ``has-sidebar``).  Names of layout parts give way to an article or main below
-them, they and names of teasers and adverts to a main or a block below them that is
-long, no link and rich in stop words.  Names of comments and of cookie notices give
-way only where the page has no text without them.
+them, they and names of teasers to a main or a block below them that is long, no link and
+rich in stop words.  Names of adverts, comments and cookie notices give way only
+where the page has no text without them.
 
-Pass 1 decides a block on its own: boilerplate if its place says so, if most of
-it is links, or, on a page with an ``article`` or ``main``, if it lies outside;
-content if it is long enough and rich in stop words; long blocks without stop
-words are boilerplate outside an article; everything else is ambiguous.
+Pass 1 decides a block on its own: boilerplate if it is excluded or most of it is
+links; content if it is long enough and rich in stop words; long blocks without
+stop words are boilerplate outside an article; everything else is ambiguous.  On a
+page with an ``article`` or ``main``, blocks outside are boilerplate unless their
+content by these rules has more characters than all long blocks inside that are no
+links; then blocks of an article or main without content are (teasers by a body).
 
 Pass 2 gives every ambiguous block the label of its nearest decided neighbours
 (content where two at the same distance differ, or, with no neighbour decided,
@@ -65,8 +67,8 @@ PLACES = frozenset(("article", "main"))
 # Names by what they give way to: an article, a main or rich text, nothing but an empty page.
 LAYOUT, TEASER, REMARK = 1, 2, 3
 HINTS = (
-    (REMARK, re.compile(r"cookies?|consent|comments?|commentlist|disqus|replies|reply")),
-    (TEASER, re.compile(r"ad|ads|advert[a-z]*|adbox|sponsor[a-z]*|promo[a-z]*|related|recommend[a-z]*")),
+    (REMARK, re.compile(r"ad|ads|advert[a-z]*|adbox|sponsor[a-z]*|cookies?|consent|comments?|commentlist|disqus|replies|reply")),
+    (TEASER, re.compile(r"promo[a-z]*|related|recommend[a-z]*")),
     (LAYOUT, re.compile(r"""(?x) banner|menu[a-z]*|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget[a-z]*|footer|header|masthead|
 notices?|alert[a-z]*|popup|modal|newsletter|subscribe|share|sharing|social|login|signup|search|pagination|pager|complementary|
 contentinfo|copyright|legal|disclaimer""")))
@@ -112,12 +114,13 @@ def attributes(rest: str) -> tuple[bool, int]:
     return hidden, hint_of(" ".join(found.get(x, "") for x in ("class", "id", "role")))
 
 
-def blocks(page: str, remarks: bool = False) -> list[tuple[str, int, bool, bool, bool]]:
-    """(text, link characters, excluded, in article, heading) of all blocks with text, in page order.
+def blocks(page: str, remarks: bool = False) -> list[tuple[str, int, bool, int, bool]]:
+    """(text, link characters, excluded, place, heading) of all blocks with text, in page order.
 
-    With ``remarks`` names of comments and notices are no hint."""
+    The place is the number of the outermost article or main, 0 outside.  With
+    ``remarks`` names of adverts, comments and notices are no hint."""
     out, stack, words, link = [], [], [], []
-    excluded = placed = links = heads = 0
+    excluded = placed = places = links = heads = 0
     at, hint = 0, -1
     parent, kind, passed = [], [], []  # of each hint: the hint around it, its kind, the strongest that it has given way to
 
@@ -131,7 +134,7 @@ def blocks(page: str, remarks: bool = False) -> list[tuple[str, int, bool, bool,
             text = " ".join(html.unescape("".join(words)).split())
             if text:
                 inside = len(" ".join(html.unescape("".join(link)).split()))
-                out.append((text, inside, excluded > 0, placed > 0, heads > 0, hint))
+                out.append((text, inside, excluded > 0, places if placed else 0, heads > 0, hint))
                 if hint >= 0 and not excluded and len(text) >= LONG and inside <= LINKS * len(text) and stop_share(text) >= STOP_HIGH:
                     give_way(hint, TEASER)
             words.clear()
@@ -175,15 +178,17 @@ def blocks(page: str, remarks: bool = False) -> list[tuple[str, int, bool, bool,
             leave(stack.pop())
         hidden, name = attributes(rest) if rest else (False, 0)
         out_of = tag in NEVER and not (tag == "header" and placed) or hidden
-        hinted = name > 0 and tag not in ("html", "body", *PLACES) and not (remarks and name == REMARK)
-        if tag in PLACES and not out_of and not excluded:
+        hinted = name > 0 and tag not in ("html", "body", "main") and (tag != "article" or name >= TEASER) and not (remarks and name == REMARK)
+        place = tag in PLACES and not (hinted and name == REMARK)
+        places += place and not placed
+        if place and not hinted and not out_of and not excluded:
             give_way(hint, TEASER if tag == "main" else LAYOUT)
         if hinted:
             parent.append(hint)
             kind.append(name)
             passed.append(0)
             hint = len(kind) - 1
-        entry = (tag, int(out_of), int(tag in PLACES), int(tag == "a"), int(tag in ("h1", "h2", "h3", "h4", "h5", "h6")), hinted)
+        entry = (tag, int(out_of), int(place), int(tag == "a"), int(tag in ("h1", "h2", "h3", "h4", "h5", "h6")), hinted)
         stack.append(entry)
         excluded, placed, links, heads = excluded + entry[1], placed + entry[2], links + entry[3], heads + entry[4]
     if at < len(page):
@@ -195,11 +200,10 @@ def blocks(page: str, remarks: bool = False) -> list[tuple[str, int, bool, bool,
     return [(text, inside, out_of or h >= 0 and holds[h], place, head) for text, inside, out_of, place, head, h in out]
 
 
-def first_pass(found: list[tuple[str, int, bool, bool, bool]]) -> list[int]:
-    has_place = any(placed and not out for _, _, out, placed, _ in found)
+def first_pass(found: list[tuple[str, int, bool, int, bool]]) -> list[int]:
     labels = []
     for text, inside, out, placed, heading in found:
-        if out or has_place and not placed or inside > LINKS * len(text):
+        if out or inside > LINKS * len(text):
             labels.append(BOILERPLATE)
             continue
         stops = stop_share(text)
@@ -209,10 +213,15 @@ def first_pass(found: list[tuple[str, int, bool, bool, bool]]) -> list[int]:
             labels.append(BOILERPLATE)
         else:
             labels.append(OPEN)
+    if any(f[3] and not f[2] for f in found):
+        outside = sum(len(f[0]) for f, x in zip(found, labels, strict=True) if x == CONTENT and not f[3])
+        within = sum(len(f[0]) for f in found if f[3] and not f[2] and len(f[0]) >= LONG and f[1] <= LINKS * len(f[0]))
+        kept = {f[3] for f, x in zip(found, labels, strict=True) if x == CONTENT} if outside > within else {f[3] for f in found} - {0}
+        labels = [x if f[3] in kept else BOILERPLATE for f, x in zip(found, labels, strict=True)]
     return labels
 
 
-def second_pass(found: list[tuple[str, int, bool, bool, bool]], labels: list[int]) -> list[int]:
+def second_pass(found: list[tuple[str, int, bool, int, bool]], labels: list[int]) -> list[int]:
     """Ambiguous blocks take the label of the nearest decided blocks; places that never hold the article do not count."""
     n = len(labels)
     usable = [x != OPEN and not f[2] for x, f in zip(labels, found, strict=True)]

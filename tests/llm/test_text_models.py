@@ -183,7 +183,7 @@ def test_html_names_of_wrappers_keep_the_text(attribute):
 
 
 def test_html_hints_hold():
-    for attribute in ('class="comment-list"', 'id="div-comment-12"', "class=cookie-notice", "hidden", "aria-hidden=true", 'style="display: none"'):
+    for attribute in ('class="comment-list"', 'id="div-comment-12"', "class=cookie-notice", "class=ad", "hidden", "aria-hidden=true", 'style="display: none"'):
         assert html_blocks.main_text(f"<body><div><p>{RICH}</p></div><div {attribute}><p>{RICH}</p></div></body>") == RICH
     short = "<p>Some few words of the day</p>"
     for name in ("sidebar", "site-footer", "ad", "related", "share-bar", "side widget"):
@@ -191,6 +191,23 @@ def test_html_hints_hold():
     assert html_blocks.main_text(f'<body><div><p>{RICH}</p></div><div class="related"><article>{short}</article></div></body>') == RICH
 
 
+def test_html_body_beside_articles():
+    card = "<article><h2>Next of all</h2><p>Some few words of the day</p></article>"
+    body = f"<div><h1>Title</h1><p>{RICH}</p><p>{RICH}</p></div>"
+    assert html_blocks.main_text(f"<body><nav>Home</nav>{card}{body}{card * 3}<footer>me</footer></body>") == f"Title\n{RICH}\n{RICH}"
+    # the articles hold most: what stands outside them goes, as do links and short blocks
+    assert html_blocks.main_text(f"<body><p>{RICH}</p><article><h1>Title</h1><p>{RICH}</p><p>{RICH}</p></article><p>Short</p></body>") == (
+        f"Title\n{RICH}\n{RICH}")
+    assert html_blocks.main_text("<body><p>Outside</p><main><p>Few words</p></main></body>") == "Few words"
+
+
+def test_html_comments_as_articles():
+    comments = "".join(f'<article class="{x}"><p>{RICH} Said {x}.</p></article>' for x in ("comment", "comment-body", "comment even"))
+    for around in ("article", "main", "div"):
+        assert html_blocks.main_text(f"<body><{around}><p>{RICH}</p></{around}><section>{comments}</section></body>") == RICH
+    assert html_blocks.main_text(f"<body><article><p>{RICH}</p>{comments}</article></body>") == RICH
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!-- x", "<script>x", "&#xZZ; &", "<a href='x>y", "</div></p>", "<p>" * 5000, "<div class='" * 2000])
 def test_html_odd_pages(page):
     assert isinstance(html_blocks.main_text(page), str)
