@@ -19,6 +19,8 @@ stop words are boilerplate outside an article; everything else is ambiguous.  On
 page with an ``article`` or ``main``, blocks outside are boilerplate unless their
 content by these rules has more characters than all long blocks inside that are no
 links; then blocks of an article or main without content are (teasers by a body).
+Stop words are those of English, French, German and Spanish: on a page where few
+words are such, they say nothing, and long blocks that are no links are content.
 
 Pass 2 gives every ambiguous block the label of its nearest decided neighbours
 (content where two at the same distance differ, or, with no neighbour decided,
@@ -43,6 +45,7 @@ from .common import map_slices
 
 LONG = 70  # characters: shorter blocks without a clear sign are ambiguous
 STOP_LOW, STOP_HIGH = 0.15, 0.30
+FOREIGN = 0.20  # prose of the languages served has more; Italian or Dutch have about 0.15, others down to none
 LINKS = 0.5
 
 # Frequent function words of the languages served.
@@ -86,9 +89,9 @@ WORD = re.compile(r"[^\W\d_]+")
 BOILERPLATE, CONTENT, OPEN = 0, 1, 2
 
 
-def stop_share(text: str) -> float:
+def stop_words(text: str) -> tuple[int, int]:
     seen = WORD.findall(text.lower())
-    return sum(w in STOP_WORDS for w in seen) / max(1, len(seen))
+    return sum(w in STOP_WORDS for w in seen), len(seen)
 
 
 def hint_of(names: str) -> int:
@@ -135,8 +138,10 @@ def blocks(page: str, remarks: bool = False) -> list[tuple[str, int, bool, int,
             if text:
                 inside = len(" ".join(html.unescape("".join(link)).split()))
                 out.append((text, inside, excluded > 0, places if placed else 0, heads > 0, hint))
-                if hint >= 0 and not excluded and len(text) >= LONG and inside <= LINKS * len(text) and stop_share(text) >= STOP_HIGH:
-                    give_way(hint, TEASER)
+                if hint >= 0 and not excluded and len(text) >= LONG and inside <= LINKS * len(text):
+                    stops, seen = stop_words(text)
+                    if stops >= STOP_HIGH * max(1, seen):
+                        give_way(hint, TEASER)
             words.clear()
             link.clear()
 
@@ -201,13 +206,16 @@ def blocks(page: str, remarks: bool = False) -> list[tuple[str, int, bool, int,
 
 
 def first_pass(found: list[tuple[str, int, bool, int, bool]]) -> list[int]:
+    counts = [None if out or inside > LINKS * len(text) else stop_words(text) for text, inside, out, _, _ in found]
+    known, total = map(sum, zip((0, 0), *filter(None, counts), strict=True))
+    foreign = known < FOREIGN * total
     labels = []
-    for text, inside, out, placed, heading in found:
-        if out or inside > LINKS * len(text):
+    for (text, _, _, placed, heading), count in zip(found, counts, strict=True):
+        if count is None:
             labels.append(BOILERPLATE)
             continue
-        stops = stop_share(text)
-        if len(text) >= LONG and stops >= (STOP_LOW if placed else STOP_HIGH):
+        stops = count[0] / max(1, count[1])
+        if len(text) >= LONG and (foreign and not heading or stops >= (STOP_LOW if placed else STOP_HIGH)):
             labels.append(CONTENT)
         elif len(text) >= 3 * LONG and stops < STOP_LOW and not placed and not heading:
             labels.append(BOILERPLATE)

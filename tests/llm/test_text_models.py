@@ -208,6 +208,19 @@ def test_html_comments_as_articles():
     assert html_blocks.main_text(f"<body><article><p>{RICH}</p>{comments}</article></body>") == RICH
 
 
+@pytest.mark.parametrize("text", [
+    "Kiedy wczesnym rankiem pociąg zatrzymał się przy małej stacji, nikt nie czekał jeszcze na peronie, tylko stary kolejarz patrzył "
+    "spokojnie przez okno swojego biura i liczył wagony, które powoli przesuwały się przed jego oczami w gęstej mgle nad torami.",
+    "Рано утром поезд остановился у маленькой станции, и никто ещё не ждал на платформе, только старый железнодорожник спокойно смотрел "
+    "через окно своего кабинета и считал вагоны, которые медленно двигались перед его глазами в густом тумане над рельсами.",
+    "Varhain aamulla juna pysähtyi pienelle asemalle, eikä kukaan odottanut vielä laiturilla, vain vanha rautatieläinen katseli rauhallisesti "
+    "toimistonsa ikkunasta ja laski vaunuja, jotka liikkuivat hitaasti hänen silmiensä ohi sakeassa sumussa kiskojen yllä.",
+    "早朝、列車は小さな駅に止まったが、ホームではまだ誰も待っていなかった。" * 7])
+def test_html_languages_without_stop_words(text):
+    page = f"<body><nav>Home</nav><div><h1>{text[:20]}</h1><p>{text}</p><p><a href=x>{text}</a></p><p>{text}</p></div><footer>{text}</footer></body>"
+    assert len(text) >= 210 and html_blocks.main_text(page).split("\n")[-2:] == [text, text]
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!-- x", "<script>x", "&#xZZ; &", "<a href='x>y", "</div></p>", "<p>" * 5000, "<div class='" * 2000])
 def test_html_odd_pages(page):
     assert isinstance(html_blocks.main_text(page), str)
