@@ -7,12 +7,14 @@ shared folder and read again as the next stage's ``docs``.
 
 * quality rules: documents that fail the base rules or whose content share is low go;
 * quality classifier: documents scored under 0.5 go;
-* near-duplicates (five words, similarity 0.8): of each group the smallest doc_id stays;
+* near-duplicates (five words, similarity 0.8): of each group one row stays, that of the
+  smallest doc_id;
 * secret scan: reported spans are masked in the text, ``n_chars`` follows;
 * packing: pieces of power-of-two length with their token ids.
 
 The two models are fitted on the labelled rows of the whole documents table.
-Rows with a null text fail the first stage; a null doc_id stays a row of its own.
+Rows with a null text fail the first stage; rows with a null or repeated doc_id are
+documents of their own, a null comes last where a group's row is chosen.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return minhash_oph.deduplicate(docs, k=5, percent=80)
+    return minhash_oph.deduplicate(docs, k=5, percent=80, repeats=False)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,8 @@ Defined cases: null, empty or wordless texts have the empty set, link with
 nothing and are kept; rows that repeat a doc_id are documents of their own that
 share that id (equal texts link as copies do); a null doc_id takes no part, its
 row has a null component and is kept; an empty table gives an empty result;
-extra columns are not read.
+extra columns are not read.  ``deduplicate`` drops rows, not ids: a document that
+shares its doc_id with a dropped one stays, and rows without an id take part.
 """
 
 from __future__ import annotations
@@ -117,12 +118,12 @@ def _digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _narrow(docs: DataFrame, *own: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *own)
 
 
-def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), digest (null: empty set), bands (array of long, null: empty set)."""
+def sketches(docs: DataFrame, k: int, percent: int, own: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n (set size), digest (null: empty set), bands (array of long, null: empty set), columns ``own`` (long) as they are."""
     bands = n_bands(percent)
 
     def make():
@@ -143,11 +144,12 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()),
                  pa.array([_digest(x) if len(x) else None for x in sets], pa.binary()),
-                 pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "bands"])
+                 pa.array(keys, pa.list_(pa.int64())), *(rows.column(c) for c in own)], names=["doc_id", "n", "digest", "bands", *own])
 
         return work
 
-    return map_slices(_narrow(docs), "text", "doc_id long, n long, digest binary, bands array<long>", make)
+    schema = ", ".join(["doc_id long, n long, digest binary, bands array<long>", *(f"{c} long" for c in own)])
+    return map_slices(_narrow(docs, *own), "text", schema, make)
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -272,9 +274,9 @@ def _beside_pivots(against: DataFrame, labels: DataFrame, percent: int) -> DataF
     return found.union(other)
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept."""
-    sketch = stored(sketches(docs, k, percent), "sketch")
+def _linked(docs: DataFrame, k: int, percent: int, own: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The sketches of ``docs``, and node and label of all digests that are linked with another."""
+    sketch = stored(sketches(docs, k, percent, own), "sketch")
     some = sketch.where("digest is not null and doc_id is not null")
     rows = some.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("digest", F.explode("r.bands").alias("key"))
     rows = stored(rows, "buckets")
@@ -296,9 +298,19 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     rest = stored(confirmed(pairs, full, percent), "rest")
     if not rest.isEmpty():
         labels = components(links.union(rest))
-    # copies meet in a partial aggregate first, so a hot digest is one row in these joins
-    lowest = some.groupBy("digest").agg(F.min("doc_id").alias("first")).join(
+    return sketch, labels
+
+
+def _first(rows: DataFrame, labels: DataFrame, first) -> DataFrame:
+    """digest, label and the least ``first`` of its rows; copies meet in a partial aggregate, so a hot digest is one row in the join."""
+    return rows.groupBy("digest").agg(F.min(first).alias("first")).join(
         labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept."""
+    sketch, labels = _linked(docs, k, percent)
+    lowest = _first(sketch.where("digest is not null and doc_id is not null"), labels, "doc_id")
     by_digest = lowest.join(lowest.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("digest", "component_id")
     out = sketch.select("doc_id", "n", "digest").join(by_digest, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -306,8 +318,20 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
                       (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: of each group the document with the smallest doc_id."""
-    name = fresh(docs, "gone")
-    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
+def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, repeats: bool = True) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each group the one with the smallest doc_id (null last), then digest.
+
+    Rows that repeat that row's doc_id and set stay with it; without ``repeats`` one row of each group does."""
+    row = fresh(docs, "row")
+    # written once, so that a row has the same number in every pass
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    nodes = keyed.select(F.col(row).alias("doc_id"), "text", F.col("doc_id").cast("long").alias("id"))
+    sketch, labels = _linked(nodes, k, percent, ("id",))
+    some = sketch.where("digest is not null").select("digest", "id", F.col("doc_id").alias("node"))
+    best = _first(some, labels, F.struct(F.col("id").isNull().alias("last"), "id", "digest", "node"))
+    stay = best.groupBy("label").agg(F.min("first").alias("f")).select("f.node", "f.id", "f.digest")
+    gone = some.join(stay.select("node"), "node", "left_anti")
+    if repeats:
+        gone = gone.join(stay.select("digest", "id"), ["digest", "id"], "left_anti")
+    gone = gone.select(F.col("node").alias(row))
+    return keyed.join(gone, row, "left_anti").select(*(keyed[c] for c in docs.columns))

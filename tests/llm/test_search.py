@@ -99,6 +99,19 @@ def test_near_duplicates_real_and_odd(spark, real_docs, odd_docs, no_docs, odd_r
         (i for i, _, c in brute(odd_rows, 3, 85) if i is None or i == c), key=str)
 
 
+def test_deduplicate_keeps_one_row_of_each_group(spark):
+    text = lambda name, n=40: " ".join(f"{name}{j}" for j in range(n))
+    a, b, c, d, e = (text(x) for x in "abcde")
+    rows = [(3, a, "first"), (7, a + " more", "copy"), (7, b, "clean"), (1, c, "twice"), (1, c, "twice"), (2, c, "copy"), (None, d, "null"),
+            (None, d, "null"), (None, d + " more", "copy"), (None, e, "copy"), (9, e, "named"), (None, None, "empty"), (4, "", "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    kept = sorted(((r["doc_id"], r["row"]) for r in minhash_oph.deduplicate(docs, 5, 80, repeats=False).collect()), key=str)
+    assert [x for x in kept if x != (None, "copy") and x != (None, "null")] == sorted(
+        [(3, "first"), (7, "clean"), (1, "twice"), (9, "named"), (None, "empty"), (4, "empty")], key=str)
+    assert sum(x[0] is None for x in kept) == 2  # the empty text and one of the three copies
+    assert sum(x == (1, "twice") for x in map(lambda r: (r["doc_id"], r["row"]), minhash_oph.deduplicate(docs, 5, 80).collect())) == 2
+
+
 def test_components(spark):
     """Random edges and a long path, over digests as the operator makes them."""
     rng = random.Random(5)
