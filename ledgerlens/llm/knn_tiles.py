@@ -16,9 +16,10 @@ partition streams by.  The result is exact: bounds drop no neighbour.
 Defined cases: null, zero-length, zero vectors and vectors with null or
 non-finite components take no part, as query or candidate; vectors of different
 length are not compared; a null vec_id takes no part; rows that repeat a vec_id
-count once (equal score: one of them, the id is the same); with fewer than
-``k`` candidates all are returned; ties go to the smaller vec_id; extra columns
-are not read.
+and its vector count once; rows that share a vec_id with other vectors are each a
+candidate, and of a query id the ``k`` best over all its vectors are returned, as
+in the SQL; with fewer than ``k`` candidates all are returned; ties go to the
+smaller vec_id; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -122,11 +123,11 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each vector whose id is divisible by ``every``: its ``k`` nearest others, (query_id, rank, vec_id, score)."""
-    vectors = stored(usable(vectors, id_col, vector_col), "vectors").dropDuplicates(["vec_id"])
+    vectors = stored(usable(vectors, id_col, vector_col), "vectors").dropDuplicates(["vec_id", "v"])
     is_query = F.col("vec_id") % every == 0
     n, m = vectors.agg(F.count("*"), F.sum(is_query.cast("long"))).first()
     c_blocks, q_blocks = -(-n // CANDIDATE_BLOCK) or 1, -(-(m or 0) // QUERY_BLOCK) or 1
-    block = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
+    block = lambda n, seed: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.lit(n)).cast("int")
     candidates = vectors.withColumn("cb", block(c_blocks, 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     queries = (vectors.where(is_query).withColumn("qb", block(q_blocks, 2))
                .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))))
@@ -134,8 +135,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(left) and len(right):
-            rows = list(tile(left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy()), right["vec_id"].to_numpy(),
-                             np.stack(right["v"].to_numpy()), k))
+            best = {}  # of a query id with several vectors, too, k rows of a tile go on
+            for row in tile(left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy()), right["vec_id"].to_numpy(),
+                            np.stack(right["v"].to_numpy()), k):
+                best.setdefault(row[0], []).append(row)
+            rows = [x for found in best.values() for x in heapq.nsmallest(k, found, key=lambda r: (-r[2], r[1]))]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     keys = ["dim", "qb", "cb"]

@@ -223,6 +223,14 @@ def test_nearest_brute_force(spark, monkeypatch, blocks):
     assert knn_tiles.nearest(vectors.where("false")).collect() == []
 
 
+def test_nearest_keeps_vectors_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [5.0, 0.0]), (1, [0.0, 7.0]), (2, [3.0, 3.0])]
+    for part in (rows, rows[::-1]):
+        vectors = spark.createDataFrame(part, "vec_id long, embedding array<double>")
+        got = sorted(map(tuple, knn_tiles.nearest(vectors, every=20, k=5).collect()))
+        assert got == [(0, 1, 1, 7.0), (0, 2, 1, 5.0), (0, 3, 2, 3.0), (0, 4, 2, 3.0), (0, 5, 1, 0.0)]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(9)
     a, b = rng.normal(size=(50, 64)) * 10.0 ** rng.integers(-3, 3, 50)[:, None], rng.normal(size=(400, 64))
