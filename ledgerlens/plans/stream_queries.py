@@ -70,7 +70,8 @@ SELECT virtual_id, min(ts) AS session_start, max(ts) + to_seconds(any_value(time
 FROM s GROUP BY virtual_id, sid""")
 def q_session_windows(spark, sf_dir):
     """T5: Spark session windows with a per-behaviour gap (events closer than the
-    time limit share a session; a gap equal to the limit starts a new one)."""
+    time limit share a session; a gap equal to the limit starts a new one).
+    Undated rows of an account stand under a session with null start and end."""
     log = bind.activity_log(spark, sf_dir).join(F.broadcast(C.behavior_df(spark)), "behavior")
     gap = F.concat(F.col("time_limit_s").cast("string"), F.lit(" seconds"))
     return streams.sessions(spark, log, "ts", ACC, gap, extra=["time_limit_s"])
@@ -104,6 +105,6 @@ SLIDING_MAX = 5
         FROM activity_log, range(0, 24) t(k))
 SELECT virtual_id, window_start, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY 1, 2 HAVING count(*) > {SLIDING_MAX}""")
 def q_sliding_rate(spark, sf_dir):
-    """Sliding one-day windows every hour; accounts above the rate."""
+    """Sliding one-day windows every hour; accounts above the rate, and undated rows under a null window."""
     g = streams.sliding_counts(spark, bind.activity_log(spark, sf_dir), "ts", ACC)
-    return g.filter(F.col("n") > SLIDING_MAX).select(ACC, "window_start", "n")
+    return g.filter((F.col("n") > SLIDING_MAX) | F.col("window_start").isNull()).select(ACC, "window_start", "n")

@@ -118,6 +118,11 @@ def closed_windows(feed: Deliveries, counted, watermark: str) -> DataFrame:
     return feed.appended(lambda stream: counted(dated(stream)))
 
 
+def undated_counts(feed: Deliveries, key: str) -> DataFrame:
+    """(key, n) of the rows without a time, which no window holds."""
+    return feed.rows.filter(F.col("_ets").isNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- T1 / T4 --------------------------------------------------------------
 
 def window_counts(spark: SparkSession, log: DataFrame, ts: str, by: str, width: str = "1 hour",
@@ -125,26 +130,31 @@ def window_counts(spark: SparkSession, log: DataFrame, ts: str, by: str, width:
     rows = log.select(F.col(ts).cast("timestamp").alias("_ets"), by)
     feed = Deliveries(spark, rows, "_ets", n_slices, "counts")
     res = closed_windows(feed, lambda df: df.groupBy(F.window("_ets", width).alias("w"), by).agg(F.count(F.lit(1)).alias("n")), watermark)
-    undated = feed.rows.filter(F.col("_ets").isNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    undated = undated_counts(feed, by)
     none = F.lit(None).cast("timestamp_ntz").alias("window_start")
     return res.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), by, "n").unionByName(undated.select(none, by, "n"))
 
 
 def sliding_counts(spark: SparkSession, log: DataFrame, ts: str, key: str, width: str = "1 day", slide: str = "1 hour",
                    watermark: str = "2 hours", n_slices: int = 3) -> DataFrame:
-    """(window_start, key, n) of all sliding windows that hold a row."""
+    """(window_start, key, n) of all sliding windows that hold a row; undated rows of a key stand under a null window."""
     feed = Deliveries(spark, log.select(F.col(ts).cast("timestamp").alias("_ets"), key), "_ets", n_slices, "sliding")
     res = closed_windows(feed, lambda df: df.groupBy(F.window("_ets", width, slide).alias("w"), key).agg(F.count(F.lit(1)).alias("n")), watermark)
-    return res.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), key, "n")
+    none = F.lit(None).cast("timestamp_ntz")
+    return (res.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), key, "n")
+            .unionByName(undated_counts(feed, key).select(none.alias("window_start"), key, "n")))
 
 
 def sessions(spark: SparkSession, log: DataFrame, ts: str, key: str, gap, watermark: str = "2 hours", n_slices: int = 3,
              extra: list[str] = ()) -> DataFrame:
-    """T5: (key, session_start, session_end, n); ``gap`` is a column over ``extra``."""
+    """T5: (key, session_start, session_end, n); ``gap`` is a column over ``extra``.  Undated rows of a
+    key stand under a session with null start and end."""
     feed = Deliveries(spark, log.select(F.col(ts).cast("timestamp").alias("_ets"), key, *extra), "_ets", n_slices, "sessions")
     res = closed_windows(feed, lambda df: df.groupBy(F.session_window("_ets", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")), watermark)
-    return res.select(key, F.col("w.start").cast("timestamp_ntz").alias("session_start"),
-                      F.col("w.end").cast("timestamp_ntz").alias("session_end"), "n")
+    none = F.lit(None).cast("timestamp_ntz")
+    return (res.select(key, F.col("w.start").cast("timestamp_ntz").alias("session_start"),
+                       F.col("w.end").cast("timestamp_ntz").alias("session_end"), "n")
+            .unionByName(undated_counts(feed, key).select(key, none.alias("session_start"), none.alias("session_end"), "n")))
 
 
 def running_totals(spark: SparkSession, log: DataFrame, ts: str, key: str, value: str,

@@ -27,3 +27,13 @@ def test_late_row_is_side_output(spark):
     assert not got[2]["granted"] and got[2]["balance_after"] == 2000      # declined: 2000 - 3000 < 0
     assert got[3]["status"] == "late" and got[3]["balance_after"] == 2000
     assert got[4]["status"] == "applied" and got[4]["balance_after"] == 2500 and got[4]["after_close"]
+
+
+def test_undated_rows_stand_under_a_null_window(spark):
+    log = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (1, None), (1, None), (2, None), (None, None)], "k long, ts string")
+    slid = streams.sliding_counts(spark, log, "ts", "k").collect()
+    assert sorted(((r["k"], r["n"]) for r in slid if r["window_start"] is None), key=str) == [(1, 2), (2, 1), (None, 1)]
+    assert sum(r["n"] for r in slid if r["window_start"] is not None) == 24
+    spans = streams.sessions(spark, log, "ts", "k", "10 minutes").collect()
+    assert sorted(((r["k"], r["n"]) for r in spans if r["session_start"] is None), key=str) == [(1, 2), (2, 1), (None, 1)]
+    assert [(r["k"], r["n"]) for r in spans if r["session_start"] is not None] == [(1, 1)]
