@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (html_blocks, knn_tiles, labelled, langid_nb, line_crf, minhash_oph, oracles, packing, quality_cnn, secret_links,
-               sentencepiece_codec, token_files)
+from . import (html_blocks, knn_tiles, labelled, langid_nb, line_crf, minhash_oph, oracles, packing, periodic_runs, quality_cnn, secret_links,
+               sentencepiece_codec, spelling_kd, token_files, warc_chunks)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_knn_tiles", oracles.NEAREST)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_tiles.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+@register("op12_periodic_runs", oracles.PERIODIC_RUNS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(table(spark, sf_dir, "documents"))
+
+
+@register("op13_spelling_kd", oracles.SPELLING)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_kd.group_variants(table(spark, sf_dir, "documents"))
+
+
+@register("op11_warc_chunks", oracles.WARC)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_chunks.digest(table(spark, sf_dir, "pages"))
