@@ -66,37 +66,68 @@ def cut_points(data: np.ndarray, offs: np.ndarray, cuts: str) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+class Memo:
+    """Ids of known chunks, one after the other in one growing array; ``known`` has the row of each chunk."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.rows, self.used = 0, 0
+        self.begin, self.size, self.flat = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 16, np.uint32)
+
+    def add(self, chunks: list[str], flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Rows of new chunks; those over ``LONG`` characters are not found again."""
+        n, m = self.rows + len(chunks), self.used + len(flat)
+        if n > len(self.begin):
+            self.begin, self.size = (np.resize(x, max(n, 2 * len(x))) for x in (self.begin, self.size))
+        if m > len(self.flat):
+            self.flat = np.resize(self.flat, max(m, 2 * len(self.flat)))
+        self.begin[self.rows:n] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.rows:n] = sizes
+        self.flat[self.used:m] = flat
+        self.known.update((c, self.rows + k) for k, c in enumerate(chunks) if len(c) <= LONG)
+        new = np.arange(self.rows, n)
+        self.rows, self.used = n, m
+        return new
+
+    def find(self, chunks: list[str]) -> np.ndarray:
+        """Row of each chunk, -1 where it is not known."""
+        return np.fromiter(map(self.known.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of rows one after the other, and their number in each."""
+        sizes = self.size[rows]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.begin[rows] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self.flat[at], sizes
+
+
 class Encoder:
-    """Ids of texts; ``load()`` gives the tokenizer."""
-
-    def __init__(self, load, cuts: str, prefix: str = ""):
-        self.tokenizer, self.cuts, self.prefix = load(), cuts, prefix
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        young, old = self.young, self.old
-        out = list(map(young.get, chunks))
-        missing = []
-        for k in [k for k, x in enumerate(out) if x is None]:
-            out[k] = old.get(chunks[k])
-            if out[k] is None:
-                missing.append(k)
-            else:
-                young[chunks[k]] = out[k]
-        if missing:
-            got = self.tokenizer.encode_batch_fast([chunks[k] for k in missing], add_special_tokens=False)
-            sizes = [len(x) for x in got]
-            flat = np.fromiter(itertools.chain.from_iterable(e.ids for e in got), "<u4", sum(sizes)).tobytes()
-            at = 0
-            for k, n in zip(missing, sizes, strict=True):
-                out[k] = flat[at:at + 4 * n]
-                at += 4 * n
-                if len(chunks[k]) <= LONG:
-                    young[chunks[k]] = out[k]
-        if len(young) > MEMO:
-            self.old, self.young = young, {}
-        return out
+    """Ids of texts; ``load()`` gives the tokenizer, ``parallel`` lets the tokenizers library use its own threads."""
+
+    def __init__(self, load, cuts: str, prefix: str = "", parallel: bool = True):
+        self.tokenizer, self.cuts, self.prefix, self.parallel = load(), cuts, prefix, parallel
+        self.young, self.old = Memo(), Memo()
+
+    def _rows(self, chunks: list[str]) -> np.ndarray:
+        """Rows of distinct chunks in the young memo, encoded where neither memo knows them."""
+        if len(self.young.known) > MEMO or self.young.used > 16 * MEMO:
+            self.old, self.young = self.young, Memo()
+        rows = self.young.find(chunks)
+        missing = np.flatnonzero(rows < 0)
+        before = self.old.find([chunks[k] for k in missing])
+        seen = missing[before >= 0]
+        if len(seen):
+            rows[seen] = self.young.add([chunks[k] for k in seen], *self.old.gather(before[before >= 0]))
+        new = missing[before < 0]
+        if len(new):
+            names = [chunks[k] for k in new]
+            os.environ["TOKENIZERS_PARALLELISM"] = "true" if self.parallel else "false"
+            got = self.tokenizer.encode_batch_fast(names, add_special_tokens=False)
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            flat = np.fromiter(itertools.chain.from_iterable(e.ids for e in got), np.uint32, int(sizes.sum()))
+            rows[new] = self.young.add(names, flat, sizes)
+        return rows
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (uint32) and the number of ids of each text."""
@@ -113,16 +144,9 @@ class Encoder:
         bounds = np.append(starts, len(data)).astype(np.int32)
         chunks = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))
         d = chunks.dictionary_encode()
-        which = d.indices.to_numpy(zero_copy_only=False)
-        ids = self._ids(d.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        begin = np.cumsum(sizes) - sizes
-        lens = sizes[which]
-        ends = np.cumsum(lens)
-        at = np.repeat(begin[which] - (ends - lens), lens) + np.arange(ends[-1])
-        counts = np.bincount(parent, weights=lens, minlength=len(counts)).astype(np.int64)
-        return flat[at], counts
+        rows = self._rows(d.dictionary.to_pylist())
+        flat, lens = self.young.gather(rows[d.indices.to_numpy(zero_copy_only=False)])
+        return flat, np.bincount(parent, weights=lens, minlength=len(counts)).astype(np.int64)
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,17 +163,15 @@ def crc32(ids: np.ndarray) -> int:
 @functools.lru_cache(maxsize=4)
 def encoder(name: str, cuts: str = "space") -> Encoder:
     """Encoder of a public tokenizer file, by its name or a path; a worker process keeps it, memo and all, across tasks."""
-    return Encoder(lambda: load(name), cuts)
+    return Encoder(lambda: load(name), cuts, parallel=False)  # a task has one core
 
 
 def load(name: str):
-    threads()
     import public_tokenizers
     from tokenizers import Tokenizer
     return Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
 
 
 def threads() -> None:
-    """The tokenizers library encodes a batch on two threads unless the cluster says otherwise."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    """Where the tokenizers library encodes a batch in parallel, it does so on two threads unless the cluster says otherwise."""
     os.environ.setdefault("RAYON_NUM_THREADS", "2")

@@ -24,6 +24,7 @@ their rows; an empty table gives an empty result; extra columns are not read.
 from __future__ import annotations
 
 import functools
+import os
 import struct
 
 import numpy as np
@@ -157,6 +158,7 @@ class Codec:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.chunks is not None:
             return self.chunks.encode(texts)
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
         got = self.tokenizer.encode_batch_fast(pc.fill_null(texts.cast(pa.string()), "").to_pylist(), add_special_tokens=False)
         counts = np.array([len(e) for e in got], np.int64)
         return np.fromiter((i for e in got for i in e.ids), np.uint32, int(counts.sum())), counts
