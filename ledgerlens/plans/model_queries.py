@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from .. import bind, bind_bank
 from ..dims import catalog as C
 from ..functions.hashing import u_sql
-from ..operators import agg, checks, features, models, stats, timeline
+from ..operators import agg, checks, dbscan, features, lof, models, stats, timeline
+from ..operators.joins import union_all
 from .registry import register
 
 WA = bind.with_views("activity_log")
+DENSE = ["value_z", "amount_d_z", "hour_z"]
 NUMS = ["value", "amount_d", "hour", "minute", "day"]
 
 
@@ -197,8 +199,8 @@ def q_isolation_forest(spark, sf_dir):
 
 @register("detector_benchmark")
 def q_detector_benchmark(spark, sf_dir):
-    """Forest grown on 70 % of the rows on two features, the other 30 % judged at two contaminations
-    (thresholds from the training scores)."""
+    """Two detectors learn from 70 % of the rows on two features and judge the other 30 %: the isolation forest at two
+    contaminations and the local outlier factor (thresholds from the training scores)."""
     cols = ["amount_d", "value"]
     f = features.standardize(features.impute_mean(feat(spark, sf_dir), cols), cols)
     f = features.hash_split(f.select("seq", "is_fraud", "amount_d_z", "value_z"), "seq", 0.3, tag="bench")
@@ -209,15 +211,19 @@ def q_detector_benchmark(spark, sf_dir):
         s = models.flag_share(scored.filter("split = 'test'"), c, of=scored.filter("split = 'train'"))
         rep = stats.classification_report(s, "is_fraud", (F.col("if_label") == -1).cast("int"))
         parts.append(rep.withColumn("detector", F.lit("isolation_forest")).withColumn("contamination", F.lit(c)))
-    return parts[0].unionByName(parts[1])
+    found = lof.lof(train, test, "seq", ["amount_d_z", "value_z"]).join(test.select("seq", "is_fraud"), "seq")
+    rep = stats.classification_report(found, "is_fraud", (F.col("lof_label") == -1).cast("int"))
+    parts.append(rep.withColumn("detector", F.lit("lof")).withColumn("contamination", F.lit(0.1)))
+    return union_all(parts)
 
 
 @register("cluster_labels")
 def q_cluster_labels(spark, sf_dir):
-    """Each model adds its label to the same rows, no join back."""
+    """The four labels; models that score rows add theirs to them, DBSCAN's (of three numerics) are joined by row."""
     t, cols = model_table(spark, sf_dir)
     both = models.bisecting(models.kmeans(t)).select("seq", "is_fraud", "kmeans", "hierarchical", *cols)
-    return models.isolation_forest(both, cols, "seq").select("seq", "is_fraud", "kmeans", "hierarchical", "if_label")
+    three = models.isolation_forest(both, cols, "seq").select("seq", "is_fraud", "kmeans", "hierarchical", "if_label")
+    return three.join(dbscan.dbscan(t.select("seq", *DENSE), "seq", DENSE, eps=0.5, min_pts=5), "seq")
 
 
 @register("kmeans_nearest", WA + "SELECT seq, true AS nearest FROM activity_log")

@@ -25,6 +25,7 @@ _MODULES = [
     "text_queries",
     "source_queries",
     "sequence2_queries",
+    "density_queries",
 ]
 
 
