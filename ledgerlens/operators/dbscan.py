@@ -8,9 +8,10 @@ Cells have a diagonal of ``eps``, so all points of a cell are neighbours.
   cells near by, at most 124 cells: a dense cell's point meets a bounded number of them.
   That gives their neighbour counts, so which of them are core points.
 * Two dense cells are linked if some pair of their points is within ``eps``.  That is
-  decided by bounding boxes: linked if two boxes are nowhere further apart, not linked if
-  nowhere that near; boxes between the two are halved and compared again, for cells
-  not linked yet, until the boxes are single points.
+  decided by bounding boxes: linked if two boxes are nowhere further apart, or if one
+  known point of each is that near; not linked if the boxes are nowhere that near.  Boxes
+  between the two are halved and compared again, for cells not linked yet, until the
+  boxes are single points.
 * Clusters are the components of the cell graph (:mod:`graph`), numbered from 0 by
   the smallest key of their core points; a border point takes the smallest cluster in reach.
 
@@ -55,8 +56,8 @@ def _dense_links(points: DataFrame, pairs: DataFrame, x: list[str], g: list[str]
     """Those of the pairs of dense cells (g, h) that have two points within eps; ``points`` are the points of dense cells."""
     d = len(x)
     sub = [f"s{i}" for i in range(d)]
-    low, high = [f"l{i}" for i in range(d)], [f"u{i}" for i in range(d)]
-    other = {c: f"o_{c}" for c in sub + low + high}
+    low, high, some = [f"l{i}" for i in range(d)], [f"u{i}" for i in range(d)], [f"r{i}" for i in range(d)]
+    other = {c: f"o_{c}" for c in sub + low + high + some}
     done, level = None, 0
     open_ = pairs.withColumns({s: F.col(c) for s, c in zip(sub, g, strict=True)} | {other[s]: F.col(c) for s, c in zip(sub, h, strict=True)})
     while True:
@@ -67,7 +68,8 @@ def _dense_links(points: DataFrame, pairs: DataFrame, x: list[str], g: list[str]
             wanted = open_.select(*g).unionByName(open_.select(*[F.col(c).alias(n) for c, n in zip(h, g, strict=True)])).distinct()
             at = skew.lookup(points, wanted.withColumn("_in", F.lit(True)), g, "inner")
         boxes = (at.withColumns({s: F.floor(F.col(c) / scale).cast("long") for s, c in zip(sub, x, strict=True)}).groupBy(*sub)
-                 .agg(*[F.min(c).alias(n) for c, n in zip(x, low, strict=True)], *[F.max(c).alias(n) for c, n in zip(x, high, strict=True)]))
+                 .agg(*[F.min(c).alias(n) for c, n in zip(x, low, strict=True)], *[F.max(c).alias(n) for c, n in zip(x, high, strict=True)],
+                      F.min(F.struct("key", *x)).alias("one")).select("*", *[F.col(f"one.{c}").alias(n) for c, n in zip(x, some, strict=True)]).drop("one"))
         boxes = stored(boxes, "boxes")
         parent = {s: F.shiftright(F.col(s), 1 if level else 0) for s in sub}
         mine = boxes.withColumns({f"p_{s}": v for s, v in parent.items()})
@@ -79,7 +81,8 @@ def _dense_links(points: DataFrame, pairs: DataFrame, x: list[str], g: list[str]
             a, b, c, e = F.col(lo), F.col(hi), F.col(other[lo]), F.col(other[hi])
             most, least = F.greatest(b - c, e - a), F.greatest(c - b, a - e, F.lit(0.0))
             far, near = (most * most if far is None else far + most * most), (least * least if near is None else near + least * least)
-        judged = split.withColumns({"_far": far, "_near": near}).where(F.col("_near") <= eps * eps).withColumn("_yes", F.col("_far") <= eps * eps)
+        judged = split.withColumns({"_far": far, "_near": near}).where(F.col("_near") <= eps * eps).withColumn(
+            "_yes", (F.col("_far") <= eps * eps) | (_square(some, [other[c] for c in some]) <= eps * eps))
         judged = stored(judged.select(*g, *h, *sub, *[other[s] for s in sub], "_yes"), "judged")
         linked = judged.where("_yes").select(*g, *h).distinct()
         done = linked if done is None else done.unionByName(linked)
