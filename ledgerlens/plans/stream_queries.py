@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import bind, bind_bank
 from ..dims import catalog as C
+from ..functions.hashing import u, u_sql
 from ..operators import ledger, seqwin
 from ..streaming import streams
 from .contract_queries import CONTRACT_SQL
@@ -108,3 +109,26 @@ def q_sliding_rate(spark, sf_dir):
     """Sliding one-day windows every hour; accounts above the rate, and undated rows under a null window."""
     g = streams.sliding_counts(spark, bind.activity_log(spark, sf_dir), "ts", ACC)
     return g.filter((F.col("n") > SLIDING_MAX) | F.col("window_start").isNull()).select(ACC, "window_start", "n")
+
+
+LATE_SHARE, N_DELIVERIES = 0.1, 4
+
+
+@register("stream_late_counts", WA + f"""
+, lo AS (SELECT min(ts) AS a, max(ts) AS b FROM activity_log),
+  d AS (SELECT ts, behavior, least({N_DELIVERIES - 1}, CAST(floor((epoch_us(ts) - epoch_us(a)) * {N_DELIVERIES - 1} / (epoch_us(b) - epoch_us(a) + 1)) AS INTEGER)
+               + CAST({u_sql('seq', 'late')} < {LATE_SHARE} AS INTEGER)) AS delivery FROM activity_log, lo),
+  m AS (SELECT delivery, date_trunc('milliseconds', max(max(ts)) OVER (ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) - INTERVAL 2 HOUR AS mark
+        FROM d GROUP BY delivery),
+  r AS (SELECT date_trunc('hour', ts) AS window_start, behavior, coalesce(date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark, false) AS late FROM d JOIN m USING (delivery))
+SELECT window_start, behavior, CAST(count(*) FILTER (NOT late) AS BIGINT) AS n, CAST(count(*) FILTER (late) AS BIGINT) AS n_late FROM r GROUP BY 1, 2""")
+def q_stream_late_counts(spark, sf_dir):
+    """T1 with deliveries out of order: a tenth of the rows come one delivery late; what a window counts and what came too late for it."""
+    log = bind.activity_log(spark, sf_dir).select("seq", "ts", "behavior")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = log.agg(F.min(at), F.max(at)).first()
+    turn = F.floor((at - lo) * (N_DELIVERIES - 1) / (hi - lo + 1)).cast("int") + (u("seq", "late") < LATE_SHARE).cast("int") if lo is not None else F.lit(0)
+    counts, late = streams.window_counts_late(spark, log.withColumn("d", F.least(F.lit(N_DELIVERIES - 1), turn)), "ts", "behavior", "d", N_DELIVERIES)
+    missed = late.groupBy(F.date_trunc("hour", "_ets").cast("timestamp_ntz").alias("window_start"), "behavior").agg(F.count(F.lit(1)).alias("n_late"))
+    both = counts.join(missed, ["window_start", "behavior"], "full")
+    return both.select("window_start", "behavior", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_late", F.lit(0)).alias("n_late"))

@@ -13,16 +13,19 @@ under a null window (a watermark cannot place them); the ledger reports them wit
 ``status = 'undated'`` and does not apply them.
 
 * T1  window counts in append mode: a window is written once the watermark passes
-      its end, and rows that come later than that are dropped by the watermark.  The
-      deliveries here are in time order, so no row is late.
-* T3  ledger as per-account state (``applyInPandasWithState``): state = running
-      balance in cents, closed flag (T9) and the last (ts, seq) applied.  Rows
-      older than the state's last row are late: they are emitted with
+      its end.  Rows whose window was closed by earlier deliveries are late: they
+      go to a table of their own (``late_rows``) instead of being dropped.
+* T3  ledger as per-account state (``transformWithStateInPandas`` over RocksDB): state =
+      running balance in cents, closed flag (T9) and the last (ts, seq) applied.
+      Rows older than the state's last row are late: they are emitted with
       ``status = 'late'`` and not applied (a ledger cannot be re-ordered once
-      emitted).  The opening balance comes from a stream-static join (T8).  One
-      account is one task's work here; the batch ledger splits a hot account.
+      emitted).  The opening balance comes from a stream-static join (T8).  An
+      account with more than ``HANDOVER`` rows in one delivery is handed over: from
+      then on its rows pass the operator batch by batch and are replayed
+      by the batch ledger, which splits a hot account over tasks.
 * T2  contract validation with the user's last accepted timestamp as state; the
-      other checks are stateless column expressions.
+      other checks are stateless column expressions.  Hot users are handed over to
+      running maxima over measured buckets in the same way.
 * T4  running reward per run (complete mode totals).
 * T5  session windows, T6 sliding windows: as T1.
 * T7  ``foreachBatch`` append sink, idempotent per batch id.
@@ -30,17 +33,20 @@ under a null window (a watermark cannot place them); the ledger reports them wit
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 from datetime import timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators import contract as K
-from ..session import checkpoint_dir
+from ..operators import ledger, seqwin
+from ..session import checkpoint_dir, stored
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -48,10 +54,11 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 class Deliveries:
-    """``df`` cut into ``n`` time ranges of equal length (rows without a time in the first)."""
+    """``df`` cut into ``n`` time ranges of equal length (rows without a time in the first), or by its column
+    ``_delivery`` (0 to n - 1, null: 0) where it has one: deliveries then need not be in time order."""
 
     def __init__(self, spark: SparkSession, df: DataFrame, ts: str, n: int, name: str):
-        self.spark, self.ts, self.name = spark, ts, name
+        self.spark, self.ts, self.name, self.n = spark, ts, name, n
         path = _scratch(spark, f"{name}-all")
         df.write.parquet(path)  # the given frame is computed once; each range is a filtered scan of it
         self.rows = spark.read.schema(df.schema).parquet(path)
@@ -61,6 +68,8 @@ class Deliveries:
         self.rows.limit(0).write.parquet(self.folder)
 
     def parts(self) -> list[DataFrame]:
+        if "_delivery" in self.rows.columns:
+            return [self.rows.filter(F.coalesce("_delivery", F.lit(0)) == k) for k in range(self.n)]
         t, edges = F.col(self.ts), [None, *self.bounds, None]
         out = []
         for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
@@ -123,6 +132,32 @@ def undated_counts(feed: Deliveries, key: str) -> DataFrame:
     return feed.rows.filter(F.col("_ets").isNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
+# ---- late rows --------------------------------------------------------------
+
+def late_rows(rows: DataFrame, ts: str, delivery: str, end, watermark: str) -> DataFrame:
+    """``rows`` with ``late``: whether the window with end ``end`` was closed when the row's delivery came.
+
+    The watermark of a delivery is the largest time of all earlier ones (to the millisecond) less ``watermark``, as the
+    engine has it; a window is closed once the watermark reaches its end.  One row a delivery is broadcast."""
+    tops = rows.groupBy(delivery).agg(F.max(ts).alias("_top"))
+    earlier = Window.orderBy(delivery).rowsBetween(Window.unboundedPreceding, -1)  # one row a delivery
+    marks = tops.select(delivery, (F.date_trunc("millisecond", F.max("_top").over(earlier)) - F.expr(f"INTERVAL {watermark}")).alias("_mark"))
+    return rows.join(F.broadcast(marks), delivery).withColumn("late", F.coalesce(end <= F.col("_mark"), F.lit(False))).drop("_mark")
+
+
+def window_counts_late(spark: SparkSession, log: DataFrame, ts: str, by: str, delivery: str, n: int, width: str = "1 hour",
+                       watermark: str = "2 hours") -> tuple[DataFrame, DataFrame]:
+    """T1 with deliveries out of order: the counts of the windows, and the late rows (_ets, ``by``, _delivery) that no window counts.
+
+    Late rows are told apart before the stream reads them, so none is dropped unseen; undated rows are in neither."""
+    rows = log.select(F.col(ts).cast("timestamp").alias("_ets"), by, F.coalesce(delivery, F.lit(0)).cast("int").alias("_delivery"))
+    rows = rows.where("_ets IS NOT NULL")
+    marked = stored(late_rows(rows, "_ets", "_delivery", F.window("_ets", width)["end"], watermark), "marked")
+    feed = Deliveries(spark, marked.where("NOT late").drop("late"), "_ets", n, "late")
+    res = closed_windows(feed, lambda df: df.groupBy(F.window("_ets", width).alias("w"), by).agg(F.count(F.lit(1)).alias("n")), watermark)
+    return res.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), by, "n"), marked.where("late").drop("late")
+
+
 # ---- T1 / T4 --------------------------------------------------------------
 
 def window_counts(spark: SparkSession, log: DataFrame, ts: str, by: str, width: str = "1 hour",
@@ -165,112 +200,270 @@ def running_totals(spark: SparkSession, log: DataFrame, ts: str, key: str, value
 
 # ---- T3 / T8 / T9 -----------------------------------------------------------
 
+HANDOVER = 100_000  # rows of a key in one delivery that a task holds and sorts at once
 LEDGER_STATE = "balance long, closed boolean, last_ts long, last_seq long"
 LEDGER_OUT = ("account long, seq long, ts_us long, balance_before long, granted boolean, balance_after long, "
               "after_close boolean, status string")
 
 
+@contextlib.contextmanager
+def _rocksdb(spark: SparkSession):
+    """State of the streams started inside is kept in RocksDB, outside the workers' heaps."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def held(rows: Iterator[pd.DataFrame], limit: int) -> tuple[list[pd.DataFrame], bool]:
+    """Batches of ``rows`` up to ``limit`` rows, and whether that was not all: the iterator then goes on behind them."""
+    parts, n = [], 0
+    for pdf in rows:
+        parts.append(pdf)
+        n += len(pdf)
+        if n > limit:
+            return parts, True
+    return parts, False
+
+
+def fold_rows(account: int, pdf: pd.DataFrame, state: tuple | None, close_type: str) -> tuple[list[pd.DataFrame], tuple]:
+    """``LEDGER_OUT`` rows of one account's delivery, and its new ``LEDGER_STATE``."""
+    bal, closed, last_ts, last_seq = state if state is not None else (None, False, None, None)
+    pdf = pdf.sort_values(["ts_us", "seq"], kind="stable")
+    if bal is None:
+        op = pdf["opening_c"].iloc[0]
+        bal = 0 if pd.isna(op) else int(op)
+    out = []
+    undated = pdf[pdf["ts_us"].isna()]
+    pdf = pdf[pdf["ts_us"].notna()]
+    if len(undated):
+        out.append(pd.DataFrame({"account": np.full(len(undated), account, dtype=np.int64), "seq": undated["seq"].to_numpy(np.int64),
+                                 "ts_us": pd.array([None] * len(undated), dtype="Int64"), "balance_before": np.full(len(undated), bal),
+                                 "granted": False, "balance_after": np.full(len(undated), bal), "after_close": closed, "status": "undated"}))
+    if not len(pdf):
+        return out, (int(bal), closed, last_ts, last_seq)
+    ts = pdf["ts_us"].to_numpy(np.int64)
+    sq = pdf["seq"].to_numpy(np.int64)
+    late = np.zeros(len(pdf), dtype=bool)
+    if last_ts is not None:
+        late = (ts < last_ts) | ((ts == last_ts) & (sq < last_seq))
+    ok = ~late
+    delta = pdf["delta_c"].to_numpy(np.int64)[ok]
+    acct = np.zeros(int(ok.sum()), dtype=np.int64)
+    before = np.full(len(pdf), bal, dtype=np.int64)
+    after = np.full(len(pdf), bal, dtype=np.int64)
+    granted = np.zeros(len(pdf), dtype=bool)
+    if ok.any():
+        b, g, a = ledger.fold_arrays(acct, delta, delta < 0, 0, bal)
+        before[ok], granted[ok], after[ok] = b, g, a
+        bal = int(a[-1])
+        last_ts, last_seq = int(ts[ok][-1]), int(sq[ok][-1])
+    is_close = (pdf["activity_type"].to_numpy() == close_type) & ok
+    seen_close = np.concatenate([[False], np.cumsum(is_close)[:-1] > 0]) | closed
+    closed = bool(closed or is_close.any())
+    out.append(pd.DataFrame({"account": np.full(len(pdf), account, dtype=np.int64), "seq": sq, "ts_us": ts, "balance_before": before,
+                             "granted": granted, "balance_after": after, "after_close": seen_close, "status": np.where(late, "late", "applied")}))
+    return out, (int(bal), closed, last_ts, last_seq)
+
+
 def _ledger_state_fn(close_type: str):
-    from ..operators.ledger import fold_arrays
+    """The fold as a function for ``applyInPandasWithState``, for sessions without RocksDB: an account's delivery is one frame."""
 
     def fn(key, pdfs, state):
-        if state.exists:
-            bal, closed, last_ts, last_seq = state.get
-        else:
-            bal, closed, last_ts, last_seq = None, False, None, None
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_us", "seq"], kind="stable")
-        if bal is None:
-            op = pdf["opening_c"].iloc[0]
-            bal = 0 if pd.isna(op) else int(op)
-        undated = pdf[pdf["ts_us"].isna()]
-        pdf = pdf[pdf["ts_us"].notna()]
-        if len(undated):
-            yield pd.DataFrame({"account": np.full(len(undated), key[0], dtype=np.int64), "seq": undated["seq"].to_numpy(np.int64),
-                                "ts_us": pd.array([None] * len(undated), dtype="Int64"), "balance_before": np.full(len(undated), bal),
-                                "granted": False, "balance_after": np.full(len(undated), bal), "after_close": closed, "status": "undated"})
-        if not len(pdf):
-            state.update((int(bal), closed, last_ts, last_seq))
-            return
-        ts = pdf["ts_us"].to_numpy(np.int64)
-        sq = pdf["seq"].to_numpy(np.int64)
-        late = np.zeros(len(pdf), dtype=bool)
-        if last_ts is not None:
-            late = (ts < last_ts) | ((ts == last_ts) & (sq < last_seq))
-        ok = ~late
-        delta = pdf["delta_c"].to_numpy(np.int64)[ok]
-        acct = np.zeros(int(ok.sum()), dtype=np.int64)
-        before = np.full(len(pdf), bal, dtype=np.int64)
-        after = np.full(len(pdf), bal, dtype=np.int64)
-        granted = np.zeros(len(pdf), dtype=bool)
-        if ok.any():
-            b, g, a = fold_arrays(acct, delta, delta < 0, 0, bal)
-            before[ok], granted[ok], after[ok] = b, g, a
-            bal = int(a[-1])
-            last_ts, last_seq = int(ts[ok][-1]), int(sq[ok][-1])
-        is_close = (pdf["activity_type"].to_numpy() == close_type) & ok
-        seen_close = np.concatenate([[False], np.cumsum(is_close)[:-1] > 0]) | closed
-        closed = bool(closed or is_close.any())
-        state.update((int(bal), closed, last_ts, last_seq))
-        yield pd.DataFrame({"account": np.full(len(pdf), key[0], dtype=np.int64), "seq": sq, "ts_us": ts,
-                            "balance_before": before, "granted": granted, "balance_after": after,
-                            "after_close": seen_close, "status": np.where(late, "late", "applied")})
+        out, new = fold_rows(key[0], pd.concat(list(pdfs), ignore_index=True), state.get if state.exists else None, close_type)
+        state.update(new)
+        yield from out
     return fn
 
 
+HANDED_OUT = LEDGER_OUT + ", delta_c long, activity_type string, turn int, last_ts long, last_seq long"
+_HANDED = [c.split()[0] for c in HANDED_OUT.split(", ")]
+
+
+def _plain(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Text columns as Python strings: the state worker's writer takes no chunked Arrow text."""
+    return pdf.assign(**{c: pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("status", "activity_type")})
+
+
+class LedgerProcessor(StatefulProcessor):
+    """Folds an account's deliveries; hands the account over once a delivery has more than ``limit`` rows of it.
+
+    Rows of an account handed over leave as they come, with ``status = 'handed'``, their delivery's number and the
+    account's balance, closed flag and last row at the hand-over; a task then holds one Arrow batch at a time."""
+
+    def __init__(self, close_type: str, limit: int):
+        self.close_type, self.limit = close_type, limit
+
+    def init(self, handle) -> None:
+        self.ledger = handle.getValueState("ledger", LEDGER_STATE)
+        self.handed = handle.getValueState("handed", "turn int")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        state = tuple(self.ledger.get()) if self.ledger.exists() else None
+        turn = self.handed.get()[0] if self.handed.exists() else 0
+        parts, more = held(rows, self.limit) if not turn else ([], True)
+        if not more:
+            out, new = fold_rows(key[0], pd.concat(parts, ignore_index=True), state, self.close_type)
+            self.ledger.update(new)
+            for pdf in out:
+                yield _plain(pdf.reindex(columns=_HANDED))
+            return
+        self.handed.update((turn + 1,))
+        for group in (parts, rows):
+            for pdf in group:
+                if state is None:
+                    op = pdf["opening_c"].iloc[0]
+                    state = (0 if pd.isna(op) else int(op), False, None, None)
+                    self.ledger.update(state)
+                dated = pdf["ts_us"].notna()
+                yield _plain(pd.DataFrame({
+                    "account": key[0], "seq": pdf["seq"], "ts_us": pdf["ts_us"].astype("Int64"), "balance_before": state[0], "granted": False,
+                    "balance_after": state[0], "after_close": state[1], "status": np.where(dated, "handed", "undated"), "delta_c": pdf["delta_c"],
+                    "activity_type": pdf["activity_type"], "turn": turn + 1, "last_ts": pd.array([state[2]] * len(pdf), dtype="Int64"),
+                    "last_seq": pd.array([state[3]] * len(pdf), dtype="Int64")})[_HANDED])
+
+    def close(self) -> None:
+        pass
+
+
+def replay_handed(rows: DataFrame, close_type: str) -> DataFrame:
+    """``LEDGER_OUT`` of handed-over rows: the batch ledger from the balance at the hand-over on.
+
+    Tables of one row per account handed over (and delivery) are broadcast: each stands for ``HANDOVER`` rows or more."""
+    at = F.struct("ts_us", "seq")
+    turns = rows.groupBy("account", "turn").agg(F.max(at).alias("top"), 
+                                                 F.max(F.when(F.col("last_ts").isNotNull(), F.struct(F.col("last_ts").alias("ts_us"), F.col("last_seq").alias("seq")))).alias("was"))
+    earlier = Window.partitionBy("account").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    bound = turns.select("account", "turn", F.greatest(F.max("top").over(earlier), "was").alias("bound"))
+    known = rows.join(F.broadcast(bound), ["account", "turn"]).withColumn("late", F.coalesce(at < F.col("bound"), F.lit(False)))
+    known = stored(known.withColumn("amount", ledger.from_cents("delta_c")), "handed")
+    good = known.where("NOT late")
+    heads = known.groupBy("account").agg(F.first("balance_before").alias("o"), F.max("after_close").alias("closed"))
+    opening = heads.select("account", ledger.from_cents("o").alias("opening"))
+    played = ledger.replay(good.select("account", "seq", "ts_us", "turn", "amount", "activity_type"), opening, account="account", order=["ts_us", "seq"])
+    cents = lambda c: F.round(F.col(c) * 100, 0).cast("long")
+    played = stored(played.withColumns({"b": cents("balance_before"), "a": cents("balance_after")}), "replayed")
+    closes = played.where(F.col("activity_type") == close_type).groupBy("account").agg(F.min(at).alias("close"))
+    flags = heads.select("account", "closed").join(closes, "account", "left")
+    shut = F.col("closed") | F.coalesce(at > F.col("close"), F.lit(False))
+    applied = played.join(F.broadcast(flags), "account").select(
+        "account", "seq", "ts_us", F.col("b").alias("balance_before"), "granted", F.col("a").alias("balance_after"),
+        shut.alias("after_close"), F.lit("applied").alias("status"))
+    # a late row shows the balance and the flag that its delivery began with
+    ends = played.groupBy("account", "turn").agg(F.max_by("a", at).alias("end"))
+    begin = turns.select("account", "turn").join(ends, ["account", "turn"], "left").join(heads, "account").select(
+        "account", "turn", F.coalesce(F.last("end", True).over(earlier), "o").alias("begin"))
+    late = known.where("late").drop("after_close").join(F.broadcast(begin), ["account", "turn"]).join(F.broadcast(flags), "account").select(
+        "account", "seq", "ts_us", F.col("begin").alias("balance_before"), F.lit(False).alias("granted"), F.col("begin").alias("balance_after"),
+        (F.col("closed") | F.coalesce(F.col("bound") > F.col("close"), F.lit(False))).alias("after_close"), F.lit("late").alias("status"))
+    return applied.unionByName(late)
+
+
 def ledger_stream(spark: SparkSession, log: DataFrame, opening: DataFrame, account: str = "virtual_id",
                   ts: str = "ts", seq: str = "seq", amount: str = "amount", state_col: str = "activity_type",
-                  close_type: str = "Close Account", n_slices: int = 3) -> DataFrame:
-    """T3 + T8 + T9: streaming V1 ledger with closure flag; returns the sink table."""
+                  close_type: str = "Close Account", n_slices: int = 3, limit: int = HANDOVER, delivery: str | None = None) -> DataFrame:
+    """T3 + T8 + T9: streaming V1 ledger with closure flag; returns the sink table and what the batch ledger made of accounts handed over."""
     base = log.select(F.col(account).alias("account"), F.col(seq).alias("seq"),
                       F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"),
                       F.col(ts).cast("timestamp").alias("_ets"),
                       F.round(F.col(amount).cast("decimal(18,2)") * 100, 0).cast("long").alias("delta_c"),
-                      F.col(state_col).alias("activity_type"))
+                      F.col(state_col).alias("activity_type"), *([F.col(delivery).alias("_delivery")] if delivery else []))
     feed = Deliveries(spark, base, "_ets", n_slices, "ledger")
     op = opening.select(F.col("account"), F.round(F.col("opening").cast("decimal(18,2)") * 100, 0)
                         .cast("long").alias("opening_c"))
-    return feed.appended(lambda stream: stream.join(op, "account", "left").groupBy("account").applyInPandasWithState(  # T8: stream-static join
-        _ledger_state_fn(close_type), LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout))
+    with _rocksdb(spark):
+        out = feed.appended(lambda stream: stream.join(op, "account", "left").groupBy("account").transformWithStateInPandas(  # T8: stream-static join
+            LedgerProcessor(close_type, limit), HANDED_OUT, "Append", "None"))
+    names = [c.split()[0] for c in LEDGER_OUT.split(", ")]
+    handed = out.where("status = 'handed'")
+    done = out.where("status <> 'handed'").select(*names)
+    return done.unionByName(replay_handed(handed, close_type)) if handed.limit(1).count() else done
 
 
 # ---- T2 ---------------------------------------------------------------------
 
-VALIDATE_STATE = "last_t long, last_s string"
+VALIDATE_STATE = "last_t long"
 VALIDATE_OUT = "resp_id long, user_id string, stage int, valid boolean"
-
-
-def _validate_state_fn(key, pdfs, state):
-    last_t, last_s = state.get if state.exists else (None, None)
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_us", "resp_id"], kind="stable")
-    out = []
-    for r in pdf.itertuples(index=False):
-        pre = None if pd.isna(r.pre) else int(r.pre)
-        post = None if pd.isna(r.post) else int(r.post)
-        t = None if pd.isna(r.tx_us) else int(r.tx_us)
-        if pre is not None:
-            stage = pre
-        elif last_t is not None and t <= last_t:
-            stage = 7
-        else:
-            stage = post
-        if pre is None and post is None and (last_t is None or t > last_t):
-            last_t, last_s = t, r.ts_txt
-        out.append((int(r.resp_id), key[0], stage, stage is None))
-    if last_t is not None:
-        state.update((last_t, last_s))
-    yield pd.DataFrame(out, columns=["resp_id", "user_id", "stage", "valid"]).astype({"stage": "Int32"})
-
-
-def validate_stream(spark: SparkSession, responses: DataFrame, n_slices: int = 3) -> DataFrame:
+CHECKED_OUT = VALIDATE_OUT + ", ts_us long, pre int, post int, tx_us long, turn int, last_t long"
+_CHECKED = [c.split()[0] for c in CHECKED_OUT.split(", ")]
+_NEVER = np.iinfo(np.int64).min
+
+
+def judge_rows(pdf: pd.DataFrame, last: int | None) -> tuple[np.ndarray, int | None]:
+    """Stage of each row (0: valid) of one user's delivery in its order, and the last accepted time.
+
+    Accepted times only grow, so the last one accepted is the largest of all rows that pass the other checks."""
+    pre, post = (pdf[c].fillna(0).to_numpy(np.int64) for c in ("pre", "post"))
+    t = pdf["tx_us"].fillna(_NEVER).to_numpy(np.int64)
+    top = np.maximum.accumulate(np.concatenate([[_NEVER if last is None else last], np.where((pre == 0) & (post == 0), t, _NEVER)]))
+    early = (top[:-1] > _NEVER) & (t <= top[:-1])
+    return np.where(pre > 0, pre, np.where(early, 7, post)), None if top[-1] == _NEVER else int(top[-1])
+
+
+class ContractProcessor(StatefulProcessor):
+    """Order check of a user's responses against the last accepted time; hot users are handed over as in :class:`LedgerProcessor`."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", VALIDATE_STATE)
+        self.handed = handle.getValueState("handed", "turn int")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        last = self.last.get()[0] if self.last.exists() else None
+        turn = self.handed.get()[0] if self.handed.exists() else 0
+        parts, more = held(rows, self.limit) if not turn else ([], True)
+        if not more:
+            pdf = pd.concat(parts, ignore_index=True).sort_values(["ts_us", "resp_id"], kind="stable")
+            stage, last = judge_rows(pdf, last)
+            if last is not None:
+                self.last.update((last,))
+            yield pd.DataFrame({"resp_id": pdf["resp_id"].to_numpy(), "user_id": key[0], "stage": pd.array(stage, "Int32"),
+                                "valid": stage == 0}).assign(stage=lambda x: x["stage"].mask(x["valid"])).reindex(columns=_CHECKED)
+            return
+        self.handed.update((turn + 1,))
+        for group in (parts, rows):
+            for pdf in group:
+                whole = pdf.astype({c: "Int64" for c in ("ts_us", "pre", "post", "tx_us")})
+                yield whole.assign(user_id=key[0], stage=pd.array([None] * len(pdf), "Int32"), valid=None, turn=turn + 1,
+                                   last_t=pd.array([last] * len(pdf), "Int64"))[_CHECKED]
+
+    def close(self) -> None:
+        pass
+
+
+def judge_handed(rows: DataFrame) -> DataFrame:
+    """``VALIDATE_OUT`` of handed-over rows, by running maxima in order of delivery, time and number."""
+    # 2 ** 52 microseconds are 142 years: deliveries of one user follow one another in this order
+    placed = rows.withColumn("_at", F.col("turn").cast("long") * (1 << 52) + F.coalesce("ts_us", F.lit(0)))
+    good = F.when(F.col("pre").isNull() & F.col("post").isNull(), F.col("tx_us"))
+    bucketed = seqwin.add_bucket(placed, "user_id", ["_at", "resp_id"])
+    top = seqwin.running(bucketed, "user_id", ["_at", "resp_id"], {"_top": ("max", good)})
+    before = seqwin.neighbor(top, "user_id", ["_at", "resp_id"], ["_top"])
+    last = F.greatest("prev__top", "last_t")
+    stage = F.when(F.col("pre").isNotNull(), F.col("pre")).when(F.col("tx_us") <= last, 7).otherwise(F.col("post"))
+    return before.select("resp_id", "user_id", stage.cast("int").alias("stage")).withColumn("valid", F.col("stage").isNull())
+
+
+def validate_stream(spark: SparkSession, responses: DataFrame, n_slices: int = 3, limit: int = HANDOVER) -> DataFrame:
     """Contract validation over a response stream (order check from state)."""
     st = K.stages(responses).select(
         "resp_id", "user_id", F.col("ts").cast("timestamp").alias("_ets"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
         F.col("_pre").cast("int").alias("pre"), F.col("_post").cast("int").alias("post"),
-        F.unix_micros("tx_ts").alias("tx_us"), F.col("_ts_txt").alias("ts_txt"))
+        F.unix_micros("tx_ts").alias("tx_us"))
     feed = Deliveries(spark, st, "_ets", n_slices, "validate")
-    return feed.appended(lambda stream: stream.groupBy("user_id").applyInPandasWithState(
-        _validate_state_fn, VALIDATE_OUT, VALIDATE_STATE, "append", GroupStateTimeout.NoTimeout))
+    with _rocksdb(spark):
+        out = feed.appended(lambda stream: stream.groupBy("user_id").transformWithStateInPandas(
+            ContractProcessor(limit), CHECKED_OUT, "Append", "None"))
+    names = [c.split()[0] for c in VALIDATE_OUT.split(", ")]
+    handed = out.where("turn IS NOT NULL")
+    done = out.where("turn IS NULL").select(*names)
+    return done.unionByName(judge_handed(handed)) if handed.limit(1).count() else done
 
 
 # ---- T7 ---------------------------------------------------------------------
