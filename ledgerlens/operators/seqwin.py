@@ -44,24 +44,35 @@ def _null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str = "l
     return left.join(renamed, cond, how).drop(*[f"_sw_r_{c}" for c in cols])
 
 
-def _measured(df: DataFrame, keys: list[str], first: str, rows: int) -> DataFrame:
-    """``df`` with the bucket column: number of the measured range of ``first`` that a row lies in."""
+def _bounds(df: DataFrame, keys: list[str], first: str, rows: int) -> tuple[DataFrame, bool] | None:
+    """(keys, _sw_bounds) of the keys over the limit and whether they are few enough to broadcast; None without such a key."""
+    if df.schema[first].dataType.simpleString() in ("string", "boolean", "binary"):  # whatever the keys' sizes are
+        raise TypeError(f"hot keys are split along {first}: the first order column has to be a number or a time")
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sw_n")).where(F.col("_sw_n") > rows)
     # one row per key over the limit: at most all rows / ROWS_PER_BUCKET
     top = counts.agg(F.count(F.lit(1)).alias("k"), F.max("_sw_n").alias("m")).first()
     if not top["k"]:
-        return df.withColumn(_BK, F.lit(0))
+        return None
     few = top["k"] <= BROADCAST_KEYS
     heavy = F.broadcast(counts) if few else counts
     parts = -(-top["m"] // rows)
     at = [k / parts for k in range(1, parts)]
-    bounds = (_null_safe(df.select(*keys, first), heavy.select(*keys), keys, "inner").groupBy(*keys)
-              .agg(F.percentile_approx(first, at, max(10_000, 20 * parts)).alias("_sw_bounds")))
-    out = _null_safe(df, F.broadcast(bounds) if few else bounds, keys)
-    # null order values come first; rows of equal values share a bucket, so the order of buckets is the order of rows
-    n = F.when(F.col(first).isNull() | F.col("_sw_bounds").isNull(), F.lit(0)).otherwise(
-        F.size(F.filter("_sw_bounds", lambda b: b < F.col(first))))
-    return out.withColumn(_BK, n.cast("long")).drop("_sw_bounds")
+    return (_null_safe(df.select(*keys, first), heavy.select(*keys), keys, "inner").groupBy(*keys)
+            .agg(F.percentile_approx(first, at, max(10_000, 20 * parts)).alias("_sw_bounds"))), few
+
+
+def _bucket_of(x: Column) -> Column:
+    """Number of the measured range that ``x`` lies in: null order values come first, equal values share a bucket."""
+    return F.when(x.isNull() | F.col("_sw_bounds").isNull(), F.lit(0)).otherwise(F.size(F.filter("_sw_bounds", lambda b: b < x))).cast("long")
+
+
+def _measured(df: DataFrame, keys: list[str], first: str, rows: int) -> DataFrame:
+    """``df`` with the bucket column: number of the measured range of ``first`` that a row lies in."""
+    found = _bounds(df, keys, first, rows)
+    if found is None:
+        return df.withColumn(_BK, F.lit(0))
+    bounds, few = found
+    return _null_safe(df, F.broadcast(bounds) if few else bounds, keys).withColumn(_BK, _bucket_of(F.col(first))).drop("_sw_bounds")
 
 
 def add_bucket(df: DataFrame, key, order: list[str], bucket: Column | None = None, rows: int | None = None) -> DataFrame:
@@ -154,3 +165,54 @@ def row_index(df: DataFrame, key, order: list[str], name: str = "idx",
               bucket: Column | None = None) -> DataFrame:
     """1..n per key in order (running count)."""
     return running(df, key, order, {name: ("sum", F.lit(1).cast("long"))}, bucket)
+
+
+MAX_WIDTHS = 50
+
+
+def count_range(df: DataFrame, key, t: str, width: str, name: str = "n_in_window", rows: int | None = None) -> DataFrame:
+    """Add ``name``: rows of the same key with ``t`` in ``[t - width, t]``, ties included (null where ``t`` or ``width`` is).
+
+    ``t`` is a double and ``width`` has few values (``MAX_WIDTHS``, else an error): one RANGE window a width, all over one
+    sort.  Keys over the row limit are split into measured buckets; a row whose width reaches into an earlier bucket adds the
+    buckets between from a table of one row a bucket, and travels once more, to the bucket that its width ends in, where
+    the rows before that end are counted off.  No row is joined back."""
+    keys = _keys(key)
+    widths = [r[0] for r in df.select(width).where(F.col(width).isNotNull()).distinct().limit(MAX_WIDTHS + 1).collect()]
+    if len(widths) > MAX_WIDTHS:
+        raise ValueError(f"{width} has more than {MAX_WIDTHS} values")
+    found = _bounds(df, keys, t, rows or ROWS_PER_BUCKET)
+    split = df.withColumns({_BK: F.lit(0).cast("long"), "_sw_p": F.col(t) - F.col(width)})
+    if found is not None:
+        bounds, few = found
+        split = _null_safe(split, F.broadcast(bounds) if few else bounds, keys)
+        split = split.withColumns({_BK: _bucket_of(F.col(t)), "_sw_b": _bucket_of(F.col("_sw_p"))}).drop("_sw_bounds")
+    by = ", ".join(f"`{c}`" for c in [*keys, _BK])
+    n = F.lit(None).cast("long")
+    for x in widths:
+        frame = f"count(`{t}`) OVER (PARTITION BY {by} ORDER BY `{t}` RANGE BETWEEN {float(x)!r}D PRECEDING AND CURRENT ROW)"
+        n = F.when(F.col(width) == F.lit(x), F.expr(frame)).otherwise(n)
+    inside = split.withColumn(name, F.when(F.col(t).isNotNull(), n))
+    if found is None:
+        return inside.drop(_BK, "_sw_p")
+    plain = [*df.columns, name]
+    # rows whose width ends in an earlier bucket: what lies there from that end on, and in the buckets between
+    reach = F.col("_sw_b") < F.col(_BK)
+    done = inside.where(~F.coalesce(reach & F.col(name).isNotNull(), F.lit(False))).select(*plain)
+    sizes = split.where(F.col(t).isNotNull()).groupBy(*keys, _BK).agg(F.count(F.lit(1)).alias("_sw_n"))
+    upto = Window.partitionBy(*keys).orderBy(_BK).rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.withColumn("_sw_upto", F.sum("_sw_n").over(upto))  # one row a bucket
+    sums = sizes.groupBy(*keys).agg(F.collect_list(F.struct(_BK, "_sw_upto")).alias("_sw_sums"))
+    travel = _null_safe(inside.where(reach & F.col(name).isNotNull()), sums, keys)
+    # rows in all buckets before a given one (sums grow with the bucket; buckets may be empty)
+    below = lambda b: F.aggregate("_sw_sums", F.lit(0).cast("long"), lambda a, e: F.greatest(a, F.when(e[_BK] < F.col(b), e["_sw_upto"])))
+    before, earlier = below(_BK), below("_sw_b")
+    # rows of earlier buckets less those before the bucket that the width ends in; that bucket's rows before the end are counted off below
+    travel = travel.withColumn(name, F.col(name) + before - earlier)
+    carried = travel.select(F.struct(*plain).alias("_sw_row"), *keys, F.col("_sw_b").alias(_BK), F.col("_sw_p").alias("_sw_t"), F.lit(0).alias("_sw_kind"))
+    there = split.where(F.col(t).isNotNull()).select(F.lit(None).cast(carried.schema["_sw_row"].dataType).alias("_sw_row"), *keys, _BK,
+                                                     F.col(t).alias("_sw_t"), F.lit(1).alias("_sw_kind"))
+    off = F.sum("_sw_kind").over(Window.partitionBy(*keys, _BK).orderBy("_sw_t", "_sw_kind").rowsBetween(Window.unboundedPreceding, 0))
+    counted = carried.unionByName(there).withColumn("_sw_off", off).where("_sw_kind = 0")
+    patched = counted.select(*[F.col("_sw_row")[c].alias(c) for c in df.columns], (F.col("_sw_row")[name] - F.col("_sw_off")).alias(name))
+    return done.unionByName(patched)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import strategies as S
-from . import timeline
+from . import seqwin
 
 VEL_HOUR = r"(\d+)-?(\d+)?\s*transactions\s*within\s*(\d+)\s*hour"
 VEL_DAY = r"(\d+)-?(\d+)?\s*transactions\s*per\s*(\d+)?\s*day"
@@ -125,6 +125,6 @@ def rate_violations(log: DataFrame, strat: DataFrame, key: str, ts: str, row_id:
                      F.col("vel.max_tx").alias("_max")).filter(F.col("_win").isNotNull())
     j = log.join(F.broadcast(s), profile).withColumn(
         "_tsec", F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6))
-    c = timeline.count_in_range(j, key, "_tsec", "_win", row_id, name="n_in_window")
+    c = seqwin.count_range(j, key, "_tsec", "_win", name="n_in_window")
     return c.filter(F.col("n_in_window") > F.col("_max")).withColumnRenamed("_max", "max_tx") \
         .withColumnRenamed("_win", "window_s").drop("_tsec")

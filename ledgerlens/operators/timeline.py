@@ -1,13 +1,10 @@
-"""Ordered per-key timelines without per-row folds.
+"""Ordered per-key timelines without per-row folds (W2, W3, W8, W19, A24, A26; W12 is ``seqwin.count_range``).
 
 * W19 ``enforce_order``: the rule a_i = max(t_i, a_{i-1} + g_i) (shift a
   timestamp to at least the previous adjusted one plus a gap that depends on a
   location change) is a max-plus recurrence with the closed form
   a_i = G_i + max_{j<=i}(t_j - G_j), G = running sum of gaps.  Two skew-safe
   running aggregates, no fold.
-* W12 ``count_in_range``: rows of the key in [t - W, t] with a per-row W, as
-  the difference of running counts at two probe rows (as-of by union + running
-  sum), skew-safe and without pairing rows.
 """
 
 from __future__ import annotations
@@ -96,24 +93,6 @@ def attempt_latency(log: DataFrame, key: str, order: list[str], ts: str = "ts",
         F.round(F.avg(gap), 6).alias("mean_gap_s"), F.round(F.max(gap), 6).alias("max_gap_s"))
 
 
-def count_in_range(df: DataFrame, key: str, t: str, width: str, row_id: str, name: str = "n_in_window"):
-    """W12 kernel: for each row, number of rows of the same key with time in
-    [t - width, t] (ties included).  ``t`` and ``width`` are numeric columns."""
-    base = df.select(key, row_id, F.col(t).alias("_t"), F.col(width).alias("_w"))
-    rows = base.select(key, F.col("_t").alias("_pt"), F.lit(1).alias("_kind"), F.lit(None).cast(
-        base.schema[row_id].dataType).alias("_rid"), F.lit(1).alias("_is_row"))
-    starts = base.select(key, (F.col("_t") - F.col("_w")).alias("_pt"), F.lit(0).alias("_kind"),
-                         F.col(row_id).alias("_rid"), F.lit(0).alias("_is_row"))
-    ends = base.select(key, F.col("_t").alias("_pt"), F.lit(2).alias("_kind"), F.col(row_id).alias("_rid"),
-                       F.lit(0).alias("_is_row"))
-    u = rows.unionByName(starts).unionByName(ends)
-    c = seqwin.running(u, key, ["_pt", "_kind", "_rid"], {"_c": ("sum", F.col("_is_row").cast("long"))})
-    probes = c.filter(F.col("_is_row") == 0).groupBy(F.col("_rid").alias(row_id)).agg(
-        (F.max(F.when(F.col("_kind") == 2, F.col("_c"))) - F.max(F.when(F.col("_kind") == 0, F.col("_c"))))
-        .alias(name))
-    return df.join(probes, row_id)
-
-
 def sequence_score(log: DataFrame, key: str, order: list[str], ts: str, amount: str, location: str,
                    granted: str) -> DataFrame:
     """Per-sequence time, amount, location and denied sub-scores and

@@ -103,3 +103,27 @@ def test_enforce_order_closed_form(spark):
     got = {r["seq"]: r["adj_bank_timestamp"] for r in timeline.enforce_order(df, "user_id", ["seq"]).collect()}
     assert got == {1: "2025-01-01T10:00:00+00:00", 2: "2025-01-01T11:00:00+00:00",
                    3: "2025-01-01T11:30:00+00:00", 4: "2025-01-01T11:31:00+00:00"}
+
+
+@pytest.mark.parametrize("rows", [40, 10_000])
+def test_range_counts_over_buckets(spark, rows):
+    """RANGE counts with ties, several widths, a hot key split into buckets and nulls equal a plain count."""
+    import random
+
+    from ledgerlens.operators import seqwin
+    rng = random.Random(4)
+    data = [(k, 1 if k % 3 else k % 11, None if k % 70 == 0 else float(rng.randrange(3000)), None if k % 90 == 1 else rng.choice([0, 10, 500, 2500]))
+            for k in range(700)]
+    df = spark.createDataFrame(data, "id long, k long, t double, w int")
+    got = {r["id"]: r["n"] for r in seqwin.count_range(df, "k", "t", "w", "n", rows=rows).collect()}
+    want = {i: None if t is None or w is None else sum(1 for _, b, x, _ in data if b == k and x is not None and t - w <= x <= t) for i, k, t, w in data}
+    assert got == want
+
+
+def test_buckets_along_text_are_refused_at_every_size(spark):
+    from ledgerlens.operators import seqwin
+    df = spark.range(50).selectExpr("id % 2 AS k", "cast(id AS string) AS s")
+    with pytest.raises(TypeError):
+        seqwin.add_bucket(df, "k", ["s"], rows=10)
+    with pytest.raises(TypeError):
+        seqwin.add_bucket(df, "k", ["s"], rows=1000)
