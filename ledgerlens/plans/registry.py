@@ -26,6 +26,7 @@ _MODULES = [
     "source_queries",
     "sequence2_queries",
     "density_queries",
+    "corr_queries",
 ]
 
 
