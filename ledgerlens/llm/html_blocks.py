@@ -67,16 +67,18 @@ small span strike strong sub sup time tt u var wbr""".split())
 NEVER = frozenset("""nav header footer aside form menu dialog button select option textarea noscript template iframe object
 svg math canvas audio video map fieldset datalist""".split())
 PLACES = frozenset(("article", "main"))
-# Names by what they give way to: an article, a main or rich text, nothing but an empty page.
-LAYOUT, TEASER, REMARK = 1, 2, 3
+# Names by what they give way to: an article or most of the page's rich text; a main; a main.
+LAYOUT, FIRM, REMARK = 1, 2, 3
 HINTS = (
     (REMARK, re.compile(r"ad|ads|advert[a-z]*|adbox|sponsor[a-z]*|cookies?|consent|comments?|commentlist|disqus|replies|reply")),
-    (TEASER, re.compile(r"promo[a-z]*|related|recommend[a-z]*")),
-    (LAYOUT, re.compile(r"""(?x) banner|menu[a-z]*|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget[a-z]*|footer|header|masthead|
-notices?|alert[a-z]*|popup|modal|newsletter|subscribe|share|sharing|social|login|signup|search|pagination|pager|complementary|
-contentinfo|copyright|legal|disclaimer""")))
-FRAME = frozenset("area bar block box item items links list main site".split())  # parts of a name that change nothing
+    (FIRM, re.compile(r"""(?x) promo[a-z]*|related|recommend[a-z]*|footer|notices?|alert[a-z]*|popup|modal|newsletter|subscribe|
+contentinfo|copyright|legal|disclaimer""")),
+    (LAYOUT, re.compile(r"""(?x) banner|menu[a-z]*|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget[a-z]*|header|masthead|
+share|sharing|social|login|signup|search|pagination|pager|complementary""")))
+FRAME = frozenset("area bar block box container item items links list main site user wrapper".split())  # parts of a name that change nothing
 OF_REMARK = frozenset("body content div section text thread".split())  # the same, beside a name of comments
+ONE_DOES = re.compile(r"ad|ads|advert[a-z]*|adbox|sponsor[a-z]*|comments?|commentlist|disqus|replies")  # adverts and comments whatever else the name says
+GUARD = frozenset("no not non has with without free open closed count allow allowed enable enabled disable disabled".split())  # but for these
 TOKEN = re.compile(r"""(?isx)
     <!--.*?(?:-->|\Z) | <!\[CDATA\[.*?(?:\]\]>|\Z) | <[!?][^>]*(?:>|\Z)
   | <(?P<raw>script|style|title|xmp|noembed|noframes)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)
@@ -101,8 +103,10 @@ def hint_of(names: str) -> int:
         parts = [x for x in PART.split(name) if x]
         kinds = [next((k for k, words in HINTS if words.fullmatch(x)), 0) for x in parts]
         strongest = max(kinds, default=0)
-        if strongest > best and all(k or x in FRAME or strongest == REMARK and (x in OF_REMARK or x.isdigit())
-                                    for k, x in zip(kinds, parts, strict=True)):
+        if strongest <= best:
+            continue
+        whole = all(k or x in FRAME or strongest == REMARK and (x in OF_REMARK or x.isdigit()) for k, x in zip(kinds, parts, strict=True))
+        if whole or any(ONE_DOES.fullmatch(x) for x in parts) and GUARD.isdisjoint(parts):
             best = strongest
     return best
 
@@ -117,15 +121,17 @@ def attributes(rest: str) -> tuple[bool, int]:
     return hidden, hint_of(" ".join(found.get(x, "") for x in ("class", "id", "role")))
 
 
-def blocks(page: str, remarks: bool = False) -> list[tuple[str, int, bool, int, bool]]:
+def blocks(page: str) -> list[tuple[str, int, bool, int, bool]]:
     """(text, link characters, excluded, place, heading) of all blocks with text, in page order.
 
-    The place is the number of the outermost article or main, 0 outside.  With
-    ``remarks`` names of adverts, comments and notices are no hint."""
+    The place is the number of the outermost article or main, 0 outside.  A name excludes what stands below it, unless it
+    gives way: names of the layout to an article inside, or, outside any article or main, where they hold more than half of
+    the page's rich text (that outside footers, notices, related teasers, adverts and comments); all of them to a main inside."""
     out, stack, words, link = [], [], [], []
     excluded = placed = places = links = heads = 0
     at, hint = 0, -1
-    parent, kind, passed = [], [], []  # of each hint: the hint around it, its kind, the strongest that it has given way to
+    parent, kind, passed, inner = [], [], [], []  # of each hint: the hint around it, its kind, the strongest that it has given way to, its place
+    rich = []  # (hint, characters) of the blocks that read like prose
 
     def give_way(h, strength):
         while h >= 0 and kind[h] <= strength and passed[h] < strength:
@@ -138,10 +144,8 @@ def blocks(page: str, remarks: bool = False) -> list[tuple[str, int, bool, int,
             if text:
                 inside = len(" ".join(html.unescape("".join(link)).split()))
                 out.append((text, inside, excluded > 0, places if placed else 0, heads > 0, hint))
-                if hint >= 0 and not excluded and len(text) >= LONG and inside <= LINKS * len(text):
-                    stops, seen = stop_words(text)
-                    if stops >= STOP_HIGH * max(1, seen):
-                        give_way(hint, TEASER)
+                if not excluded and len(text) >= LONG and inside <= LINKS * len(text):
+                    rich.append((hint, text))
             words.clear()
             link.clear()
 
@@ -183,15 +187,16 @@ def blocks(page: str, remarks: bool = False) -> list[tuple[str, int, bool, int,
             leave(stack.pop())
         hidden, name = attributes(rest) if rest else (False, 0)
         out_of = tag in NEVER and not (tag == "header" and placed) or hidden
-        hinted = name > 0 and tag not in ("html", "body", "main") and (tag != "article" or name >= TEASER) and not (remarks and name == REMARK)
+        hinted = name > 0 and tag not in ("html", "body", "main") and (tag != "article" or name >= FIRM)
         place = tag in PLACES and not (hinted and name == REMARK)
         places += place and not placed
         if place and not hinted and not out_of and not excluded:
-            give_way(hint, TEASER if tag == "main" else LAYOUT)
+            give_way(hint, REMARK if tag == "main" else LAYOUT)
         if hinted:
             parent.append(hint)
             kind.append(name)
             passed.append(0)
+            inner.append(placed > 0)
             hint = len(kind) - 1
         entry = (tag, int(out_of), int(place), int(tag == "a"), int(tag in ("h1", "h2", "h3", "h4", "h5", "h6")), hinted)
         stack.append(entry)
@@ -200,8 +205,20 @@ def blocks(page: str, remarks: bool = False) -> list[tuple[str, int, bool, int,
         put(page[at:])
     flush()
     holds = [p < k for p, k in zip(passed, kind, strict=True)]
-    for h, around in enumerate(parent):  # a hint stands after the hint around it
-        holds[h] = holds[h] or around >= 0 and holds[around]
+    if any(holds):
+        firm = [h and k >= FIRM for h, k in zip(holds, kind, strict=True)]
+        for h, around in enumerate(parent):  # a hint stands after the hint around it
+            firm[h] = firm[h] or around >= 0 and firm[around]
+        total, own = 0, [0] * len(kind)
+        for h, text in rich:
+            stops, seen = stop_words(text)
+            if stops >= STOP_HIGH * max(1, seen) and not (h >= 0 and firm[h]):
+                total += len(text)
+                while h >= 0:
+                    own[h] += len(text)
+                    h = parent[h]
+        for h, around in enumerate(parent):
+            holds[h] = holds[h] and not (kind[h] == LAYOUT and not inner[h] and 2 * own[h] > total) or around >= 0 and holds[around]
     return [(text, inside, out_of or h >= 0 and holds[h], place, head) for text, inside, out_of, place, head, h in out]
 
 
@@ -259,12 +276,8 @@ def second_pass(found: list[tuple[str, int, bool, int, bool]], labels: list[int]
 
 
 def main_text(page: str | None) -> str:
-    for remarks in (False, True):
-        found = blocks(page or "", remarks)
-        text = "\n".join(f[0] for f, x in zip(found, second_pass(found, first_pass(found)), strict=True) if x == CONTENT)
-        if text or not any(f[2] for f in found):
-            break
-    return text
+    found = blocks(page or "")
+    return "\n".join(f[0] for f, x in zip(found, second_pass(found, first_pass(found)), strict=True) if x == CONTENT)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ RICH = "This is the story of the man and of the sea that was there for all of us
 @pytest.mark.parametrize("attribute", [
     *(f'class="{x}"' for x in ("content has-sidebar", "elementor-widget-container", "article-content no-comments", "layout-side-by-side",
                                "page-header-fixed wrapper", "post-header", "sidebar", "overflow-hidden md:flex")),
-    'aria-hidden="false"', 'id="comments"', "data-class=ad"])
+    'aria-hidden="false"', "data-class=ad"])
 def test_html_names_of_wrappers_keep_the_text(attribute):
     for inside in (f"<p>{RICH}</p><p>Short.</p>", f"<article><h1>Title</h1><p>{RICH}</p></article>", f"<main><p>{RICH}</p></main>"):
         assert RICH in html_blocks.main_text(f"<body><nav>Home</nav><div {attribute}>{inside}</div><footer>me</footer></body>")
@@ -191,6 +191,30 @@ def test_html_hints_hold():
     assert html_blocks.main_text(f'<body><div><p>{RICH}</p></div><div class="related"><article>{short}</article></div></body>') == RICH
 
 
+@pytest.mark.parametrize("name", ["comments", "user-comments", "post-comments-section", "ad", "advertisement-wrapper", "google-ad-slot", "cookie-notice",
+                                  "site-notice", "footer", "footer-container", "newsletter", "related", "related-posts-list", "legal"])
+def test_html_excluded_parts_never_come_back(name):
+    """Alone on the page, beside the article, inside it, and as an id."""
+    part = f'<div class="{name}"><p>{RICH} Excluded.</p><p>{RICH} Excluded too.</p></div>'
+    if name != "related-posts-list":  # a name with another word in it is judged by its text
+        assert html_blocks.main_text(f"<body><nav>Home</nav>{part}</body>") == ""
+        for page in (f"<body><div><p>{RICH}</p></div>{part}</body>", f"<body><article><p>{RICH}</p>{part}</article></body>",
+                     f"<body>{part}<main><p>{RICH}</p></main></body>", f"<body><article><p>{RICH}</p></article>{part.replace('class', 'id')}</body>"):
+            assert html_blocks.main_text(page) == RICH
+    assert html_blocks.main_text(f'<body><div class="{name}"><main><p>{RICH}</p></main></div></body>') == RICH
+
+
+def test_html_sidebars_give_way_only_to_most_of_the_page():
+    for name in ("sidebar", "sidebar-wrapper", "widget-container", "site-header"):
+        part = f'<div class="{name}"><p>{RICH} Beside.</p></div>'
+        assert html_blocks.main_text(f"<body><div><p>{RICH}</p><p>{RICH}</p></div>{part}</body>") == f"{RICH}\n{RICH}"
+        assert html_blocks.main_text(f"<body><article><p>{RICH}</p>{part}</article></body>") == RICH
+        assert html_blocks.main_text(f"<body><nav>Home</nav>{part}</body>") == f"{RICH} Beside."
+    # a wrapper with a hint keeps its text but for the sidebar inside it
+    inner = f'<p>{RICH}</p><p>{RICH}</p><div class="side"><p>{RICH} Beside.</p></div>'
+    assert html_blocks.main_text(f'<body><div class="widget">{inner}</div></body>') == f"{RICH}\n{RICH}"
+
+
 def test_html_body_beside_articles():
     card = "<article><h2>Next of all</h2><p>Some few words of the day</p></article>"
     body = f"<div><h1>Title</h1><p>{RICH}</p><p>{RICH}</p></div>"
