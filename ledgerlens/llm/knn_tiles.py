@@ -8,7 +8,9 @@ of queries against one block of candidates.  In a tile:
   ``|r_x| |y| + |s_x q_x| |r_y|`` (Cauchy-Schwarz on both remainders);
 * the 20th largest lower bound of a query's row is a floor: candidates whose
   upper bound lies under it cannot be among the 20 best of the tile;
-* the others are computed again in double precision, and a heap keeps the best.
+* the others are computed again in double precision, and a heap keeps the best;
+  so are pairs whose bounds overflow.  Products are added in parts of ``PART``
+  components, each exact in float32, so vectors may have any length.
 
 The tiles' best are dealt by query and merged by one heap a query while a sorted
 partition streams by.  The result is exact: bounds drop no neighbour.
@@ -18,7 +20,8 @@ non-finite components take no part, as query or candidate; vectors of different
 length are not compared; a null vec_id takes no part; rows that repeat a vec_id
 and its vector count once; rows that share a vec_id with other vectors are each a
 candidate, and of a query id the ``k`` best over all its vectors are returned, as
-in the SQL; with fewer than ``k`` candidates all are returned; ties go to the
+in the SQL; products that overflow score infinity, and NaN (last, whatever the id) where infinities
+  of both signs meet; with fewer than ``k`` candidates all are returned; ties go to the
 smaller vec_id; extra columns are not read.
 """
 
@@ -37,6 +40,7 @@ from .common import stored
 
 QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 8192
+PART = 1024  # 127 * 127 * 1024 < 2 ** 24
 SLACK = 1e-6  # relative, for the rounding of the float32 products
 
 
@@ -56,6 +60,7 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple]:
     """(query_id, vec_id, score) of the ``k`` best candidates of each query in this tile."""
     cq, cs, cr, cn = quantise(vectors)
@@ -63,21 +68,28 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
     for at in range(0, len(queries), 256):
         part = queries[at:at + 256]
         q, s, r, n = quantise(part)
-        about = (q @ cq.T).astype(np.float64) * s[:, None] * cs[None, :]  # int8 products: exact in float32 up to 1024 components
+        product = sum((q[:, d:d + PART] @ cq[:, d:d + PART].T).astype(np.float64) for d in range(0, q.shape[1], PART))
+        about = product * s[:, None] * cs[None, :]
         error = r[:, None] * c_norm[None, :] + n[:, None] * cr[None, :]
         error += SLACK * np.linalg.norm(part, axis=1)[:, None] * c_norm[None, :]
         low = about - error
         own = query_ids[at:at + 256, None] == ids[None, :]
-        low[own] = -np.inf
+        low[own | ~np.isfinite(low)] = -np.inf
         floor = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(part), -np.inf)
-        keep = (about + error >= floor[:, None]) & ~own
+        keep = ~(about + error < floor[:, None]) & ~own  # a bound that is no number drops nothing
         for i in range(len(part)):
             near = np.flatnonzero(keep[i])
             if not len(near):
                 continue
             exact = dots(np.broadcast_to(part[i], (len(near), part.shape[1])), vectors[near])
-            best = heapq.nsmallest(k, zip((-exact).tolist(), ids[near].tolist(), strict=True))
-            yield from ((int(query_ids[at + i]), vec, -score) for score, vec in best)
+            best = heapq.nsmallest(k, zip(exact.tolist(), ids[near].tolist(), strict=True), key=order)
+            yield from ((int(query_ids[at + i]), vec, score) for score, vec in best)
+
+
+def order(found: tuple[float, int]) -> tuple:
+    """Nearest first: larger scores, NaN last, ties by the smaller id."""
+    score, vec = found
+    return (1, 0.0, vec) if score != score else (0, -score, vec)
 
 
 def merge(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -85,8 +97,8 @@ def merge(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
     now, heap, done = None, [], []
 
     def close():
-        for rank, (score, vec) in enumerate(sorted(((-s, -v) for s, v in heap)), 1):
-            done.append((now, rank, vec, -score))
+        for rank, (score, vec) in enumerate(sorted((found for _, found in heap), key=order), 1):
+            done.append((now, rank, vec, score))
 
     def flush():
         cols = list(zip(*done, strict=True)) or [[], [], [], []]
@@ -100,7 +112,7 @@ def merge(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
                 if now is not None:
                     close()
                 now, heap = query, []
-            item = (score, -vec)  # the root is the worst: lowest score, then the largest id
+            item = (tuple(-x for x in order((score, vec))), (score, vec))  # the root is the worst: last in order
             if len(heap) < k:
                 heapq.heappush(heap, item)
             elif item > heap[0]:
@@ -139,7 +151,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
             for row in tile(left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy()), right["vec_id"].to_numpy(),
                             np.stack(right["v"].to_numpy()), k):
                 best.setdefault(row[0], []).append(row)
-            rows = [x for found in best.values() for x in heapq.nsmallest(k, found, key=lambda r: (-r[2], r[1]))]
+            rows = [x for found in best.values() for x in heapq.nsmallest(k, found, key=lambda r: order((r[2], r[1])))]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     keys = ["dim", "qb", "cb"]

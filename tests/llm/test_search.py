@@ -239,3 +239,28 @@ def test_bounds_hold():
     about = (qa @ qb.T) * sa[:, None] * sb[None, :]
     error = ra[:, None] * np.linalg.norm(b, axis=1) + na[:, None] * rb[None, :]
     assert (np.abs(about - a @ b.T) <= error + 1e-6 * np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)).all()
+
+
+def test_neighbours_of_vectors_that_overflow(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1.0]), (2, [5.0, 1.0]), (3, [-1e200, 0.0])]
+    got = knn_tiles.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, k=20).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [
+        (1, 1, float("inf")), (2, 2, 5 * 1e200), (3, 3, float("-inf"))]
+    rows.append((4, [1e200, -1e200]))  # both signs: no number, after all others
+    rows[0] = (0, [1e200, 1e200])
+    got = knn_tiles.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, k=3).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [1, 2, 3]
+
+
+def test_neighbours_of_wide_vectors():
+    """4,096 components of equal size: an int8 product of all of them in float32 would not be exact."""
+    rng = np.random.default_rng(1)
+    vectors = rng.choice([-1.0, 1.0], (400, 4096)) + rng.normal(0, 1e-4, (400, 4096))
+    vectors[:200] = np.abs(vectors[:200])
+    ids = np.arange(400)
+    got = {}
+    for q, v, _ in knn_tiles.tile(ids[:40], vectors[:40], ids, vectors, 5):
+        got.setdefault(q, []).append(v)
+    score = vectors[:40] @ vectors.T
+    score[np.arange(40), np.arange(40)] = -np.inf
+    assert all(set(got[q]) == set(np.argsort(-score[q])[:5].tolist()) for q in range(40))
