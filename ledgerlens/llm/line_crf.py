@@ -11,8 +11,10 @@ stays when the base rules hold and the share is ``SHARE`` or more.
 Fitting: exact likelihood (forward-backward in numpy) of runs of at most ``RUN``
 lines of a bounded sample of labelled documents (``labelled.PER_CLASS`` a
 label).  No line carries a label, so every line takes its document's: lines of
-documents of quality 1 are content, of quality 0 boilerplate.  The weights (a few
-hundred bytes) go to the tasks; there is no shuffle.
+documents of quality 1 are content, of quality 0 boilerplate.  Each run gets a block of
+lines of a run of the other label put in, so changes of label are learned from lines
+whose labels are known.  The weights (a few hundred bytes) go to the tasks; there
+is no shuffle.
 
 Defined cases: null, empty or wordless texts have zero counts and fail the base
 rules; without labels of both kinds the field calls every line content; null and
@@ -206,26 +208,23 @@ def fit(sample: DataFrame) -> dict:
     if len({r[2] for r in rows}) < 2:
         w["emit"][0, 1] = 1.0
         return w
+    x, y, size = spliced([(r[0], r[2], np.reshape(r[3], (-1, d))) for r in rows])
     n = len(rows)
-    size = np.array([len(r[3]) // d for r in rows])
-    x = np.zeros((n, int(size.max()), d))
-    for k, r in enumerate(rows):
-        x[k, :size[k]] = np.reshape(r[3], (-1, d))
-    y = np.array([r[2] for r in rows])
+    own = np.array([r[2] for r in rows])
     mask = np.arange(x.shape[1])[None, :] < size[:, None]
-    weight = np.where(y == 1, n / (2 * (y == 1).sum()), n / (2 * (y == 0).sum())) / n
+    weight = np.where(own == 1, n / (2 * (own == 1).sum()), n / (2 * (own == 0).sum())) / n
     hot = np.eye(2)[y]
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
-    pairs_true = np.zeros((n, 2, 2))
-    pairs_true[np.arange(n), y, y] = size - 1
+    steps_true = hot[:, :-1, :, None] * hot[:, 1:, None, :] * mask[:, 1:, None, None]
+    pairs_true = steps_true.sum(axis=1)
     for step in range(1, STEPS + 1):
         node, pair = marginals(x @ w["emit"], mask, w["start"], w["move"])
         # gradient of the negative log-likelihood: expected counts less true ones
-        diff = (node - hot[:, None, :]) * mask[:, :, None] * weight[:, None, None]
+        diff = (node - hot) * mask[:, :, None] * weight[:, None, None]
         grad = {"emit": np.einsum("ntd,ntk->dk", x, diff) + 1e-4 * w["emit"],
                 "move": ((pair - pairs_true) * weight[:, None, None]).sum(axis=0) + 1e-3 * w["move"],
-                "start": ((node[:, 0] - hot) * weight[:, None]).sum(axis=0) + 1e-3 * w["start"]}
+                "start": ((node[:, 0] - hot[:, 0]) * weight[:, None]).sum(axis=0) + 1e-3 * w["start"]}
         for k in w:
             first[k] = 0.9 * first[k] + 0.1 * grad[k]
             second[k] = 0.99 * second[k] + 0.01 * grad[k] ** 2
@@ -233,20 +232,47 @@ def fit(sample: DataFrame) -> dict:
     return w
 
 
+def spliced(rows: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features (run, line, feature), labels (run, line) and lengths of the runs (order, label, features).
+
+    Each run has a block of up to half of ``RUN`` lines of a run of the other label inside it, or at either end; where
+    that makes it longer than ``RUN``, its own last lines go.  Place, length and partner follow from the run's order."""
+    other = {k: [r[2] for r in rows if r[1] != k] for k in (0, 1)}
+    runs_, labels = [], []
+    for k, (order, label, own) in enumerate(rows):
+        lines, kind = own, np.full(len(own), label)
+        if other[label]:
+            h = order & 0x7FFFFFFFFFFFFFFF
+            guest = other[label][h % len(other[label])]
+            m = 1 + h // 7 % min(len(guest), RUN // 2)
+            first = h // 101 % (len(guest) - m + 1)
+            own = own[:RUN - m]
+            at = h // 977 % (len(own) + 1)
+            lines = np.concatenate([own[:at], guest[first:first + m], own[at:]])
+            kind = np.concatenate([np.full(at, label), np.full(m, 1 - label), np.full(len(own) - at, label)])
+        runs_.append(lines)
+        labels.append(kind)
+    size = np.array([len(r) for r in runs_])
+    x, y = np.zeros((len(rows), int(size.max()), len(FEATURES))), np.zeros((len(rows), int(size.max())), np.int64)
+    for k, (lines, kind) in enumerate(zip(runs_, labels, strict=True)):
+        x[k, :size[k]], y[k, :size[k]] = lines, kind
+    return x, y, size
+
+
 def marginals(emission: np.ndarray, mask: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Label probabilities of each line and expected transitions of each run, by forward-backward in logarithms."""
     n, length, _ = emission.shape
     fore = np.zeros((n, length, 2))
     fore[:, 0] = emission[:, 0] + start
     for t in range(1, length):
-        step = np.logaddexp.reduce(fore[:, t - 1, :, None] + move, axis=1) + emission[:, t]
+        step = np.logaddexp(fore[:, t - 1, :1] + move[0], fore[:, t - 1, 1:] + move[1]) + emission[:, t]
         fore[:, t] = np.where(mask[:, t, None], step, fore[:, t - 1])
-    total = np.logaddexp.reduce(fore[:, -1], axis=1)
+    total = np.logaddexp(fore[:, -1, 0], fore[:, -1, 1])
     behind = np.zeros((n, length, 2))
     pair = np.zeros((n, 2, 2))
     for t in range(length - 2, -1, -1):
         ahead = emission[:, t + 1] + behind[:, t + 1]
-        step = np.logaddexp.reduce(move[None] + ahead[:, None, :], axis=2)
+        step = np.logaddexp(move[:, 0] + ahead[:, :1], move[:, 1] + ahead[:, 1:])
         behind[:, t] = np.where(mask[:, t + 1, None], step, behind[:, t + 1])
         both = np.exp(fore[:, t, :, None] + move[None] + ahead[:, None, :] - total[:, None, None])
         pair += np.where(mask[:, t + 1, None, None], both, 0)

@@ -88,6 +88,25 @@ def test_line_crf_held_out(spark, truth, odd_docs, no_docs):
     assert line_crf.judge(no_docs, w).collect() == []
 
 
+def test_line_crf_finds_planted_blocks(spark):
+    """Lines of held-out bad documents inside held-out good ones are told apart; shares lie between 0 and 1."""
+    sf = "/root/testdata/sf0.01"
+    w = line_crf.fit(labelled.training(spark, sf))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").orderBy("doc_id").collect()
+    held = [(r["quality"], [x for x in (r["text"] or "").split("\n") if x.strip()]) for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    good, bad = [x for q, x in held if q and len(x) >= 6], [x for q, x in held if not q and len(x) >= 3]
+    assert len(good) > 5 and len(bad) > 5
+    found = planted = lost = kept = 0
+    for k, own in enumerate(good):
+        guest, at = bad[k % len(bad)][:8], len(own) // 2
+        lines = line_crf.Lines(pa.array(["\n".join([*own[:at], *guest, *own[at:]])]))
+        labels = line_crf.viterbi(lines.x @ w["emit"], lines.count, w["start"], w["move"])
+        found, planted = found + int((labels[at:at + len(guest)] == 0).sum()), planted + len(guest)
+        lost, kept = lost + int((np.delete(labels, range(at, at + len(guest))) == 0).sum()), kept + len(own)
+    assert found >= 0.8 * planted and lost <= 0.03 * kept
+    assert np.isfinite(w["move"]).all() and w["move"][0, 1] > -2 and w["move"][1, 0] > -2
+
+
 def test_no_labels(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one = spark.createDataFrame([(8, 1, 0), (8, 1, 0), (4, 0, 0), (None, 0, 0), (7, None, 1)], "doc_id long, quality int, toxic int")
