@@ -153,7 +153,7 @@ def record_texts(chunks: DataFrame, again: DataFrame, date: str = DATE) -> DataF
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, limit: int = CHUNK) -> None:
-    chunks = stored(chunk_table(pages, limit), "chunks")
+    chunks = stored(chunk_table(pages, limit), "chunks", "zstd")
     record_texts(chunks, revisits(chunks, min_bytes)).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
