@@ -1,10 +1,7 @@
-"""Models and detectors.
+"""Models (M5-M7, M9, M12).
 
 MLlib estimators run distributed on a vector column; the isolation forest
-(absent from MLlib) is built as Spark jobs: 100 hash-drawn samples of 256
-rows (the algorithm's own subsampling), one ``applyInPandas`` group per tree
-(bounded: 256 rows), a node table of at most 100 x 511 rows that is broadcast,
-and an Arrow ``mapInPandas`` pass that scores every row.
+(absent from MLlib) is in ``iforest``.
 
 Substitutions (stated): Ward agglomerative clustering -> ``BisectingKMeans``
 (divisive; Ward's O(n^2) linkage has no distributed form); scikit-learn's
@@ -14,18 +11,10 @@ metrics are compared, not labels.
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..functions.hashing import u
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -68,124 +57,3 @@ def pca2(df: DataFrame, centered: str = "features") -> tuple[DataFrame, list[flo
     loadings = m.pc.toArray().T
     signs = [1.0 if v[abs(v).argmax()] > 0 else -1.0 for v in loadings]
     return m.transform(df), [float(x) for x in m.explainedVariance], [[float(x) * g for x in v] for v, g in zip(loadings, signs, strict=True)]
-
-
-# ---- isolation forest (M10) -------------------------------------------------
-
-def _c(n: float) -> float:
-    if n <= 1:
-        return 0.0
-    if n == 2:
-        return 1.0
-    return 2.0 * (math.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
-
-
-def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int):
-    nodes = []  # (node, feature, split, left, right, size) ; leaf: feature = -1
-
-    def build(idx, depth):
-        nid = len(nodes)
-        nodes.append(None)
-        xs = x[idx]
-        if depth >= max_depth or len(idx) <= 1:
-            nodes[nid] = (nid, -1, 0.0, -1, -1, len(idx))
-            return nid
-        lo, hi = xs.min(axis=0), xs.max(axis=0)
-        cand = np.flatnonzero(hi > lo)
-        if len(cand) == 0:
-            nodes[nid] = (nid, -1, 0.0, -1, -1, len(idx))
-            return nid
-        f = int(rng.choice(cand))
-        s = float(rng.uniform(lo[f], hi[f]))
-        left = build(idx[xs[:, f] < s], depth + 1)
-        right = build(idx[xs[:, f] >= s], depth + 1)
-        nodes[nid] = (nid, f, s, left, right, len(idx))
-        return nid
-
-    build(np.arange(len(x)), 0)
-    return nodes
-
-
-def forest_draws(df: DataFrame, cols: list[str], key: str, n: int, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """(key, cols, tree, _r): the rows drawn for each tree, about twice the sample.
-
-    Every tree has a hash of its own, so samples may overlap and all trees are full at
-    any table size; a tree then keeps the rows with the smallest hashes."""
-    share = min(1.0, (2 * sample + 64) / max(n, 1))
-    bits = 1 << 30
-    draw = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
-        t.alias("tree"), F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(bits)).alias("_r")))
-    return df.select(key, *cols, F.inline(F.filter(draw, lambda d: d["_r"] < int(share * bits))))
-
-
-def forest_samples(df: DataFrame, cols: list[str], key: str, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """(key, tree): the exact sample of each tree."""
-    n = df.count()
-    size = min(n, sample)
-    return forest_draws(df, cols, key, n, trees, sample, seed).select(key, "tree", "_r").groupBy("tree").applyInPandas(
-        lambda pdf: pdf.sort_values(["_r", key]).head(size)[[key, "tree"]], f"{key} {df.schema[key].dataType.simpleString()}, tree int")
-
-
-def isolation_scores(df: DataFrame, cols: list[str], key: str, trees: int = 100, sample: int = 256, seed: int = 42,
-                     fit: DataFrame | None = None) -> DataFrame:
-    """``anomaly_score`` = 2^(-E[h]/c(sample)) of every row under a forest grown on ``fit`` (default: ``df``).
-
-    The scores are checkpointed: thresholds and outputs read them, nothing is scored twice."""
-    spark = df.sparkSession
-    fit = fit if fit is not None else df
-    n = fit.count()
-    size = min(n, sample)
-    draws = forest_draws(fit, cols, key, n, trees, sample, seed)
-    max_depth = int(math.ceil(math.log2(max(sample, 2))))
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_r", key]).head(size)
-        t = int(pdf["tree"].iloc[0])
-        rng = np.random.default_rng(seed + t)
-        nodes = _grow(pdf[cols].to_numpy(dtype=float), rng, max_depth)
-        out = pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "size"])
-        out.insert(0, "tree", t)
-        return out
-
-    forest = draws.groupBy("tree").applyInPandas(
-        grow, "tree int, node int, feature int, split double, left int, right int, size long")
-    table = forest.toPandas()  # bounded: trees x (2^(max_depth+1) - 1) rows
-    by_tree = {t: g.sort_values("node").to_numpy() for t, g in table.groupby("tree")}
-    cn = _c(size)
-    bc = spark.sparkContext.broadcast(by_tree)
-
-    def score(it):
-        forest_ = bc.value
-        for pdf in it:
-            x = pdf[cols].to_numpy(dtype=float)
-            depth = np.zeros(len(x))
-            for arr in forest_.values():
-                feat, split, left, right, size = (arr[:, 2].astype(int), arr[:, 3], arr[:, 4].astype(int),
-                                                  arr[:, 5].astype(int), arr[:, 6])
-                node = np.zeros(len(x), dtype=int)
-                h = np.zeros(len(x))
-                active = feat[node] >= 0
-                while active.any():
-                    f = feat[node[active]]
-                    go_left = x[active, f] < split[node[active]]
-                    node[active] = np.where(go_left, left[node[active]], right[node[active]])
-                    h[active] += 1
-                    active = feat[node] >= 0
-                depth += h + np.array([_c(s) for s in size[node]])
-            pdf = pdf.assign(anomaly_score=2.0 ** (-(depth / len(forest_)) / cn))
-            yield pdf
-
-    schema = T.StructType(list(df.schema.fields) + [T.StructField("anomaly_score", T.DoubleType())])
-    return df.mapInPandas(score, schema).checkpoint(eager=True)
-
-
-def flag_share(scored: DataFrame, contamination: float, of: DataFrame | None = None, out: str = "if_label") -> DataFrame:
-    """Label -1 for rows at or over the score that the top ``contamination`` share of ``of`` (default: the rows) reaches, else 1."""
-    thr = (of if of is not None else scored).select(F.percentile_approx("anomaly_score", 1.0 - contamination, 10000)).scalar()
-    return scored.withColumn(out, F.when(F.col("anomaly_score") >= thr, -1).otherwise(1))
-
-
-def isolation_forest(df: DataFrame, cols: list[str], key: str, trees: int = 100, sample: int = 256,
-                     contamination: float = 0.05, seed: int = 42) -> DataFrame:
-    """Scores and labels of ``df`` under its own forest."""
-    return flag_share(isolation_scores(df, cols, key, trees, sample, seed), contamination)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from .. import bind, bind_bank
 from ..dims import catalog as C
 from ..functions.hashing import u_sql
-from ..operators import agg, checks, dbscan, features, lof, models, stats, timeline
+from ..operators import agg, checks, dbscan, features, iforest, lof, models, stats, timeline
 from ..operators.joins import union_all
 from .registry import register
+from .sqlgen import flagged_sql, forest_sql
 
 WA = bind.with_views("activity_log")
 DENSE = ["value_z", "amount_d_z", "hour_z"]
@@ -186,17 +187,47 @@ def q_decision_tree_rules(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(lines)), "line int, rule string")
 
 
-def _iforest(spark, sf_dir, contamination):
-    t, cols = model_table(spark, sf_dir)
-    return models.isolation_forest(t.select("seq", "is_fraud", *cols), cols, "seq", contamination=contamination)
+# a forest's trees do not change when a column is scaled, so the twin reads the columns as they are
+_RAW = ["value", "amount", "hour(ts)", "minute(ts)", "day(ts)"] + [f"device = '{d}'" for d in _DEV] + [
+    f"network = '{n}'" for n in _NET] + ["agent_type = 'traveler'"]
+FOREST = WA + "," + forest_sql("activity_log", "seq", _RAW)
+
+
+def forest_table(spark, sf_dir):
+    """seq, is_fraud and the model columns, unscaled."""
+    f = features.one_hot(features.one_hot(feat(spark, sf_dir), "device", _DEV, prefix="dev"), "network", _NET, prefix="net")
+    f = f.withColumn("traveler", (F.col("agent_type") == "traveler").cast("int"))
+    cols = NUMS + [f"dev_{d}" for d in _DEV] + [f"net_{n}" for n in _NET] + ["traveler"]
+    return f.select("seq", "is_fraud", *cols), cols
 
 
-@register("isolation_forest")
+@register("isolation_forest", FOREST + f"""
+SELECT CASE WHEN round(score, 5) >= {flagged_sql("scored", 0.05, "true")} THEN -1 ELSE 1 END AS if_label,
+  is_fraud, CAST(count(*) AS BIGINT) AS n FROM scored JOIN activity_log USING (seq) GROUP BY 1, 2""")
 def q_isolation_forest(spark, sf_dir):
-    s = _iforest(spark, sf_dir, 0.05)
+    t, cols = forest_table(spark, sf_dir)
+    s = iforest.isolation_forest(t, cols, "seq", contamination=0.05)
     return s.groupBy("if_label", "is_fraud").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("isolation_scores", FOREST + f"""
+SELECT seq, round(score, 5) AS anomaly_score, CASE WHEN round(score, 5) >= {flagged_sql("scored", 0.05, "true")} THEN -1 ELSE 1 END AS if_label
+FROM scored""")
+def q_isolation_scores(spark, sf_dir):
+    """M10 on every row: its score and label."""
+    t, cols = forest_table(spark, sf_dir)
+    return iforest.isolation_forest(t, cols, "seq", contamination=0.05).select("seq", F.round("anomaly_score", 5).alias("anomaly_score"), "if_label")
+
+
+@register("isolation_nodes", FOREST + """
+SELECT CAST(tree AS INTEGER) AS tree, CAST(node AS BIGINT) AS node, CAST(depth AS INTEGER) AS depth, CAST(feature AS INTEGER) AS feature,
+  round(split, 6) AS split, CAST(size AS BIGINT) AS size FROM nodes""")
+def q_isolation_nodes(spark, sf_dir):
+    """M10 as data: one row a node of the 100 trees."""
+    t, cols = forest_table(spark, sf_dir)
+    return iforest.grow(t, cols, "seq").withColumn("split", F.round("split", 6))
+
+
 @register("detector_benchmark")
 def q_detector_benchmark(spark, sf_dir):
     """Two detectors learn from 70 % of the rows on two features and judge the other 30 %: the isolation forest at two
@@ -205,10 +236,10 @@ def q_detector_benchmark(spark, sf_dir):
     f = features.standardize(features.impute_mean(feat(spark, sf_dir), cols), cols)
     f = features.hash_split(f.select("seq", "is_fraud", "amount_d_z", "value_z"), "seq", 0.3, tag="bench")
     train, test = f.filter("split = 'train'"), f.filter("split = 'test'")
-    scored = models.isolation_scores(f, ["amount_d_z", "value_z"], "seq", fit=train)
+    scored = iforest.isolation_scores(f, ["amount_d_z", "value_z"], "seq", fit=train)
     parts = []
     for c in (0.05, 0.1):
-        s = models.flag_share(scored.filter("split = 'test'"), c, of=scored.filter("split = 'train'"))
+        s = iforest.flag_share(scored.filter("split = 'test'"), c, of=scored.filter("split = 'train'"))
         rep = stats.classification_report(s, "is_fraud", (F.col("if_label") == -1).cast("int"))
         parts.append(rep.withColumn("detector", F.lit("isolation_forest")).withColumn("contamination", F.lit(c)))
     found = lof.lof(train, test, "seq", ["amount_d_z", "value_z"]).join(test.select("seq", "is_fraud"), "seq")
@@ -222,7 +253,7 @@ def q_cluster_labels(spark, sf_dir):
     """The four labels; models that score rows add theirs to them, DBSCAN's (of three numerics) are joined by row."""
     t, cols = model_table(spark, sf_dir)
     both = models.bisecting(models.kmeans(t)).select("seq", "is_fraud", "kmeans", "hierarchical", *cols)
-    three = models.isolation_forest(both, cols, "seq").select("seq", "is_fraud", "kmeans", "hierarchical", "if_label")
+    three = iforest.isolation_forest(both, cols, "seq").select("seq", "is_fraud", "kmeans", "hierarchical", "if_label")
     return three.join(dbscan.dbscan(t.select("seq", *DENSE), "seq", DENSE, eps=0.5, min_pts=5), "seq")
 
 
@@ -241,4 +272,4 @@ SELECT CAST(tree AS INTEGER) AS tree, least(256, (SELECT count(*) FROM activity_
 def q_forest_trees(spark, sf_dir):
     """M10 checked: 100 trees, each grown on a full sample, whatever the table's size."""
     t, cols = model_table(spark, sf_dir)
-    return models.forest_samples(t.select("seq", *cols), cols, "seq").groupBy("tree").agg(F.count(F.lit(1)).alias("rows"))
+    return iforest.samples(t.select("seq", *cols), cols, "seq").groupBy("tree").agg(F.count(F.lit(1)).alias("rows"))

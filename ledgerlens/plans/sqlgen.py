@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.hashing import u_sql
+
 
 def cramers_sql(src: str, x: str, y: str) -> str:
     """Cramer's V over ``src`` (a FROM-able expression) for columns x, y."""
@@ -52,3 +54,50 @@ def pearson_sql(src: str, cols: list[str]) -> str:
     un = " UNION ALL ".join(f"SELECT '{a}' AS col1, '{b}' AS col2, round(\"{a}__{b}\", 6) AS corr FROM p"
                             for a, b in pairs)
     return f"(WITH p AS (SELECT {sel} FROM {src}) {un})"
+
+
+def forest_sql(source: str, key: str, xs: list[str], fit: str = "true", trees: int = 100, sample: int = 256, seed: int = 42,
+               depth: int = 8) -> str:
+    """CTEs ``nodes`` (tree, node, depth, feature, split, size) and ``scored`` (key, score) of an isolation forest grown on the
+    rows of ``source`` where ``fit`` holds, every row scored by walking the node table."""
+    m = range(len(xs))
+    wide = ", ".join(f"x{i}" for i in m)
+    item = "[" + wide + "]"
+    spans = ", ".join(f"min(x{i}) AS l{i}, max(x{i}) AS h{i}" for i in m)
+    ranged = ", ".join(f"CASE WHEN h{i} > l{i} THEN {{'f': {i}, 'lo': l{i}, 'hi': h{i}}} END" for i in m)
+    place = "(tree || '-' || node)"
+    out = f"""
+fx AS MATERIALIZED (SELECT {key} AS k, {fit} AS fit, {", ".join(f"CAST({x} AS DOUBLE) AS x{i}" for i, x in enumerate(xs))} FROM {source}),
+dg AS (SELECT *, md5(CAST(k AS VARCHAR) || ':forest{seed}') AS h FROM fx WHERE fit),
+ab AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS b FROM dg),
+g0 AS MATERIALIZED (SELECT tree, 1 AS node, {wide} FROM ab, (SELECT CAST(range AS INTEGER) AS tree FROM range({trees}))
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY (a + tree * (2 * b + 1)) % 4294967296, k) <= {sample}),"""
+    for d in range(depth):
+        out += f"""
+c{d} AS (SELECT *, list_filter([{ranged}], lambda e: e IS NOT NULL) AS cand FROM (SELECT tree, node, count(*) AS size, {spans} FROM g{d} GROUP BY tree, node)),
+p{d} AS (SELECT *, cand[1 + CAST(floor({u_sql(place, f"feature{seed}")} * len(cand)) AS INTEGER)] AS c FROM c{d}),
+n{d} AS MATERIALIZED (SELECT tree, node, size, c.f AS feature, c.lo + {u_sql(place, f"split{seed}")} * (c.hi - c.lo) AS split FROM p{d}),
+g{d + 1} AS MATERIALIZED (SELECT tree, 2 * node + CASE WHEN coalesce({item}[feature + 1] < split, false) THEN 0 ELSE 1 END AS node, {wide}
+  FROM g{d} JOIN n{d} USING (tree, node) WHERE feature IS NOT NULL),"""
+    parts = [f"SELECT tree, node, {d} AS depth, feature, split, size FROM n{d}" for d in range(depth)]
+    parts.append(f"SELECT tree, node, {depth}, NULL, NULL, count(*) FROM g{depth} GROUP BY tree, node")
+    out += f"""
+nodes AS MATERIALIZED ({" UNION ALL ".join(parts)}),
+inner_nodes AS MATERIALIZED (SELECT * FROM nodes WHERE feature IS NOT NULL),
+w0 AS (SELECT k, tree, 1 AS node, {item} AS x FROM fx, (SELECT CAST(range AS INTEGER) AS tree FROM range({trees}))),"""
+    for d in range(depth):
+        out += f"""
+w{d + 1} AS (SELECT k, w.tree, CASE WHEN n.feature IS NULL THEN w.node WHEN coalesce(x[n.feature + 1] < n.split, false) THEN 2 * w.node
+  ELSE 2 * w.node + 1 END AS node, x FROM w{d} w LEFT JOIN inner_nodes n ON n.tree = w.tree AND n.node = w.node),"""
+    below = "CASE WHEN {s} <= 1 THEN 0.0 WHEN {s} = 2 THEN 1.0 ELSE 2.0 * (ln({s} - 1) + 0.5772156649) - 2.0 * ({s} - 1) / {s} END"
+    out += f"""
+scored AS MATERIALIZED (SELECT k AS {key}, pow(2.0, -avg(depth + {below.format(s="size")}) / (SELECT {below.format(s="z")} FROM
+  (SELECT CAST(least({sample}, count(*)) AS DOUBLE) AS z FROM fx WHERE fit))) AS score FROM w{depth} JOIN nodes USING (tree, node) GROUP BY k)"""
+    return out
+
+
+def flagged_sql(scores: str, share: float, of: str) -> str:
+    """The threshold of ``iforest.flag_share``: the least level that at least a share of 1 - ``share`` of the rows does not pass."""
+    return (f"(SELECT min(l) FROM (SELECT l, sum(n) OVER (ORDER BY l) AS upto, sum(n) OVER () AS every FROM "
+            f"(SELECT round(score, 5) AS l, count(*) AS n FROM {scores} WHERE {of} GROUP BY 1)) "
+            f"WHERE upto >= ceil(round(every * {1.0 - share!r}, 6)))")
