@@ -115,3 +115,24 @@ def build_transition_rules(rules: DataFrame, states: DataFrame, frm="from_state"
     loops = states.select(F.col("state").alias(frm)).join(defined, frm, "left_anti") \
         .select(frm, F.col(frm).alias(to), F.lit(1.0).alias(p))
     return rules.select(frm, to, p).unionByName(loops)
+
+
+def rule_matrix(rules: DataFrame, states: DataFrame, frm: str = "from_state", to: str = "to_state", weight: str = "weight") -> DataFrame:
+    """K5 from weights: rules (from, to, weight) become rows that sum to 1, repeated rules add up, and a state without a positive
+    weight gets a self loop. Rules that name a state outside ``states`` (one column, ``state``) or have no positive weight are left out."""
+    known = states.select("state").distinct()
+    kept = rules.filter(F.col(weight) > 0).join(known.withColumnRenamed("state", frm), frm, "left_semi").join(
+        known.withColumnRenamed("state", to), to, "left_semi").groupBy(frm, to).agg(F.sum(weight).alias("_w"))
+    share = F.col("_w") / F.sum("_w").over(Window.partitionBy(frm))  # a state's targets: bounded by the states
+    return build_transition_rules(kept.select(frm, to, share.alias("p")), known, frm, to)
+
+
+def rules_in_log(matrix: DataFrame, log: DataFrame, account: str, order: list[str], state: str = "activity_type") -> DataFrame:
+    """(from_state, to_state, p, n, share): every cell of a rule matrix or of the log, with how often the log takes it and which share
+    of the transitions from that state it is (null for a state the log never leaves); p is 0 for a step no rule allows."""
+    seen = lead_state(log.select(account, state, *order), account, order, state).filter(F.col("next_state").isNotNull()).groupBy(
+        F.col(state).alias("from_state"), F.col("next_state").alias("to_state")).agg(F.count(F.lit(1)).alias("n"))
+    both = matrix.join(seen, ["from_state", "to_state"], "full").select(
+        "from_state", "to_state", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    left = F.sum("n").over(Window.partitionBy("from_state"))
+    return both.withColumn("share", F.when(left > 0, F.col("n") / left))

@@ -21,7 +21,9 @@ def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
     """sqrt(chi2 / (n * (min(r, c) - 1))) of one pair of columns."""
     cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
         F.col(x).cast("string").alias("x"), F.col(y).cast("string").alias("y")).agg(F.count(F.lit(1)).alias("o"))
-    return cramers_of_cells(cells.select(F.lit(x).alias("col1"), F.lit(y).alias("col2"), "x", "y", "o"))
+    # written once: four totals are taken of the cells, and their number is bounded by the categories, not by the rows
+    cells = cells.select(F.lit(x).alias("col1"), F.lit(y).alias("col2"), "x", "y", "o").checkpoint(eager=True)
+    return cramers_of_cells(cells)
 
 
 def cramers_of_cells(cells: DataFrame) -> DataFrame:

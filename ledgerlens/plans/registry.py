@@ -27,6 +27,7 @@ _MODULES = [
     "sequence2_queries",
     "density_queries",
     "corr_queries",
+    "store_queries",
 ]
 
 

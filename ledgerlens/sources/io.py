@@ -56,6 +56,21 @@ def upsert(existing: DataFrame, updates: DataFrame, key: str, version: str) -> D
     return u.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(version)).alias("_r")).select(key, "_r.*")
 
 
+def write_strategies(df: DataFrame, path: str, profile: str = "profile", raw: str = "raw") -> None:
+    """S4 writer: one JSON object profile -> text (profiles are few: one row each; of repeats the greatest text stays)."""
+    one = df.filter(F.col(profile).isNotNull()).groupBy(profile).agg(F.max(raw).alias("_raw"))
+    entries = F.sort_array(F.collect_list(F.struct(F.col(profile), F.col("_raw"))))
+    one.agg(F.to_json(F.map_from_entries(entries), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_profile_blocks(df: DataFrame, path: str, profile: str = "profile", strategy: str = "strategy") -> None:
+    """S8 writer: blocks of a first line ``Profile Type: X`` and a body after ``Strategy:``, each closed by ``---``. A null profile
+    leaves the first line out, a null strategy the body."""
+    head = F.coalesce(F.concat(F.lit("Profile Type: "), F.col(profile)), F.lit("No type"))
+    body = F.coalesce(F.concat(F.lit("\nStrategy:\n"), F.col(strategy)), F.lit(""))
+    df.select(F.concat(head, body, F.lit("\n")).alias("value")).write.mode("overwrite").option("lineSep", "---\n").text(path)
+
+
 def write_error_log(errors: DataFrame, path: str, col: str = "errors", mode: str = "append") -> None:
     """One JSON array of error strings per line."""
     errors.select(F.to_json(F.col(col)).alias("value")).write.mode(mode).text(path)
