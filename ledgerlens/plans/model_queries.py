@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from .. import bind, bind_bank
 from ..dims import catalog as C
 from ..functions.hashing import u_sql
-from ..operators import agg, checks, dbscan, features, iforest, lof, models, stats, timeline
+from ..operators import agg, cart, checks, dbscan, features, iforest, lof, models, stats, timeline
 from ..operators.joins import union_all
 from .registry import register
-from .sqlgen import flagged_sql, forest_sql
+from .sqlgen import flagged_sql, forest_sql, tree_sql
 
 WA = bind.with_views("activity_log")
 DENSE = ["value_z", "amount_d_z", "hour_z"]
@@ -228,6 +228,34 @@ def q_isolation_nodes(spark, sf_dir):
     return iforest.grow(t, cols, "seq").withColumn("split", F.round("split", 6))
 
 
+# M6 as a node table: learned from the training rows, every test row walked down
+TREE = WA + "," + tree_sql("activity_log", "seq", _RAW, "is_fraud", f"{u_sql('seq', 'split')} >= 0.2")
+
+
+def _tree(spark, sf_dir):
+    t, cols = forest_table(spark, sf_dir)
+    t = features.hash_split(t, "seq", 0.2)
+    return t, cols, cart.grow(t.filter("split = 'train'"), cols, "is_fraud")
+
+
+@register("decision_tree_nodes", TREE + """
+SELECT CAST(node AS INTEGER) AS node, CAST(depth AS INTEGER) AS depth, CAST(feature AS INTEGER) AS feature, round(split, 6) AS split,
+  CAST(n0 AS BIGINT) AS n0, CAST(n1 AS BIGINT) AS n1, round(gain, 5) AS gain, CAST(prediction AS INTEGER) AS prediction FROM nodes""")
+def q_decision_tree_nodes(spark, sf_dir):
+    """M6 as data: one row a node of the depth-4 tree."""
+    _, _, nodes = _tree(spark, sf_dir)
+    return nodes.withColumns({"split": F.round("split", 6), "gain": F.round("gain", 5)})
+
+
+@register("decision_tree_labels", TREE + f"""
+SELECT seq, CAST(node AS INTEGER) AS node, CAST(prediction AS INTEGER) AS prediction
+FROM reached JOIN nodes USING (node) WHERE {u_sql('seq', 'split')} < 0.2""")
+def q_decision_tree_labels(spark, sf_dir):
+    """M6 on every test row: the leaf it reaches and the class said there."""
+    t, cols, nodes = _tree(spark, sf_dir)
+    return cart.predict(t.filter("split = 'test'"), cols, nodes).select("seq", "node", "prediction")
+
+
 @register("detector_benchmark")
 def q_detector_benchmark(spark, sf_dir):
     """Two detectors learn from 70 % of the rows on two features and judge the other 30 %: the isolation forest at two

@@ -101,3 +101,35 @@ def flagged_sql(scores: str, share: float, of: str) -> str:
     return (f"(SELECT min(l) FROM (SELECT l, sum(n) OVER (ORDER BY l) AS upto, sum(n) OVER () AS every FROM "
             f"(SELECT round(score, 5) AS l, count(*) AS n FROM {scores} WHERE {of} GROUP BY 1)) "
             f"WHERE upto >= ceil(round(every * {1.0 - share!r}, 6)))")
+
+
+def tree_sql(source: str, key: str, xs: list[str], label: str, fit: str, depth: int = 4, steps: int = 32) -> str:
+    """CTEs ``nodes`` (node, depth, feature, split, n0, n1, gain, prediction) of a decision tree grown on the rows of ``source``
+    where ``fit`` holds, and ``reached`` (key, node) of every row."""
+    def imp(a, b):
+        return f"CASE WHEN {a} + {b} > 0 THEN ({a} + {b}) - ({a} * {a} + {b} * {b}) / ({a} + {b}) ELSE 0.0 END"
+    item = "[" + ", ".join(f"CAST({x} AS DOUBLE)" for x in xs) + "]"
+    out = f"""
+r0 AS MATERIALIZED (SELECT {key} AS k, {label} AS y, {fit} AS fit, 1 AS node, {item} AS x FROM {source}),
+cw AS MATERIALIZED (SELECT count(*) / (2.0::DOUBLE * count(*) FILTER (y = 0)) AS w0, count(*) / (2.0::DOUBLE * count(*) FILTER (y = 1)) AS w1 FROM r0 WHERE fit),"""
+    for d in range(depth + 1):
+        open_ = "SELECT 1 AS node" if d == 0 else f"SELECT unnest([2 * node, 2 * node + 1]) AS node FROM n{d - 1} WHERE feature IS NOT NULL"
+        out += f"""
+o{d} AS ({open_}),
+lx{d} AS MATERIALIZED (SELECT node, y, unnest(range({len(xs)})) AS f, unnest(x) AS v FROM r{d} SEMI JOIN o{d} USING (node) WHERE fit),
+sp{d} AS (SELECT node, f, min(v) AS lo, max(v) AS hi FROM lx{d} GROUP BY 1, 2),
+hs{d} AS (SELECT node, f, any_value(lo) AS lo, any_value(hi) AS hi, CASE WHEN hi > lo THEN CAST(least(floor((v - lo) / (hi - lo) * {steps}), {steps - 1}) AS INTEGER) ELSE {steps} END AS b,
+  count(*) FILTER (y = 0) AS c0, count(*) FILTER (y = 1) AS c1 FROM lx{d} JOIN sp{d} USING (node, f) GROUP BY node, f, 5),
+ru{d} AS (SELECT *, sum(c0) OVER u AS l0, sum(c1) OVER u AS l1, sum(c0) OVER (PARTITION BY node, f) AS n0, sum(c1) OVER (PARTITION BY node, f) AS n1
+  FROM hs{d} WINDOW u AS (PARTITION BY node, f ORDER BY b)),
+we{d} AS (SELECT *, CAST(l0 AS DOUBLE) * w0 AS a, CAST(l1 AS DOUBLE) * w1 AS e, CAST(n0 AS DOUBLE) * w0 AS p, CAST(n1 AS DOUBLE) * w1 AS q FROM ru{d}, cw),
+ga{d} AS (SELECT *, {imp("p", "q")} - {imp("a", "e")} - {imp("(p - a)", "(q - e)")} AS g FROM we{d}),
+be{d} AS (SELECT *, b < {steps - 1} AND l0 + l1 < n0 + n1 AND g > 1e-9 AND {d} < {depth} AS ok FROM ga{d}),
+n{d} AS MATERIALIZED (SELECT node, {d} AS depth, CASE WHEN ok THEN f END AS feature, CASE WHEN ok THEN lo + (b + 1) * (hi - lo) / {steps} END AS split,
+  n0, n1, CASE WHEN ok THEN g END AS gain, CASE WHEN q > p THEN 1 ELSE 0 END AS prediction
+  FROM be{d} QUALIFY row_number() OVER (PARTITION BY node ORDER BY ok DESC, CASE WHEN ok THEN g END DESC, f, b) = 1),
+r{d + 1} AS MATERIALIZED (SELECT k, y, fit, CASE WHEN n.feature IS NULL THEN r.node WHEN coalesce(x[n.feature + 1] < n.split, false) THEN 2 * r.node
+  ELSE 2 * r.node + 1 END AS node, x FROM r{d} r LEFT JOIN n{d} n ON n.node = r.node),"""
+    return out + f"""
+nodes AS (SELECT DISTINCT node, depth, feature, split, n0, n1, gain, prediction FROM ({" UNION ALL ".join(f"SELECT * FROM n{d}" for d in range(depth + 1))})),
+reached AS (SELECT k AS {key}, node FROM r{depth + 1})"""
