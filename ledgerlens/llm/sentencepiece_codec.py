@@ -109,7 +109,10 @@ def build(data: bytes):
     model = parse(data)
     pieces = model["pieces"]
     if model["unigram"]:
-        core = models.Unigram([(p, s) for p, s, _ in pieces], model["unk_id"], model["byte_fallback"])
+        # only normal and user pieces may match text: the others are kept under names with a space, which no normalised text
+        # holds, and under a score that leaves the least one (the unknown piece's measure) to the normal pieces
+        best = max([s for _, s, kind in pieces if kind == NORMAL], default=0.0)
+        core = models.Unigram([(p, s) if kind in (NORMAL, USER) else (f" {p}", best) for p, s, kind in pieces], model["unk_id"], False)
     else:
         core = models.BPE({p: k for k, (p, _, _) in enumerate(pieces)}, merges(pieces),
                           unk_token=pieces[model["unk_id"]][0], fuse_unk=True, byte_fallback=model["byte_fallback"])
@@ -154,14 +157,27 @@ class Codec:
         self.raw = pa.array([bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN
                              else p.replace(MARK, " ").encode() for p, _, k in self.model["pieces"]], pa.binary())
         self.byte = np.array([k == BYTE for k in kinds])
+        self.byte_ids = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(self.model["pieces"]) if k == BYTE}
+        self.own_bytes = self.model["unigram"] and self.model["byte_fallback"] and len(self.byte_ids) == 256
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.chunks is not None:
             return self.chunks.encode(texts)
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        got = self.tokenizer.encode_batch_fast(pc.fill_null(texts.cast(pa.string()), "").to_pylist(), add_special_tokens=False)
-        counts = np.array([len(e) for e in got], np.int64)
-        return np.fromiter((i for e in got for i in e.ids), np.uint32, int(counts.sum())), counts
+        plain = pc.fill_null(texts.cast(pa.string()), "").to_pylist()
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
+        if self.own_bytes:  # texts with unknown stretches once more, for the tokens' own strings
+            odd = [k for k, ids in enumerate(found) if self.model["unk_id"] in ids]
+            for k, e in zip(odd, self.tokenizer.encode_batch([plain[k] for k in odd], add_special_tokens=False), strict=True):
+                found[k] = self._fall_back(e)
+        counts = np.array([len(ids) for ids in found], np.int64)
+        return np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum())), counts
+
+    def _fall_back(self, e) -> list[int]:
+        """Ids with the bytes of unknown stretches in place of the unknown piece."""
+        unknown = self.model["unk_id"]
+        return [i for k, text in zip(e.ids, e.tokens, strict=True) for i in
+                ([self.byte_ids[b] for b in text.encode()] if k == unknown else [k])]
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """UTF-8 bytes of each text; the space that the model puts in front is taken off."""

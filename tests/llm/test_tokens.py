@@ -72,6 +72,22 @@ def test_unigram_scores_and_byte_fallback():
         assert ids.tolist() == lib.encode(text), text
 
 
+@pytest.mark.parametrize("fallback", [0, 1])
+@settings(max_examples=80, deadline=None)
+@given(text=st.lists(st.sampled_from(["a", "b", "ab", " ", "<s>", "</s>", "<unk>", "<0x41>", "<", "0x", "é", "abb", "s", ">", "日", "<<s>"]), max_size=12).map("".join))
+def test_control_unknown_unused_and_byte_pieces_never_match_text(fallback, text):
+    import struct
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("abb", -0.1, 5)] + ([(f"<0x{k:02X}>", 0.0, 6) for k in range(256)] if fallback else []) + [
+        ("▁", -3.0, 1), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -2.2, 1), ("<", -4.0, 1), ("s", -3.5, 1), ("▁a", -3.1, 1), ("0x", -5.0, 1)]
+    data = b"".join(_field(1, 2, _field(1, 2, p.encode()) + _field(2, 5, struct.pack("<f", s)) + _field(3, 0, k)) for p, s, k in pieces)
+    data += _field(2, 2, _field(3, 0, 1) + _field(35, 0, fallback) + _field(40, 0, 0)) + _field(3, 2, _field(1, 2, b"identity") + _field(3, 0, 1) + _field(4, 0, 1))
+    lib, codec = sentencepiece.SentencePieceProcessor(model_proto=data), sp.codec_of(data)
+    ids, counts = codec.encode(pa.array([text]))
+    want = lib.encode(text)
+    assert ids.tolist() == want
+    assert [x.decode("utf-8", "replace") for x in codec.decode(ids, counts)] == [lib.decode(want)]
+
+
 def test_sentencepiece_table(spark, odd_docs, no_docs, odd_rows):
     got = sp.encode_decode(odd_docs).collect()
     lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
