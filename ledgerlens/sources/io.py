@@ -2,20 +2,21 @@
 
 Every reader takes an explicit schema (no inference); malformed CSV rows keep
 a ``_corrupt_record`` column in PERMISSIVE mode.  Text formats whose records
-span lines (profile blocks, response logs) are split with ``lineSep`` or per
-file with ``wholetext``; Spark writes one file per partition, so a file, and
-therefore a ``wholetext`` row, is bounded by the partition size.
+span lines (profile blocks, response logs) are split with ``lineSep``, so a row
+is one record; only files that hold one small object are read with ``wholetext``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import seqwin
+
 TS_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-RESPONSE_HEADER = "### LLM Chain of Thought for user ID {user} ###"
-_HEADER_RE = r"### LLM Chain of Thought for user ID (\S+) ###\n"
+RESPONSE_MARK = "### LLM Chain of Thought for user ID "
+_HEADER_REST = r"^(\S+) ###\n"
 
 
 def _csv_reader(spark: SparkSession, schema, corrupt: bool):
@@ -94,18 +95,38 @@ def read_profile_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 def write_response_log(responses: DataFrame, path: str, user: str = "user_id", text: str = "raw_text") -> None:
     """Writer for S9: blocks headed ``### LLM Chain of Thought for user ID U ###``."""
-    head = F.concat(F.lit("### LLM Chain of Thought for user ID "), F.col(user), F.lit(" ###\n"))
+    head = F.concat(F.lit(RESPONSE_MARK), F.col(user), F.lit(" ###\n"))
     responses.select(F.concat(head, F.col(text), F.lit("\n")).alias("value")).write.mode("overwrite") \
         .option("lineSep", "\n").text(path)
 
 
 def read_response_log(spark: SparkSession, path: str) -> DataFrame:
-    """(user_id, raw_text) per block, parsed per file (``wholetext``)."""
-    t = spark.read.text(path, wholetext=True)
-    users = F.regexp_extract_all("value", F.lit(_HEADER_RE), 1)
-    bodies = F.slice(F.split("value", _HEADER_RE), 2, 1 << 30)
-    z = t.select(F.explode(F.arrays_zip(users.alias("u"), bodies.alias("b"))).alias("z"))
-    return z.select(F.col("z.u").alias("user_id"), F.regexp_replace("z.b", r"\n$", "").alias("raw_text"))
+    """(user_id, raw_text) per block.
+
+    Records end at the words that open a header, so files are split over tasks and a row is one block.  A file's
+    first record lies before its first header and is skipped.  Where another record is no block (the opening words
+    stand inside a text), it is put back behind the block before it."""
+    t = spark.read.option("lineSep", RESPONSE_MARK).text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"))
+    head, first = F.col("value").rlike(_HEADER_REST), F.min(F.when(F.col("_block") == 0, F.col("_id")))
+    files = t.groupBy("_file").agg(F.count_if(~head).alias("n"), F.min(F.when(~head & (F.col("_block") == 0), F.col("_id"))).alias("odd"), first.alias("first"))
+    if files.filter((F.col("n") != 1) | ~F.col("odd").eqNullSafe(F.col("first"))).limit(1).count():
+        blocks = _rejoined(t, head)
+    else:
+        blocks = t.filter(head)
+    body = F.regexp_replace(F.regexp_replace("value", _HEADER_REST, ""), r"\n$", "")
+    return blocks.select(F.regexp_extract("value", _HEADER_REST, 1).alias("user_id"), body.alias("raw_text"))
+
+
+def _rejoined(t: DataFrame, head) -> DataFrame:
+    """(value): the blocks of records of :func:`read_response_log`, each with the records that belong to it."""
+    at = F.struct("_block", "_id")
+    first = F.min("_id").over(Window.partitionBy("_file", "_block"))  # rows of one split of a file
+    marked = t.withColumn("_head", head & ~((F.col("_block") == 0) & (F.col("_id") == first)))
+    placed = seqwin.running(marked, "_file", ["_block", "_id"], {"_of": ("max", F.when(F.col("_head"), at))}, bucket=F.col("_block"))
+    own = placed.filter(F.col("_of").isNotNull()).groupBy("_file", "_of").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "value"))).alias("_parts"))
+    return own.select(F.array_join(F.col("_parts.value"), RESPONSE_MARK).alias("value"))
 
 
 def write_matrix_tsv(m: DataFrame, path: str, states: list[str], by: str = "behavior",

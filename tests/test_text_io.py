@@ -92,3 +92,24 @@ def test_projection_helpers(spark):
     assert features.drop_columns(df, ["missing", "keep"], ["behavior"]).columns == ["virtual_id", "is_fraud"]
     parts = features.split_by_label(df)
     assert parts[0].count() == 1 and parts[1].count() == 1
+
+
+def test_response_log_is_split_and_keeps_every_text(spark, tmp_path):
+    """A file is read by several tasks, one row a block, and the opening words inside a text stay there."""
+    rows = [(f"U{i}", f"text {i}\n" + "x" * (i % 50)) for i in range(400)]
+    p = str(tmp_path / "log")
+    io.write_response_log(spark.createDataFrame(rows, "user_id string, raw_text string").coalesce(1), p)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = io.read_response_log(spark, p)
+        assert got.select(F.spark_partition_id()).distinct().count() > 3
+        assert sorted(map(tuple, got.collect())) == sorted(rows)
+        odd = [("a", io.RESPONSE_MARK + "nobody"), ("b", f"{io.RESPONSE_MARK}{io.RESPONSE_MARK}"), ("c", "")] + rows[:100]
+        q = str(tmp_path / "odd")
+        io.write_response_log(spark.createDataFrame(odd, "user_id string, raw_text string").coalesce(1), q)
+        assert sorted(map(tuple, io.read_response_log(spark, q).collect())) == sorted(odd)
+        (tmp_path / "notes.txt").write_text("V ###\nno header before\n" + io.RESPONSE_MARK + "W ###\nbody\n\n" + io.RESPONSE_MARK + "X ###\nlast\n\n")
+        assert sorted(map(tuple, io.read_response_log(spark, str(tmp_path / "notes.txt")).collect())) == [("W", "body"), ("X", "last")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
