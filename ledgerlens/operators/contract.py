@@ -293,7 +293,7 @@ def field_diff(responses: DataFrame, text: str = "raw_text") -> DataFrame:
     tx_txt = F.when(F.col("_arr"), F.get_json_object(F.col("_frag"), "$[0]")).otherwise(F.col("_frag"))
     d = d.withColumn("_keys", F.when(F.schema_of_variant(F.col("_txv")).startswith("OBJECT"), F.json_object_keys(tx_txt)))
     expected = F.array(*[F.lit(f) for f, _ in EXPECTED])
-    d = d.filter(F.col("_keys").isNotNull())
-    return d.withColumns({"missing": F.array_except(expected, F.col("_keys")),
-                          "extra": F.array_except(F.col("_keys"), expected)}) \
-        .drop("_keys", "_frag", "_v", "_arr", "_txv")
+    found = F.when(F.col("_keys").isNotNull(), F.array(F.struct(
+        F.array_except(expected, F.col("_keys")).alias("missing"), F.array_except(F.col("_keys"), expected).alias("extra"))))
+    # filters on generated columns stay above the generator: the chain below is not copied into them
+    return d.select(*responses.columns, F.inline_outer(found)).filter(F.col("missing").isNotNull())

@@ -66,3 +66,12 @@ def test_parse_iso_rejects_hour_24(spark):
     df = spark.createDataFrame([("2025-03-04T24:17:48+08:00",), ("2025-03-04T14:17:48+08:00",)], "s string")
     got = [r[0] for r in df.select(K.parse_iso("s")).collect()]
     assert got[0] is None and got[1] is not None
+
+
+def test_field_diff_parses_each_response_once(spark):
+    """No filter above copies the fragment and parse chain; texts without an object are left out."""
+    texts = ['<<<JSON>>>{"type": "Purchase", "more": 1}<<<END_JSON>>>', "no object", "[]", None, '<<<JSON>>>[{"amount": 1}]<<<END_JSON>>>']
+    df = K.field_diff(spark.createDataFrame(list(enumerate(texts)), "resp_id long, raw_text string")).filter((F.size("missing") > 0) | (F.size("extra") > 0))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+    got = {r["resp_id"]: r for r in df.collect()}
+    assert set(got) == {0, 4} and got[0]["extra"] == ["more"] and "type" not in got[0]["missing"] and len(got[4]["missing"]) == 12
