@@ -40,6 +40,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROWS_PER_TASK = 100_000
+
+
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The given rows dealt over tasks of about ``rows`` (``ROWS_PER_TASK``) rows each, for views that compute much per row.
+
+    A table's file may be one row group, which is one task whatever its size.  The count comes from the files'
+    footers; a table of at most ``rows`` rows stays as it is."""
+    parts = -(-df.count() // (rows or ROWS_PER_TASK))
+    return df.repartition(parts, *df.columns) if parts > 1 else df
+
+
 _CACHE: dict = {}
 
 
@@ -93,7 +105,7 @@ def _behavior_col(user):
 @cached(store=True)
 def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     et = F.col("event_type")
     val = F.col("value").cast(MONEY)
     home = pick("user_id", "home", C.HOME_COUNTRIES)

@@ -95,7 +95,7 @@ def _num(c: F.Column) -> F.Column:
 @bind.cached(store=True)
 def bank_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    e = bind.table(spark, sf_dir, "events")
+    e = bind.spread(bind.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value"))
     fraud = u("user_id", "beh") < F.lit(bind.FRAUD_SHARE)
     prof = F.when(fraud, pick("user_id", "fp", S.FRAUD_PROFILES)).otherwise(pick("user_id", "lp", S.LEGIT_PROFILES))
     b = e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("uid"), "ts", "value",

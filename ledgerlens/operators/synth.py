@@ -18,6 +18,7 @@ from ..functions.hashing import u_expr
 
 CLOSE = "Close Account"
 AMOUNT_PARAMS = {0: (5.0, 1.0), 1: (8.0, 1.2)}      # lognormal (mu, sigma): legit, fraud
+WALKS_PER_TASK = 20_000                             # entities of one task: a walk is some 20 digests
 START = "2024-01-01 00:00:00"
 START_SPAN_S = 30 * 86400
 
@@ -106,7 +107,8 @@ def expand_sequences(entities: DataFrame, key: str, n_steps: int = 20) -> DataFr
     w = base.withColumn("_path", F.expr(walk))
     # stop at the first Close Account (kept): computed on the same row, no self-join
     w = w.withColumn("_close_at", F.expr(f"array_position(transform(_path, x -> element_at(_acts, x + 1)), '{CLOSE}')"))
-    ex = w.select(key, "behavior", "_acts", "_limit", "_close_at", F.posexplode("_path").alias("_i", "_state"))
+    # a path is never empty; the outer form keeps the optimizer from a filter on its size, which would walk a second time
+    ex = w.select(key, "behavior", "_acts", "_limit", "_close_at", F.posexplode_outer("_path").alias("_i", "_state"))
     ex = ex.withColumn("step", F.col("_i") + 1).withColumn("activity", F.expr("element_at(_acts, _state + 1)"))
     ex = ex.filter((F.col("_close_at") == 0) | (F.col("step") <= F.col("_close_at")))
     u_step = lambda tag: F.expr(

@@ -81,7 +81,7 @@ SELECT k AS c_custkey, behavior, step, activity, CAST(is_fraud AS INTEGER) AS is
        CAST(sum(gap_s) OVER (PARTITION BY k ORDER BY step ROWS UNBOUNDED PRECEDING) AS BIGINT) AS elapsed_s
 FROM amt""")
 def q_expand_sequences(spark, sf_dir):
-    ent = bind.table(spark, sf_dir, "customer").select("c_custkey")
+    ent = bind.spread(bind.table(spark, sf_dir, "customer").select("c_custkey"), synth.WALKS_PER_TASK)
     ex = synth.expand_sequences(ent, "c_custkey", N_STEPS)
     imp = C.impact_df(spark).select("behavior", F.col("activity"), "impact")
     j = ex.join(F.broadcast(imp), ["behavior", "activity"])
