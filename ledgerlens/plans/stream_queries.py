@@ -107,8 +107,8 @@ SLIDING_MAX = 5
 SELECT virtual_id, window_start, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY 1, 2 HAVING count(*) > {SLIDING_MAX}""")
 def q_sliding_rate(spark, sf_dir):
     """Sliding one-day windows every hour; accounts above the rate, and undated rows under a null window."""
-    g = streams.sliding_counts(spark, bind.activity_log(spark, sf_dir), "ts", ACC)
-    return g.filter((F.col("n") > SLIDING_MAX) | F.col("window_start").isNull()).select(ACC, "window_start", "n")
+    g = streams.sliding_counts(spark, bind.activity_log(spark, sf_dir), "ts", ACC, over=SLIDING_MAX)
+    return g.select(ACC, "window_start", "n")
 
 
 LATE_SHARE, N_DELIVERIES = 0.1, 4

@@ -15,7 +15,7 @@ under a null window (a watermark cannot place them); the ledger reports them wit
 * T1  window counts in append mode: a window is written once the watermark passes
       its end.  Rows whose window was closed by earlier deliveries are late: they
       go to a table of their own (``late_rows``) instead of being dropped.
-* T3  ledger as per-account state (``transformWithStateInPandas`` over RocksDB): state =
+* T3  ledger as per-account state (``applyInPandasWithState`` over RocksDB): state =
       running balance in cents, closed flag (T9) and the last (ts, seq) applied.
       Rows older than the state's last row are late: they are emitted with
       ``status = 'late'`` and not applied (a ledger cannot be re-ordered once
@@ -27,13 +27,14 @@ under a null window (a watermark cannot place them); the ledger reports them wit
       other checks are stateless column expressions.  Hot users are handed over to
       running maxima over measured buckets in the same way.
 * T4  running reward per run (complete mode totals).
-* T5  session windows, T6 sliding windows: as T1.
+* T5  session windows: as T1.  T6  sliding windows: as T1 over the panes that make them up.
 * T7  ``foreachBatch`` append sink, idempotent per batch id.
 """
 
 from __future__ import annotations
 
 import contextlib
+import math
 import uuid
 from collections.abc import Iterator
 from datetime import timedelta
@@ -43,6 +44,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import contract as K
 from ..operators import ledger, seqwin
@@ -124,7 +126,8 @@ def closed_windows(feed: Deliveries, counted, watermark: str) -> DataFrame:
             else F.lit(None).cast(f.dataType).alias(f.name) for f in feed.rows.schema])
         feed.parts = lambda: [*parts(), end, feed.rows.limit(0)]
     dated = lambda df: df.filter(F.col("_ets").isNotNull()).withWatermark("_ets", watermark)
-    return feed.appended(lambda stream: counted(dated(stream)))
+    with _rocksdb(feed.spark):
+        return feed.appended(lambda stream: counted(dated(stream)))
 
 
 def undated_counts(feed: Deliveries, key: str) -> DataFrame:
@@ -171,12 +174,26 @@ def window_counts(spark: SparkSession, log: DataFrame, ts: str, by: str, width:
 
 
 def sliding_counts(spark: SparkSession, log: DataFrame, ts: str, key: str, width: str = "1 day", slide: str = "1 hour",
-                   watermark: str = "2 hours", n_slices: int = 3) -> DataFrame:
-    """(window_start, key, n) of all sliding windows that hold a row; undated rows of a key stand under a null window."""
+                   watermark: str = "2 hours", n_slices: int = 3, over: int = 0) -> DataFrame:
+    """(window_start, key, n) of all sliding windows of more than ``over`` rows; undated rows of a key stand under a null window.
+
+    The stream counts panes, the longest spans that no window cuts: its state holds a row once, not once a window.  A closed
+    pane adds its rows at the first window it lies in and takes them off behind the last one, so a key's running sum is the
+    count of each window.  A key has at most as many such changes as the log has windows."""
+    wide, step = (pd.Timedelta(x) // pd.Timedelta(microseconds=1) for x in (width, slide))
     feed = Deliveries(spark, log.select(F.col(ts).cast("timestamp").alias("_ets"), key), "_ets", n_slices, "sliding")
-    res = closed_windows(feed, lambda df: df.groupBy(F.window("_ets", width, slide).alias("w"), key).agg(F.count(F.lit(1)).alias("n")), watermark)
+    pane = f"{math.gcd(wide, step)} microseconds"
+    res = closed_windows(feed, lambda df: df.groupBy(F.window("_ets", pane).alias("w"), key).agg(F.count(F.lit(1)).alias("n")), watermark)
+    grid = lambda t: t - F.pmod(t, F.lit(step)) + step  # noqa: E731  (the first window start behind t)
+    at = F.unix_micros("w.start")
+    changes = res.select(key, F.inline(F.array(F.struct(grid(at - wide).alias("_t"), F.col("n").alias("_d")),
+                                               F.struct(grid(at).alias("_t"), (-F.col("n")).alias("_d")))))
+    changes = changes.groupBy(key, "_t").agg(F.sum("_d").alias("_d"))
+    order = Window.partitionBy(key).orderBy("_t")
+    spans = changes.select(key, F.sum("_d").over(order).alias("n"), "_t", F.lead("_t").over(order).alias("_next")).where(F.col("n") > over)
+    found = spans.select(F.explode(F.expr(f"sequence(_t, _next - {step}, {step})")).alias("_s"), key, "n")
     none = F.lit(None).cast("timestamp_ntz")
-    return (res.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), key, "n")
+    return (found.select(F.timestamp_micros("_s").cast("timestamp_ntz").alias("window_start"), key, "n")
             .unionByName(undated_counts(feed, key).select(none.alias("window_start"), key, "n")))
 
 
@@ -269,6 +286,32 @@ def fold_rows(account: int, pdf: pd.DataFrame, state: tuple | None, close_type:
     return out, (int(bal), closed, last_ts, last_seq)
 
 
+class _OneState:
+    """A key's :class:`GroupState` as the single value state of a processor."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def getValueState(self, name, schema):  # noqa: N802, ARG002
+        return self
+
+    def get(self) -> tuple | None:
+        return self.state.get if self.state.exists else None
+
+    def update(self, value: tuple) -> None:
+        self.state.update(value)
+
+
+def grouped_state(processor: StatefulProcessor):
+    """``processor`` as a function for ``applyInPandasWithState``: keys travel with their states, many in one Arrow batch,
+    where a ``transformWithStateInPandas`` call costs each key several trips to its executor and a batch of its own."""
+
+    def fn(key, pdfs, state):
+        processor.init(_OneState(state))
+        yield from processor.handleInputRows(key, pdfs, None)
+    return fn
+
+
 def _ledger_state_fn(close_type: str):
     """The fold as a function for ``applyInPandasWithState``, for sessions without RocksDB: an account's delivery is one frame."""
 
@@ -298,26 +341,26 @@ class LedgerProcessor(StatefulProcessor):
         self.close_type, self.limit = close_type, limit
 
     def init(self, handle) -> None:
-        self.ledger = handle.getValueState("ledger", LEDGER_STATE)
-        self.handed = handle.getValueState("handed", "turn int")
+        self.ledger = handle.getValueState("ledger", LEDGER_STATE + ", turn int")  # read once and written once a delivery
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        state = tuple(self.ledger.get()) if self.ledger.exists() else None
-        turn = self.handed.get()[0] if self.handed.exists() else 0
+        *state, turn = self.ledger.get() or (None, 0)
+        state = tuple(state) if len(state) > 1 else None
         parts, more = held(rows, self.limit) if not turn else ([], True)
         if not more:
             out, new = fold_rows(key[0], pd.concat(parts, ignore_index=True), state, self.close_type)
-            self.ledger.update(new)
+            self.ledger.update((*new, 0))
             for pdf in out:
                 yield _plain(pdf.reindex(columns=_HANDED))
             return
-        self.handed.update((turn + 1,))
+        if state is not None:
+            self.ledger.update((*state, turn + 1))
         for group in (parts, rows):
             for pdf in group:
                 if state is None:
                     op = pdf["opening_c"].iloc[0]
                     state = (0 if pd.isna(op) else int(op), False, None, None)
-                    self.ledger.update(state)
+                    self.ledger.update((*state, turn + 1))
                 dated = pdf["ts_us"].notna()
                 yield _plain(pd.DataFrame({
                     "account": key[0], "seq": pdf["seq"], "ts_us": pdf["ts_us"].astype("Int64"), "balance_before": state[0], "granted": False,
@@ -375,8 +418,8 @@ def ledger_stream(spark: SparkSession, log: DataFrame, opening: DataFrame, accou
     op = opening.select(F.col("account"), F.round(F.col("opening").cast("decimal(18,2)") * 100, 0)
                         .cast("long").alias("opening_c"))
     with _rocksdb(spark):
-        out = feed.appended(lambda stream: stream.join(op, "account", "left").groupBy("account").transformWithStateInPandas(  # T8: stream-static join
-            LedgerProcessor(close_type, limit), HANDED_OUT, "Append", "None"))
+        out = feed.appended(lambda stream: stream.join(op, "account", "left").groupBy("account").applyInPandasWithState(  # T8: stream-static join
+            grouped_state(LedgerProcessor(close_type, limit)), HANDED_OUT, LEDGER_STATE + ", turn int", "append", GroupStateTimeout.NoTimeout))
     names = [c.split()[0] for c in LEDGER_OUT.split(", ")]
     handed = out.where("status = 'handed'")
     done = out.where("status <> 'handed'").select(*names)
@@ -410,22 +453,21 @@ class ContractProcessor(StatefulProcessor):
         self.limit = limit
 
     def init(self, handle) -> None:
-        self.last = handle.getValueState("last", VALIDATE_STATE)
-        self.handed = handle.getValueState("handed", "turn int")
+        self.last = handle.getValueState("last", VALIDATE_STATE + ", turn int")  # read once, and written once if it changes
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        last = self.last.get()[0] if self.last.exists() else None
-        turn = self.handed.get()[0] if self.handed.exists() else 0
+        known, turn = self.last.get() or (None, 0)
+        last = known
         parts, more = held(rows, self.limit) if not turn else ([], True)
         if not more:
             pdf = pd.concat(parts, ignore_index=True).sort_values(["ts_us", "resp_id"], kind="stable")
             stage, last = judge_rows(pdf, last)
-            if last is not None:
-                self.last.update((last,))
+            if last != known:
+                self.last.update((last, 0))
             yield pd.DataFrame({"resp_id": pdf["resp_id"].to_numpy(), "user_id": key[0], "stage": pd.array(stage, "Int32"),
                                 "valid": stage == 0}).assign(stage=lambda x: x["stage"].mask(x["valid"])).reindex(columns=_CHECKED)
             return
-        self.handed.update((turn + 1,))
+        self.last.update((last, turn + 1))
         for group in (parts, rows):
             for pdf in group:
                 whole = pdf.astype({c: "Int64" for c in ("ts_us", "pre", "post", "tx_us")})
@@ -458,8 +500,8 @@ def validate_stream(spark: SparkSession, responses: DataFrame, n_slices: int = 3
         F.unix_micros("tx_ts").alias("tx_us"))
     feed = Deliveries(spark, st, "_ets", n_slices, "validate")
     with _rocksdb(spark):
-        out = feed.appended(lambda stream: stream.groupBy("user_id").transformWithStateInPandas(
-            ContractProcessor(limit), CHECKED_OUT, "Append", "None"))
+        out = feed.appended(lambda stream: stream.groupBy("user_id").applyInPandasWithState(
+            grouped_state(ContractProcessor(limit)), CHECKED_OUT, VALIDATE_STATE + ", turn int", "append", GroupStateTimeout.NoTimeout))
     names = [c.split()[0] for c in VALIDATE_OUT.split(", ")]
     handed = out.where("turn IS NOT NULL")
     done = out.where("turn IS NULL").select(*names)

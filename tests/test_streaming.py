@@ -85,3 +85,56 @@ def test_late_rows_land_in_a_table(spark):
     counts, late = streams.window_counts_late(spark, log, "ts", "b", "d", 3)
     assert sorted((str(r["window_start"])[11:13], r["n"]) for r in counts.collect()) == [("10", 1), ("13", 1), ("14", 1), ("15", 1)]
     assert sorted(str(r["_ets"])[11:16] for r in late.collect()) == ["10:20", "12:59"]
+
+
+def test_sliding_counts_from_panes_equal_the_windows(spark):
+    """Every window of more rows than asked for, widths that are no multiple of the slide too."""
+    import random
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 2, None]), 1_700_000_000 + rng.randrange(40_000)) for _ in range(120)]
+    log = spark.createDataFrame(rows, "k long, t long").withColumn("ts", F.timestamp_seconds("t"))
+    for width, slide, over in (("4 hours", "1 hour", 2), ("50 minutes", "20 minutes", 0)):
+        want = log.groupBy("k", F.window("ts", width, slide).alias("w")).count().where(F.col("count") > over).select(
+            F.col("w.start").cast("timestamp_ntz"), "k", "count")
+        got = streams.sliding_counts(spark, log, "ts", "k", width, slide, over=over)
+        assert sorted(map(str, got.collect())) == sorted(str(tuple(r)) for r in want.collect()) or \
+            sorted(map(str, map(tuple, got.collect()))) == sorted(str(tuple(r)) for r in want.collect())
+
+
+class _State:
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+class _Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self.states.setdefault(name, _State())
+
+
+def test_a_key_reads_and_writes_its_state_once():
+    """Each call of a state goes to the executor and back: two a key and delivery."""
+    import pandas as pd
+    frames = {streams.LedgerProcessor("Close Account", 10): pd.DataFrame({
+        "seq": [1], "ts_us": [5], "delta_c": [-1], "activity_type": ["x"], "opening_c": [9]}),
+        streams.ContractProcessor(10): pd.DataFrame({"resp_id": [1], "ts_us": [5], "pre": [None], "post": [None], "tx_us": [5]})}
+    for proc, pdf in frames.items():
+        handle = _Handle()
+        proc.init(handle)
+        for _ in range(2):
+            list(proc.handleInputRows((1,), iter([pdf]), None))
+        assert sum(s.calls for s in handle.states.values()) <= 4
