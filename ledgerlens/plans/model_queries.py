@@ -11,6 +11,7 @@ from ..dims import catalog as C
 from ..functions.hashing import u_sql
 from ..operators import agg, cart, checks, dbscan, features, iforest, lof, models, stats, timeline
 from ..operators.joins import union_all
+from ..session import stored
 from .registry import register
 from .sqlgen import flagged_sql, forest_sql, tree_sql
 
@@ -280,6 +281,7 @@ def q_detector_benchmark(spark, sf_dir):
 def q_cluster_labels(spark, sf_dir):
     """The four labels; models that score rows add theirs to them, DBSCAN's (of three numerics) are joined by row."""
     t, cols = model_table(spark, sf_dir)
+    t = models.assemble(stored(t.select("seq", "is_fraud", *cols), "model-table"), cols)  # four models read it, most of them often
     both = models.bisecting(models.kmeans(t)).select("seq", "is_fraud", "kmeans", "hierarchical", *cols)
     three = iforest.isolation_forest(both, cols, "seq").select("seq", "is_fraud", "kmeans", "hierarchical", "if_label")
     return three.join(dbscan.dbscan(t.select("seq", *DENSE), "seq", DENSE, eps=0.5, min_pts=5), "seq")
