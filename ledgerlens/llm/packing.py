@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lists, map_slices, scratch
-from .encoding import crc32, encoder, with_end
+from .encoding import SLICE, crc32, encoder, with_end
 
 WIDTH = 2048
 SCHEMA = ("doc_id long, start long, length int, offset long, sequence_id long, doc_tokens long, ids_crc32 long, "
@@ -65,7 +65,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 1,
 
         return work
 
-    return map_slices(narrow, "text", SCHEMA, make)
+    return map_slices(narrow, "text", SCHEMA, make, SLICE)
 
 
 def write_buckets(docs: DataFrame, path: str, **options) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import lists, map_slices, scratch
-from .encoding import crc32, encoder, with_end
+from .encoding import SLICE, crc32, encoder, with_end
 
 ROW_GROUP = 16 << 20
 PAGE = 64 << 10
@@ -56,7 +56,7 @@ def encode_sorted(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         return work
 
-    return map_slices(dealt, "text", SCHEMA, make)
+    return map_slices(dealt, "text", SCHEMA, make, SLICE)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2) -> None:

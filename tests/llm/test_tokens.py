@@ -137,3 +137,25 @@ def test_packing(spark, odd_docs, no_docs, odd_rows):
     assert sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got if r["doc_id"] is not None) == sorted(
         x for x in want if x[0] is not None)
     assert sorted(r["ids_crc32"] for r in got) == sorted(x[3] for x in want)
+
+
+def test_new_words_reach_the_library_many_a_text(monkeypatch):
+    """Word BPE: plain new words are joined, each distinct chunk goes to the library once, and a small memo changes no id."""
+    monkeypatch.setattr(encoding, "MEMO", 40)
+    own, sent = encoding.Encoder(lambda: encoding.load("word_bpe_49k.json"), "space", parallel=False), []
+
+    class Library:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return inner.encode_batch_fast(texts, **options)
+
+    inner, own.tokenizer = own.tokenizer, Library()
+    texts = [" ".join(f"{'aäßÉ'[k % 4]}{chr(97 + k // 26)}{chr(97 + k % 26)}Wort" for k in range(300)), "", "H̱ İx 12 a</w>b " + "y" * 90]
+    for part in ([texts[0], None, texts[0]], texts, [texts[2]], texts[::-1]):
+        ids, counts = own.encode(pa.array(part, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == whole("word_bpe_49k.json", part)
+    ids, _ = own.encode(pa.array([texts[1]]))
+    assert not len(ids) and len(own.known) <= 310
+    sent.clear()
+    own.encode(pa.array([" ".join(f"neu{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(500))] * 3))
+    assert len(sent) == 1 and len(sent[0].split()) == 500
